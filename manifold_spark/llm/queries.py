@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_table
+from . import line_dedup, mixing
 
 
 def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,5 +27,61 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records, op6_tiktoken, op10_token_counts)}
-ORACLES: dict[str, str] = {}
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import classify
+
+    return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op3_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .permutation_index import search
+
+    return search(read_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import sample
+
+    return sample(read_table(spark, sf_dir, "documents"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import judge
+
+    return judge(read_table(spark, sf_dir, "documents"))
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import components
+
+    return components(read_table(spark, sf_dir, "documents"))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import repeats
+
+    return repeats(read_table(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import report
+
+    return report(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_records,
+        op2_toxicity,
+        op3_permutation_index,
+        op4_source_mixing,
+        op5_quality_rules,
+        op6_tiktoken,
+        op7_jaccard_join,
+        op8_suffix_dedup,
+        op9_line_dedup,
+        op10_token_counts,
+    )
+}
+ORACLES = {"op4_source_mixing": mixing.oracle(), "op9_line_dedup": line_dedup.ORACLE}
