@@ -131,8 +131,8 @@ def _slots(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """class, n, bits (array of longs) and the sorted set (binary) of the wanted documents' classes."""
+def sets_of(docs: DataFrame, wanted: DataFrame, k: int, items: bool) -> DataFrame:
+    """Of the wanted documents' classes: class and the sorted set (binary), or class, n and bits (array of longs)."""
     shared = docs.sparkSession.sparkContext.broadcast(_slots(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,13 +140,14 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             slot = b.column("slot").to_numpy()
             hit = np.flatnonzero(shared.value[slot >> 3] >> (slot & 7) & 1)
             found = [shingles(t, k) for t in b.column("text").take(pa.array(hit)).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([class_of(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([toggled_bits(s) for s in found], pa.list_(pa.int64())), pa.array([s.tobytes() for s in found], pa.binary())],
-                names=["class", "n", "bits", "items"],
-            )
+            names = pa.array([class_of(s) for s in found], pa.int64())
+            if items:
+                yield pa.RecordBatch.from_arrays([names, pa.array([s.tobytes() for s in found], pa.binary())], names=["class", "items"])
+            else:
+                yield pa.RecordBatch.from_arrays([names, pa.array([len(s) for s in found], pa.int64()), pa.array([toggled_bits(s) for s in found], pa.list_(pa.int64()))], names=["class", "n", "bits"])
 
     placed = _texts(docs).withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)))
-    return materialize(placed.mapInArrow(run, "class long, n long, bits array<long>, items binary"), "sets")
+    return materialize(placed.mapInArrow(run, "class long, items binary" if items else "class long, n long, bits array<long>"), "sets")
 
 
 def _near(percent: int, a: str, b: str):
@@ -161,12 +162,14 @@ def _sized(percent: int, a: str, b: str):
     return 100 * F.least(f"{a}_n", f"{b}_n") >= percent * F.greatest(f"{a}_n", f"{b}_n")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) those that link."""
-    side = lambda x, *cols: sets.select(F.col("class").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in cols))
+def verified(pairs: DataFrame, docs: DataFrame, first_docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of pairs (a, b) those that link. Only sets of pairs that pass the bit counts are made and sent."""
+    side = lambda x, *cols, of=sets: of.select(F.col("class").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in cols))
     likely = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").where(_sized(percent, "a", "b") & _near(percent, "a", "b")).select("a", "b")
     likely = materialize(likely.distinct(), "likely")
-    held = likely.join(side("a", "items"), "a").join(side("b", "items"), "b")
+    wanted = likely.select(F.col("a").alias("class")).union(likely.select("b")).distinct().join(first_docs, "class").select("doc_id")
+    items = sets_of(docs, wanted, k, items=True)
+    held = likely.join(side("a", "items", of=items), "a").join(side("b", "items", of=items), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,10 +232,10 @@ def links(docs: DataFrame, found: DataFrame, k: int, percent: int) -> DataFrame:
     met = posted.withColumn("leader", F.min("class").over(w)).withColumn("last", F.max("class").over(w)).where("leader <> last").select("h", "class", "n", "leader").distinct()
     met = materialize(met, "met")
     first_docs = found.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    sets = sets_of(docs, met.select("class").distinct().join(first_docs, "class").select("doc_id"), k)
+    sets = sets_of(docs, met.select("class").distinct().join(first_docs, "class").select("doc_id"), k, items=False)
     star = met.where("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct()
     stars = materialize(star, "stars")
-    near = verified(stars, sets, percent)
+    near = verified(stars, docs, first_docs, sets, k, percent)
     # what is left: members of one group in different components
     component = connected_components(near)
     placed = met.join(component.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
@@ -242,7 +245,7 @@ def links(docs: DataFrame, found: DataFrame, k: int, percent: int) -> DataFrame:
     other = small.select("h", F.col("class").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_component"))
     joined = small.select("h", F.col("class").alias("a"), F.col("n").alias("a_n"), "component").join(other, "h").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("b_component")) & _sized(percent, "a", "b")).select("a", "b")
     more = joined.union(_tiled(open_.where(F.col("size") > JOINED), sets, percent)).distinct().join(stars, ["a", "b"], "left_anti")
-    return near.union(verified(materialize(more, "pairs"), sets, percent))
+    return near.union(verified(materialize(more, "pairs"), docs, first_docs, sets, k, percent))
 
 
 def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
