@@ -10,7 +10,8 @@ every shingle toggles one: two bitmaps that differ in d bits belong to sets that
 differ in d elements at least, so bit counts bound the overlap from above. What
 is left is verified on the sorted arrays.
 
-Classes that meet are first compared with the smallest of their group. Only
+Classes that meet are first compared with the one of their group that shares
+most of its prefix. Only
 groups that the resulting components don't already cover are compared pair by
 pair: small ones in a join, large ones in tiles of one or two neighbouring size
 bands, each tile of a bounded number of classes, so no group is ever held by one
@@ -229,11 +230,14 @@ def links(docs: DataFrame, found: DataFrame, k: int, percent: int) -> DataFrame:
     # who meets whom: one shuffle of the prefixes, kept where two classes share an element
     w = Window.partitionBy("h")
     posted = found.where("prefix is not null").select(F.explode("prefix").alias("h"), "class", "n")
-    met = posted.withColumn("leader", F.min("class").over(w)).withColumn("last", F.max("class").over(w)).where("leader <> last").select("h", "class", "n", "leader").distinct()
+    met = posted.withColumn("low", F.min("class").over(w)).withColumn("high", F.max("class").over(w)).where("low <> high").select("h", "class", "n").distinct()
     met = materialize(met, "met")
+    # the original of a family of near copies shares more of its prefix than any copy, whose own edits come first
+    common = met.groupBy("class").agg((F.count("*") / F.first("n")).alias("common"))
+    leader = F.max(F.struct("common", "class")).over(w)["class"]
     first_docs = found.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     sets = sets_of(docs, met.select("class").distinct().join(first_docs, "class").select("doc_id"), k, items=False)
-    star = met.where("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct()
+    star = met.join(common, "class").withColumn("leader", leader).where("class <> leader").select(F.least("leader", "class").alias("a"), F.greatest("leader", "class").alias("b")).distinct()
     stars = materialize(star, "stars")
     near = verified(stars, docs, first_docs, sets, k, percent)
     # what is left: members of one group in different components

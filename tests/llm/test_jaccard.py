@@ -29,7 +29,7 @@ def brute(rows, k=5, percent=80):
     return sorted((rows[i][0], len(sets[i]), min(groups[find(i)])) for i in sets)
 
 
-def corpus(seed, vocabulary=400, n=120):
+def corpus(seed, vocabulary=400, n=60):
     rng = random.Random(seed)
     word = lambda: f"w{rng.randrange(vocabulary)}"
     passage = [word() for _ in range(60)]
@@ -59,7 +59,7 @@ def test_components_equal_brute_force(spark, monkeypatch, seed, joined, tile):
 def test_small_vocabulary_and_no_order(spark, monkeypatch):
     monkeypatch.setattr(J, "JOINED", 3)
     monkeypatch.setattr(J, "TILE", 4)
-    rows = corpus(3, vocabulary=3, n=60)
+    rows = corpus(3, vocabulary=3, n=30)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(map(tuple, J.components(docs).collect())) == brute(rows)
     kept = {r.doc_id for r in J.one_of_each(docs).collect()}
