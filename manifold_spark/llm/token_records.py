@@ -103,7 +103,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int, folder: str | No
             yield pa.RecordBatch.from_pylist([{"part": part, "data_file": f"{folder}/{name[len(root) + 1 :]}.rec", "index_file": f"{folder}/{name[len(root) + 1 :]}.idx", "n_docs": n, "n_tokens": start}], schema=_SCHEMA)
 
     _SCHEMA = pa.schema([("part", pa.int32()), ("data_file", pa.string()), ("index_file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
-    placed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    placed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return materialize(placed.mapInArrow(write, MANIFEST), "token-manifest")
 
 
