@@ -10,6 +10,9 @@ kept. Around them the match is extended to the left and right: each window of
 windows that occur twice or more are repeats. Repeats of a document that touch
 make one span.
 
+Equal texts are told first: of each such group only the first document takes part
+in the search, and the others repeat it whole.
+
 What is repeated is decided by partial counts before each shuffle, so a passage
 that a third of all documents hold loads no task, and no pairs are made. The
 filter of repeated suffixes is a bitmap of fixed size; false hits only cost work.
@@ -34,6 +37,7 @@ from ..session import materialize, small_batches
 from .words import long_windows, repeated, windows, word_hashes
 
 GRAM, SLOTS = 8, 1 << 27
+_BLANK = r"[ \t\n\x0b\x0c\r]+"
 
 
 def minimisers(words: np.ndarray, min_words: int, w: int) -> np.ndarray:
@@ -50,25 +54,8 @@ def suffixes(text: str | None, min_words: int, w: int) -> tuple[np.ndarray, np.n
     return words, minimisers(words, min_words, w), long_windows(words, min_words - w + 1)
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-
-def repeated_suffixes(docs: DataFrame, min_words: int, w: int) -> np.ndarray:
-    """A bitmap of the sort keys that two suffixes or more share."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = [np.empty(0, np.uint64)]
-            for text in b.column("text").to_pylist():
-                _, m, key = suffixes(text, min_words, w)
-                keys.append(key[m[np.concatenate((np.ones(1, bool), m[1:] != m[:-1]))]] if len(m) else key[:0])
-            once = np.sort(np.concatenate(keys))
-            twice, n = repeated(once)
-            once = once[~np.isin(once, twice)] if len(twice) else once
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((once, twice)).view(np.int64)), pa.array(np.concatenate((np.ones(len(once), np.int64), n)))], names=["key", "n"])
-
-    keys = _texts(docs).select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size over the column ``key``."""
     slot = keys.select(F.pmod("key", F.lit(SLOTS)).alias("slot"))
     words = slot.groupBy(F.expr("cast(slot div 8 as int)").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(slot % 8 as int))")).alias("bits")).toArrow()
     out = np.zeros(SLOTS // 8, np.uint8)
@@ -76,26 +63,82 @@ def repeated_suffixes(docs: DataFrame, min_words: int, w: int) -> np.ndarray:
     return out
 
 
-def repeated_windows(docs: DataFrame, min_words: int, w: int) -> DataFrame:
+def _hits(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = (keys.astype(np.uint64) & np.uint64(SLOTS - 1)).astype(np.int64)
+    return bitmap[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").withColumn("text_key", F.xxhash64("text"))
+
+
+class _Texts:
+    """The distinct texts of a table, each with its first doc_id."""
+
+    def __init__(self, docs: DataFrame):
+        self.all = _texts(docs)
+        self.copied = self.all.sparkSession.sparkContext.broadcast(_bitmap(self.all.groupBy(F.col("text_key").alias("key")).count().where("count > 1")))
+        copied = self.copied
+
+        def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array(_hits(copied.value, b.column("text_key").to_numpy())))
+
+        # texts that occur once may be among these by a false hit, and then are groups of one
+        groups = self.all.mapInArrow(some, self.all.schema).groupBy("text_key").agg(F.min(F.struct("doc_id")).alias("first"), F.count("*").alias("n"), F.first("text").alias("text"))
+        self.groups = materialize(groups.select("first.doc_id", "text", "text_key", "n"), "copies")
+
+    def each(self, work, schema: str) -> DataFrame:
+        """``work`` (batch -> batch or None) over every distinct text once."""
+        copied = self.copied
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                raw = b.column("raw").to_numpy(zero_copy_only=False)
+                b = b.filter(pa.array(~(raw & _hits(copied.value, b.column("text_key").to_numpy()))))
+                out = work(b) if b.num_rows else None
+                if out is not None:
+                    yield out
+
+        both = self.all.withColumn("raw", F.lit(True)).union(self.groups.select("doc_id", "text", "text_key", F.lit(False)))
+        return both.mapInArrow(run, schema)
+
+
+def repeated_suffixes(texts: _Texts, min_words: int, w: int) -> np.ndarray:
+    """A bitmap of the sort keys that two suffixes or more share."""
+
+    def work(b: pa.RecordBatch) -> pa.RecordBatch:
+        keys = [np.empty(0, np.uint64)]
+        for text in b.column("text").to_pylist():
+            _, m, key = suffixes(text, min_words, w)
+            keys.append(key[m[np.concatenate((np.ones(1, bool), m[1:] != m[:-1]))]] if len(m) else key[:0])
+        every = np.sort(np.concatenate(keys))
+        twice, n = repeated(every)
+        once = every[~np.isin(every, twice)] if len(twice) else every
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate((once, twice)).view(np.int64)), pa.array(np.concatenate((np.ones(len(once), np.int64), n)))], names=["key", "n"])
+
+    return _bitmap(texts.each(work, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"))
+
+
+def repeated_windows(texts: _Texts, min_words: int, w: int) -> DataFrame:
     """doc_id, text_key, start and later (an equal window stands before it) of every repeated window; first_doc_id."""
-    shared = docs.sparkSession.sparkContext.broadcast(repeated_suffixes(docs, min_words, w))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            doc, at, start, name = [], [], [], []
-            for i, text in enumerate(b.column("text").to_pylist()):
-                words, m, key = suffixes(text, min_words, w)
-                slot = (key[m] & np.uint64(SLOTS - 1)).astype(np.int64)
-                hit = np.flatnonzero(shared.value[slot >> 3] >> (slot & 7) & 1)
-                if len(hit):
-                    doc.append(np.full(len(hit), i))
-                    start.append(hit)
-                    name.append(long_windows(words, min_words)[hit])
-            if doc:
-                at = pa.array(np.concatenate(doc))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("text_key").take(at), pa.array(np.concatenate(start), pa.int32()), pa.array(np.concatenate(name).view(np.int64))], names=["doc_id", "text_key", "start", "window"])
-
-    places = materialize(_texts(docs).withColumn("text_key", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_key long, start int, window long"), "windows")
+    shared = texts.all.sparkSession.sparkContext.broadcast(repeated_suffixes(texts, min_words, w))
+
+    def work(b: pa.RecordBatch) -> pa.RecordBatch | None:
+        doc, start, name = [], [], []
+        for i, text in enumerate(b.column("text").to_pylist()):
+            words, m, key = suffixes(text, min_words, w)
+            hit = np.flatnonzero(_hits(shared.value, key[m]))
+            if len(hit):
+                doc.append(np.full(len(hit), i))
+                start.append(hit)
+                name.append(long_windows(words, min_words)[hit])
+        if not doc:
+            return None
+        at = pa.array(np.concatenate(doc))
+        return pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("text_key").take(at), pa.array(np.concatenate(start), pa.int32()), pa.array(np.concatenate(name).view(np.int64))], names=["doc_id", "text_key", "start", "window"])
+
+    places = materialize(texts.each(work, "doc_id long, text_key long, start int, window long"), "windows")
     first = places.groupBy("window").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "start")).alias("first")).where("n > 1")
     later = F.struct("doc_id", "text_key", "start") != F.col("first")
     return places.join(first, "window").select("doc_id", "text_key", "start", later.alias("later"), F.col("first.doc_id").alias("first_doc_id"))
@@ -109,12 +152,29 @@ def repeats(docs: DataFrame, min_words: int = 50, w: int = 16) -> DataFrame:
     doc_id that holds a part of the span.
     """
     small_batches(docs.sparkSession)
+    texts = _Texts(docs)
     by_doc = Window.partitionBy("doc_id", "text_key").orderBy("start")
-    found = repeated_windows(docs, min_words, w).groupBy("doc_id", "text_key", "start").agg(F.max("later").alias("later"), F.min("first_doc_id").alias("first_doc_id"))
+    found = repeated_windows(texts, min_words, w)
     # words that this window adds to those of the later windows before it
     last = F.max(F.when(F.col("later"), F.col("start"))).over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     adds = F.when(F.col("later"), F.least(F.lit(min_words), F.col("start") - F.coalesce(last, F.col("start") - min_words))).otherwise(0)
     opens = F.coalesce((F.col("start") > F.lag("start").over(by_doc) + min_words).cast("int"), F.lit(1))
     spans = found.withColumn("adds", adds).withColumn("opens", opens).withColumn("span", F.sum("opens").over(by_doc))
-    out = spans.groupBy("doc_id", "text_key", "span").agg(F.min("start").cast("long").alias("start_word"), (F.max("start") + min_words).cast("long").alias("end_word"), F.sum("adds").cast("long").alias("n_later_words"), F.min("first_doc_id").alias("first_doc_id"))
-    return out.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "n_later_words", "first_doc_id")
+    spans = spans.groupBy("doc_id", "text_key", "span").agg(F.min("start").cast("long").alias("start_word"), (F.max("start") + min_words).cast("long").alias("end_word"), F.sum("adds").cast("long").alias("n_later_words"), F.min("first_doc_id").alias("first_doc_id"))
+    spans = materialize(spans, "spans")
+    # equal texts: every copy but the first repeats it whole
+    size = F.size(F.filter(F.split("text", _BLANK), lambda x: x != "")).cast("long")
+    whole = texts.groups.where("n > 1").select("text_key", F.struct("doc_id").alias("first"), size.alias("end_word")).where(F.col("end_word") >= min_words)
+    known = spans.groupBy("text_key").agg(F.sum("n_later_words").alias("known_later"), F.min("first_doc_id").alias("known_first"))
+    whole = whole.join(known, "text_key", "left")
+    copies = texts.all.select("doc_id", "text_key").join(whole, "text_key").distinct()
+    is_first = F.struct("doc_id") == F.col("first")
+    copies = copies.select(
+        "doc_id",
+        F.lit(0).cast("long").alias("start_word"),
+        "end_word",
+        F.when(is_first, F.coalesce("known_later", F.lit(0))).otherwise(F.col("end_word")).cast("long").alias("n_later_words"),
+        F.least("known_first", "first.doc_id").alias("first_doc_id"),
+    )
+    alone = spans.join(whole.select("text_key"), "text_key", "left_anti").select(copies.columns)
+    return alone.union(copies).select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "n_later_words", "first_doc_id")
