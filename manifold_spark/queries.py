@@ -1,10 +1,493 @@
-"""Registry of the engine's own queries and of the SQL that they are held against."""
+"""Registry of the engine's own queries and of the SQL that they are held against.
+
+``embeddings`` plays a point cloud: all 64 dimensions are the ambient space, the
+first 8 the embedding, the two halves two modalities. ``events`` are traces of
+users. ``lineitem``, ``orders`` and ``customer`` are run tables, strata and scores.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .operators import graph, sampling, statistics
+from .operators import neighbours as nb
+from .session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, first: int = 1, length: int | None = None) -> DataFrame:
+    return nb.points(read_table(spark, sf_dir, "embeddings"), first=first, length=length)
+
+
+def _points(name: str, cut: str = "") -> str:
+    return f"{name} AS (SELECT vec_id AS id, (embedding::DOUBLE[]){cut} AS v FROM embeddings)"
+
+
+def _knn(name: str, source: str, k: int) -> str:
+    return f"{name} AS (SELECT * FROM (SELECT a.id AS i, b.id AS j, list_distance(a.v, b.v) AS d, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS rank FROM {source} a JOIN {source} b ON a.id <> b.id) WHERE rank <= {k})"
+
+
+ALL, LOW, ONE, TWO = _points("p"), _points("low", "[1:8]"), _points("one", "[1:32]"), _points("two", "[33:64]")
+UNIFORM = "((CAST('0x' || substr(md5(CAST({} AS VARCHAR) || ':42'), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0)"
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read_table(spark, sf_dir, "embeddings")
+    return nb.points(e, length=8).join(e.select(F.col("vec_id").alias("id"), (F.col("label") >= 5).cast("int").alias("side")), "id")
+
+
+# neighbours ------------------------------------------------------------------
+
+
+@query(f"WITH {ALL}, {_knn('e', 'p', 10)} SELECT i, j, rank, round(d, 5) AS d FROM e")
+def knn(spark, sf_dir):
+    return nb.knn(table(spark, sf_dir), 10).select("i", "j", "rank", F.round("d", 5).alias("d"))
+
+
+@query(f"WITH {ALL}, {LOW}, {_knn('h', 'p', 10)}, {_knn('l', 'low', 10)} SELECT h.i, round(count(l.j) / 10.0, 6) AS overlap FROM h LEFT JOIN l ON h.i = l.i AND h.j = l.j GROUP BY h.i")
+def knn_preservation(spark, sf_dir):
+    return nb.overlap(nb.knn(table(spark, sf_dir), 10), nb.knn(table(spark, sf_dir, 1, 8), 10)).select("i", F.round("overlap", 6).alias("overlap"))
+
+
+@query(f"WITH {ALL}, {LOW}, {_knn('h', 'p', 25)}, {_knn('l', 'low', 25)}, s AS (SELECT h.i, count(l.j) / 25.0 AS o FROM h LEFT JOIN l ON h.i = l.i AND h.j = l.j GROUP BY h.i) SELECT round(avg(o), 6) AS continuity, round(avg(o) - 25.0 / (count(*) - 1), 6) AS adjusted FROM s")
+def continuity(spark, sf_dir):
+    s = nb.overlap(nb.knn(table(spark, sf_dir), 25), nb.knn(table(spark, sf_dir, 1, 8), 25))
+    return s.agg(F.round(F.avg("overlap"), 6).alias("continuity"), F.round(F.avg("overlap") - F.lit(25.0) / (F.count("*") - 1), 6).alias("adjusted"))
+
+
+@query(
+    f"WITH {ALL}, {LOW}, ranked AS (SELECT a.id AS i, b.id AS j, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS r FROM p a JOIN p b ON a.id <> b.id), {_knn('l', 'low', 10)}, n AS (SELECT count(*) AS n FROM p) SELECT round(1 - 2.0 / (max(n) * 10 * (2 * max(n) - 31)) * sum(CASE WHEN r > 10 THEN r - 10 ELSE 0 END), 6) AS trustworthiness FROM l JOIN ranked USING (i, j), n"
+)
+def trustworthiness(spark, sf_dir):
+    high = table(spark, sf_dir)
+    return nb.trustworthiness(high, nb.knn(table(spark, sf_dir, 1, 8), 10), 10).select(F.round("trustworthiness", 6).alias("trustworthiness"))
+
+
+@query(f"WITH {ONE}, {TWO}, {_knn('a', 'one', 20)}, {_knn('b', 'two', 20)}, s AS (SELECT a.i, count(b.j) AS c FROM a LEFT JOIN b ON a.i = b.i AND a.j = b.j GROUP BY a.i) SELECT i, round(c / (40.0 - c), 6) AS jaccard FROM s")
+def cross_modal_jaccard(spark, sf_dir):
+    return nb.jaccard(nb.knn(table(spark, sf_dir, 1, 32), 20), nb.knn(table(spark, sf_dir, 33, 32), 20)).select("i", F.round("jaccard", 6).alias("jaccard"))
+
+
+_STRATA = "CASE WHEN jaccard >= hi THEN 2 WHEN jaccard <= lo THEN 0 ELSE 1 END"
+
+
+@query(f"WITH s AS ({ORACLES['cross_modal_jaccard']}), q AS (SELECT quantile_cont(jaccard, 0.25) AS lo, quantile_cont(jaccard, 0.75) AS hi FROM s) SELECT i, jaccard, {_STRATA} AS stratum FROM s, q")
+def alignment_score(spark, sf_dir):
+    return statistics.strata(cross_modal_jaccard(spark, sf_dir), "jaccard")
+
+
+_LID = "{0} AS (SELECT i, -count(*) / sum(ln(d / greatest(r, 1e-10) + 1e-10)) AS lid FROM (SELECT *, max(d) OVER (PARTITION BY i) AS r FROM {1}) GROUP BY i)"
+
+
+@query(f"WITH {ALL}, {_knn('e', 'p', 20)}, {_LID.format('s', 'e')} SELECT i, round(lid, 4) AS lid FROM s")
+def local_intrinsic_dimension(spark, sf_dir):
+    return nb.intrinsic_dimension(nb.knn(table(spark, sf_dir), 20)).select("i", F.round("lid", 4).alias("lid"))
+
+
+_AVG_RANK = "(rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0)"
+
+
+@query(f"WITH {ONE}, {TWO}, {_knn('ea', 'one', 20)}, {_knn('eb', 'two', 20)}, {_LID.format('a', 'ea')}, {_LID.format('b', 'eb')}, r AS (SELECT {_AVG_RANK.format('a.lid')} AS x, {_AVG_RANK.format('b.lid')} AS y FROM a JOIN b USING (i)) SELECT round(corr(x, y), 6) AS spearman FROM r")
+def rank_agreement(spark, sf_dir):
+    a, b = (nb.intrinsic_dimension(nb.knn(table(spark, sf_dir, f, 32), 20)) for f in (1, 33))
+    return statistics.spearman(a.join(b.withColumnRenamed("lid", "other"), "i"), "lid", "other").select(F.round("spearman", 6).alias("spearman"))
+
+
+_GRID = nb.grid(60)
+_IN = f"rank IN ({', '.join(map(str, _GRID))})"
+
+
+@query(f"WITH {ALL}, {_knn('e', 'p', 60)} SELECT i, round(regr_slope(ln(rank), ln(d)), 4) AS slope, round(regr_r2(ln(rank), ln(d)), 4) AS r2 FROM e WHERE {_IN} GROUP BY i")
+def log_log_consistency(spark, sf_dir):
+    return nb.log_log(nb.knn(table(spark, sf_dir), 60), _GRID).select("i", F.round("slope", 4).alias("slope"), F.round("r2", 4).alias("r2"))
+
+
+_KSTAR = f"kstar AS (SELECT i, coalesce(max(CASE WHEN n >= 3 AND syy > 0 AND r2 >= 0.95 THEN rank END), {_GRID[0]}) AS k_star FROM (SELECT i, rank, count(*) OVER w AS n, regr_r2(ln(d), ln(rank)) OVER w AS r2, regr_syy(ln(d), ln(rank)) OVER w AS syy FROM e WHERE {_IN} WINDOW w AS (PARTITION BY i ORDER BY rank ROWS UNBOUNDED PRECEDING)) GROUP BY i)"
+
+
+@query(f"WITH {ALL}, {_knn('e', 'p', 60)}, {_KSTAR} SELECT i, k_star FROM kstar")
+def k_star(spark, sf_dir):
+    return nb.k_star(nb.knn(table(spark, sf_dir), 60), _GRID)
+
+
+_KERNEL = "s AS (SELECT i, max(d) AS s FROM e15 GROUP BY i), w1 AS (SELECT e.i, e.j, exp(-d * d / greatest(a.s * b.s, 1e-20)) AS w FROM e15 e JOIN s a ON e.i = a.i JOIN s b ON e.j = b.i), kern AS (SELECT i, j, max(w) AS w FROM (SELECT * FROM w1 UNION ALL SELECT j, i, w FROM w1) GROUP BY i, j)"
+_K15 = f"{ALL}, {_knn('e15', 'p', 15)}, {_KERNEL}"
+
+
+@query(f"WITH {_K15} SELECT i, j, round(w, 6) AS w FROM kern")
+def neighbour_kernel(spark, sf_dir):
+    return nb.kernel(nb.knn(table(spark, sf_dir), 15)).select("i", "j", F.round("w", 6).alias("w"))
+
+
+@query(f"WITH {_K15} SELECT i, j, round(w / sum(w) OVER (PARTITION BY i), 6) AS w FROM kern")
+def diffusion_operator(spark, sf_dir):
+    return nb.row_normalised(nb.kernel(nb.knn(table(spark, sf_dir), 15))).select("i", "j", F.round("w", 6).alias("w"))
+
+
+@query(f"WITH {_K15}, s2 AS (SELECT i, sum(w) * sum(w) / sum(w * w) AS k FROM kern GROUP BY i) SELECT round(avg(k), 5) AS mean, round(median(k), 5) AS median, round(stddev_pop(k), 5) AS std, round(min(k), 5) AS min, round(max(k), 5) AS max FROM s2")
+def effective_neighborhood_size(spark, sf_dir):
+    s = nb.effective_size(nb.kernel(nb.knn(table(spark, sf_dir), 15)))
+    r = lambda f, name: F.round(f("k_eff"), 5).alias(name)
+    return s.agg(r(F.avg, "mean"), r(F.median, "median"), r(F.stddev_pop, "std"), r(F.min, "min"), r(F.max, "max"))
+
+
+@query(f"WITH {_K15}, {_knn('e', 'p', 60)}, {_KSTAR}, f AS (SELECT i, sum(w) * sum(w) / sum(w * w) AS k FROM kern GROUP BY i) SELECT i, round(k / k_star, 5) AS ratio FROM f JOIN kstar USING (i)")
+def mismatch_ratio(spark, sf_dir):
+    edges = nb.knn(table(spark, sf_dir), 60)
+    k = nb.effective_size(nb.kernel(edges.where("rank <= 15")))
+    return k.join(nb.k_star(edges, _GRID), "i").select("i", F.round(F.col("k_eff") / F.col("k_star"), 5).alias("ratio"))
+
+
+@query(f"WITH {_K15}, n AS (SELECT count(*) AS n FROM p) SELECT round(1 - count(*) FILTER (WHERE abs(w) > 1e-10) / (max(n)::DOUBLE * max(n)), 6) AS sparsity, round(count(*) FILTER (WHERE abs(w) > 1e-10) / (max(n)::DOUBLE * max(n)), 6) AS density FROM kern, n")
+def kernel_sparsity(spark, sf_dir):
+    p = table(spark, sf_dir)
+    size = p.agg(F.count("*").cast("double").alias("n"))
+    share = F.count_if(F.abs("w") > 1e-10) / (F.first("n") * F.first("n"))
+    return nb.kernel(nb.knn(p, 15)).crossJoin(F.broadcast(size)).agg(F.round(1 - share, 6).alias("sparsity"), F.round(share, 6).alias("density"))
+
+
+@query(f"WITH RECURSIVE {ALL}, {_knn('e', 'p', 1)}, g AS (SELECT i, j FROM e UNION SELECT j, i FROM e), walk AS (SELECT id AS node, id AS label FROM p UNION SELECT g.j, walk.label FROM walk JOIN g ON g.i = walk.node) SELECT component, count(*) AS size FROM (SELECT node, min(label) AS component FROM walk GROUP BY node) GROUP BY component")
+def connected_components(spark, sf_dir):
+    e = nb.knn(table(spark, sf_dir), 1)
+    return graph.connected_components(e, "i", "j").groupBy("component").agg(F.count("*").alias("size"))
+
+
+_LOF = "kd AS (SELECT i, max(d) AS kd FROM e GROUP BY i), lrd AS (SELECT e.i, 1 / (avg(greatest(d, kd)) + 1e-10) AS l FROM e JOIN kd ON e.j = kd.i GROUP BY e.i)"
+
+
+@query(f"WITH {ALL}, {_knn('e', 'p', 20)}, {_LOF} SELECT e.i, round(avg(b.l) / max(a.l), 5) AS lof FROM e JOIN lrd a ON e.i = a.i JOIN lrd b ON e.j = b.i GROUP BY e.i")
+def outlier_score(spark, sf_dir):
+    return nb.outlier_factor(nb.knn(table(spark, sf_dir), 20)).select("i", F.round("lof", 5).alias("lof"))
+
+
+@query(f"WITH {ALL}, {LOW}, {_knn('e', 'p', 15)}, b AS (SELECT e.i, e.d, list_distance(x.v, y.v) AS e FROM e JOIN low x ON e.i = x.id JOIN low y ON e.j = y.id), a AS (SELECT sum(d * e) / sum(d * d) AS a FROM b) SELECT i, round(avg(abs(e - a * d)), 6) AS residual FROM b, a GROUP BY i")
+def shepard_residual(spark, sf_dir):
+    return nb.shepard_residual(nb.knn(table(spark, sf_dir), 15), table(spark, sf_dir, 1, 8)).select("i", F.round("residual", 6).alias("residual"))
+
+
+@query()
+def local_spectral_analysis(spark, sf_dir):
+    """Participation ratio, top share and tangent dimension of every neighbourhood (held against numpy in the tests)."""
+    p = table(spark, sf_dir)
+    return nb.local_spectrum(nb.knn(p, 25), p).select("i", F.round("participation", 5).alias("participation"), F.round("top", 5).alias("top"), "dimension")
+
+
+@query(f"WITH {ALL}, {_knn('e', 'p', 5)}, deg AS (SELECT i, count(*) AS deg FROM e GROUP BY i), x AS (SELECT id, v[1] AS x FROM p) SELECT round(sum(a.x * a.x * CASE WHEN e.rank = 1 THEN deg ELSE 0 END) - sum(a.x * b.x), 5) AS smoothness FROM e JOIN deg USING (i) JOIN x a ON e.i = a.id JOIN x b ON e.j = b.id")
+def knn_laplacian_smoothness(spark, sf_dir):
+    """x'Lx of the first coordinate, with L the degrees minus the directed neighbour graph."""
+    p = table(spark, sf_dir)
+    x = p.select(F.col("id").alias("i"), F.element_at("vec", 1).alias("x"))
+    e = nb.knn(p, 5).join(x, "i").join(x.select(F.col("i").alias("j"), F.col("x").alias("y")), "j")
+    return e.agg(F.round(F.sum(F.col("x") * F.col("x") - F.col("x") * F.col("y")), 5).alias("smoothness"))
+
+
+@query(f"WITH {_K15}, h AS (SELECT i, j, w / sum(w) OVER (PARTITION BY i) AS w FROM kern) SELECT i, j, round(w / 2, 6) AS w FROM (SELECT i, j, sum(w) AS w FROM (SELECT * FROM h UNION ALL SELECT j, i, w FROM h) GROUP BY i, j)")
+def symmetrised_graph(spark, sf_dir):
+    h = nb.row_normalised(nb.kernel(nb.knn(table(spark, sf_dir), 15)))
+    return h.union(h.select("j", "i", "w")).groupBy("i", "j").agg(F.round(F.sum("w") / 2, 6).alias("w"))
+
+
+@query("WITH m AS (SELECT vec_id AS id, (embedding::DOUBLE[])[1:8] AS v, CAST(label >= 5 AS INT) AS side FROM embeddings), d AS (SELECT a.id, list_distance(a.v, b.v) AS d, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS r FROM m a JOIN m b ON a.side = 0 AND b.side = 1) SELECT round(avg(greatest(d - 0.01, 0)), 6) AS density_loss FROM d WHERE r <= 5")
+def density_loss(spark, sf_dir):
+    """Mean hinged distance of the points of one side (labels below 5) to their five nearest of the other."""
+    p = _sides(spark, sf_dir)
+    a, b = p.where("side = 0"), p.where("side = 1").select(F.col("id").alias("j"), F.col("vec").alias("w"))
+    d = a.crossJoin(b).select("id", "j", nb.distance("vec", "w").alias("d"))
+    near = d.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("d", "j"))).where("r <= 5")
+    return near.agg(F.round(F.avg(F.greatest(F.col("d") - 0.01, F.lit(0.0))), 6).alias("density_loss"))
+
+
+# statistics ------------------------------------------------------------------
+
+
+@query("WITH p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings), m AS (SELECT a.id, a.label, b.label AS other, avg(list_distance(a.v, b.v)) AS m FROM p a JOIN p b ON a.id <> b.id GROUP BY ALL), s AS (SELECT id, min(CASE WHEN other = label THEN m END) AS a, min(CASE WHEN other <> label THEN m END) AS b FROM m GROUP BY id, label) SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM s")
+def silhouette(spark, sf_dir):
+    labels = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    return statistics.silhouette(table(spark, sf_dir), labels).agg(F.round(F.avg("silhouette"), 6).alias("silhouette"))
+
+
+@query(
+    f"WITH x AS (SELECT n_chars, toxic FROM documents JOIN labels USING (doc_id) WHERE toxic IN (0, 1)), r AS (SELECT toxic, {_AVG_RANK.format('n_chars')} AS r FROM x) SELECT round((sum(CASE WHEN toxic = 1 THEN r END) - sum(toxic) * (sum(toxic) + 1) / 2.0) / (sum(toxic) * (count(*) - sum(toxic))), 6) AS auc FROM r"
+)
+def auc(spark, sf_dir):
+    x = read_table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(read_table(spark, sf_dir, "labels"), "doc_id")
+    return statistics.auc(x, "n_chars", "toxic").select(F.round("auc", 6).alias("auc"))
+
+
+@query(f"SELECT o_orderkey, round(({_AVG_RANK.format('o_totalprice')} - 1) / (count(*) OVER () - 1), 8) AS pct_rank FROM orders")
+def percentile_ranks(spark, sf_dir):
+    return statistics.percentile_ranks(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice").select("o_orderkey", F.round("pct_rank", 8).alias("pct_rank"))
+
+
+@query(f"WITH x AS (SELECT {_AVG_RANK.format('l_quantity')} AS a, {_AVG_RANK.format('l_extendedprice')} AS b FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL) SELECT round(corr(a, b), 6) AS spearman FROM x")
+def metric_agreement(spark, sf_dir):
+    return statistics.spearman(read_table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice"), "l_quantity", "l_extendedprice").select(F.round("spearman", 6).alias("spearman"))
+
+
+@query("SELECT l_returnflag, l_linestatus, round(avg(l_quantity), 6) AS mean_quantity, round(avg(l_extendedprice), 4) AS mean_price FROM lineitem GROUP BY ALL")
+def pivot_table(spark, sf_dir):
+    return read_table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.avg("l_quantity"), 6).alias("mean_quantity"), F.round(F.avg("l_extendedprice"), 4).alias("mean_price"))
+
+
+@query("SELECT l_discount, l_tax, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS std FROM lineitem GROUP BY ALL")
+def parameter_sensitivity(spark, sf_dir):
+    return read_table(spark, sf_dir, "lineitem").groupBy("l_discount", "l_tax").agg(F.round(F.avg("l_quantity"), 6).alias("mean"), F.round(F.stddev_samp("l_quantity"), 6).alias("std"))
+
+
+@query("WITH p AS (SELECT vec_id AS id, (embedding::DOUBLE[])[1:8] AS v, (embedding::DOUBLE[])[9:16] AS w FROM embeddings), d AS (SELECT list_distance(a.v, b.v) AS x, list_distance(a.w, b.w) AS y FROM p a JOIN p b ON a.id < b.id) SELECT round(corr(x, y), 6) AS pearson FROM d")
+def distance_correlation(spark, sf_dir):
+    e = read_table(spark, sf_dir, "embeddings")
+    a, b = nb.pair_distances(nb.points(e, first=1, length=8)), nb.pair_distances(nb.points(e, first=9, length=8))
+    return a.join(b.withColumnRenamed("d", "e"), ["i", "j"]).agg(F.round(F.corr("d", "e"), 6).alias("pearson"))
+
+
+@query(
+    "WITH x AS (SELECT vec_id AS id, unnest(range(1, 17)) AS p, unnest((embedding::DOUBLE[])[1:16]) AS v FROM embeddings), z AS (SELECT id, p, v - avg(v) OVER (PARTITION BY p) AS z FROM x), g AS (SELECT a.p, b.p AS q, sum(a.z * b.z) AS c FROM z a JOIN z b USING (id) GROUP BY a.p, b.p) SELECT round(sum(CASE WHEN p <= 8 AND q > 8 THEN c * c END) / sqrt(sum(CASE WHEN p <= 8 AND q <= 8 THEN c * c END) * sum(CASE WHEN p > 8 AND q > 8 THEN c * c END)), 6) AS cka FROM g"
+)
+def cka_linear(spark, sf_dir):
+    return statistics.linear_cka(table(spark, sf_dir, 1, 8), table(spark, sf_dir, 9, 8)).select(F.round("cka", 6).alias("cka"))
+
+
+@query()
+def anisotropy(spark, sf_dir):
+    """Share of the largest singular value of the centred data: d x d moments, then one small eigenproblem (tests: numpy)."""
+    import numpy as np
+
+    g = statistics.gram(table(spark, sf_dir, 1, 16)).toPandas()  # 16 x 16 rows, whatever the number of points
+    m = np.zeros((16, 16))
+    m[g["p"], g["q"]] = g["c"]
+    s = np.sqrt(np.clip(np.linalg.eigvalsh(m), 0, None))
+    return spark.createDataFrame([(round(float(s[-1] / s.sum()), 6),)], "anisotropy double")
+
+
+_FRACTAL = """WITH x AS (SELECT vec_id AS id, unnest([1, 2]) AS p, unnest((embedding::DOUBLE[])[1:2]) AS x FROM embeddings), r AS (SELECT p, min(x) AS lo, max(x) - min(x) AS range FROM x GROUP BY p), s AS (SELECT ln(min(range) / 10) AS a, ln(max(range)) AS b FROM r), e AS (SELECT i, exp(a + (b - a) * i / 9) AS eps FROM s, range(10) t(i)), c AS (SELECT e.i, eps, id, string_agg(CAST(CAST(floor((x - lo) / eps) AS BIGINT) AS VARCHAR), ',' ORDER BY x.p) AS cell FROM x JOIN r USING (p), e GROUP BY e.i, eps, id), n AS (SELECT eps, count(DISTINCT cell) AS n FROM c GROUP BY eps) SELECT round(-regr_slope(ln(n), ln(eps)), 4) AS fractal_dimension FROM n"""
+
+
+@query(_FRACTAL)
+def fractal_dimension(spark, sf_dir):
+    return statistics.fractal_dimension(table(spark, sf_dir, 1, 2)).select(F.round("fractal_dimension", 4).alias("fractal_dimension"))
+
+
+@query("WITH g AS (SELECT p1.s_nationkey AS nation, p1.s_suppkey AS a, p2.s_suppkey AS b, abs(p1.s_acctbal - p2.s_acctbal) AS d FROM supplier p1 JOIN supplier p2 ON p1.s_nationkey = p2.s_nationkey AND p1.s_suppkey < p2.s_suppkey) SELECT nation, round(avg(d), 4) AS spread FROM g GROUP BY nation")
+def multi_model_spread(spark, sf_dir):
+    """Mean pairwise distance within each step."""
+    s = read_table(spark, sf_dir, "supplier")
+    other = s.select("s_nationkey", F.col("s_suppkey").alias("other"), F.col("s_acctbal").alias("bal"))
+    d = s.join(other, "s_nationkey").where("s_suppkey < other")
+    return d.groupBy(F.col("s_nationkey").alias("nation")).agg(F.round(F.avg(F.abs(F.col("s_acctbal") - F.col("bal"))), 4).alias("spread"))
+
+
+@query("WITH x AS (SELECT CAST(label >= 5 AS INT) AS side, vec_id AS id, (embedding::DOUBLE[])[1:8] AS v FROM embeddings), k AS (SELECT a.side AS s, b.side AS t, exp(-power(list_distance(a.v, b.v), 2)) AS k FROM x a CROSS JOIN x b) SELECT round(avg(CASE WHEN s = 0 AND t = 0 THEN k END) + avg(CASE WHEN s = 1 AND t = 1 THEN k END) - 2 * avg(CASE WHEN s = 0 AND t = 1 THEN k END), 8) AS mmd FROM k")
+def mmd_loss(spark, sf_dir):
+    """Squared maximum mean discrepancy of the two sides of the labels under one Gaussian kernel."""
+    p = _sides(spark, sf_dir)
+    q = p.select(F.col("side").alias("t"), F.col("vec").alias("w"))
+    k = p.crossJoin(q).select(F.col("side").alias("s"), "t", F.exp(-F.pow(nb.distance("vec", "w"), F.lit(2.0))).alias("k"))
+    mean = lambda s, t: F.avg(F.when((F.col("s") == s) & (F.col("t") == t), F.col("k")))
+    return k.agg(F.round(mean(0, 0) + mean(1, 1) - 2 * mean(0, 1), 8).alias("mmd"))
+
+
+@query("SELECT round(avg(power(x - y, 2)), 8) AS mse FROM (SELECT unnest((embedding::DOUBLE[])[1:8]) AS x, unnest((embedding::DOUBLE[])[9:16]) AS y FROM embeddings)")
+def mse_loss(spark, sf_dir):
+    e = read_table(spark, sf_dir, "embeddings").select(F.explode(F.arrays_zip(F.slice("embedding", 1, 8).cast("array<double>").alias("x"), F.slice("embedding", 9, 8).cast("array<double>").alias("y"))).alias("z"))
+    return e.select("z.*").toDF("x", "y").agg(F.round(F.avg(F.pow(F.col("x") - F.col("y"), F.lit(2.0))), 8).alias("mse"))
+
+
+@query("WITH s AS (SELECT vec_id, unnest(range(8)) AS c, unnest((embedding::DOUBLE[])[1:8]) AS x FROM embeddings), l AS (SELECT c AS component, vec_id % 3 AS modality, sqrt(sum(x * x)) AS norm FROM s GROUP BY ALL), f AS (SELECT component, modality, norm / sum(norm) OVER (PARTITION BY component) AS share FROM l) SELECT component, modality, round(share, 6) AS share, min(share) OVER (PARTITION BY component) >= 0.1 AS shared FROM f")
+def loadings_analysis(spark, sf_dir):
+    long = table(spark, sf_dir, 1, 8).select((F.col("id") % 3).alias("modality"), F.posexplode("vec").alias("component", "loading"))
+    return statistics.loadings_summary(long).select("component", "modality", F.round("share", 6).alias("share"), "shared")
+
+
+# traces ----------------------------------------------------------------------
+
+
+def _traces(spark, sf_dir):
+    e = read_table(spark, sf_dir, "embeddings")
+    return e.select((F.col("vec_id") % 7).alias("trace"), F.col("vec_id").alias("step"), F.slice("embedding", 1, 8).cast("array<double>").alias("vec"))
+
+
+_TRACE = "t AS (SELECT vec_id % 7 AS trace, vec_id AS step, (embedding::DOUBLE[])[1:8] AS v FROM embeddings), n AS (SELECT trace, step, v, lag(v) OVER w AS b, lead(v) OVER w AS a FROM t WINDOW w AS (PARTITION BY trace ORDER BY step)), d AS (SELECT *, list_transform(range(1, 9), lambda i: v[i] - b[i]) AS u, list_transform(range(1, 9), lambda i: a[i] - v[i]) AS x FROM n)"
+
+
+@query(f"WITH {_TRACE} SELECT trace, step, round(list_distance(v, b), 6) AS velocity, round(1 - list_cosine_similarity(v, b), 6) AS cosine_velocity FROM n")
+def trajectory_velocity(spark, sf_dir):
+    return statistics.trace_geometry(_traces(spark, sf_dir)).select("trace", "step", F.round("velocity", 6).alias("velocity"), F.round("cosine_velocity", 6).alias("cosine_velocity"))
+
+
+@query(f"WITH {_TRACE}, c AS (SELECT trace, 2 * sqrt(greatest(1 - power(list_cosine_similarity(u, x), 2), 0)) / greatest(list_distance(a, b), 1e-8) AS c FROM d WHERE a IS NOT NULL AND b IS NOT NULL) SELECT round(avg(m), 6) AS curvature FROM (SELECT trace, avg(c) AS m FROM c GROUP BY trace)")
+def trajectory_curvature(spark, sf_dir):
+    return statistics.trace_geometry(_traces(spark, sf_dir)).groupBy("trace").agg(F.avg("curvature").alias("m")).agg(F.round(F.avg("m"), 6).alias("curvature"))
+
+
+_SERIES = "s AS (SELECT CAST(ts AS DATE) AS t, event_type AS gene, sum(value) AS v FROM events GROUP BY ALL), f AS (SELECT t, gene, v - lag(v) OVER (PARTITION BY gene ORDER BY t) AS v FROM s), l AS (SELECT t, gene, v, lag(v) OVER (PARTITION BY gene ORDER BY t) AS past FROM f WHERE v IS NOT NULL), o AS (SELECT * FROM l WHERE past IS NOT NULL)"
+
+
+@query(
+    f"WITH {_SERIES}, j AS (SELECT c.gene AS cause, e.gene AS effect, count(*) AS n, regr_sxx(e.v, e.past) AS xx, regr_sxx(e.v, c.past) AS zz, regr_syy(e.v, e.past) AS yy, regr_sxy(e.v, e.past) AS xy, regr_sxy(e.v, c.past) AS zy, regr_sxy(e.past, c.past) AS xz FROM o e JOIN o c ON e.t = c.t AND e.gene <> c.gene GROUP BY ALL), k AS (SELECT *, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS coef, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS b FROM j) SELECT cause, effect, round(coef, 5) AS coef, round(n * ((yy - xy * xy / xx) - (yy - b * xy - coef * zy)) / (yy - b * xy - coef * zy), 4) AS chi2 FROM k"
+)
+def granger_edges(spark, sf_dir):
+    s = read_table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("t"), F.col("event_type").alias("gene")).agg(F.sum("value").alias("v"))
+    w = Window.partitionBy("gene").orderBy("t")
+    diff = s.select("t", "gene", (F.col("v") - F.lag("v").over(w)).alias("value")).where("value is not null")
+    return statistics.granger(diff).select("cause", "effect", F.round("coef", 5).alias("coef"), F.round("chi2", 4).alias("chi2"))
+
+
+# sampling --------------------------------------------------------------------
+
+
+@query(f"SELECT o_orderkey FROM orders ORDER BY {UNIFORM.format('o_orderkey')}, o_orderkey LIMIT 500")
+def random_sampling(spark, sf_dir):
+    return sampling.random(read_table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 500)
+
+
+@query(
+    f"WITH s AS (SELECT c_mktsegment AS g, count(*) AS size FROM customer GROUP BY 1), w AS (SELECT *, CAST(round_even(200.0 * size / sum(size) OVER (), 0) AS BIGINT) AS want FROM s), r AS (SELECT *, 200 - sum(want) OVER () AS rest, row_number() OVER (ORDER BY size DESC, g) AS place FROM w), q AS (SELECT g, want + CASE WHEN place <= abs(rest) THEN sign(rest) ELSE 0 END AS want FROM r), o AS (SELECT c_custkey, c_mktsegment AS g, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {UNIFORM.format('c_custkey')}, c_custkey) AS place FROM customer) SELECT c_custkey, g AS c_mktsegment FROM o JOIN q USING (g) WHERE place <= want"
+)
+def stratified_sampling(spark, sf_dir):
+    return sampling.stratified(read_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey", "c_mktsegment", 200)
+
+
+@query(f"WITH s AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1), c AS (SELECT floor(quantile_cont(n, 0.5)) AS cap FROM s), o AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY {UNIFORM.format('vec_id')}, vec_id) AS place FROM embeddings) SELECT vec_id, label FROM o, c WHERE place <= cap")
+def balanced_sampling(spark, sf_dir):
+    return sampling.balanced(read_table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id", "label")
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE vec_id IN (SELECT l_suppkey FROM lineitem)")
+def fixed_index_sampling(spark, sf_dir):
+    ids = read_table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("vec_id"))
+    return sampling.fixed(read_table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id", ids)
+
+
+@query(f"WITH {ALL}, {_knn('e', 'p', 15)}, r AS (SELECT i, max(d) AS w FROM e GROUP BY i), q AS (SELECT quantile_cont(w, 0.99) AS cap, min(w) FILTER (WHERE w > 0) AS least FROM r) SELECT i FROM r, q ORDER BY -ln({UNIFORM.format('i')}) / greatest(least(w, cap), least), i LIMIT 100")
+def importance_sampling(spark, sf_dir):
+    return sampling.weighted(sampling.importance_weights(nb.knn(table(spark, sf_dir), 15)), "i", "weight", 100).select("i")
+
+
+@query(f"WITH {ALL}, {_knn('e', 'p', 60)}, {_KSTAR} SELECT i FROM kstar ORDER BY -ln({UNIFORM.format('i')}) / greatest(60 - k_star + 1, 1), i LIMIT 100")
+def k_star_sampling(spark, sf_dir):
+    k = nb.k_star(nb.knn(table(spark, sf_dir), 60), _GRID)
+    return sampling.weighted(k.select("i", F.greatest(60 - F.col("k_star") + 1, F.lit(1)).alias("w")), "i", "w", 100).select("i")
+
+
+@query(f"WITH {ALL}, {_knn('e', 'p', 60)}, {_KSTAR} SELECT i FROM kstar ORDER BY -ln({UNIFORM.format('i')}) * greatest(15.0 / k_star, 0.001), i LIMIT 100")
+def mismatch_aware_sampling(spark, sf_dir):
+    k = nb.k_star(nb.knn(table(spark, sf_dir), 60), _GRID)
+    return sampling.weighted(k.select("i", (1 / F.greatest(F.lit(15.0) / F.col("k_star"), F.lit(0.001))).alias("w")), "i", "w", 100).select("i")
+
+
+@query(f"WITH p AS (SELECT vec_id AS id, list_transform((embedding::DOUBLE[])[1:2], lambda x: CAST(floor(x / 0.1) AS BIGINT)) AS cell FROM embeddings), o AS (SELECT id, row_number() OVER (PARTITION BY cell ORDER BY {UNIFORM.format('id')}, id) AS n FROM p) SELECT id FROM o WHERE n <= 2")
+def geometric_sketch(spark, sf_dir):
+    return sampling.sketch(table(spark, sf_dir, 1, 2), 0.1, 2).select("id")
+
+
+@query("WITH p AS (SELECT vec_id AS id, (embedding::DOUBLE[])[1:2] AS v FROM embeddings) SELECT id, 0 AS spike FROM p UNION ALL SELECT id, 1 FROM p, range(4) WHERE list_distance(v, [0.0, 0.0]::DOUBLE[]) <= 0.1")
+def density_spike(spark, sf_dir):
+    return sampling.density_spike(table(spark, sf_dir, 1, 2), [0.0, 0.0], 0.1, 5, noise=0.0).select("id", "spike")
+
+
+# projection and scalar functions ---------------------------------------------
+
+
+@query("WITH g AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 45 THEN -1 ELSE CAST(l_quantity AS INT) % 3 END AS raw, l_suppkey FROM lineitem), v AS (SELECT *, CASE WHEN raw <> -1 THEN raw END AS g FROM g), f AS (SELECT avg(g / 2.0) AS p FROM v) SELECT l_orderkey, l_linenumber, round(coalesce((g - 2 * p) / CASE WHEN 2 * p * (1 - p) > 0 THEN sqrt(2 * p * (1 - p)) ELSE 1 END, 0), 6) AS z FROM v, f")
+def genotype_normalisation(spark, sf_dir):
+    """Missing codes to null, Hardy-Weinberg scaling, null to 0."""
+    raw = F.when(F.col("l_quantity") > 45, -1).otherwise(F.col("l_quantity").cast("int") % 3)
+    g = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(raw != -1, raw).alias("g"))
+    p = g.agg(F.avg(F.col("g") / 2).alias("p"))
+    var = 2 * F.col("p") * (1 - F.col("p"))
+    z = (F.col("g") - 2 * F.col("p")) / F.when(var > 0, F.sqrt(var)).otherwise(1.0)
+    return g.crossJoin(F.broadcast(p)).select("l_orderkey", "l_linenumber", F.round(F.coalesce(z, F.lit(0.0)), 6).alias("z"))
+
+
+@query("WITH x AS (SELECT vec_id AS id, unnest(range(4)) AS p, unnest((embedding::DOUBLE[])[1:4]) AS x FROM embeddings) SELECT id, p, round((x - min(x) OVER w) / CASE WHEN max(x) OVER w > min(x) OVER w THEN max(x) OVER w - min(x) OVER w ELSE 1 END, 6) AS x FROM x WINDOW w AS (PARTITION BY p)")
+def scale_dimensions(spark, sf_dir):
+    x = table(spark, sf_dir, 1, 4).select("id", F.posexplode("vec").alias("p", "x"))
+    r = x.groupBy("p").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    span = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1.0)
+    return x.join(F.broadcast(r), "p").select("id", "p", F.round((F.col("x") - F.col("lo")) / span, 6).alias("x"))
+
+
+@query("WITH c AS (SELECT vec_id AS id, (embedding::DOUBLE[])[1] * 90 AS lat, (embedding::DOUBLE[])[2] * 180 AS lon FROM embeddings), h AS (SELECT a.id AS i, b.id AS j, power(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2) AS h FROM c a JOIN c b ON a.id < b.id) SELECT i, j, round(2 * 6371 * atan2(sqrt(h), sqrt(1 - h)), 3) AS km FROM h")
+def haversine(spark, sf_dir):
+    c = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i"), (F.col("embedding")[0].cast("double") * 90).alias("lat"), (F.col("embedding")[1].cast("double") * 180).alias("lon"))
+    o = c.select(F.col("i").alias("j"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    sq = lambda x: F.pow(F.sin(F.radians(x) / 2), F.lit(2.0))
+    h = sq(F.col("lat2") - F.col("lat")) + F.cos(F.radians("lat")) * F.cos(F.radians("lat2")) * sq(F.col("lon2") - F.col("lon"))
+    return c.join(o, F.col("i") < F.col("j")).withColumn("h", h).select("i", "j", F.round(2 * 6371 * F.atan2(F.sqrt("h"), F.sqrt(1 - F.col("h"))), 3).alias("km"))
+
+
+@query("WITH x AS (SELECT vec_id AS id, unnest(range(8)) AS p, unnest((embedding::DOUBLE[])[1:8]) AS x FROM embeddings) SELECT id, p, round(sign(x) * greatest(abs(x) - 0.05, 0), 6) AS x FROM x")
+def soft_threshold(spark, sf_dir):
+    x = table(spark, sf_dir, 1, 8).select("id", F.posexplode("vec").alias("p", "x"))
+    return x.select("id", "p", F.round(F.signum("x") * F.greatest(F.abs("x") - 0.05, F.lit(0.0)), 6).alias("x"))
+
+
+@query("WITH p AS (SELECT vec_id AS id, (embedding::DOUBLE[])[1:8] AS v FROM embeddings), k AS (SELECT a.id AS i, b.id AS j, list_dot_product(a.v, b.v) AS k FROM p a CROSS JOIN p b) SELECT i, j, round(k - avg(k) OVER (PARTITION BY i) - avg(k) OVER (PARTITION BY j) + avg(k) OVER (), 6) AS k FROM k")
+def center_gram_matrix(spark, sf_dir):
+    p = nb.points(read_table(spark, sf_dir, "embeddings"), first=1, length=8)
+    k = p.select(F.col("id").alias("i"), "vec").crossJoin(p.select(F.col("id").alias("j"), F.col("vec").alias("w"))).select("i", "j", nb.dot("vec", "w").alias("k"))
+    mean = lambda *by: F.avg("k").over(Window.partitionBy(*by))
+    return k.select("i", "j", F.round(F.col("k") - mean("i") - mean("j") + mean(F.lit(0)), 6).alias("k"))
+
+
+@query("WITH l AS (SELECT 'trustworthiness: 0.' || l_orderkey || ' lid: array([' || l_quantity || ', ' || l_tax || '])' AS line, l_orderkey, l_linenumber FROM lineitem) SELECT l_orderkey, l_linenumber, CAST(regexp_extract(line, 'trustworthiness: ([0-9.]+)', 1) AS DOUBLE) AS trustworthiness, CAST(trim(string_split(regexp_extract(line, 'array\\(\\[([^\\]]*)', 1), ',')[1]) AS DOUBLE) AS lid_2 FROM l")
+def log_metrics(spark, sf_dir):
+    """Metric values out of log lines: a float, and the first of an array."""
+    l = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("trustworthiness: 0."), "l_orderkey", F.lit(" lid: array(["), "l_quantity", F.lit(", "), "l_tax", F.lit("])")).alias("line"))
+    number = F.regexp_extract("line", "trustworthiness: ([0-9.]+)", 1).cast("double")
+    first = F.trim(F.split(F.regexp_extract("line", r"array\(\[([^\]]*)", 1), ",")[0]).cast("double")
+    return l.select("l_orderkey", "l_linenumber", number.alias("trustworthiness"), first.alias("lid_2"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def flatten_properties(spark, sf_dir):
+    return read_table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+# merging and sources ---------------------------------------------------------
+
+
+@query("SELECT vec_id AS id, unnest(range(8)) AS p, round(unnest(list_transform(range(1, 9), lambda i: 0.7 * embedding[i]::DOUBLE + 0.3 * embedding[i + 8]::DOUBLE)), 6) AS x FROM embeddings")
+def merge_weighted_sum(spark, sf_dir):
+    a, b = table(spark, sf_dir, 1, 8), table(spark, sf_dir, 9, 8).withColumnRenamed("vec", "other")
+    return a.join(b, "id").select("id", F.posexplode(F.zip_with("vec", "other", lambda x, y: F.round(0.7 * x + 0.3 * y, 6))).alias("p", "x"))
+
+
+@query("WITH n AS (SELECT vec_id AS id, (embedding::DOUBLE[])[1:8] AS a, (embedding::DOUBLE[])[9:16] AS b FROM embeddings), s AS (SELECT *, sqrt(list_dot_product(a, a)) AS x, sqrt(list_dot_product(b, b)) AS y FROM n) SELECT id, unnest(range(16)) AS p, round(unnest(list_concat(list_transform(a, lambda v: v / x), list_transform(b, lambda v: v / y))), 6) AS x FROM s")
+def merge_concat(spark, sf_dir):
+    """Channels joined on id, each scaled to length 1, side by side."""
+    unit = lambda v: F.transform(v, lambda x: x / F.sqrt(nb.dot(v, v)))
+    a, b = table(spark, sf_dir, 1, 8), table(spark, sf_dir, 9, 8).withColumnRenamed("vec", "other")
+    return a.join(b, "id").select("id", F.posexplode(F.transform(F.concat(unit(F.col("vec")), unit(F.col("other"))), lambda x: F.round(x, 6))).alias("p", "x"))
+
+
+@query("WITH q AS (SELECT c_custkey AS id, c_acctbal, 'train' AS part FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT c_custkey, c_acctbal, 'test' FROM customer WHERE c_acctbal < 0) SELECT id, part, q.c_acctbal, n_name FROM q JOIN customer c ON q.id = c.c_custkey JOIN nation ON c.c_nationkey = n_nationkey WHERE n_name IS NOT NULL")
+def admixture_tables(spark, sf_dir):
+    """Two row-aligned tables put under each other, then joined to their metadata."""
+    c = read_table(spark, sf_dir, "customer")
+    part = lambda rule, name: c.where(rule).select(F.col("c_custkey").alias("id"), "c_acctbal", F.lit(name).alias("part"))
+    meta = c.select(F.col("c_custkey").alias("id"), "c_nationkey").join(F.broadcast(read_table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    return part("c_acctbal >= 0", "train").unionByName(part("c_acctbal < 0", "test")).join(meta.select("id", "n_name"), "id").na.drop(subset=["n_name"])
+
+
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS step, length(text) AS size FROM conversations WHERE trim(text) <> ''")
+def reasoning_trace_steps(spark, sf_dir):
+    """Nested traces to one row a step; blank texts dropped."""
+    nested = read_table(spark, sf_dir, "conversations").where("trim(text) <> ''").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("size")))).alias("steps"))
+    return nested.select("conv_id", F.posexplode("steps").alias("step", "s")).select("conv_id", "s.turn", "step", "s.size")
