@@ -5,15 +5,16 @@ class. Two sets with a similarity of t share an element among the first
 ``n - ceil(t * n) + 1`` of each in any fixed order, so classes meet by those
 prefixes; the order puts the corpus's most frequent shingles last, which keeps
 shared passages out of the prefixes. Of classes that meet, only those can link
-whose sizes are within the ratio t. Each carries a bitmap of 1024 bits in which
-every shingle toggles one: two bitmaps that differ in d bits belong to sets that
-differ in d elements at least, so bit counts bound the overlap from above. What
-is left is verified on the sorted arrays.
+whose sizes are within the ratio t. Each carries a bitmap in which every
+shingle toggles one bit, of a power of two bits and not fewer than shingles, so
+that long texts don't fill it; a wider one folds to a narrower by XOR. Two
+bitmaps that differ in d bits belong to sets that differ in d elements at least,
+so bit counts bound the overlap from above. What is left is verified on the
+sorted arrays.
 
 Classes that meet are first compared with the one of their group that shares
-most of its prefix. Only
-groups that the resulting components don't already cover are compared pair by
-pair: small ones in a join, large ones in tiles of one or two neighbouring size
+most of its prefix. Only groups that the resulting components don't already
+cover are compared pair by pair: small ones in a join, large ones in tiles of one or two neighbouring size
 bands, each tile of a bounded number of classes, so no group is ever held by one
 task and no pairs are emitted but those that pass the bit counts.
 
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from ..session import materialize, small_batches
+from ..session import discard, materialize, scratch_path, small_batches
 from .words import distinct, mix, repeated, shingles
 
 BITS = 1024
@@ -41,6 +42,8 @@ BITS = 1024
 FREQUENT, SLOTS = 1 << 17, 1 << 26
 #: Classes of a group that are compared in a join; larger groups are cut into tiles of so many at most.
 JOINED, TILE = 64, 1024
+#: Partners that meet one set in one go when pairs are verified.
+PARTNERS = 256
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -54,10 +57,16 @@ def class_of(s: np.ndarray) -> int:
 
 
 def toggled_bits(s: np.ndarray) -> np.ndarray:
-    on = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    width = max(BITS, 1 << max(len(s) - 1, 0).bit_length())
+    on = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(on.astype(np.uint8)).view(np.int64)
 
 
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The narrower bitmap of the same set."""
+    return np.bitwise_xor.reduce(np.asarray(bits, np.int64).reshape(-1, size), axis=0)
+
+
 def frequent_shingles(docs: DataFrame, k: int, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, sorted, and their ranks from 1 (least frequent).
 
@@ -121,7 +130,7 @@ def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 seen.add(c)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], names=["doc_id", "n", "class", "prefix"])
 
-    return materialize(_texts(docs).mapInArrow(run, "doc_id long, n long, class long, prefix array<long>"), "classes")
+    return _texts(docs).mapInArrow(run, "doc_id long, n long, class long, prefix array<long>")
 
 
 def _slots(rows: DataFrame) -> np.ndarray:
@@ -148,12 +157,18 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int, items: bool) -> DataFram
                 yield pa.RecordBatch.from_arrays([names, pa.array([len(s) for s in found], pa.int64()), pa.array([toggled_bits(s) for s in found], pa.list_(pa.int64()))], names=["class", "n", "bits"])
 
     placed = _texts(docs).withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)))
-    return materialize(placed.mapInArrow(run, "class long, items binary" if items else "class long, n long, bits array<long>"), "sets")
+    return placed.mapInArrow(run, "class long, items binary" if items else "class long, n long, bits array<long>")
 
 
 def _near(percent: int, a: str, b: str):
     """Sizes and bit counts let the similarity reach ``percent``."""
-    differ = F.aggregate(F.zip_with(f"{a}_bits", f"{b}_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    size = F.least(F.size(f"{a}_bits"), F.size(f"{b}_bits"))
+
+    def fold(bits):
+        xor = lambda i: F.aggregate(F.sequence(i, F.size(bits) - 1, size), F.lit(0).cast("long"), lambda s, j: s.bitwiseXOR(F.get(bits, j)))
+        return F.when(F.size(bits) == size, bits).otherwise(F.transform(F.sequence(F.lit(0), size - 1), xor))
+
+    differ = F.aggregate(F.zip_with(fold(F.col(f"{a}_bits")), fold(F.col(f"{b}_bits")), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     total = F.col(f"{a}_n") + F.col(f"{b}_n")
     # overlap <= (total - differ) / 2, and 100 * overlap >= percent * (total - overlap)
     return (100 + percent) * (total - differ) >= 2 * percent * total
@@ -164,25 +179,40 @@ def _sized(percent: int, a: str, b: str):
 
 
 def verified(pairs: DataFrame, docs: DataFrame, first_docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) those that link. Only sets of pairs that pass the bit counts are made and sent."""
-    side = lambda x, *cols, of=sets: of.select(F.col("class").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in cols))
-    likely = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").where(_sized(percent, "a", "b") & _near(percent, "a", "b")).select("a", "b")
-    likely = materialize(likely.distinct(), "likely")
-    wanted = likely.select(F.col("a").alias("class")).union(likely.select("b")).distinct().join(first_docs, "class").select("doc_id")
-    items = sets_of(docs, wanted, k, items=True)
-    held = likely.join(side("a", "items", of=items), "a").join(side("b", "items", of=items), "b")
+    """Of pairs (a, b) those that link. Only sets of pairs that pass the bit counts are made and sent.
+
+    The one of a pair with more partners is its hub: its set is sent once for
+    every ``PARTNERS`` partners, ahead of them, not once a pair.
+    """
+    side = lambda x: sets.select(F.col("class").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "bits")))
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(_sized(percent, "a", "b"))
+    likely = materialize(sized.where(_near(percent, "a", "b")).select("a", "b").distinct(), "likely")
+    partners = likely.select(F.col("a").alias("class")).union(likely.select("b")).groupBy("class").count()
+    many = lambda x: partners.select(F.col("class").alias(x), F.col("count").alias(f"{x}_partners"))
+    at_a = F.col("a_partners") >= F.col("b_partners")
+    met = likely.join(many("a"), "a").join(many("b"), "b").select(F.when(at_a, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(at_a, F.col("b")).otherwise(F.col("a")).alias("class"), F.greatest("a_partners", "b_partners").alias("most"))
+    met = met.select("hub", F.pmod(F.xxhash64("class"), F.ceil(F.col("most") / PARTNERS)).cast("int").alias("tile"), F.lit(1).alias("role"), "class")
+    sent = materialize(met.union(met.select("hub", "tile", F.lit(0), F.col("hub")).distinct()), "sent")
+    wanted = partners.select("class").join(first_docs, "class").select("doc_id")
+    held = sent.join(sets_of(docs, wanted, k, items=True), "class").repartition("hub", "tile").sortWithinPartitions("hub", "tile", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y = np.empty(0, np.uint64)
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("a_items").to_pylist(), batch.column("b_items").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                x, y = (x, y) if len(x) < len(y) else (y, x)
-                shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+            for role, items in zip(batch.column("role").to_pylist(), batch.column("items"), strict=True):
+                x = np.frombuffer(items.as_buffer(), np.uint64)
+                if role == 0:
+                    y = x.copy()
+                    keep.append(False)
+                    continue
+                few, most = (x, y) if len(x) < len(y) else (y, x)
+                shared = int((most[np.minimum(np.searchsorted(most, few), len(most) - 1)] == few).sum())
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("class")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return materialize(held.mapInArrow(run, "a long, b long"), "links")
+    found = held.select("hub", "tile", "role", "class", "items").mapInArrow(run, "a long, b long")
+    return materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "links")
 
 
 def _tiled(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -211,7 +241,8 @@ def _tiled(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("class")
         name, comp, n = pdf["class"].to_numpy(), pdf["component"].to_numpy(), pdf["n"].to_numpy()
-        bits = np.stack(pdf["bits"].to_list()).view(np.uint64)
+        least = pdf["bits"].map(len).min()
+        bits = np.stack([folded(x, least) for x in pdf["bits"]]).view(np.uint64)
         a, b = [], []
         for i in range(len(pdf) - 1):
             other = np.flatnonzero((comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i], n[i + 1 :]) >= percent * np.maximum(n[i], n[i + 1 :]))) + i + 1
@@ -225,18 +256,21 @@ def _tiled(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.select("h", "cell", "class", "component", "n", "bits").groupBy("h", "cell").applyInPandas(compare, "a long, b long")
 
 
-def links(docs: DataFrame, found: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between classes, enough of them to connect all that any links connect."""
-    # who meets whom: one shuffle of the prefixes, kept where two classes share an element
+def meetings(found: DataFrame) -> DataFrame:
+    """Who meets whom: one shuffle of the prefixes, kept where two classes share an element."""
     w = Window.partitionBy("h")
     posted = found.where("prefix is not null").select(F.explode("prefix").alias("h"), "class", "n")
-    met = posted.withColumn("low", F.min("class").over(w)).withColumn("high", F.max("class").over(w)).where("low <> high").select("h", "class", "n").distinct()
-    met = materialize(met, "met")
+    return posted.withColumn("low", F.min("class").over(w)).withColumn("high", F.max("class").over(w)).where("low <> high").select("h", "class", "n").distinct()
+
+
+def links(docs: DataFrame, names: DataFrame, met: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between classes, enough of them to connect all that any links connect."""
+    w = Window.partitionBy("h")
     # the original of a family of near copies shares more of its prefix than any copy, whose own edits come first
     common = met.groupBy("class").agg((F.count("*") / F.first("n")).alias("common"))
     leader = F.max(F.struct("common", "class")).over(w)["class"]
-    first_docs = found.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    sets = sets_of(docs, met.select("class").distinct().join(first_docs, "class").select("doc_id"), k, items=False)
+    first_docs = names.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    sets = materialize(sets_of(docs, met.select("class").distinct().join(first_docs, "class").select("doc_id"), k, items=False), "sets")
     star = met.join(common, "class").withColumn("leader", leader).where("class <> leader").select(F.least("leader", "class").alias("a"), F.greatest("leader", "class").alias("b")).distinct()
     stars = materialize(star, "stars")
     near = verified(stars, docs, first_docs, sets, k, percent)
@@ -254,10 +288,16 @@ def links(docs: DataFrame, found: DataFrame, k: int, percent: int) -> DataFrame:
 
 def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) of every document."""
-    small_batches(docs.sparkSession)
-    found = classes(docs, k, percent)
-    names = found.select("doc_id", "n", "class")
-    component = connected_components(links(docs, found, k, percent)).withColumnRenamed("node", "class")
+    spark = docs.sparkSession
+    small_batches(spark)
+    path = scratch_path(spark, "classes")
+    classes(docs, k, percent).write.parquet(path)
+    found = spark.read.parquet(path)
+    names = materialize(found.select("doc_id", "n", "class"), "names")
+    met = materialize(meetings(found), "met")
+    # the prefixes, a third of the input or more, aren't read again
+    discard(spark, path)
+    component = connected_components(links(docs, names, met, k, percent)).withColumnRenamed("node", "class")
     first = names.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("first"))
     placed = first.join(component, "class", "left").withColumn("component", F.coalesce("component", "class"))
     ids = placed.groupBy("component").agg(F.min("first").alias("component_id"))
