@@ -52,6 +52,13 @@ def grams(text: str | None) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
+def _batch(bags: list[tuple[np.ndarray, np.ndarray]], rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """A batch as a sparse matrix: its rows, the buckets that it has, and document, place and share of every entry."""
+    bucket, place = np.unique(np.concatenate([x for x, _ in bags]), return_inverse=True)
+    doc = np.repeat(np.arange(len(bags), dtype=np.int32), [len(x) for x, _ in bags])
+    return rows, bucket.astype(np.int32), doc, place.astype(np.int32), np.concatenate([x for _, x in bags])
+
+
 def train(texts: list[str | None], labels: np.ndarray, epochs: int = 8, batch: int = 32, rate: float = 0.6, seed: int = 1) -> tuple[np.ndarray, float]:
     """Logit difference of each bucket, and the bias."""
     rng = np.random.default_rng(seed)
@@ -62,20 +69,20 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = 8, batch: i
     e = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     w, bias = rng.normal(0, 0.5, (WIDTH, 2)).astype(np.float32), np.zeros(2, np.float32)
     ge, gw, gb = np.full(BUCKETS, 1e-8, np.float32), np.full(w.shape, 1e-6, np.float32), np.full(2, 1e-6, np.float32)
-    share = np.maximum(np.bincount(labels, minlength=2), 1)
-    cost = (len(labels) / (2 * share))[labels].astype(np.float32) ** 0.5
+    sizes = np.maximum(np.bincount(labels, minlength=2), 1)
+    cost = (len(labels) / (2 * sizes))[labels].astype(np.float32) ** 0.5
+    # batches are dealt once, so that their grams are sorted once; epochs only shuffle the batches
+    filled = rng.permutation([i for i in range(len(bags)) if len(bags[i][0])])
+    dealt = [_batch([bags[i] for i in rows], rows) for rows in np.split(filled, range(batch, len(filled), batch)) if len(rows)]
+    del bags
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs) + 0.02
-        order = rng.permutation(len(bags))
-        for at in range(0, len(order), batch):
-            rows = order[at : at + batch]
-            b = np.concatenate([bags[i][0] for i in rows])
-            if not len(b):
-                continue
-            v = np.concatenate([bags[i][1] for i in rows])
-            sizes = [len(bags[i][0]) for i in rows]
-            doc = np.repeat(np.arange(len(rows)), sizes)
-            mean = np.stack([np.bincount(doc, weights=e[b, j] * v, minlength=len(rows)) for j in range(WIDTH)], axis=1)
+        for at in rng.permutation(len(dealt)):
+            rows, bucket, doc, place, v = dealt[at]
+            # a batch's matrix is at most batch x BUCKETS; as a dense one its products run in BLAS
+            share = np.zeros((len(rows), len(bucket)), np.float32)
+            share[doc, place] = v
+            mean = share @ e[bucket]
             z = mean @ w + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
@@ -86,8 +93,7 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = 8, batch: i
             gb += db**2
             w -= (0.1 * step * dw / np.sqrt(gw)).astype(np.float32)
             bias -= (0.1 * step * db / np.sqrt(gb)).astype(np.float32)
-            bucket, where = np.unique(b, return_inverse=True)
-            de = np.stack([np.bincount(where, weights=dm[doc, j] * v, minlength=len(bucket)) for j in range(WIDTH)], axis=1)
+            de = share.T @ dm
             ge[bucket] += (de**2).sum(axis=1)
             e[bucket] -= (step * de / np.sqrt(ge[bucket])[:, None]).astype(np.float32)
     return (e @ (w[:, 1] - w[:, 0])).astype(np.float32), float(bias[1] - bias[0])
