@@ -12,9 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import graph, sampling, statistics
+from .functions import registry
+from .operators import comparison, graph, sampling, statistics
 from .operators import neighbours as nb
 from .session import read_table
+from .sources import synthetic
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -491,3 +493,101 @@ def reasoning_trace_steps(spark, sf_dir):
     """Nested traces to one row a step; blank texts dropped."""
     nested = read_table(spark, sf_dir, "conversations").where("trim(text) <> ''").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("size")))).alias("steps"))
     return nested.select("conv_id", F.posexplode("steps").alias("step", "s")).select("conv_id", "s.turn", "step", "s.size")
+
+
+# comparisons -----------------------------------------------------------------
+
+_U = "((CAST('0x' || substr(md5({} || ':{}'), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0)"
+_BOTH = f"{ALL}, {LOW}, c AS (SELECT a.id AS i, b.id AS j, list_distance(a.v, b.v) AS x, list_distance(la.v, lb.v) AS y FROM p a JOIN p b ON a.id < b.id JOIN low la ON la.id = a.id JOIN low lb ON lb.id = b.id)"
+_DRAWN = _BOTH + ", s AS (SELECT * FROM c ORDER BY " + _U.format("(i || ',' || j)", 42) + ", i || ',' || j LIMIT {})"
+_HSIC = "(sum({0}{1}) - 2.0 / count(*) * sum(r{0} * r{1}) + sum(r{0}) * sum(r{1}) / count(*) / count(*))"
+
+
+@query(
+    f"WITH {ONE}, {TWO}, d AS (SELECT a.id AS i, power(list_distance(a.v, b.v), 2) AS x, power(list_distance(c.v, d.v), 2) AS y FROM one a CROSS JOIN one b JOIN two c ON c.id = a.id JOIN two d ON d.id = b.id), m AS (SELECT median(x) FILTER (WHERE x > 0) AS mx, median(y) FILTER (WHERE y > 0) AS my FROM d), k AS (SELECT i, exp(-x / mx) AS k, exp(-y / my) AS l FROM d, m), r AS (SELECT i, sum(k) AS rk, sum(l) AS rl, sum(k * l) AS kl, sum(k * k) AS kk, sum(l * l) AS ll FROM k GROUP BY i) SELECT round({_HSIC.format('k', 'l')} / sqrt({_HSIC.format('k', 'k')} * {_HSIC.format('l', 'l')}), 6) AS cka FROM r"
+)
+def cka_rbf(spark, sf_dir):
+    return comparison.rbf_cka(table(spark, sf_dir, 1, 32), table(spark, sf_dir, 33, 32)).select(F.round("cka", 6).alias("cka"))
+
+
+@query(f"WITH {_DRAWN.format(20000)}, f AS (SELECT * FROM s WHERE x >= (SELECT quantile_cont(x, 0.1) FROM s)), r AS (SELECT {_AVG_RANK.format('x')} AS a, {_AVG_RANK.format('y')} AS b FROM f) SELECT round(corr(a, b), 6) AS spearman FROM r")
+def ground_truth_preservation(spark, sf_dir):
+    return comparison.preservation(table(spark, sf_dir), table(spark, sf_dir, 1, 8), 20_000, only_far=True).select(F.round("spearman", 6).alias("spearman"))
+
+
+@query(f"WITH {_DRAWN.format(100)} SELECT round(corr(x, y), 6) AS pearson FROM s")
+def pearson_correlation(spark, sf_dir):
+    return comparison.pearson_distances(table(spark, sf_dir), table(spark, sf_dir, 1, 8)).select(F.round("pearson", 6).alias("pearson"))
+
+
+@query("WITH o AS (SELECT s_suppkey AS k, s_nationkey AS x, s_acctbal AS y FROM supplier), z AS (SELECT sign(a.x - b.x) AS s, sign(a.y - b.y) AS t FROM o a JOIN o b ON a.k < b.k) SELECT round(sum(s * t) / sqrt(sum(abs(s)) * sum(abs(t))), 6) AS kendall FROM z")
+def kendall(spark, sf_dir):
+    return comparison.kendall(read_table(spark, sf_dir, "supplier"), "s_suppkey", "s_nationkey", "s_acctbal").select(F.round("kendall", 6).alias("kendall"))
+
+
+@query(
+    "WITH x AS (SELECT vec_id AS id, CAST(label >= 5 AS INT) AS side, unnest(range(8)) AS p, unnest((embedding::DOUBLE[])[1:8]) AS x FROM embeddings), w AS (SELECT p, avg(x) FILTER (WHERE side = 1) - avg(x) FILTER (WHERE side = 0) AS w FROM x GROUP BY p), q AS (SELECT id, max(side) AS side, sum(x * w) AS s FROM x JOIN w USING (p) GROUP BY id) SELECT round(avg(CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0 END), 5) AS auc FROM q a JOIN q b ON a.side = 1 AND b.side = 0"
+)
+def separation_auroc(spark, sf_dir):
+    s = _sides(spark, sf_dir)
+    return comparison.separation_auroc(s.select("id", "vec"), s.select("id", "side")).select(F.round("auc", 5).alias("auc"))
+
+
+@query(
+    "WITH n AS (SELECT c_nationkey AS a, c_mktsegment AS b, count(*) AS n FROM customer GROUP BY ALL), s AS (SELECT sum(n * (n - 1) / 2) AS s, sum(n) * (sum(n) - 1) / 2 AS t FROM n), x AS (SELECT sum(m * (m - 1) / 2) AS x FROM (SELECT sum(n) AS m FROM n GROUP BY a)), y AS (SELECT sum(m * (m - 1) / 2) AS y FROM (SELECT sum(n) AS m FROM n GROUP BY b)) SELECT round((s - x * y / t) / ((x + y) / 2 - x * y / t), 8) AS ari FROM s, x, y"
+)
+def adjusted_rand_index(spark, sf_dir):
+    return comparison.adjusted_rand(read_table(spark, sf_dir, "customer"), "c_nationkey", "c_mktsegment").select(F.round("ari", 8).alias("ari"))
+
+
+@query()
+def kmeans_stratification(spark, sf_dir):
+    """ARI of k-means clusters against the labels."""
+    labels = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    return comparison.adjusted_rand(comparison.kmeans(table(spark, sf_dir), 10).join(labels, "id"), "cluster", "label")
+
+
+@query()
+def pca(spark, sf_dir):
+    return comparison.pca(table(spark, sf_dir), 2).select("id", F.posexplode("vec").alias("p", "x"))
+
+
+_DRAWS = " + ".join(f"CAST(u >= {x!r} AS INT)" for x in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238463, 0.9963401531726564, 0.9994058151824184, 0.9999167588507121, 0.9999897508033254, 0.9999988747974021, 0.9999998885745217, 0.9999999899522336))
+
+
+@query(
+    f"WITH d AS (SELECT s_acctbal AS x, b, {_U.format('(s_suppkey || chr(44) || b)', 42)} AS u FROM supplier, range(100) t(b)), m AS (SELECT b, sum(w * x) / sum(w) AS m FROM (SELECT b, x, {_DRAWS} AS w FROM d) GROUP BY b) SELECT round(quantile_cont(m, 0.025), 4) AS low, round(quantile_cont(m, 0.975), 4) AS high FROM m"
+)
+def bootstrap_interval(spark, sf_dir):
+    return comparison.bootstrap_mean(read_table(spark, sf_dir, "supplier"), "s_suppkey", "s_acctbal").select(F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
+
+
+@query(
+    "WITH s AS (SELECT n_nationkey AS step, CAST(floor(sqrt(24 - n_nationkey)) AS BIGINT) AS n FROM nation), r AS (SELECT *, sum(w) OVER (ORDER BY step) AS run FROM (SELECT *, CASE WHEN n = lag(n) OVER (ORDER BY step) THEN 0 ELSE 1 END AS w FROM s)), g AS (SELECT min(step) AS start, count(*) AS length, min(n) AS n FROM r GROUP BY run HAVING count(*) >= 2) SELECT start, length, n, start + length // 2 AS middle, row_number() OVER (ORDER BY length * (1 + start / (SELECT count(*) FROM s)) / greatest(ln(1 + n), 0.1) DESC, start) = 1 AS best FROM g"
+)
+def stable_scales(spark, sf_dir):
+    return comparison.stable_scales(read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("step"), F.floor(F.sqrt(24 - F.col("n_nationkey"))).alias("n")))
+
+
+# generators and evaluation ---------------------------------------------------
+
+
+@query(f"WITH r AS (SELECT range AS id, 1.5 * pi() * (1 + 2 * {_U.format('range', 42)}) AS t, 21.0 * {_U.format('range', 43)} AS y FROM range(1000)) SELECT id, round(t * cos(t), 6) AS x, round(y, 6) AS y, round(t * sin(t), 6) AS z FROM r")
+def swiss_roll(spark, sf_dir):
+    v = synthetic.swiss_roll(spark, 1000)
+    return v.select("id", *(F.round(F.col("vec")[i], 6).alias(c) for i, c in enumerate("xyz")))
+
+
+@query(f"WITH r AS (SELECT range AS id, 2 * pi() * {_U.format('range', 42)} AS a, 2 * pi() * {_U.format('range', 43)} AS b FROM range(1000)) SELECT id, round((2 + 0.5 * cos(b)) * cos(a), 6) AS x, round((2 + 0.5 * cos(b)) * sin(a), 6) AS y, round(0.5 * sin(b), 6) AS z FROM r")
+def torus(spark, sf_dir):
+    v = synthetic.torus(spark, 1000)
+    return v.select("id", *(F.round(F.col("vec")[i], 6).alias(c) for i, c in enumerate("xyz")))
+
+
+@query(
+    f"WITH k AS ({ORACLES['knn_preservation']}), d AS ({ORACLES['pearson_correlation']}), s AS ({ORACLES['shepard_residual']}) SELECT 'knn_preservation' AS metric, round(avg(overlap), 4) AS value FROM k UNION ALL SELECT 'pearson_correlation', round(pearson, 4) FROM d UNION ALL SELECT 'shepard_residual', round(avg(residual), 4) FROM s"
+)
+def evaluate(spark, sf_dir):
+    """Several metrics by name, as one long table."""
+    asked = {"knn_preservation": {"k": 10}, "pearson_correlation": {}, "shepard_residual": {"k": 15}}
+    return registry.evaluate(table(spark, sf_dir), table(spark, sf_dir, 1, 8), asked).select("metric", F.round("value", 4).alias("value"))
