@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages; each takes what the stage before it kept.
 
-Quality rules drop what they reject; line dedup deletes later repeated runs of
-lines; of each group of near-duplicates one document stays; sources, languages
+Quality rules drop what they reject; line dedup deletes every later copy of a
+line; of each group of near-duplicates one document stays; sources, languages
 and topics are mixed to their target weights; the last stage encodes the texts
 and reports the ids and the bytes that they decode to.
 """
@@ -20,7 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(docs)
+    return line_dedup.dedup_lines(docs, window=1)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

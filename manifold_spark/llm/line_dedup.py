@@ -9,6 +9,11 @@ the others the runs that they stand for are joined, and runs that stand before
 a chain of such runs, so taking all of them together extends each match both
 ways. The lines of later runs are deleted, the first run stays.
 
+What is shorter than ``window`` lines is no match: with three, as the query op9
+has it, repeated lines and pairs of lines between different neighbours stay. With
+one, as the pipeline has it, every line is a run, so of each line with something
+in it one copy is left in the whole table.
+
 Nulls: a null text stays null. Blank lines are no part of runs and stay. Rows
 with the same doc_id and text count as one document and are changed alike. A null
 doc_id sorts first. All columns stay; ``text`` is replaced, and ``n_chars`` too

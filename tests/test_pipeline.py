@@ -1,0 +1,29 @@
+import duckdb
+
+import corpus_pipeline
+
+SF = "/root/testdata/sf0.001"
+
+#: From the purpose: of each line with something in it only the first place, by document and line, stays.
+EVERY_LINE = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents
+), placed AS (
+  SELECT *, trim(line, chr(9) || chr(11) || chr(12) || chr(13) || ' ') = '' AS blank, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) AS n FROM lines
+)
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE blank OR n = 1), '') AS text FROM placed GROUP BY doc_id
+"""
+
+
+def test_lines_leave_one_copy_of_each_line(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, f"a\n{long}\nb"), (2, f"c\n{long}\nd"), (3, long), (4, "e\na"), (5, "x\n\n\ny")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, SF).collect()}
+    assert got == {1: f"a\n{long}\nb", 2: "c\nd", 3: "", 4: "e", 5: "x\n\n\ny"}
+
+
+def test_lines_equal_sql_of_the_purpose(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, SF).collect()} == dict(con.execute(EVERY_LINE).fetchall())
