@@ -37,7 +37,8 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates), ("source mixing", mixture), ("byte-level BPE", encoding)]
 
-#: Perplexities, similarity components and merges have no SQL: the stages are tested against brute force.
+#: Perplexities, similarity components and merges have no SQL. Tests hold the line and near-duplicate stages against
+#: SQL or listed results (null ids, repeated ids with other texts, repeated rows); no test calls run() as a whole.
 ORACLE_SQL = None
 
 

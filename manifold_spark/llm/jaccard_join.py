@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
@@ -46,6 +46,11 @@ JOINED, TILE = 64, 1024
 PARTNERS = 256
 
 
+def text_key() -> Column:
+    """A hash that tells the texts of one doc_id apart."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -113,7 +118,7 @@ def prefix(s: np.ndarray, percent: int, frequent: tuple[np.ndarray, np.ndarray])
 
 
 def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n, class and the prefix (only with the first document of its class in a task)."""
+    """doc_id, the text's key, n, class and the prefix (only with the first document of its class in a task)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(frequent_shingles(docs, k))
 
@@ -128,9 +133,9 @@ def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 names.append(c)
                 parts.append(prefix(s, percent, shared.value).view(np.int64) if len(s) and c not in seen else None)
                 seen.add(c)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], names=["doc_id", "n", "class", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], names=["doc_id", "key", "n", "class", "prefix"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, class long, prefix array<long>")
+    return _texts(docs).withColumn("key", text_key()).mapInArrow(run, "doc_id long, key long, n long, class long, prefix array<long>")
 
 
 def _slots(rows: DataFrame) -> np.ndarray:
@@ -286,32 +291,54 @@ def links(docs: DataFrame, names: DataFrame, met: DataFrame, k: int, percent: in
     return near.union(verified(materialize(more, "pairs"), docs, first_docs, sets, k, percent))
 
 
-def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) of every document."""
+def _placed(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n, class and key (hash of the text) of every document, and class, first (smallest doc_id) and component of every class with words."""
     spark = docs.sparkSession
     small_batches(spark)
     path = scratch_path(spark, "classes")
     classes(docs, k, percent).write.parquet(path)
     found = spark.read.parquet(path)
-    names = materialize(found.select("doc_id", "n", "class"), "names")
+    names = materialize(found.select("doc_id", "n", "class", "key"), "names")
     met = materialize(meetings(found), "met")
     # the prefixes, a third of the input or more, aren't read again
     discard(spark, path)
     component = connected_components(links(docs, names, met, k, percent)).withColumnRenamed("node", "class")
     first = names.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("first"))
-    placed = first.join(component, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    return names, first.join(component, "class", "left").withColumn("component", F.coalesce("component", "class"))
+
+
+def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) of every document."""
+    names, placed = _placed(docs, k, percent)
+    first = placed.select("class", "first")
     ids = placed.groupBy("component").agg(F.min("first").alias("component_id"))
     by_class = placed.join(ids, "component").select("class", "component_id")
     # most classes have one document: its own id, so only the others are looked up
-    shared = by_class.join(first, "class").where("component_id <> first").select("class", "component_id").union(first.join(names.groupBy("class").count().where("count > 1"), "class").join(by_class, "class").select("class", "component_id"))
+    shared = by_class.join(first, "class").where(~F.col("component_id").eqNullSafe(F.col("first"))).select("class", "component_id").union(first.join(names.groupBy("class").count().where("count > 1"), "class").join(by_class, "class").select("class", "component_id"))
     out = names.join(shared.distinct(), "class", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with one of each group left: that with the smallest doc_id. All columns stay.
+    """The documents with one row of each group left: of the smallest doc_id, null only where there is no other. All columns stay.
 
-    Of repeated rows of that doc_id with similar texts all stay.
+    A row is told by doc_id and text, so other texts of a dropped doc_id stay. Of
+    rows that are alike in both, any one stays. Rows without words all stay.
     """
-    dropped = components(docs, k, percent).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    names, placed = _placed(docs, k, percent)
+    row = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key")
+    members = names.where("n > 0").join(placed.select("class", "component"), "class")
+    # counted for all groups with partial sums, so that a large group isn't ordered in one task
+    groups = members.groupBy("component").agg(F.min(row).alias("stays"), F.count("*").alias("n")).where("n > 1")
+    marked = members.join(groups.select("component", "stays"), "component").select("doc_id", "key", (row == F.col("stays")).alias("stays"))
+    marked = materialize(marked.groupBy("doc_id", "key").agg(F.max("stays").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"), "marked")
+    # null ids are joined as a flag and a number
+    id_ = F.col("doc_id").cast("long")
+    given = docs.select("*", F.coalesce(id_, F.lit(0).cast("long")).alias("_id"), id_.isNull().alias("_null"), text_key().alias("_key"))
+    other = lambda rule: marked.where(rule).select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("_id"), F.col("doc_id").isNull().alias("_null"), F.col("key").alias("_key"))
+    on = ["_id", "_null", "_key"]
+    several = other("stays")
+    once = given.join(other("true"), on, "left_anti")
+    # rows alike in doc_id and text: each task passes on one, then one of all stays
+    of_several = given.join(several, on, "left_semi").dropDuplicates(on)
+    return once.select(docs.columns).union(of_several.select(docs.columns))

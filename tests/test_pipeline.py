@@ -1,6 +1,7 @@
 import duckdb
 
 import corpus_pipeline
+from manifold_spark.llm import jaccard_join
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,3 +28,18 @@ def test_lines_equal_sql_of_the_purpose(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
     assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, SF).collect()} == dict(con.execute(EVERY_LINE).fetchall())
+
+
+def test_one_of_each_group_stays(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join(base[:-1] + ["z"])
+    text, other, third = " ".join(base), "one text of its own that nobody else has", "alpha beta gamma delta epsilon zeta"
+    rows = [(1, text), (1, text), (5, near), (5, other), (None, near), (None, text), (None, third), (None, third), (None, third), (7, third.upper()), (8, None), (9, ""), (9, ""), (None, "left " * 9 + "alone"), (None, "left " * 9 + "alone")]
+    docs = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, place int").repartition(4)
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(1, text), (5, other), (7, third.upper()), (8, None), (9, ""), (9, ""), (None, "left " * 9 + "alone")], key=str)
+    # a null id is placed with its group, also where no other row has its very text
+    ids = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.components(spark.createDataFrame([(4, text), (None, near)], "doc_id long, text string")).collect()}
+    assert ids == {(4, 56, 4), (None, 56, 4)}
