@@ -1,20 +1,21 @@
 """Quality rules: base counts of a text and bands of n-gram perplexity by language.
 
 The model is a modified Kneser-Ney model of order 4 over characters folded into
-40 symbols, one a language. Spark counts the 4-grams of all texts (a task counts
-in numpy and passes on sums), each language's table has at most 40**4 entries, and
+40 symbols, one a language. Spark counts the 4-grams of all texts, each distinct
+text of a language once (a task counts in numpy and passes on sums), each language's table has at most 40**4 entries, and
 the probabilities are stored as arrays of sorted 64-bit n-gram hashes. The
 ``max_languages`` most frequent languages have a model of their own; the rest,
 and null, share one, so what is broadcast is bounded.
 
-A text's perplexity is compared with the quartiles of its language over all texts
-that pass the base rules: it is rejected where its logarithm lies beyond the
-median by more than ``spread`` times the distance of median and quartile on that
-side, plus ``slack / sqrt(n_chars)``, as short texts scatter more.
+A text's perplexity is compared with the quartiles of its language over the
+distinct texts that pass the base rules, so that copies don't narrow the band: it
+is rejected where its logarithm lies beyond the median by more than ``spread``
+times the distance of median and quartile on that side (``LEAST_WIDTH`` at least),
+plus ``slack / sqrt(n_chars)``, as short texts scatter more.
 
 Nulls: a null text has no words and fails. A text in a language without enough
-passing texts (``least_texts``) is judged by the base rules alone. Repeated rows
-count and are judged each for itself. ``annotate`` keeps the columns of its input
+distinct passing texts (``least_texts``) is judged by the base rules alone. Repeated rows
+are judged each for itself. ``annotate`` keeps the columns of its input
 except those that clash with its own.
 """
 
@@ -35,6 +36,8 @@ from .words import mix, word_hashes, windows
 
 V, ORDER = 40, 4
 OTHER = "*other*"
+#: Least distance of median and quartile of the log-perplexity that a band is made with.
+LEAST_WIDTH = 0.02
 _EDGE = re.compile("[\x20\x09-\x0d]")
 
 
@@ -220,7 +223,7 @@ def fit_models(docs: DataFrame, max_languages: int = 24) -> tuple[list[str], dic
         model = build_model(pdf["gram"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64))
         return pd.DataFrame([{"lang": pdf["lang"].iloc[0], "k": k, **{f"x{i}": x.tobytes() for i, x in enumerate(parts)}} for k, parts in model.items()])
 
-    counted = _with_language(docs, languages).select("_lang", F.col("text").cast("string").alias("text")).mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = _with_language(docs, languages).select("_lang", F.col("text").cast("string").alias("text")).where("text <> ''").distinct().mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rows = materialize(counted.groupBy("lang").applyInPandas(build, "lang string, k int, x0 binary, x1 binary, x2 binary, x3 binary"), "models").toArrow().to_pylist()
     models: dict[str, dict] = {}
     for r in rows:
@@ -267,10 +270,10 @@ def _judged(docs: DataFrame, spread: float, slack: float, least_texts: int) -> t
     shared = docs.sparkSession.sparkContext.broadcast(models)
     rules = Rules(shared, {}, id(shared), spread, slack)
     columns = [*dict.fromkeys([c for c in ("doc_id",) if c in docs.columns])]
-    scored = materialize(_with_language(annotate(docs.select(*columns, "text", "lang"), languages, rules), languages).withColumn("n_chars", F.char_length("text")).drop("text", "lang"), "scores")
-    ok = scored.where("not base_failed and log_perplexity is not null")
+    scored = materialize(_with_language(annotate(docs.select(*columns, "text", "lang"), languages, rules), languages).withColumn("n_chars", F.char_length("text")).withColumn("_hash", F.xxhash64("text")).drop("text", "lang"), "scores")
+    ok = scored.where("not base_failed and log_perplexity is not null").groupBy("_lang", "_hash").agg(F.first("log_perplexity").alias("log_perplexity"))
     q = ok.groupBy("_lang").agg(F.count("*").alias("n"), F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], F.lit(100_000)).alias("q")).where(F.col("n") >= least_texts).collect()
-    rules.bands = {r["_lang"]: (r.q[1], r.q[1] - r.q[0], r.q[2] - r.q[1]) for r in q}
+    rules.bands = {r["_lang"]: (r.q[1], max(r.q[1] - r.q[0], LEAST_WIDTH), max(r.q[2] - r.q[1], LEAST_WIDTH)) for r in q}
     return languages, rules, scored
 
 
