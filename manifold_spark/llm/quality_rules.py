@@ -1,81 +1,56 @@
 """Quality rules: base counts of a text and bands of n-gram perplexity by language.
 
-The model is a modified Kneser-Ney model of order 4 over characters folded into
-40 symbols, one a language. Spark counts the 4-grams of all texts, each distinct
-text of a language once (a task counts in numpy and passes on sums), each language's table has at most 40**4 entries, and
-the probabilities are stored as arrays of sorted 64-bit n-gram hashes. The
-``max_languages`` most frequent languages have a model of their own; the rest,
-and null, share one, so what is broadcast is bounded.
-
-A text's perplexity is compared with the quartiles of its language over the
-distinct texts that pass the base rules, so that copies don't narrow the band: it
-is rejected where its logarithm lies beyond the median by more than ``spread``
-times the distance of median and quartile on that side (``LEAST_WIDTH`` at least),
-plus ``slack / sqrt(n_chars)``, as short texts scatter more.
-
-Nulls: a null text has no words and fails. A text in a language without enough
-distinct passing texts (``least_texts``) is judged by the base rules alone. Repeated rows
-are judged each for itself. ``annotate`` keeps the columns of its input
-except those that clash with its own.
+The model is an interpolated modified Kneser-Ney model of order ``order`` over
+the characters (code points, none folded) of each language. Spark counts the
+n-grams of all texts, each distinct text of a language once: a task passes on
+sums, and continuation counts, discounts and back-off weights are joins and
+windows over the n-grams. The model is stored as sorted arrays of 64-bit n-gram
+hashes with their log-probabilities, those of back-off weights beside them.
+
+A model of at most ``MODEL_ENTRIES`` is broadcast. A larger one stays a table:
+distinct texts are dealt into groups of bounded size, each group asks for the
+n-grams that it holds, and gets them back as sorted arrays of its own.
+
+A text's log-perplexity is compared with the exact quartiles of its language,
+over the distinct texts that pass the base rules, in steps of 0.0001. It is
+rejected beyond the median by more than ``spread`` times the distance of median
+and quartile on that side, plus ``slack / sqrt(n_chars)``, as short texts scatter
+more. With n texts in a language that distance is averaged with all languages'
+(weights n and ``PRIOR``) and widened by ``1 + PRIOR / n``, so a language with few
+texts has a wide band and no language is without one.
+
+Nulls: a null text has no words and fails. A null language is a language of its
+own. Repeated rows are judged each for itself. Other columns, whatever their
+names, are kept by ``keep_good`` and ignored by ``judge``. An empty table gives
+an empty one.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize, small_batches
-from .words import mix, word_hashes, windows
-
-V, ORDER = 40, 4
-OTHER = "*other*"
-#: Least distance of median and quartile of the log-perplexity that a band is made with.
-LEAST_WIDTH = 0.02
-_EDGE = re.compile("[\x20\x09-\x0d]")
-
-
-def _symbol_table() -> np.ndarray:
-    """Symbol of each code point below 1024; the last entry is for all above."""
-    out = np.empty(1025, np.uint8)
-    for c in range(1024):
-        ch = chr(c)
-        low = ch.lower()
-        if ch in " \t\r\x0b\x0c":
-            out[c] = 0
-        elif "a" <= low <= "z" and len(low) == 1:
-            out[c] = ord(low) - 96
-        elif ch == "\n":
-            out[c] = 27
-        elif ch.isdigit():
-            out[c] = 28
-        elif ch in "#*$%&|<>":
-            out[c] = 29
-        elif ch in "!?":
-            out[c] = 30
-        elif c < 128:
-            out[c] = 31
-        elif ch.isalpha():
-            out[c] = 32 + ord(low[0]) % 7
-        else:
-            out[c] = 39
-    out[1024] = 39
-    return out
+from ..session import join_counted, materialize, packed, small_batches, unpacked
+from .copies import DistinctTexts
+from .words import mix, windows, word_hashes
 
+ORDER = 5
+#: Entries (12 bytes each) up to which a model is broadcast, and characters in a group of texts beyond that.
+MODEL_ENTRIES, GROUP_CHARS = 4_000_000, 16_000_000
+#: Characters that are worked on at once, and n-grams that a task holds before it passes them on.
+PIECE, HELD = 1 << 20, 1_000_000
+#: Least distance of median and quartile of the log-perplexity, and texts that the average over languages counts for.
+LEAST_WIDTH, PRIOR = 0.01, 20.0
+_R, _TAG = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: What an entry of order k is: a gram, a context with its back-off weight, and the chance of a symbol never seen.
+_CONTEXT, _UNIFORM = 16, 32
 
-_SYMBOLS = _symbol_table()
 
-
-def codes(text: str) -> np.ndarray:
-    """The 4-gram code of every character with the three before it; three spaces stand before the text."""
-    s = _SYMBOLS[np.minimum(np.frombuffer(("   " + text).encode("utf-32-le", "replace"), np.uint32), 1024)].astype(np.int32)
-    return ((s[:-3] * V + s[1:-2]) * V + s[2:-1]) * V + s[3:]
+# base counts --------------------------------------------------------------------
 
 
 def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
@@ -83,8 +58,7 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     if not text:
         return 0, 0, 0, 0, 0
     data = text.encode("utf-8", "replace")
-    words = data.split()
-    n = len(words)
+    n = len(data.split())
     chars = len(text) - sum(text.count(c) for c in " \t\n\x0b\x0c\r")
     symbols = sum(text.count(c) for c in "#*$%&|<>")
     lines = [x for x in text.split("\n") if x.strip(" \t\x0b\x0c\r")]
@@ -107,188 +81,333 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
     return n_words < 10 or 100 * n_repeat_words > 20 * n_words
 
 
-def _log_levels(grams: np.ndarray, counts: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One order of the model: probabilities of ``grams`` given the lower order's, and contexts with their back-off weights."""
-    n = [int((counts == i).sum()) for i in (1, 2, 3, 4)]
-    y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
-    d = [0.0, *(min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.05), i - 0.01) if n[i - 1] and n[i] else (0.5, 1.0, 1.5)[i - 1] for i in (1, 2, 3))]
-    discount = np.array(d)[np.minimum(counts, 3)]
-    context, at = np.unique(grams // V, return_inverse=True)
-    total = np.bincount(at, weights=counts)
-    back = np.bincount(at, weights=discount) / total
-    return (counts - discount) / total[at] + back[at] * lower, context, back
-
-
-def build_model(grams: np.ndarray, counts: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Order -> sorted gram hashes, log-probabilities, sorted context hashes, log back-off weights."""
-    order = np.argsort(grams)
-    tables = {ORDER: (grams[order], counts[order])}
-    for k in range(ORDER - 1, 0, -1):  # how many different symbols stand before a gram of order k
-        tables[k] = np.unique(tables[k + 1][0] % V**k, return_counts=True)
-    model, below = {}, np.full(V, 1 / V)
-    for k in range(1, ORDER + 1):
-        g, c = tables[k]
-        p, context, back = _log_levels(g, c, below[g % V ** max(k - 1, 1)])
-        model[k] = (g, p, context, back)
-        if k < ORDER:  # probabilities of all grams of this order, for the next
-            full = np.ones(V ** (k - 1))
-            full[context] = back
-            below = np.repeat(full, V) * np.tile(below, V if k > 1 else 1) if k > 1 else np.full(V, float(back[0])) * below
-            below[g] = p
-    hashed = {}
-    for k, (g, p, context, back) in model.items():
-        gh, ch = mix(g.astype(np.uint64) + np.uint64(k << 40)), mix(context.astype(np.uint64) + np.uint64(k << 48))
-        a, b = np.argsort(gh), np.argsort(ch)
-        hashed[k] = gh[a], np.log(p[a]).astype(np.float32), ch[b], np.log(back[b]).astype(np.float32)
-    return hashed
-
-
-def log_probabilities(model, grams: np.ndarray) -> np.ndarray:
-    """Log-probability of the last symbol of each 4-gram, by back-off through the sorted arrays."""
-    out, open_ = np.zeros(len(grams), np.float32), np.arange(len(grams))
-    for k in range(ORDER, 0, -1):
-        gh, p, ch, back = model[k]
-        g = grams[open_] % V**k
-        h = mix(g.astype(np.uint64) + np.uint64(k << 40))
-        at = np.minimum(np.searchsorted(gh, h), len(gh) - 1)
-        hit = gh[at] == h
-        out[open_[hit]] += p[at[hit]]
-        open_, g = open_[~hit], g[~hit]
-        if not len(open_):
-            return out
-        h = mix((g // V).astype(np.uint64) + np.uint64(k << 48))
-        at = np.minimum(np.searchsorted(ch, h), len(ch) - 1)
-        out[open_] += np.where(ch[at] == h, back[at], np.float32(0))
-    out[open_] -= np.float32(np.log(V))
-    return out
+# n-grams of texts ---------------------------------------------------------------
 
 
-@dataclass
-class Rules:
-    """Fitted models by language (packed), and bands of the log-perplexity by language: median, low, high distance."""
+def pieces(texts: list[str], order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Code points of about PIECE characters, each part behind the ``order - 1`` before it (spaces before a text), where parts start, and whose they are."""
+    held, owner, size = [], [], 0
+    for i, text in enumerate(texts):
+        for at in range(0, len(text), PIECE):
+            before = text[at - order + 1 : at] if at else " " * (order - 1)
+            held.append(before + text[at : at + PIECE])
+            owner.append(i)
+            size += len(held[-1])
+            if size >= PIECE:
+                yield _points(held, owner)
+                held, owner, size = [], [], 0
+    if held:
+        yield _points(held, owner)
 
-    models: object  # broadcast of {lang: model}
-    bands: dict[str, tuple[float, float, float]]
-    key: int
-    spread: float
-    slack: float
 
+def _points(held: list[str], owner: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    starts = np.cumsum([0, *map(len, held)])[:-1]
+    return np.frombuffer("".join(held).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64), starts, np.array(owner)
 
-_dense: dict = {}
 
+def _poly(s: np.ndarray, end: np.ndarray, k: int) -> np.ndarray:
+    """The unmixed hash of the ``k`` symbols that end at each place."""
+    h = np.zeros(len(end), np.uint64)
+    for j in range(k - 1, -1, -1):
+        h = h * _R + s[end - j]
+    return h
 
-def _table(models: dict, key: int, lang: str) -> np.ndarray | None:
-    """A language's log-probabilities of all 4-grams, looked up once a worker process."""
-    if lang not in models:
-        return None
-    if (key, lang) not in _dense:
-        if len(_dense) >= 8:
-            _dense.pop(next(iter(_dense)))
-        _dense[key, lang] = log_probabilities(models[lang], np.arange(V**ORDER))
-    return _dense[key, lang]
 
+def _tagged(h: np.ndarray, tag: int) -> np.ndarray:
+    return mix(h + np.full(1, tag, np.uint64) * _TAG)
 
-def _with_language(docs: DataFrame, languages: list[str]) -> DataFrame:
-    known = F.col("lang").cast("string")
-    return docs.withColumn("_lang", F.when(known.isin(languages), known).otherwise(F.lit(OTHER)) if languages else F.lit(OTHER))
 
+def _whole(s: np.ndarray, order: int) -> np.ndarray:
+    """The unmixed hash of every gram of ``order`` symbols."""
+    h = np.zeros(max(len(s) - order + 1, 0), np.uint64)
+    for j in range(order):
+        h = h * _R + s[j : len(h) + j]
+    return h
+
+
+def count_grams(texts: DistinctTexts, order: int) -> DataFrame:
+    """lang, gram (a string of ``order`` characters) and n, over every distinct text."""
+
+    def merged(parts):
+        h, n, s = (np.concatenate(x) for x in zip(*parts, strict=True))
+        key, first, at = np.unique(h, return_index=True, return_inverse=True)
+        return key, np.bincount(at, weights=n).astype(np.int64), s[first]
+
+    def emit(held):
+        for lang, parts in held.items():
+            _, n, s = merged(parts)
+            for at in range(0, len(n), 100_000):
+                text = s[at : at + 100_000].astype("<u4").tobytes().decode("utf-32-le", "replace")
+                grams = pa.array([text[i : i + order] for i in range(0, len(text), order)], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), grams, pa.array(n[at : at + 100_000])], names=["lang", "gram", "n"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, pending = {}, 0
+        for b in batches:
+            for lang, texts in by_language(b).items():
+                for s, starts, _ in pieces([t for _, t in texts], order):
+                    h = _whole(s, order)
+                    inside = np.ones(len(h), bool)
+                    # grams that reach into the next part end in the characters before it
+                    for j in range(1, order):
+                        inside[starts[1:] - j] = False
+                    at = np.flatnonzero(inside)
+                    key, first, n = np.unique(h[at], return_index=True, return_counts=True)
+                    place = at[first][:, None] + np.arange(order)
+                    held.setdefault(lang, []).append((key, n, s[place].astype(np.uint32)))
+                    pending += len(key)
+            if pending > HELD:
+                held = {lang: [merged(parts)] for lang, parts in held.items()}
+                pending = sum(len(parts[0][0]) for parts in held.values())
+                if pending > HELD // 2:
+                    yield from emit(held)
+                    held, pending = {}, 0
+        yield from emit(held)
+
+    return texts.each(work, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def by_language(b: pa.RecordBatch) -> dict[str, list[tuple[int, str]]]:
+    """Place and text of the rows with a text, by language."""
+    out: dict[str, list[tuple[int, str]]] = {}
+    for i, (lang, text) in enumerate(zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True)):
+        if text:
+            out.setdefault(lang, []).append((i, text))
+    return out
 
-def fit_models(docs: DataFrame, max_languages: int = 24) -> tuple[list[str], dict]:
-    """The languages with a model of their own, and the models."""
-    spark = docs.sparkSession
-    top = docs.where("lang is not null and text is not null").groupBy(F.col("lang").cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    languages = [r.lang for r in top]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[np.ndarray]] = {}
-        size = 0
+# the model ------------------------------------------------------------------------
+
+
+def kneser_ney(counted: DataFrame, order: int) -> DataFrame:
+    """lang and gram of the highest order, with p1, p2, ... of its last 1, 2, ... symbols, b1, b2, ... of the contexts of these, and u.
+
+    Every gram of a lower order is the end of one of the highest, so these rows hold the whole model.
+    """
+    level = {order: counted}
+    for k in range(order - 1, 0, -1):  # how many different symbols stand before a gram of order k
+        level[k] = level[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n"))
+    lower = None
+    for k in range(1, order + 1):
+        few = [F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]
+        y = F.when((F.col("n1") > 0) & (F.col("n2") > 0), F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
+        sizes = level[k].groupBy("lang").agg(*few, F.count("*").alias("symbols")).withColumn("y", y)
+        for i, usual in ((1, 0.5), (2, 1.0), (3, 1.5)):
+            d = i - (i + 1) * F.col("y") * F.col(f"n{i + 1}") / F.col(f"n{i}")
+            sizes = sizes.withColumn(f"d{i}", F.when((F.col(f"n{i}") > 0) & (F.col(f"n{i + 1}") > 0), F.least(F.greatest(d, F.lit(0.05)), F.lit(i - 0.01))).otherwise(usual))
+        discount = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        rows = level[k].join(sizes, "lang").select("lang", "gram", "n", "symbols", discount.alias("d"), F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("suffix"))
+        # a context has no more rows than the language has symbols
+        w = Window.partitionBy("lang", "context")
+        rows = rows.withColumn("total", F.sum("n").over(w)).withColumn(f"b{k}", F.sum("d").over(w) / F.col("total"))
+        known = [f"{x}{j}" for j in range(1, k) for x in "pb"]
+        if lower is None:
+            rows = rows.withColumn("u", 1 / (F.col("symbols") + 1)).withColumn("below", F.col("u"))
+        else:
+            rows = rows.join(lower.select("lang", F.col("gram").alias("suffix"), F.col(f"p{k - 1}").alias("below"), "u", *known), ["lang", "suffix"])
+        p = (F.col("n") - F.col("d")) / F.col("total") + F.col(f"b{k}") * F.col("below")
+        lower = rows.select("lang", "gram", "u", *known, p.alias(f"p{k}"), f"b{k}")
+    return lower
+
 
-        def flush():
-            for lang, parts in held.items():
-                c = np.bincount(np.concatenate(parts), minlength=1)
-                g = np.flatnonzero(c)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g)), pa.array(g, pa.int32()), pa.array(c[g], pa.int64())], names=["lang", "gram", "n"])
+def hashed(model: DataFrame, order: int) -> DataFrame:
+    """lang, key and value: each gram with its log-probability and each context with its log back-off weight, by their hashes."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lang, text in zip(b.column("_lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if text:
-                    held.setdefault(lang, []).append(codes(text))
-                    size += len(text)
-            if size > 8_000_000:
-                yield from flush()
-                held, size = {}, 0
-        yield from flush()
+            langs = b.column("lang").dictionary_encode()
+            code, logs = langs.indices.to_numpy(), {c: np.log(b.column(c).to_numpy()) for c in b.schema.names if c not in ("lang", "gram")}
+            every = np.frombuffer("".join(b.column("gram").to_pylist()).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+            for i, lang in enumerate(langs.dictionary.to_pylist()):
+                rows = np.flatnonzero(code == i)
+                end = rows * order + order - 1
+                keys, values = [np.full(1, _uniform())], [logs["u"][rows[:1]]]
+                for k in range(1, order + 1):
+                    keys += [_tagged(_poly(every, end, k), k), _tagged(_poly(every, end - 1, k - 1), _CONTEXT + k)]
+                    values += [logs[f"p{k}"][rows], logs[f"b{k}"][rows]]
+                key, first = np.unique(np.concatenate(keys), return_index=True)
+                value = np.concatenate(values)[first].astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key)), pa.array(key.view(np.int64)), pa.array(value)], names=["lang", "key", "value"])
+
+    return model.mapInArrow(run, "lang string, key long, value float").groupBy("lang", "key").agg(F.first("value").alias("value"))
+
+
+def _uniform() -> np.uint64:
+    return _tagged(np.zeros(1, np.uint64), _UNIFORM)[0]
+
+
+class SortedHashes:
+    """Values by 64-bit hash: sorted keys, and where the keys with given leading bits start."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        bits = max(1, len(keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.keys = np.append(keys[order], ~np.uint64(0))
+        self.values = np.append(values[order], np.float32(0))
+        self.starts = np.searchsorted(self.keys[:-1], np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values (0 where there is none) and whether there is one."""
+        at = self.starts[(wanted >> self.shift).astype(np.int64)].astype(np.int64)
+        behind = np.flatnonzero(self.keys[at] < wanted)
+        while len(behind):
+            at[behind] += 1
+            behind = behind[self.keys[at[behind]] < wanted[behind]]
+        found = self.keys[at] == wanted
+        return np.where(found, self.values[at], np.float32(0)), found
+
+
+def log_probabilities(table: SortedHashes, s: np.ndarray, order: int) -> np.ndarray:
+    """Log-probability of each symbol from place ``order - 1`` on, by back-off through the sorted hashes."""
+    out, found = table.find(_tagged(_whole(s, order), order))
+    open_ = np.flatnonzero(~found)
+    for k in range(order, 0, -1):
+        if k < order:
+            value, found = table.find(_tagged(_poly(s, open_ + order - 1, k), k))
+            out[open_] += value
+            open_ = open_[~found]
+        if not len(open_):
+            return out
+        value, _ = table.find(_tagged(_poly(s, open_ + order - 2, k - 1), _CONTEXT + k))
+        out[open_] += value
+    value, _ = table.find(np.full(1, _uniform()))
+    out[open_] += value[0]
+    return out
+
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        model = build_model(pdf["gram"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64))
-        return pd.DataFrame([{"lang": pdf["lang"].iloc[0], "k": k, **{f"x{i}": x.tobytes() for i, x in enumerate(parts)}} for k, parts in model.items()])
+def log_perplexities(table: SortedHashes, texts: list[str], order: int) -> np.ndarray:
+    """Mean negative log-probability of each (non-empty) text's characters."""
+    total = np.zeros(len(texts))
+    for s, starts, owner in pieces(texts, order):
+        p = np.concatenate((np.zeros(order - 1), log_probabilities(table, s, order)))
+        for j in range(order - 1):
+            p[starts + j] = 0
+        np.add.at(total, owner, np.add.reduceat(p, starts))
+    return -total / np.maximum([len(t) for t in texts], 1)
 
-    counted = _with_language(docs, languages).select("_lang", F.col("text").cast("string").alias("text")).where("text <> ''").distinct().mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rows = materialize(counted.groupBy("lang").applyInPandas(build, "lang string, k int, x0 binary, x1 binary, x2 binary, x3 binary"), "models").toArrow().to_pylist()
-    models: dict[str, dict] = {}
-    for r in rows:
-        models.setdefault(r["lang"], {})[r["k"]] = tuple(np.frombuffer(r[f"x{i}"], t) for i, t in enumerate((np.uint64, np.float32, np.uint64, np.float32)))
-    return languages, models
 
+# judging ----------------------------------------------------------------------------
 
-COLUMNS = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "log_perplexity": "double", "kept": "boolean"}
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def annotate(docs: DataFrame, languages: list[str], rules: Rules, drop: bool = False) -> DataFrame:
-    """The base counts, the log-perplexity and the verdict beside each row; ``drop``: only kept rows, as they are."""
-    keep = [c for c in docs.columns if c not in COLUMNS or drop]
-    given = _with_language(docs.withColumn("_text", F.col("text").cast("string")), languages).select(*keep, "_text", "_lang")
-    shared, bands, key, spread, slack = rules.models, rules.bands, rules.key, rules.spread, rules.slack
+def _given(docs: DataFrame, row: Column) -> DataFrame:
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("(null)")) if "lang" in docs.columns else F.lit("(null)")
+    text = F.col("text").cast("string")
+    return docs.select(row, lang.alias("lang"), text.alias("text"), F.xxhash64(lang, text).alias("text_key"))
+
+
+def _measured(given: DataFrame, tables: dict[str, SortedHashes] | None, order: int) -> DataFrame:
+    """row, lang, text_key, n_chars, the base counts, base_failed and log_perplexity (null without tables)."""
+    shared = given.sparkSession.sparkContext.broadcast(tables)
+    kept = ["row", "lang", "text_key", "n_chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: dict[str, list] = {c: [] for c in COLUMNS}
-            for lang, text in zip(b.column("_lang").to_pylist(), b.column("_text").to_pylist(), strict=True):
-                counts = base_counts(text)
-                failed = base_failed(counts[0], counts[4])
-                table = _table(shared.value, key, lang) if counts[0] else None
-                log_p = -float(table[codes(text)].mean(dtype=np.float64)) if table is not None else None
-                kept = not failed
-                if kept and lang in bands and log_p is not None:
-                    median, low, high = bands[lang]
-                    room = slack / len(text) ** 0.5
-                    kept = median - spread * low - room <= log_p <= median + spread * high + room
-                for c, x in zip(COLUMNS, (*counts, failed, log_p, kept), strict=True):
-                    found[c].append(x)
-            if drop:
-                yield pa.RecordBatch.from_arrays([b.column(c) for c in keep], names=keep).filter(pa.array(found["kept"], pa.bool_()))
-            else:
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(found[c], {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[t]) for c, t in COLUMNS.items())], names=[*keep, *COLUMNS])
-
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name in keep]
-    return given.mapInArrow(run, ", ".join(fields if drop else [*fields, *(f"{c} {t}" for c, t in COLUMNS.items())]))
-
-
-def _judged(docs: DataFrame, spread: float, slack: float, least_texts: int) -> tuple[list[str], Rules, DataFrame]:
-    small_batches(docs.sparkSession)
-    languages, models = fit_models(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-    rules = Rules(shared, {}, id(shared), spread, slack)
-    columns = [*dict.fromkeys([c for c in ("doc_id",) if c in docs.columns])]
-    scored = materialize(_with_language(annotate(docs.select(*columns, "text", "lang"), languages, rules), languages).withColumn("n_chars", F.char_length("text")).withColumn("_hash", F.xxhash64("text")).drop("text", "lang"), "scores")
-    ok = scored.where("not base_failed and log_perplexity is not null").groupBy("_lang", "_hash").agg(F.first("log_perplexity").alias("log_perplexity"))
-    q = ok.groupBy("_lang").agg(F.count("*").alias("n"), F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], F.lit(100_000)).alias("q")).where(F.col("n") >= least_texts).collect()
-    rules.bands = {r["_lang"]: (r.q[1], max(r.q[1] - r.q[0], LEAST_WIDTH), max(r.q[2] - r.q[1], LEAST_WIDTH)) for r in q}
-    return languages, rules, scored
-
-
-def judge(docs: DataFrame, spread: float = 5.0, slack: float = 2.5, least_texts: int = 50) -> DataFrame:
-    """doc_id, the base counts, log_perplexity and kept of every document."""
-    _, rules, scored = _judged(docs, spread, slack, least_texts)
-    verdict = F.lit(True)
-    for lang, (median, low, high) in rules.bands.items():
-        room = F.lit(slack) / F.sqrt(F.col("n_chars"))
-        inside = (F.lit(median - spread * low) - room <= F.col("log_perplexity")) & (F.col("log_perplexity") <= F.lit(median + spread * high) + room)
-        verdict = F.when(F.col("_lang") == lang, inside).otherwise(verdict)
-    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(verdict, F.lit(True))).alias("kept"), "log_perplexity")
-
-
-def keep_good(docs: DataFrame, spread: float = 5.0, slack: float = 2.5, least_texts: int = 50) -> DataFrame:
-    """The documents that pass, with their columns."""
-    languages, rules, _ = _judged(docs, spread, slack, least_texts)
-    return annotate(docs, languages, rules, drop=True).select(docs.columns)
+            counts = [base_counts(t) for t in b.column("text").to_pylist()]
+            failed = [base_failed(c[0], c[4]) for c in counts]
+            value = np.full(b.num_rows, np.nan)
+            for lang, texts in by_language(b).items() if shared.value is not None else ():
+                if lang in shared.value:
+                    value[[i for i, _ in texts]] = log_perplexities(shared.value[lang], [t for _, t in texts], order)
+            columns = [pa.array(x, pa.int64()) for x in zip(*counts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *columns, pa.array(failed, pa.bool_()), pa.array(value, mask=np.isnan(value))], names=[*kept, *COUNTS, "base_failed", "log_perplexity"])
+
+    given = given.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
+    schema = given.select("row", "lang", "text_key", "n_chars").schema
+    for c in COUNTS:
+        schema = schema.add(c, "long")
+    return given.mapInArrow(run, schema.add("base_failed", "boolean").add("log_perplexity", "double"))
+
+
+def _by_groups(texts: DistinctTexts, model: DataFrame, order: int, groups: int) -> DataFrame:
+    """text_key and log_perplexity of every distinct text, for a model that is too large for a broadcast."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("text"), b.column("text_key")], names=["lang", "text", "text_key"])
+
+    placed = texts.each(keep, "lang string, text string, text_key long").withColumn("group", F.pmod("text_key", F.lit(groups)).cast("int"))
+    placed = materialize(placed, "grouped-texts")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for group in np.unique(b.column("group").to_numpy()):
+                part = b.filter(pa.array(b.column("group").to_numpy() == group))
+                for lang, found in by_language(part).items():
+                    keys = [np.full(1, _uniform())]
+                    for s, _, _ in pieces([t for _, t in found], order):
+                        end = np.arange(order - 1, len(s))
+                        for k in range(1, order + 1):
+                            keys += [np.unique(_tagged(_poly(s, end, k), k)), np.unique(_tagged(_poly(s, end - 1, k - 1), _CONTEXT + k))]
+                    key = np.unique(np.concatenate(keys))
+                    yield pa.RecordBatch.from_arrays([pa.array([int(group)] * len(key), pa.int32()), pa.array([lang] * len(key)), pa.array(key.view(np.int64))], names=["group", "lang", "key"])
+
+    def answer(texts: pa.Table, entries: pa.Table) -> pa.Table:
+        lang, out = np.array(entries.column("lang").to_pylist(), object), []
+        key, value = entries.column("key").to_numpy().view(np.uint64), entries.column("value").to_numpy()
+        for b in texts.combine_chunks().to_batches():
+            for name, found in by_language(b).items():
+                table = SortedHashes(key[lang == name], value[lang == name])
+                out.append(pa.table({"text_key": b.column("text_key").take(pa.array([i for i, _ in found])), "log_perplexity": log_perplexities(table, [t for _, t in found], order)}))
+        return pa.concat_tables(out) if out else pa.table({"text_key": pa.array([], pa.int64()), "log_perplexity": pa.array([], pa.float64())})
+
+    asked = placed.mapInArrow(ask, "group int, lang string, key long").distinct()
+    answers = asked.join(model, ["lang", "key"]).select("group", "lang", "key", "value")
+    return placed.groupBy("group").cogroup(answers.groupBy("group")).applyInArrow(answer, "text_key long, log_perplexity double")
+
+
+def scored(docs: DataFrame, row: Column, order: int = ORDER) -> DataFrame:
+    """row (as given), lang, text_key, n_chars, base counts, base_failed and log_perplexity of every document."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    given = _given(docs, row)
+    texts = DistinctTexts(given.where("text <> ''"), ["lang"])
+    counted = materialize(count_grams(texts, order), "grams")
+    model = materialize(hashed(kneser_ney(counted, order), order), "model")
+    if model.count() <= MODEL_ENTRIES:
+        entries = model.toArrow()
+        lang = entries.column("lang").combine_chunks().dictionary_encode()
+        code, key, value = lang.indices.to_numpy(), entries.column("key").to_numpy().view(np.uint64), entries.column("value").to_numpy()
+        tables = {name: SortedHashes(key[code == i], value[code == i]) for i, name in enumerate(lang.dictionary.to_pylist())}
+        return materialize(_measured(given, tables, order), "scores")
+    chars = given.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    found = materialize(_by_groups(texts, model, order, int(chars // GROUP_CHARS) + 1), "perplexities")
+    copies = given.where("text <> ''").groupBy("text_key").agg(F.count("*").alias("n"))
+    found = materialize(found.join(copies, "text_key"), "perplexities")
+    counted = materialize(_measured(given, None, order).drop("log_perplexity"), "counts")
+    rest = counted.where("n_chars = 0").withColumn("log_perplexity", F.lit(None).cast("double"))
+    return materialize(join_counted(counted.where("n_chars > 0"), found, ["text_key"]).drop("n").unionByName(rest), "scores")
+
+
+def with_verdict(scores: DataFrame, spread: float, slack: float) -> DataFrame:
+    """The scores with ``kept``."""
+    ok = scores.where("not base_failed and log_perplexity is not null").groupBy("lang", "text_key").agg(F.first("log_perplexity").alias("x"))
+    bins = ok.groupBy("lang", F.round("x", 4).alias("x")).agg(F.count("*").alias("n"))
+    q = bins.groupBy("lang").agg(F.sum("n").alias("texts"), F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n")).alias("q"))
+    q = materialize(q.select(F.col("lang").alias("of"), "texts", F.col("q")[1].alias("median"), (F.col("q")[1] - F.col("q")[0]).alias("low"), (F.col("q")[2] - F.col("q")[1]).alias("high")), "bands")
+    usual = q.agg(*(F.sum(F.col("texts") * F.col(c)) / F.sum("texts") for c in ("low", "high"))).first()
+    n = F.col("texts")
+
+    def width(c: str, average: float | None) -> Column:
+        mean = (n * F.col(c) + PRIOR * (average or 0.0)) / (n + PRIOR)
+        return spread * F.greatest(mean, F.lit(LEAST_WIDTH)) * (1 + PRIOR / n)
+
+    bands = q.select("of", (F.col("median") - width("low", usual[0])).alias("least"), (F.col("median") + width("high", usual[1])).alias("most"))
+    room = slack / F.sqrt(F.greatest("n_chars", F.lit(1)))
+    inside = (F.col("log_perplexity") >= F.col("least") - room) & (F.col("log_perplexity") <= F.col("most") + room)
+    joined = scores.join(bands, scores["lang"] == bands["of"], "left")
+    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).drop("of", "least", "most")
+
+
+def judge(docs: DataFrame, spread: float = 4.0, slack: float = 1.5, order: int = ORDER) -> DataFrame:
+    """doc_id, the base counts, base_failed, kept and log_perplexity of every document."""
+    found = with_verdict(scored(docs, F.struct("doc_id").alias("row"), order), spread, slack)
+    return found.select("row.doc_id", *COUNTS, "base_failed", "kept", "log_perplexity")
+
+
+def keep_good(docs: DataFrame, spread: float = 4.0, slack: float = 1.5, order: int = ORDER) -> DataFrame:
+    """The documents that pass, with their columns: scored once, and filtered as they were written."""
+    found = with_verdict(scored(docs, packed(docs), order), spread, slack)
+    return unpacked(found.where("kept"), docs.columns)
