@@ -30,11 +30,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from ..session import discard, materialize, scratch_path, small_batches
+from ..session import discard, join_counted, materialize, packed, scratch_path, small_batches, unpacked
 from .words import distinct, mix, repeated, shingles
 
 BITS = 1024
@@ -227,12 +227,13 @@ def _tiled(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     the next band; a band is dealt over tiles by the class's name.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
-    rows = rows.withColumn("band", band)
-    sizes = rows.groupBy("h", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    tiles = rows.join(sizes, ["h", "band"]).withColumn("tile", F.pmod(F.hash("class"), "tiles"))
+    rows = materialize(rows.withColumn("band", band), "banded")
+    around = materialize(rows.groupBy("h", "band").agg(F.count("*").alias("members"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles")), "bands")
+    sizes = around.select("h", "band", "tiles")
     after = sizes.select("h", (F.col("band") - 1).alias("band"), F.col("tiles").alias("after"))
     before = sizes.select("h", (F.col("band") + 1).alias("band"), F.col("tiles").alias("before"))
-    tiles = tiles.join(after, ["h", "band"], "left").join(before, ["h", "band"], "left")
+    around = materialize(around.join(after, ["h", "band"], "left").join(before, ["h", "band"], "left"), "tiles")
+    tiles = join_counted(rows, around, ["h", "band"], "members").withColumn("tile", F.pmod(F.hash("class"), "tiles"))
     cell = lambda b1, t1, b2, t2: F.struct(b1.cast("int").alias("b1"), t1.cast("int").alias("t1"), b2.cast("int").alias("b2"), t2.cast("int").alias("t2"))
     band_, tile = F.col("band"), F.col("tile")
     upto = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
@@ -261,28 +262,34 @@ def _tiled(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.select("h", "cell", "class", "component", "n", "bits").groupBy("h", "cell").applyInPandas(compare, "a long, b long")
 
 
+def _by_shingle(rows: DataFrame, name: str, *sums: Column, where: str) -> DataFrame:
+    """``rows`` with sums of all rows that share their ``h``. Sums are partial before the shuffle, and rows of a hot ``h`` stay where they are."""
+    groups = rows.groupBy("h").agg(*sums, F.count("*").alias("size")).where(where)
+    return join_counted(rows, materialize(groups, name), ["h"], "size")
+
+
 def meetings(found: DataFrame) -> DataFrame:
-    """Who meets whom: one shuffle of the prefixes, kept where two classes share an element."""
-    w = Window.partitionBy("h")
+    """Who meets whom: the prefixes, kept where two classes share an element."""
     posted = found.where("prefix is not null").select(F.explode("prefix").alias("h"), "class", "n")
-    return posted.withColumn("low", F.min("class").over(w)).withColumn("high", F.max("class").over(w)).where("low <> high").select("h", "class", "n").distinct()
+    met = _by_shingle(posted, "shared", F.min("class").alias("low"), F.max("class").alias("high"), where="low <> high")
+    return met.select("h", "class", "n").distinct()
 
 
 def links(docs: DataFrame, names: DataFrame, met: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) between classes, enough of them to connect all that any links connect."""
-    w = Window.partitionBy("h")
     # the original of a family of near copies shares more of its prefix than any copy, whose own edits come first
     common = met.groupBy("class").agg((F.count("*") / F.first("n")).alias("common"))
-    leader = F.max(F.struct("common", "class")).over(w)["class"]
     first_docs = names.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     sets = materialize(sets_of(docs, met.select("class").distinct().join(first_docs, "class").select("doc_id"), k, items=False), "sets")
-    star = met.join(common, "class").withColumn("leader", leader).where("class <> leader").select(F.least("leader", "class").alias("a"), F.greatest("leader", "class").alias("b")).distinct()
+    rated = materialize(met.join(common, "class"), "rated")
+    star = _by_shingle(rated, "leaders", F.max(F.struct("common", "class"))["class"].alias("leader"), where="size > 1")
+    star = star.where("class <> leader").select(F.least("leader", "class").alias("a"), F.greatest("leader", "class").alias("b")).distinct()
     stars = materialize(star, "stars")
     near = verified(stars, docs, first_docs, sets, k, percent)
     # what is left: members of one group in different components
     component = connected_components(near)
-    placed = met.join(component.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    open_ = placed.withColumn("low", F.min("component").over(w)).withColumn("high", F.max("component").over(w)).withColumn("size", F.count("*").over(w)).where("low <> high")
+    placed = materialize(met.join(component.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")), "placed")
+    open_ = _by_shingle(placed, "groups", F.min("component").alias("low"), F.max("component").alias("high"), where="low <> high")
     open_ = materialize(open_.select("h", "class", "n", "component", "size"), "open")
     small = open_.where(F.col("size") <= JOINED)
     other = small.select("h", F.col("class").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_component"))
@@ -334,11 +341,11 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     marked = materialize(marked.groupBy("doc_id", "key").agg(F.max("stays").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"), "marked")
     # null ids are joined as a flag and a number
     id_ = F.col("doc_id").cast("long")
-    given = docs.select("*", F.coalesce(id_, F.lit(0).cast("long")).alias("_id"), id_.isNull().alias("_null"), text_key().alias("_key"))
+    given = docs.select(packed(docs), F.coalesce(id_, F.lit(0).cast("long")).alias("_id"), id_.isNull().alias("_null"), text_key().alias("_key"))
     other = lambda rule: marked.where(rule).select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("_id"), F.col("doc_id").isNull().alias("_null"), F.col("key").alias("_key"))
     on = ["_id", "_null", "_key"]
     several = other("stays")
     once = given.join(other("true"), on, "left_anti")
     # rows alike in doc_id and text: each task passes on one, then one of all stays
     of_several = given.join(several, on, "left_semi").dropDuplicates(on)
-    return once.select(docs.columns).union(of_several.select(docs.columns))
+    return unpacked(once.union(of_several.select(once.columns)), docs.columns)

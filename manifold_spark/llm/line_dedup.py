@@ -1,13 +1,15 @@
 """Line dedup by winnowing, in DataFrame functions alone.
 
 A document is the sequence of its lines with something in them. Of every
-``window`` lines in a row the least line hash is a fingerprint, so two equal runs
-of that length share one, and about half of the lines need not be looked at.
-Fingerprints that occur at one place only are dropped by partial counts; around
-the others the runs that they stand for are joined, and runs that stand before
-(in order of doc_id, then place) make the later ones repeats. A longer repeat is
-a chain of such runs, so taking all of them together extends each match both
-ways. The lines of later runs are deleted, the first run stays.
+``window`` lines in a row the least line hash is selected as a fingerprint, the
+first of equals, so two equal runs of ``window`` lines or more share one, and
+most windows in a row select the same place. Selected places are joined by their
+hash: fingerprints that stand at one place only are dropped. A place that is left
+is extended to both sides, to each run of ``window`` lines that selected it, and
+runs are compared by two 64-bit hashes of their lines. A longer repeat is a chain
+of such runs, so taking all of them together extends each match both ways as far
+as it goes. The first run, in order of doc_id and place, stays; the lines of
+later ones are deleted.
 
 What is shorter than ``window`` lines is no match: with three, as the query op9
 has it, repeated lines and pairs of lines between different neighbours stay. With
@@ -16,8 +18,8 @@ in it one copy is left in the whole table.
 
 Nulls: a null text stays null. Blank lines are no part of runs and stay. Rows
 with the same doc_id and text count as one document and are changed alike. A null
-doc_id sorts first. All columns stay; ``text`` is replaced, and ``n_chars`` too
-where there is one.
+doc_id sorts first. All columns stay, whatever their names; ``text`` is replaced,
+and ``n_chars`` too where there is one. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -25,66 +27,85 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import join_counted, materialize, packed, unpacked
 
+_FULL = r"[^ \t\x0b\x0c\r]"
+#: A document is told by two hashes of doc_id and text.
+KEY = ["key1", "key2"]
 
-def _key() -> Column:
-    """What tells documents apart: doc_id and text, null or not."""
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text"))
 
+def _keys(doc_id: Column, text: Column) -> list[Column]:
+    id_ = F.coalesce(doc_id.cast("string"), F.lit("null"))
+    return [F.xxhash64(id_, doc_id.isNull(), text).alias("key1"), F.xxhash64(text, F.lit(1), doc_id.isNull(), id_).alias("key2")]
 
-def _runs(docs: DataFrame, window: int) -> DataFrame:
-    """One row a run of ``window`` lines: doc_id, key, the run's number, its fingerprint, the fingerprint's place, its name and lines."""
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("h"), (F.trim(F.regexp_replace(x, r"[\t\x0b\x0c\r]", " ")) == "").alias("blank"))), lambda x: ~x["blank"])
-    listed = docs.where("text is not null").select("doc_id", _key().alias("key"), lines.alias("lines")).where(F.size("lines") >= window).distinct()
+
+def windows_of(docs: DataFrame, window: int) -> DataFrame:
+    """One row a run of ``window`` lines: doc_id, the document's keys, the run's number, its names, its fingerprint with the place, and whether it is the first run to select that."""
+    lines = F.transform(F.filter(F.split("text", "\n"), lambda x: x.rlike(_FULL)), lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g")))
+    listed = docs.where("text is not null").select("doc_id", *_keys(F.col("doc_id"), F.col("text")), lines.alias("lines")).where(F.size("lines") >= window)
 
     def run(at: Column) -> Column:
         part = F.slice("lines", at, window)
-        least = F.array_min(F.transform(part, lambda x: x["h"]))
-        place = at + F.array_position(F.transform(part, lambda x: x["h"]), least) - 1
-        name = F.xxhash64(F.transform(part, lambda x: x["h"]))
-        return F.struct(at.alias("run"), least.alias("fingerprint"), place.alias("place"), name.alias("name"), F.transform(part, lambda x: x["i"]).alias("at"))
+        h = F.transform(part, lambda x: x["h"])
+        least = F.array_min(h)
+        place = at + F.array_position(h, least) - 1
+        return F.struct(at.alias("run"), least.alias("fingerprint"), place.cast("int").alias("place"), F.xxhash64(h).alias("name1"), F.xxhash64(F.transform(part, lambda x: x["g"])).alias("name2"))
 
-    starts = F.sequence(F.lit(1), F.size("lines") - (window - 1))
-    return listed.select("doc_id", "key", F.explode(F.transform(starts, run)).alias("r")).select("doc_id", "key", "r.*")
+    runs = F.transform(F.sequence(F.lit(1), F.size("lines") - (window - 1)), run)
+    selects = F.transform(F.col("runs"), lambda r, i: F.struct(r["run"].alias("run"), r["fingerprint"].alias("fingerprint"), r["name1"].alias("name1"), r["name2"].alias("name2"), ((i == 0) | (r["place"] != F.get("runs", i - 1)["place"])).alias("selects")))
+    return listed.select("doc_id", *KEY, runs.alias("runs")).select("doc_id", *KEY, F.inline(selects))
 
 
-def repeated_lines(docs: DataFrame, window: int = 3) -> DataFrame:
-    """key (of a document) and the numbers of its lines that later runs hold."""
-    runs = materialize(_runs(docs, window), "runs")
-    # a fingerprint counts once a place; runs of one document that share it say so by the same place
-    shared = runs.groupBy("fingerprint").agg(F.min(F.struct("key", "place")).alias("a"), F.max(F.struct("key", "place")).alias("b")).where("a <> b").select("fingerprint")
-    met = runs.join(shared, "fingerprint", "left_semi").select("doc_id", "key", "run", "name", "at")
-    first = met.groupBy("name").agg(F.min(F.struct("doc_id", "key", "run")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = met.join(first, "name").where(F.struct("doc_id", "key", "run") != F.col("first"))
-    return later.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("gone"))
+def repeated_runs(docs: DataFrame, window: int = 3) -> DataFrame:
+    """The keys of a document and the number of each run of its lines that stands before."""
+    runs = materialize(windows_of(docs, window), "runs")
+    # only selected places are counted; rows alike in doc_id and text are told apart later, as equal places
+    places = runs.groupBy("fingerprint").agg(F.count_if("selects").alias("places"), F.count("*").alias("n")).where("places > 1")
+    met = join_counted(runs, materialize(places.drop("places"), "fingerprints"), ["fingerprint"]).select("doc_id", *KEY, "run", "name1", "name2")
+    met = materialize(met, "met")
+    place = F.struct("doc_id", *KEY, "run")
+    first = met.groupBy("name1", "name2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).where("first <> last").drop("last")
+    later = join_counted(met, materialize(first, "first-runs"), ["name1", "name2"]).where(place != F.col("first"))
+    return later.select(*KEY, "run").distinct()
 
 
 def _cleaned(docs: DataFrame, window: int) -> DataFrame:
-    gone = repeated_lines(docs, window).withColumnRenamed("key", "_key").withColumnRenamed("gone", "_gone")
-    return docs.withColumn("_key", _key()).join(gone, "_key", "left")
+    """row (the input), text, and runs (numbers of runs that go, null where none does)."""
+    doc_id = F.col("doc_id") if "doc_id" in docs.columns else F.lit(None).cast("long")
+    given = docs.select(packed(docs), doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"))
+    gone = repeated_runs(given, window).groupBy(*KEY).agg(F.collect_set("run").alias("runs"))
+    return given.select("row", "text", *_keys(F.col("doc_id"), F.col("text"))).join(gone, KEY, "left")
+
+
+def _gone(window: int) -> Column:
+    """The numbers of the lines that go."""
+    numbered = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.when(x.rlike(_FULL), i)), lambda i: i.isNotNull())
+    covered = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r - 1, r + window - 2))))
+    return F.transform(covered, lambda p: F.get(numbered, p))
 
 
 def _kept_text() -> Column:
     lines = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     text = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    return F.when(F.col("_gone").isNull(), F.col("text")).otherwise(text)
+    return F.when(F.col("gone").isNull(), F.col("text")).otherwise(text)
 
 
 def dedup_lines(docs: DataFrame, window: int = 3) -> DataFrame:
     """The documents without the lines of later repeated runs; all columns of the input."""
-    out = _cleaned(docs, window).withColumn("text", _kept_text())
+    changed = _cleaned(docs, window).withColumn("gone", _gone(window)).withColumn("kept", _kept_text())
+    out = changed.withColumn("row", F.col("row").withField("text", F.col("kept").cast(docs.schema["text"].dataType)))
     if "n_chars" in docs.columns:
-        changed = F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))
-        out = out.withColumn("n_chars", changed)
-    return out.select(docs.columns)
+        n = F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(F.char_length("kept").cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("row", F.col("row").withField("n_chars", n))
+    return unpacked(out, docs.columns)
 
 
 def report(docs: DataFrame, window: int = 3) -> DataFrame:
     """doc_id, n_lines, n_removed and the md5 of the text that is left."""
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
-    return _cleaned(docs.select("doc_id", "text"), window).select("doc_id", n.cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"), F.md5(_kept_text()).alias("text_md5"))
+    found = _cleaned(docs.select("doc_id", "text"), window).withColumn("gone", _gone(window))
+    return found.select("row.doc_id", n.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.md5(_kept_text()).alias("text_md5"))
 
 
 #: The same by definition: a line goes if some run of three lines that holds it equals a run before.

@@ -2,19 +2,23 @@
 
 Token weights are summed by cell (source, language, topic). The cells are raked:
 each round scales them to the target shares of the sources, then of the
-languages, then of the topics. A document's probability is its cell's scale
-divided by the largest, so the expected tokens of the sample have the raked shares, and a
+languages, then of the topics, until ``rounds`` are done or, looked at every
+fourth round, all shares are within ``tolerance`` of their targets; ``residuals``
+tells how far they are. A document's probability is its cell's scale divided by
+the largest, so the expected tokens of the sample have the raked shares, and a
 hash of doc_id and seed decides.
 
-Targets are observed shares raised to a power and normalised (below 1 flattens).
+``targets`` gives weights of the values of a dimension, which are normalised;
+values without one get weight 0 and their documents go. A dimension without
+targets aims at its observed shares raised to a power (below 1 flattens).
 A document's tokens are taken as a quarter of its characters, rounded up. The
 topic is the column ``topic`` where there is one, else the text's form by the
-first rule that fits.
+first rule of ``TOPICS`` that fits, a stand-in for a topic model of the user's.
 
-Nulls: a null source, language or topic is a value of its own. A null text has no
-tokens; cells without any tokens keep scale 0 and their documents go. A null
-doc_id is drawn as if it were the text ``null``. Repeated rows are drawn alike. An empty
-table gives an empty one.
+Nulls: a null source, language or topic is a value of its own, ``(null)``. A null
+text has no tokens; cells without any tokens keep scale 0 and their documents go.
+A null doc_id is drawn as if it were the text ``null``. Repeated rows are drawn
+alike. An empty table gives an empty one. All columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, packed, unpacked
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Power of the observed share that is aimed at.
@@ -51,21 +55,40 @@ def _dimensions(docs: DataFrame) -> list[Column]:
     return [F.coalesce(named[d], F.lit("(null)")).alias(f"_{d}") for d in DIMENSIONS]
 
 
-def raked(docs: DataFrame, rounds: int = ROUNDS, powers: dict[str, float] = POWERS) -> DataFrame:
-    """The cells: _source, _lang, _topic, their tokens, and scale (raked over observed tokens)."""
+def _target(mine: DataFrame, d: str, targets: dict[str, dict[str, float]] | None, power: float) -> DataFrame:
+    """Each value of a dimension with the share that it is to have."""
+    if targets and d in targets:
+        given = mine.sparkSession.createDataFrame([(k if k is not None else "(null)", float(w)) for k, w in targets[d].items()], f"_{d} string, p double")
+        # weights of values that the corpus lacks can't be met and are left out
+        weights = mine.join(given, f"_{d}", "left").withColumn("p", F.when(F.col("m") > 0, F.coalesce("p", F.lit(0.0))).otherwise(0.0))
+    else:
+        weights = mine.withColumn("p", F.when(F.col("m") > 0, F.pow("m", F.lit(power))).otherwise(0.0))
+    return weights.withColumn(f"{d}_target", F.coalesce(F.try_divide(F.col("p"), F.sum("p").over(Window.partitionBy(F.lit(0)))), F.lit(0.0))).select(f"_{d}", f"{d}_target")
+
+
+def residuals(cells: DataFrame) -> DataFrame:
+    """dimension and residual: the largest distance of a value's share from its target."""
+    all_ = Window.partitionBy(F.lit(0))
+    out = None
+    for d in DIMENSIONS:
+        by = cells.groupBy(f"_{d}").agg(F.sum("w").alias("w"), F.first(f"{d}_target").alias("target"))
+        one = by.select(F.abs(F.coalesce(F.try_divide(F.col("w"), F.sum("w").over(all_)), F.lit(0.0)) - F.col("target")).alias("r")).agg(F.lit(d).alias("dimension"), F.coalesce(F.max("r"), F.lit(0.0)).alias("residual"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+def raked(docs: DataFrame, rounds: int = ROUNDS, powers: dict[str, float] = POWERS, targets: dict[str, dict[str, float]] | None = None, tolerance: float = 0.0) -> DataFrame:
+    """The cells: _source, _lang, _topic, their tokens, scale (raked over observed tokens), weights ``w`` and targets."""
     cells = materialize(docs.select(*_dimensions(docs), tokens().alias("t")).groupBy(*(f"_{d}" for d in DIMENSIONS)).agg(F.sum("t").alias("tokens")), "cells")
     # a checked size: the usual handful of cells needs no shuffle, and any more are dealt out
-    if cells.count() <= ONE_PARTITION:
+    small = cells.count() <= ONE_PARTITION
+    if small:
         cells = cells.coalesce(1)
-    all_ = Window.partitionBy(F.lit(0))
     for d in DIMENSIONS:
         mine = cells.groupBy(f"_{d}").agg(F.sum("tokens").cast("double").alias("m"))
-        power = mine.withColumn("p", F.when(F.col("m") > 0, F.pow("m", F.lit(powers[d]))).otherwise(0.0))
-        target = power.withColumn(f"{d}_target", F.try_divide(F.col("p"), F.sum("p").over(all_)))
-        cells = cells.join(target.select(f"_{d}", f"{d}_target"), f"_{d}")
+        cells = cells.join(_target(mine, d, targets, powers[d]), f"_{d}")
     cells = materialize(cells.withColumn("w", F.col("tokens").cast("double")), "targets")
     grand = cells.agg(F.sum("w")).first()[0] or 0.0
-    small = cells.count() <= ONE_PARTITION
     for at in range(rounds):
         if small:
             cells = cells.coalesce(1)
@@ -74,7 +97,10 @@ def raked(docs: DataFrame, rounds: int = ROUNDS, powers: dict[str, float] = POWE
             cells = cells.withColumn("w", F.when(F.col("w") > 0, F.col("w") * F.col(f"{d}_target") * F.lit(float(grand)) / have).otherwise(0.0))
         if at % 4 == 3:
             cells = materialize(cells, "raked")
-    return cells.select(*(f"_{d}" for d in DIMENSIONS), "tokens", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(0.0).alias("scale"))
+            if tolerance and residuals(cells).agg(F.max("residual")).first()[0] <= tolerance:
+                break
+    scale = F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(0.0)
+    return cells.select(*(f"_{d}" for d in DIMENSIONS), "tokens", scale.alias("scale"), "w", *(f"{d}_target" for d in DIMENSIONS))
 
 
 def uniform(seed: int) -> Column:
@@ -83,22 +109,23 @@ def uniform(seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
 
 
-def with_probability(docs: DataFrame, rounds: int = ROUNDS, powers: dict[str, float] = POWERS) -> DataFrame:
-    """The documents with their cell (``_source``, ``_lang``, ``_topic``) and ``probability``."""
-    cells = materialize(raked(docs, rounds, powers), "scales")
+def with_probability(docs: DataFrame, rounds: int = ROUNDS, powers: dict[str, float] = POWERS, targets: dict[str, dict[str, float]] | None = None, tolerance: float = 0.0) -> DataFrame:
+    """row (the document's columns), doc_id, its cell (``_source``, ``_lang``, ``_topic``) and ``probability``."""
+    cells = materialize(raked(docs, rounds, powers, targets, tolerance), "scales")
     largest = cells.agg(F.max("scale")).first()[0] or 1.0
     cells = cells.select(*(f"_{d}" for d in DIMENSIONS), (F.col("scale") / F.lit(float(largest))).alias("probability"))
-    return docs.select("*", *_dimensions(docs)).join(cells, [f"_{d}" for d in DIMENSIONS])
+    return docs.select(packed(docs), F.col("doc_id"), *_dimensions(docs)).join(cells, [f"_{d}" for d in DIMENSIONS])
 
 
-def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, seed: int = SEED, targets: dict[str, dict[str, float]] | None = None, tolerance: float = 0.0) -> DataFrame:
     """The sampled documents, with their columns."""
-    return with_probability(docs).where(uniform(seed) < F.col("probability")).select(docs.columns)
+    return unpacked(with_probability(docs, targets=targets, tolerance=tolerance).where(uniform(seed) < F.col("probability")), docs.columns)
 
 
-def sample(docs: DataFrame, seed: int = SEED) -> DataFrame:
+def sample(docs: DataFrame, seed: int = SEED, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """doc_id, source, lang, topic and probability of each sampled document."""
-    drawn = with_probability(docs.select("doc_id", "text", "source", "lang", *(["topic"] if "topic" in docs.columns else []))).where(uniform(seed) < F.col("probability"))
+    given = docs.select("doc_id", "text", "source", "lang", *(["topic"] if "topic" in docs.columns else []))
+    drawn = with_probability(given, targets=targets).where(uniform(seed) < F.col("probability"))
     return drawn.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.round("probability", 6).alias("probability"))
 
 

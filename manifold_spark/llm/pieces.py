@@ -6,11 +6,14 @@ line break is always a match of its own, so a text without doubled white space
 falls apart into pieces (``the``, ``house,``, ``\\nThe``) whose ids don't depend
 on their neighbours. Pieces repeat, so each is encoded by the library once per
 worker. A text with doubled white space, a special token or a character whose
-Unicode class may differ between libraries is encoded whole by the library.
+Unicode class may differ between libraries is encoded whole by the library, and
+so is every text where the file has another normalizer, pre-tokenizer or model
+than that of byte-level BPE.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -41,6 +44,13 @@ def split_pieces(text: str, specials: tuple[str, ...]) -> list[str] | None:
     return ("\n" + text).replace("\n", " \n").split(" ")[1:]
 
 
+def is_byte_level(spec: dict) -> bool:
+    """Whether the file splits and merges as the pieces here take for granted."""
+    split, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    return spec.get("normalizer") is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and model.get("type") == "BPE" and plain
+
+
 class _Known(dict):
     """Values by piece; what no longer fits is looked up in ``extra``, which lasts for one batch."""
 
@@ -50,14 +60,20 @@ class _Known(dict):
         return self.extra[piece]
 
 
+#: Longer pieces are encoded each time.
+MEMORY_CHARS = 48
+
+
 class PieceEncoder:
-    """Ids of texts by one tokenizer file, with a bounded memory of pieces."""
+    """Ids of texts by one tokenizer file, with a bounded memory of pieces: ``max_pieces`` of ``MEMORY_CHARS`` at most."""
 
     def __init__(self, path: str, max_pieces: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.splits = is_byte_level(json.load(f))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.specials = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
@@ -88,20 +104,24 @@ class PieceEncoder:
         missing = list(set().union(*(p for p in split if p)) - known.keys())
         found = dict(zip(missing, map(value, self.encode_pieces(missing)), strict=True))
         if len(known) < self.max_pieces:
-            known.update(found)
+            known.update((p, v) for p, v in found.items() if len(p) <= MEMORY_CHARS)
+            known.extra = {p: v for p, v in found.items() if len(p) > MEMORY_CHARS}
         else:
             known.extra = found
 
+    def _split(self, texts: list[str | None]) -> list[list[str] | None]:
+        return [(split_pieces(t, self.specials) if self.splits else None) if t else [] for t in texts]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The packed ids of each text; a null text counts as empty."""
-        split = [split_pieces(t, self.specials) if t else [] for t in texts]
+        split = self._split(texts)
         self._learn(split, self.ids, bytes)
         skip, get = len(self.line_break), self.ids.__getitem__
         return [self._whole(t) if p is None else b"".join(map(get, p))[skip:] for t, p in zip(texts, split, strict=True)]
 
     def count(self, texts: list[str | None], frequent: dict[str, int]) -> list[int]:
         """Token counts: first by the frequent pieces, then by this worker's own, then by the library."""
-        split = [split_pieces(t, self.specials) if t else [] for t in texts]
+        split = self._split(texts)
         width, known = self.dtype.itemsize, self.lengths
         if not known:
             known.update(frequent)

@@ -38,7 +38,7 @@ from ..session import join_counted, materialize, packed, small_batches, unpacked
 from .copies import DistinctTexts
 from .words import mix, windows, word_hashes
 
-ORDER = 5
+ORDER = 4
 #: Entries (12 bytes each) up to which a model is broadcast, and characters in a group of texts beyond that.
 MODEL_ENTRIES, GROUP_CHARS = 4_000_000, 16_000_000
 #: Characters that are worked on at once, and n-grams that a task holds before it passes them on.
@@ -191,15 +191,19 @@ def kneser_ney(counted: DataFrame, order: int) -> DataFrame:
     for k in range(1, order + 1):
         few = [F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]
         y = F.when((F.col("n1") > 0) & (F.col("n2") > 0), F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
-        sizes = level[k].groupBy("lang").agg(*few, F.count("*").alias("symbols")).withColumn("y", y)
+        sizes = level[k].groupBy("lang").agg(*few, F.count("*").alias("symbols"), F.sum("n").alias("all")).withColumn("y", y)
         for i, usual in ((1, 0.5), (2, 1.0), (3, 1.5)):
             d = i - (i + 1) * F.col("y") * F.col(f"n{i + 1}") / F.col(f"n{i}")
             sizes = sizes.withColumn(f"d{i}", F.when((F.col(f"n{i}") > 0) & (F.col(f"n{i + 1}") > 0), F.least(F.greatest(d, F.lit(0.05)), F.lit(i - 0.01))).otherwise(usual))
         discount = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        rows = level[k].join(sizes, "lang").select("lang", "gram", "n", "symbols", discount.alias("d"), F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("suffix"))
-        # a context has no more rows than the language has symbols
-        w = Window.partitionBy("lang", "context")
-        rows = rows.withColumn("total", F.sum("n").over(w)).withColumn(f"b{k}", F.sum("d").over(w) / F.col("total"))
+        many = F.col("symbols") - F.col("n1") - F.col("n2")
+        rows = level[k].join(sizes.withColumn("away", F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * many), "lang")
+        rows = rows.select("lang", "gram", "n", "symbols", "all", "away", discount.alias("d"), F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("suffix"))
+        if k == 1:  # one context a language: its sums are known
+            rows = rows.withColumn("total", F.col("all")).withColumn("b1", F.col("away") / F.col("all"))
+        else:  # a context has no more rows than the language has symbols
+            w = Window.partitionBy("lang", "context")
+            rows = rows.withColumn("total", F.sum("n").over(w)).withColumn(f"b{k}", F.sum("d").over(w) / F.col("total"))
         known = [f"{x}{j}" for j in range(1, k) for x in "pb"]
         if lower is None:
             rows = rows.withColumn("u", 1 / (F.col("symbols") + 1)).withColumn("below", F.col("u"))
@@ -401,13 +405,13 @@ def with_verdict(scores: DataFrame, spread: float, slack: float) -> DataFrame:
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).drop("of", "least", "most")
 
 
-def judge(docs: DataFrame, spread: float = 4.0, slack: float = 1.5, order: int = ORDER) -> DataFrame:
+def judge(docs: DataFrame, spread: float = 5.0, slack: float = 2.5, order: int = ORDER) -> DataFrame:
     """doc_id, the base counts, base_failed, kept and log_perplexity of every document."""
     found = with_verdict(scored(docs, F.struct("doc_id").alias("row"), order), spread, slack)
     return found.select("row.doc_id", *COUNTS, "base_failed", "kept", "log_perplexity")
 
 
-def keep_good(docs: DataFrame, spread: float = 4.0, slack: float = 1.5, order: int = ORDER) -> DataFrame:
+def keep_good(docs: DataFrame, spread: float = 5.0, slack: float = 2.5, order: int = ORDER) -> DataFrame:
     """The documents that pass, with their columns: scored once, and filtered as they were written."""
     found = with_verdict(scored(docs, packed(docs), order), spread, slack)
     return unpacked(found.where("kept"), docs.columns)

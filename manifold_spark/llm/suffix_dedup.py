@@ -3,24 +3,28 @@
 Of a text's suffixes only those are kept that start at a minimiser: the position
 whose 8-word hash is least in some window of ``w`` positions. A passage of
 ``min_words`` words that occurs twice has the same minimisers in both places, and
-``min_words - w + 1`` words at least follow the first of them inside it; suffixes
-are sorted by the hash of so many words, and those with an equal neighbour are
-kept. Around them the match is extended to the left and right: each window of
-``min_words`` words that the minimiser stands for is named by its hash, and
-windows that occur twice or more are repeats. Repeats of a document that touch
-make one span.
+``min_words - w + 1`` words at least follow the first of them inside it. Suffixes
+are told by the hash of so many words: a task sorts its own and passes each on
+once with its number, all are range-partitioned and sorted, and one that is equal
+to its neighbour, or comes with a number above one, is repeated. Of a repeated
+suffix the match is extended to the left and to the right: by 0 to ``w - 1`` words
+on the left and the rest on the right, to each passage of ``min_words`` words that
+has the suffix as its minimiser. Extended matches are compared by two 64-bit
+hashes of their words, and those that stand in two places or more are repeats.
+Repeats of a document that touch make one span.
 
 Equal texts are told first: of each such group only the first document takes part
 in the search, and the others repeat it whole.
 
-What is repeated is decided by partial counts before each shuffle, so a passage
-that a third of all documents hold loads no task, and no pairs are made. The
-filter of repeated suffixes is a bitmap of fixed size; false hits only cost work.
+Counts are summed in each task before a shuffle, and passages with a large share
+of all places are joined by a broadcast, so one that a third of all documents hold
+loads no task; no pairs are made. The filter of repeated suffixes is a bitmap of
+fixed size; false hits only cost work.
 
 Nulls: a null text and one with fewer words than ``min_words`` has no repeats. A
 null doc_id takes part. Rows with the same doc_id and text count as two places
 but give their spans once; rows with the same doc_id and other texts have spans
-of their own. Other columns are ignored.
+of their own. Other columns are ignored. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -33,10 +37,11 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize, small_batches
-from .words import long_windows, repeated, windows, word_hashes
+from ..session import join_counted, materialize, small_batches
+from .copies import DistinctTexts, bitmap, hits
+from .words import long_windows, mix, windows, word_hashes
 
-GRAM, SLOTS = 8, 1 << 27
+GRAM = 8
 _BLANK = r"[ \t\n\x0b\x0c\r]+"
 
 
@@ -54,94 +59,63 @@ def suffixes(text: str | None, min_words: int, w: int) -> tuple[np.ndarray, np.n
     return words, minimisers(words, min_words, w), long_windows(words, min_words - w + 1)
 
 
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size over the column ``key``."""
-    slot = keys.select(F.pmod("key", F.lit(SLOTS)).alias("slot"))
-    words = slot.groupBy(F.expr("cast(slot div 8 as int)").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(slot % 8 as int))")).alias("bits")).toArrow()
-    out = np.zeros(SLOTS // 8, np.uint8)
-    out[words.column("byte").to_numpy()] = words.column("bits").to_numpy()
-    return out
-
-
-def _hits(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = (keys.astype(np.uint64) & np.uint64(SLOTS - 1)).astype(np.int64)
-    return bitmap[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1
-
-
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").withColumn("text_key", F.xxhash64("text"))
 
 
-class _Texts:
-    """The distinct texts of a table, each with its first doc_id."""
-
-    def __init__(self, docs: DataFrame):
-        self.all = _texts(docs)
-        self.copied = self.all.sparkSession.sparkContext.broadcast(_bitmap(self.all.groupBy(F.col("text_key").alias("key")).count().where("count > 1")))
-        copied = self.copied
-
-        def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.filter(pa.array(_hits(copied.value, b.column("text_key").to_numpy())))
-
-        # texts that occur once may be among these by a false hit, and then are groups of one
-        groups = self.all.mapInArrow(some, self.all.schema).groupBy("text_key").agg(F.min(F.struct("doc_id")).alias("first"), F.count("*").alias("n"), F.first("text").alias("text"))
-        self.groups = materialize(groups.select("first.doc_id", "text", "text_key", "n"), "copies")
-
-    def each(self, work, schema: str) -> DataFrame:
-        """``work`` (batch -> batch or None) over every distinct text once."""
-        copied = self.copied
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                raw = b.column("raw").to_numpy(zero_copy_only=False)
-                b = b.filter(pa.array(~(raw & _hits(copied.value, b.column("text_key").to_numpy()))))
-                out = work(b) if b.num_rows else None
-                if out is not None:
-                    yield out
-
-        both = self.all.withColumn("raw", F.lit(True)).union(self.groups.select("doc_id", "text", "text_key", F.lit(False)))
-        return both.mapInArrow(run, schema)
-
-
-def repeated_suffixes(texts: _Texts, min_words: int, w: int) -> np.ndarray:
+def repeated_suffixes(texts: DistinctTexts, min_words: int, w: int) -> np.ndarray:
     """A bitmap of the sort keys that two suffixes or more share."""
 
-    def work(b: pa.RecordBatch) -> pa.RecordBatch:
-        keys = [np.empty(0, np.uint64)]
-        for text in b.column("text").to_pylist():
-            _, m, key = suffixes(text, min_words, w)
-            keys.append(key[m[np.concatenate((np.ones(1, bool), m[1:] != m[:-1]))]] if len(m) else key[:0])
-        every = np.sort(np.concatenate(keys))
-        twice, n = repeated(every)
-        once = every[~np.isin(every, twice)] if len(twice) else every
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate((once, twice)).view(np.int64)), pa.array(np.concatenate((np.ones(len(once), np.int64), n)))], names=["key", "n"])
-
-    return _bitmap(texts.each(work, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"))
-
-
-def repeated_windows(texts: _Texts, min_words: int, w: int) -> DataFrame:
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [np.empty(0, np.uint64)]
+            for text in b.column("text").to_pylist():
+                _, m, key = suffixes(text, min_words, w)
+                keys.append(key[m[np.concatenate((np.ones(1, bool), m[1:] != m[:-1]))]] if len(m) else key[:0])
+            every = np.sort(np.concatenate(keys))
+            first = np.flatnonzero(np.concatenate((np.ones(1, bool), every[1:] != every[:-1]))) if len(every) else np.empty(0, np.int64)
+            n = np.diff(np.append(first, len(every)))
+            yield pa.RecordBatch.from_arrays([pa.array(every[first].view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int8))], names=["key", "n"])
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = b.column("key").to_numpy()
+            equal = np.concatenate(([last is not None and key[0] == last], key[1:] == key[:-1]))
+            last = key[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(key[equal | (b.column("n").to_numpy() > 1)]))], names=["key"])
+
+    ordered = materialize(texts.each(own, "key long, n byte"), "suffixes").repartitionByRange("key").sortWithinPartitions("key")
+    return bitmap(ordered.mapInArrow(neighbours, "key long"))
+
+
+def repeated_windows(texts: DistinctTexts, min_words: int, w: int) -> DataFrame:
     """doc_id, text_key, start and later (an equal window stands before it) of every repeated window; first_doc_id."""
     shared = texts.all.sparkSession.sparkContext.broadcast(repeated_suffixes(texts, min_words, w))
 
-    def work(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        doc, start, name = [], [], []
-        for i, text in enumerate(b.column("text").to_pylist()):
-            words, m, key = suffixes(text, min_words, w)
-            hit = np.flatnonzero(_hits(shared.value, key[m]))
-            if len(hit):
-                doc.append(np.full(len(hit), i))
-                start.append(hit)
-                name.append(long_windows(words, min_words)[hit])
-        if not doc:
-            return None
-        at = pa.array(np.concatenate(doc))
-        return pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("text_key").take(at), pa.array(np.concatenate(start), pa.int32()), pa.array(np.concatenate(name).view(np.int64))], names=["doc_id", "text_key", "start", "window"])
-
-    places = materialize(texts.each(work, "doc_id long, text_key long, start int, window long"), "windows")
-    first = places.groupBy("window").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "start")).alias("first")).where("n > 1")
+    def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc, start, one, two = [], [], [], []
+            for i, text in enumerate(b.column("text").to_pylist()):
+                words, m, key = suffixes(text, min_words, w)
+                hit = np.flatnonzero(hits(shared.value, key[m]))
+                if len(hit):
+                    doc.append(np.full(len(hit), i))
+                    start.append(hit)
+                    one.append(long_windows(words, min_words)[hit])
+                    two.append(long_windows(mix(words), min_words)[hit])
+            if doc:
+                at = pa.array(np.concatenate(doc))
+                names = [pa.array(np.concatenate(x).view(np.int64)) for x in (one, two)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("text_key").take(at), pa.array(np.concatenate(start), pa.int32()), *names], names=["doc_id", "text_key", "start", "window", "window2"])
+
+    places = materialize(texts.each(extended, "doc_id long, text_key long, start int, window long, window2 long"), "windows")
+    on = ["window", "window2"]
+    first = places.groupBy(*on).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "start")).alias("first")).where("n > 1")
     later = F.struct("doc_id", "text_key", "start") != F.col("first")
-    return places.join(first, "window").select("doc_id", "text_key", "start", later.alias("later"), F.col("first.doc_id").alias("first_doc_id"))
+    return join_counted(places, materialize(first, "first-windows"), on).select("doc_id", "text_key", "start", later.alias("later"), F.col("first.doc_id").alias("first_doc_id"))
 
 
 def repeats(docs: DataFrame, min_words: int = 50, w: int = 16) -> DataFrame:
@@ -152,7 +126,7 @@ def repeats(docs: DataFrame, min_words: int = 50, w: int = 16) -> DataFrame:
     doc_id that holds a part of the span.
     """
     small_batches(docs.sparkSession)
-    texts = _Texts(docs)
+    texts = DistinctTexts(_texts(docs), ["doc_id"])
     by_doc = Window.partitionBy("doc_id", "text_key").orderBy("start")
     found = repeated_windows(texts, min_words, w)
     # words that this window adds to those of the later windows before it

@@ -1,13 +1,16 @@
 """Byte-level BPE by the tiktoken library with a local rank file: ids of whole texts, and bytes of ids.
 
 Texts beyond ``PIECE_CHARS`` are cut first, at places where the split pattern
-always starts a new match (after an ASCII letter, before a space that a letter
-follows), so that the library never gets one huge string; the ids are the same
-as those of the whole.
+always starts a new match, so that the library never gets one huge string; the
+ids are the same as those of the whole. Such places are a single space between
+two characters that are no white space, in any script, and, as some scripts
+write no spaces, the place between a mark that ends a phrase and a letter or
+number. A text with neither is encoded as one.
 
 Nulls: a null text counts as empty (no tokens). Repeated rows are encoded each
-for itself. Other columns pass through unless they clash with a new one, which
-then replaces them. Special strings are ordinary text.
+for itself. Only doc_id (as a long) and the new columns are returned; other
+columns are ignored. Special strings are ordinary text. An empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from ..session import small_batches
 
 PIECE_CHARS = 1 << 18
-_CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+_CUT = re.compile(r"(?<=\S) (?=\S)|(?<=[.,;:!?。、，．！？；：।])(?=[^\W_])")
 _loaded: dict = {}
 
 

@@ -43,3 +43,35 @@ def test_one_of_each_group_stays(spark):
     # a null id is placed with its group, also where no other row has its very text
     ids = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.components(spark.createDataFrame([(4, text), (None, near)], "doc_id long, text string")).collect()}
     assert ids == {(4, 56, 4), (None, 56, 4)}
+
+
+def test_columns_with_the_operators_own_names(spark):
+    """Columns may have any name that an operator uses itself; they come out as they went in."""
+    own = ["probability", "_lang", "_text", "_key", "_gone", "_id", "_null", "row", "runs", "gone", "key1", "kept", "n", "class", "h", "n_chars"]
+    base = [(i, " ".join(f"w{(i * 7 + j * (j + i)) % 97}" for j in range(40)) + f"\nshared line\nline {i}", "en", f"s{i % 3}") for i in range(30)]
+    docs = spark.createDataFrame([(*r, *range(len(own))) for r in [*base, base[0], (None, None, None, None)]], "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} long" for c in own))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows, name
+        for r in rows:
+            assert [r[c] for c in own[:-1]] == list(range(len(own) - 1)), name
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+
+
+def test_run_is_its_stages(spark):
+    """run() by hand: each stage on what the one before kept; ids only leave, and the last stage encodes what is left."""
+    import hashlib
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    left = {r.doc_id for r in docs.select("doc_id").collect()}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, SF), "test")
+        ids = [r.doc_id for r in docs.select("doc_id").collect()]
+        assert set(ids) <= left and len(set(ids)) == len(ids)
+        left = set(ids)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
+    assert got.keys() == texts.keys() and got
+    assert all(got[d].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest() for d, t in texts.items())
