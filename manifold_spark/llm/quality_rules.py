@@ -187,17 +187,24 @@ def kneser_ney(counted: DataFrame, order: int) -> DataFrame:
     level = {order: counted}
     for k in range(order - 1, 0, -1):  # how many different symbols stand before a gram of order k
         level[k] = level[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n"))
+    few = [F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]
+    sizes = None
+    for k in range(1, order + 1):
+        one = level[k].groupBy("lang").agg(F.lit(k).alias("k"), *few, F.count("*").alias("symbols"), F.sum("n").alias("all"))
+        sizes = one if sizes is None else sizes.union(one)
+    y = F.when((F.col("n1") > 0) & (F.col("n2") > 0), F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
+    sizes = sizes.withColumn("y", y)
+    for i, usual in ((1, 0.5), (2, 1.0), (3, 1.5)):
+        d = i - (i + 1) * F.col("y") * F.col(f"n{i + 1}") / F.col(f"n{i}")
+        sizes = sizes.withColumn(f"d{i}", F.when((F.col(f"n{i}") > 0) & (F.col(f"n{i + 1}") > 0), F.least(F.greatest(d, F.lit(0.05)), F.lit(i - 0.01))).otherwise(usual))
+    many = F.col("symbols") - F.col("n1") - F.col("n2")
+    sizes = sizes.withColumn("away", F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * many)
+    # a table of known size: where it is small, as languages are few, no gram is moved to its language
+    sizes = materialize(sizes.select("lang", "k", "symbols", "all", "away", "d1", "d2", "d3"), "discounts")
     lower = None
     for k in range(1, order + 1):
-        few = [F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]
-        y = F.when((F.col("n1") > 0) & (F.col("n2") > 0), F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
-        sizes = level[k].groupBy("lang").agg(*few, F.count("*").alias("symbols"), F.sum("n").alias("all")).withColumn("y", y)
-        for i, usual in ((1, 0.5), (2, 1.0), (3, 1.5)):
-            d = i - (i + 1) * F.col("y") * F.col(f"n{i + 1}") / F.col(f"n{i}")
-            sizes = sizes.withColumn(f"d{i}", F.when((F.col(f"n{i}") > 0) & (F.col(f"n{i + 1}") > 0), F.least(F.greatest(d, F.lit(0.05)), F.lit(i - 0.01))).otherwise(usual))
         discount = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        many = F.col("symbols") - F.col("n1") - F.col("n2")
-        rows = level[k].join(sizes.withColumn("away", F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * many), "lang")
+        rows = level[k].join(sizes.where(F.col("k") == k).drop("k"), "lang")
         rows = rows.select("lang", "gram", "n", "symbols", "all", "away", discount.alias("d"), F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("suffix"))
         if k == 1:  # one context a language: its sums are known
             rows = rows.withColumn("total", F.col("all")).withColumn("b1", F.col("away") / F.col("all"))
