@@ -148,7 +148,9 @@ def stable_scales(steps: DataFrame) -> DataFrame:
     """
     by_step = Window.orderBy("step")
     run = steps.withColumn("new", F.coalesce((F.col("n") != F.lag("n").over(by_step)).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(by_step)).withColumn("all", F.count("*").over(Window.partitionBy(F.lit(0))))
-    runs = run.groupBy("run").agg(F.min("step").alias("start"), F.count("*").alias("length"), F.first("n").alias("n"), F.first("all").alias("all")).where("length >= 2")
+    runs = run.groupBy("run").agg(F.min("step").alias("start"), F.count("*").alias("length"), F.first("n").alias("n"), F.first("all").alias("all"))
+    # without any run of two the last step stands for itself
+    runs = runs.withColumn("longest", F.max("length").over(Window.partitionBy(F.lit(0)))).where("length >= 2 or (longest < 2 and start = all - 1)")
     score = F.col("length") * (1 + F.col("start") / F.col("all")) / F.greatest(F.log(1 + F.col("n")), F.lit(0.1))
     place = F.row_number().over(Window.orderBy(F.desc("score"), "start"))
     return runs.withColumn("score", score).select("start", "length", "n", (F.col("start") + F.floor(F.col("length") / 2)).alias("middle"), (place == 1).alias("best"))

@@ -32,40 +32,100 @@ def distance(a, b):
 
 
 def nearest(cid: np.ndarray, c: np.ndarray, qid: np.ndarray, q: np.ndarray, k: int) -> pd.DataFrame:
-    """The ``k`` nearest of one tile for each row of another."""
-    rough = (q * q).sum(1)[:, None] - 2 * q @ c.T + (c * c).sum(1)[None, :]
-    rough[qid[:, None] == cid[None, :]] = np.inf
-    width = min(len(cid), k + 8)
-    near = np.argpartition(rough, width - 1, axis=1)[:, :width] if width < len(cid) else np.broadcast_to(np.arange(len(cid)), rough.shape)
-    out = []
-    for r in range(len(qid)):
-        at = near[r][cid[near[r]] != qid[r]]
-        d = np.sqrt(((c[at] - q[r]) ** 2).sum(1))
-        best = np.lexsort((cid[at], d))[:k]
-        out.append(pd.DataFrame({"i": qid[r], "j": cid[at][best], "d": d[best]}))
-    return pd.concat(out)
+    """The exactly ``k`` nearest of one tile for each row of another, ties to the smaller id; ``qid`` itself is left out.
+
+    Products of centred vectors give squared distances up to a rounding error of
+    a known bound; all that could be among the nearest within twice that bound,
+    ties included, are compared by exact differences.
+    """
+    centre = c.mean(axis=0)
+    x, y = c - centre, q - centre
+    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    error = 4 * (c.shape[1] + 4) * np.finfo(float).eps * (np.sqrt(yy) + np.sqrt(xx.max(initial=0.0))) ** 2
+    out_q, out_c, out_d = [], [], []
+    for at in range(0, len(q), 512):
+        rows = slice(at, at + 512)
+        rough = yy[rows, None] - 2 * y[rows] @ x.T + xx[None, :]
+        rough[qid[rows, None] == cid[None, :]] = np.inf
+        cut = np.partition(rough, k - 1, axis=1)[:, k - 1] if k < len(cid) else np.full(len(rough), np.inf)
+        r, j = np.nonzero((rough <= (cut + 2 * error[rows])[:, None]) & np.isfinite(rough))
+        d = np.sqrt(((c[j] - q[rows][r]) ** 2).sum(1))
+        order = np.lexsort((cid[j], d, r))
+        r, j, d = r[order], j[order], d[order]
+        first = np.searchsorted(r, np.arange(len(rough)))
+        keep = np.arange(len(r)) - first[r] < k
+        out_q.append(qid[rows][r[keep]])
+        out_c.append(cid[j[keep]])
+        out_d.append(d[keep])
+    return pd.DataFrame({"i": np.concatenate(out_q), "j": np.concatenate(out_c), "d": np.concatenate(out_d)})
+
+
+def valid(table: DataFrame) -> DataFrame:
+    """The points that can take part: with an id, and a vector that is neither null or empty nor holds null or non-finite entries."""
+    finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return table.where(F.col("id").isNotNull() & (F.size("vec") > 0) & finite)
+
+
+def _side(key: str, tiles: int):
+    return F.pmod(F.xxhash64(key), F.lit(tiles)).cast("int")
+
+
+def _meet(left: DataFrame, right: DataFrame, work, schema: str, tile: int) -> DataFrame:
+    """``work`` on every pair of a tile of one table and a tile of the other, as arrays of ids and matrices."""
+    a, b = max(1, -(-left.count() // tile)), max(1, -(-right.count() // tile))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    x = left.select("id", "vec", _side("id", a).alias("a"), upto(b).alias("b"))
+    y = right.select("id", "vec", upto(a).alias("a"), _side("id", b).alias("b"))
 
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return work(None)
+        return work((x["id"].to_numpy(), np.stack(x["vec"].to_list()), y["id"].to_numpy(), np.stack(y["vec"].to_list())))
 
-def knn(table: DataFrame, k: int, tile: int = TILE) -> DataFrame:
-    """Exact Euclidean neighbours: tiles of points meet tiles of points, each pair of tiles one matrix product."""
-    n = table.count()
-    tiles = max(1, -(-n // tile))
-    k = min(k, max(n - 1, 0))
-    cells = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-    side = F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")
-    right = table.withColumn("b", side).withColumn("a", cells)
-    left = table.withColumn("a", side).withColumn("b", cells)
+    return x.groupBy("a", "b").cogroup(y.groupBy("a", "b")).applyInPandas(meet, schema)
 
-    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y) or not k:
+
+def nearest_of(left: DataFrame, right: DataFrame, k: int, tile: int = TILE, same: bool = False) -> DataFrame:
+    """i, j, rank, d: the ``k`` nearest points of ``right`` for each of ``left``; with ``same`` equal ids are no neighbours."""
+
+    def work(tiles) -> pd.DataFrame:
+        if tiles is None or k < 1:
             return pd.DataFrame({"i": np.empty(0, np.int64), "j": np.empty(0, np.int64), "d": np.empty(0)})
-        return nearest(y["id"].to_numpy(), np.stack(y["vec"].to_list()), x["id"].to_numpy(), np.stack(x["vec"].to_list()), k)
+        qid, q, cid, c = tiles
+        if not same:  # ids of the two tables have nothing to do with each other
+            found = nearest(np.arange(len(cid)), c[np.argsort(cid, kind="stable")], np.full(len(qid), -1), q, k)
+            return found.assign(i=np.repeat(qid, min(k, len(cid))), j=np.sort(cid)[found["j"]])
+        return nearest(cid, c, qid, q, k)
 
-    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(meet, "i long, j long, d double")
+    found = _meet(valid(left), valid(right), work, "i long, j long, d double", tile)
     w = Window.partitionBy("i").orderBy("d", "j")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def knn(table: DataFrame, k: int, tile: int = TILE) -> DataFrame:
+    """Exact Euclidean neighbours: tiles of points meet tiles of points, each pair of tiles one matrix product.
+
+    ``k`` is clamped to n - 1; points that can't take part (see :func:`valid`) have no neighbours and are none.
+    """
+    return nearest_of(table, table, k, tile, same=True)
+
+
+def pair_sums(left: DataFrame, right: DataFrame, of_squares, tile: int = 2048) -> DataFrame:
+    """One row: s, the sum of ``of_squares`` (a numpy function of squared distances) over all pairs of two tables, and n, their number; tile by tile."""
+
+    def work(tiles) -> pd.DataFrame:
+        if tiles is None:
+            return pd.DataFrame({"s": np.empty(0), "n": np.empty(0, np.int64)})
+        _, x, _, y = tiles
+        centre = y.mean(axis=0)
+        x, y = x - centre, y - centre
+        d2 = np.maximum((x * x).sum(1)[:, None] - 2 * x @ y.T + (y * y).sum(1)[None, :], 0)
+        return pd.DataFrame({"s": [float(of_squares(d2).sum())], "n": [d2.size]})
+
+    number = lambda t: t.select(F.monotonically_increasing_id().alias("id"), "vec")
+    return _meet(number(left), number(right), work, "s double, n long", tile).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+
+
 def pair_distances(table: DataFrame) -> DataFrame:
     """All pairs i < j with their distance: for the metrics that are defined on all pairs."""
     other = table.select(F.col("id").alias("j"), F.col("vec").alias("w"))
@@ -110,10 +170,10 @@ def ranks_of(pairs: DataFrame, table: DataFrame, tile: int = TILE) -> DataFrame:
     return counts.groupBy("i", "j").agg((F.sum("n") + 1).alias("r"))
 
 
-def trustworthiness(high: DataFrame, low_edges: DataFrame, k: int) -> DataFrame:
-    """One row: 1 minus the normalised excess ranks of neighbours that only the embedding has."""
+def trustworthiness(high: DataFrame, low_edges: DataFrame, k: int, near: DataFrame | None = None) -> DataFrame:
+    """One row: 1 minus the normalised excess ranks of neighbours that only the embedding has; ``near`` are the neighbours in ``high``, if known."""
     n = high.count()
-    near = knn(high, k)
+    near = knn(high, k) if near is None else near
     strange = low_edges.where(F.col("rank") <= k).join(near.select("i", "j"), ["i", "j"], "left_anti").select("i", "j")
     ranks = ranks_of(strange, high)
     norm = n * k * (2 * n - 3 * k - 1)

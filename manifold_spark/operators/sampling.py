@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def uniform(id_col: str, seed: int) -> Column:
     """A number in (0, 1) for each id."""
-    digest = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}")))
+    return uniform_of(F.col(id_col).cast("string"), seed)
+
+
+def uniform_of(key: Column, seed: int) -> Column:
+    digest = F.md5(F.concat(key, F.lit(f":{seed}")))
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") + 0.5) / F.lit(float(1 << 48))
 
 
@@ -63,6 +69,22 @@ def density_spike(table: DataFrame, center: list[float], radius: float, multipli
     from .neighbours import distance
 
     near = table.where(distance("vec", F.array(*(F.lit(float(c)) for c in center))) <= radius)
-    copies = near.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(multiplier - 1)))) if multiplier > 1 else near.limit(0).withColumn("copy", F.lit(0))
-    jitter = copies.select("id", F.transform("vec", lambda x, i: x + noise * (2 * F.rand(seed) - 1) if noise else x).alias("vec"), F.lit(1).alias("spike")) if noise == 0 else copies.withColumn("z", F.array(*(F.randn(seed + i) for i in range(len(center))))).select("id", F.zip_with("vec", "z", lambda x, z: x + noise * z).alias("vec"), F.lit(1).alias("spike"))
-    return table.select("id", "vec", F.lit(0).alias("spike")).union(jitter)
+    copies = near.select("id", "vec", F.explode(F.sequence(F.lit(1), F.lit(multiplier - 1))).alias("copy")) if multiplier > 1 else near.limit(0).select("id", "vec", F.lit(1).alias("copy"))
+    if noise:
+        # normal numbers by a hash of id, copy and dimension
+        u = lambda p, s: uniform_of(F.concat_ws(",", "id", "copy", F.lit(p)), s)
+        z = [F.sqrt(-2 * F.log(u(p, seed))) * F.cos(2 * math.pi * u(p, seed + 1)) for p in range(len(center))]
+        copies = copies.select("id", F.zip_with("vec", F.array(*z), lambda x, e: x + noise * e).alias("vec"))
+    return table.select("id", "vec", F.lit(0).alias("spike")).union(copies.select("id", "vec", F.lit(1).alias("spike")))
+
+
+def sample_size(total: int, n: int | None = None, fraction: float | None = None) -> int:
+    """How many rows a sampler takes: exactly one of ``n`` (at most all) and ``fraction`` is given."""
+    if (n is None) == (fraction is None):
+        raise ValueError("give either n or fraction")
+    return min(n, total) if n is not None else int(total * fraction)
+
+
+def follow(metadata: DataFrame, sample: DataFrame, id_col: str = "id") -> DataFrame:
+    """The rows of a table that belong to the sampled ids."""
+    return metadata.join(sample.select(id_col), id_col, "left_semi")

@@ -2,22 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .neighbours import distance, dot
+from ..session import join_counted, materialize
+from .neighbours import distance, dot, valid
 
 
-def average_rank(value: Column | str, *partition: str) -> Column:
-    """Ranks from 1, ties sharing their mean."""
-    v = F.col(value) if isinstance(value, str) else value
-    w = Window.partitionBy(*(partition or (F.lit(0),)))
-    return F.rank().over(w.orderBy(v)) + (F.count("*").over(Window.partitionBy(*(partition or (F.lit(0),)), v)) - 1) / 2
+def with_average_rank(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
+    """The rows with their rank from 1, ties sharing their mean; null values are ranked first.
+
+    Values are counted, ranges of values are sorted apart, and each range adds the
+    rows of those before it: what one task sees is one range, and one row a range
+    is summed in order. Hot values are joined back by :func:`join_counted`.
+    """
+    counts = materialize(df.groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__n")), "values")
+    placed = materialize(counts.repartitionByRange("__v").withColumn("__part", F.spark_partition_id()), "ranges")
+    before = placed.groupBy("__part").agg(F.sum("__n").alias("__all")).select("__part", (F.sum("__all").over(Window.orderBy("__part")) - F.col("__all")).alias("__before"))
+    upto = F.sum("__n").over(Window.partitionBy("__part").orderBy("__v")) - F.col("__n")
+    ranks = placed.join(F.broadcast(before), "__part").select("__v", "__n", (F.col("__before") + upto + (F.col("__n") + 1) / 2).alias(name))
+    ranks = materialize(ranks, "ranks")
+    known = join_counted(df.withColumn("__v", F.col(value)).where("__v is not null"), ranks.where("__v is not null"), ["__v"], "__n").drop("__v", "__n")
+    nulls = df.where(F.col(value).isNull()).crossJoin(F.broadcast(ranks.where("__v is null").select(name)))
+    return known.select(*df.columns, name).unionByName(nulls.select(*df.columns, name))
 
 
 def percentile_ranks(df: DataFrame, value: str) -> DataFrame:
-    n = F.count("*").over(Window.partitionBy(F.lit(0)))
-    return df.withColumn("pct_rank", F.when(n > 1, (average_rank(value) - 1) / (n - 1)).otherwise(0.0))
+    n = df.count()
+    return with_average_rank(df, value).withColumn("pct_rank", (F.col("rank") - 1) / F.lit(n - 1) if n > 1 else F.lit(0.0)).drop("rank")
 
 
 def strata(df: DataFrame, value: str, low: float = 0.25, high: float = 0.75) -> DataFrame:
@@ -38,24 +52,60 @@ def auc(df: DataFrame, score: str, label: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    return df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(average_rank(a).alias("x"), average_rank(b).alias("y")).agg(F.corr("x", "y").alias("spearman"))
+    """One row: the rank correlation of two columns, over the rows that have both."""
+    both = materialize(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b")), "both")
+    return with_average_rank(with_average_rank(both, "a", "x"), "b", "y").agg(F.corr("x", "y").alias("spearman"))
 
 
-def silhouette(table: DataFrame, labels: DataFrame) -> DataFrame:
-    """id and silhouette by Euclidean distance; 0 for clusters of one point."""
-    p = table.join(labels, "id")
-    q = p.select(F.col("id").alias("j"), F.col("vec").alias("w"), F.col("label").alias("other"))
-    by = p.join(q, F.col("id") != F.col("j")).groupBy("id", "label", "other").agg(F.avg(distance("vec", "w")).alias("m"))
-    ab = by.groupBy("id", "label").agg(F.min(F.when(F.col("other") == F.col("label"), F.col("m"))).alias("a"), F.min(F.when(F.col("other") != F.col("label"), F.col("m"))).alias("b"))
-    return ab.select("id", F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0)).alias("silhouette"))
-
+def silhouette(table: DataFrame, labels: DataFrame, tile: int = 2048) -> DataFrame:
+    """id and silhouette by Euclidean distance; 0 for clusters of one point.
 
-def gram(table: DataFrame) -> DataFrame:
-    """Long centred second moments: p, q, c (the covariance times n), one pass and d x d rows."""
-    long = table.select("id", F.posexplode("vec").alias("p", "x"))
-    mean = long.groupBy("p").agg(F.avg("x").alias("m"))
-    z = long.join(F.broadcast(mean), "p").select("id", "p", (F.col("x") - F.col("m")).alias("z"))
-    return z.join(z.select("id", F.col("p").alias("q"), F.col("z").alias("y")), "id").groupBy("p", "q").agg(F.sum(F.col("z") * F.col("y")).alias("c"))
+    Defined on all pairs: tiles of matrix products, of which only sums by point and label leave a task.
+    """
+    p = materialize(valid(table).join(labels.where("label is not null").select("id", F.col("label").cast("string").alias("label")), "id"), "labelled")
+    tiles = max(1, -(-p.count() // tile))
+    side = F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")
+    upto = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
+    x, y = p.withColumn("a", side).withColumn("b", upto), p.withColumn("b", side).withColumn("a", upto)
+
+    def sums(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"id": np.empty(0, np.int64), "label": np.empty(0, object), "other": np.empty(0, object), "s": np.empty(0), "n": np.empty(0, np.int64)})
+        u, v = np.stack(x["vec"].to_list()), np.stack(y["vec"].to_list())
+        centre = v.mean(axis=0)
+        u, v = u - centre, v - centre
+        d = np.sqrt(np.maximum((u * u).sum(1)[:, None] - 2 * u @ v.T + (v * v).sum(1)[None, :], 0))
+        same = x["id"].to_numpy()[:, None] == y["id"].to_numpy()[None, :]
+        d[same] = 0
+        code, other = pd.factorize(y["label"])
+        member = np.eye(len(other))[code]
+        s, n = d @ member, (~same) @ member
+        return pd.DataFrame({"id": np.repeat(x["id"].to_numpy(), len(other)), "label": np.repeat(x["label"].to_numpy(), len(other)), "other": np.tile(np.asarray(other), len(x)), "s": s.ravel(), "n": n.ravel().astype(np.int64)})
+
+    by = x.groupBy("a", "b").cogroup(y.groupBy("a", "b")).applyInPandas(sums, "id long, label string, other string, s double, n long")
+    by = by.groupBy("id", "label", "other").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("m"))
+    ab = by.groupBy("id", "label").agg(F.min(F.when(F.col("other") == F.col("label"), F.col("m"))).alias("a"), F.min(F.when(F.col("other") != F.col("label"), F.col("m"))).alias("b"))
+    return ab.select("id", F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)).alias("silhouette"))
+
+
+def gram(table: DataFrame, centred: bool = True) -> DataFrame:
+    """Second moments (times n) of the dimensions: p, q, c. A task passes on its d x d sums, whatever it reads."""
+
+    def partial(batches):
+        for b in batches:
+            if len(b):
+                x = np.stack(b["vec"].to_list())
+                d = x.shape[1]
+                p, q = np.divmod(np.arange(d * d), d)
+                mean = x.mean(axis=0)
+                c = (x - mean).T @ (x - mean)
+                yield pd.DataFrame({"n": len(x), "p": p, "q": q, "c": c.ravel(), "mp": mean[p], "mq": mean[q]})
+
+    parts = table.select("vec").mapInPandas(partial, "n long, p int, q int, c double, mp double, mq double")
+    # moments about each batch's own mean, whose distance from the mean of all comes on top
+    total = parts.groupBy("p", "q").agg(F.sum("n").alias("n"), F.sum("c").alias("c"), F.sum(F.col("n") * F.col("mp") * F.col("mq")).alias("pq"), F.sum(F.col("n") * F.col("mp")).alias("sp"), F.sum(F.col("n") * F.col("mq")).alias("sq"))
+    about_zero = F.col("c") + F.col("pq")
+    return total.select("p", "q", (about_zero - F.col("sp") * F.col("sq") / F.col("n") if centred else about_zero).alias("c"))
 
 
 def linear_cka(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -204,16 +204,6 @@ def symmetrised_graph(spark, sf_dir):
     return h.union(h.select("j", "i", "w")).groupBy("i", "j").agg(F.round(F.sum("w") / 2, 6).alias("w"))
 
 
-@query("WITH m AS (SELECT vec_id AS id, (embedding::DOUBLE[])[1:8] AS v, CAST(label >= 5 AS INT) AS side FROM embeddings), d AS (SELECT a.id, list_distance(a.v, b.v) AS d, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS r FROM m a JOIN m b ON a.side = 0 AND b.side = 1) SELECT round(avg(greatest(d - 0.01, 0)), 6) AS density_loss FROM d WHERE r <= 5")
-def density_loss(spark, sf_dir):
-    """Mean hinged distance of the points of one side (labels below 5) to their five nearest of the other."""
-    p = _sides(spark, sf_dir)
-    a, b = p.where("side = 0"), p.where("side = 1").select(F.col("id").alias("j"), F.col("vec").alias("w"))
-    d = a.crossJoin(b).select("id", "j", nb.distance("vec", "w").alias("d"))
-    near = d.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("d", "j"))).where("r <= 5")
-    return near.agg(F.round(F.avg(F.greatest(F.col("d") - 0.01, F.lit(0.0))), 6).alias("density_loss"))
-
-
 # statistics ------------------------------------------------------------------
 
 
@@ -241,42 +231,6 @@ def metric_agreement(spark, sf_dir):
     return statistics.spearman(read_table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice"), "l_quantity", "l_extendedprice").select(F.round("spearman", 6).alias("spearman"))
 
 
-@query("SELECT l_returnflag, l_linestatus, round(avg(l_quantity), 6) AS mean_quantity, round(avg(l_extendedprice), 4) AS mean_price FROM lineitem GROUP BY ALL")
-def pivot_table(spark, sf_dir):
-    return read_table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.avg("l_quantity"), 6).alias("mean_quantity"), F.round(F.avg("l_extendedprice"), 4).alias("mean_price"))
-
-
-@query("SELECT l_discount, l_tax, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS std FROM lineitem GROUP BY ALL")
-def parameter_sensitivity(spark, sf_dir):
-    return read_table(spark, sf_dir, "lineitem").groupBy("l_discount", "l_tax").agg(F.round(F.avg("l_quantity"), 6).alias("mean"), F.round(F.stddev_samp("l_quantity"), 6).alias("std"))
-
-
-@query("WITH p AS (SELECT vec_id AS id, (embedding::DOUBLE[])[1:8] AS v, (embedding::DOUBLE[])[9:16] AS w FROM embeddings), d AS (SELECT list_distance(a.v, b.v) AS x, list_distance(a.w, b.w) AS y FROM p a JOIN p b ON a.id < b.id) SELECT round(corr(x, y), 6) AS pearson FROM d")
-def distance_correlation(spark, sf_dir):
-    e = read_table(spark, sf_dir, "embeddings")
-    a, b = nb.pair_distances(nb.points(e, first=1, length=8)), nb.pair_distances(nb.points(e, first=9, length=8))
-    return a.join(b.withColumnRenamed("d", "e"), ["i", "j"]).agg(F.round(F.corr("d", "e"), 6).alias("pearson"))
-
-
-@query(
-    "WITH x AS (SELECT vec_id AS id, unnest(range(1, 17)) AS p, unnest((embedding::DOUBLE[])[1:16]) AS v FROM embeddings), z AS (SELECT id, p, v - avg(v) OVER (PARTITION BY p) AS z FROM x), g AS (SELECT a.p, b.p AS q, sum(a.z * b.z) AS c FROM z a JOIN z b USING (id) GROUP BY a.p, b.p) SELECT round(sum(CASE WHEN p <= 8 AND q > 8 THEN c * c END) / sqrt(sum(CASE WHEN p <= 8 AND q <= 8 THEN c * c END) * sum(CASE WHEN p > 8 AND q > 8 THEN c * c END)), 6) AS cka FROM g"
-)
-def cka_linear(spark, sf_dir):
-    return statistics.linear_cka(table(spark, sf_dir, 1, 8), table(spark, sf_dir, 9, 8)).select(F.round("cka", 6).alias("cka"))
-
-
-@query()
-def anisotropy(spark, sf_dir):
-    """Share of the largest singular value of the centred data: d x d moments, then one small eigenproblem (tests: numpy)."""
-    import numpy as np
-
-    g = statistics.gram(table(spark, sf_dir, 1, 16)).toPandas()  # 16 x 16 rows, whatever the number of points
-    m = np.zeros((16, 16))
-    m[g["p"], g["q"]] = g["c"]
-    s = np.sqrt(np.clip(np.linalg.eigvalsh(m), 0, None))
-    return spark.createDataFrame([(round(float(s[-1] / s.sum()), 6),)], "anisotropy double")
-
-
 _FRACTAL = """WITH x AS (SELECT vec_id AS id, unnest([1, 2]) AS p, unnest((embedding::DOUBLE[])[1:2]) AS x FROM embeddings), r AS (SELECT p, min(x) AS lo, max(x) - min(x) AS range FROM x GROUP BY p), s AS (SELECT ln(min(range) / 10) AS a, ln(max(range)) AS b FROM r), e AS (SELECT i, exp(a + (b - a) * i / 9) AS eps FROM s, range(10) t(i)), c AS (SELECT e.i, eps, id, string_agg(CAST(CAST(floor((x - lo) / eps) AS BIGINT) AS VARCHAR), ',' ORDER BY x.p) AS cell FROM x JOIN r USING (p), e GROUP BY e.i, eps, id), n AS (SELECT eps, count(DISTINCT cell) AS n FROM c GROUP BY eps) SELECT round(-regr_slope(ln(n), ln(eps)), 4) AS fractal_dimension FROM n"""
 
 
@@ -294,22 +248,6 @@ def multi_model_spread(spark, sf_dir):
     return d.groupBy(F.col("s_nationkey").alias("nation")).agg(F.round(F.avg(F.abs(F.col("s_acctbal") - F.col("bal"))), 4).alias("spread"))
 
 
-@query("WITH x AS (SELECT CAST(label >= 5 AS INT) AS side, vec_id AS id, (embedding::DOUBLE[])[1:8] AS v FROM embeddings), k AS (SELECT a.side AS s, b.side AS t, exp(-power(list_distance(a.v, b.v), 2)) AS k FROM x a CROSS JOIN x b) SELECT round(avg(CASE WHEN s = 0 AND t = 0 THEN k END) + avg(CASE WHEN s = 1 AND t = 1 THEN k END) - 2 * avg(CASE WHEN s = 0 AND t = 1 THEN k END), 8) AS mmd FROM k")
-def mmd_loss(spark, sf_dir):
-    """Squared maximum mean discrepancy of the two sides of the labels under one Gaussian kernel."""
-    p = _sides(spark, sf_dir)
-    q = p.select(F.col("side").alias("t"), F.col("vec").alias("w"))
-    k = p.crossJoin(q).select(F.col("side").alias("s"), "t", F.exp(-F.pow(nb.distance("vec", "w"), F.lit(2.0))).alias("k"))
-    mean = lambda s, t: F.avg(F.when((F.col("s") == s) & (F.col("t") == t), F.col("k")))
-    return k.agg(F.round(mean(0, 0) + mean(1, 1) - 2 * mean(0, 1), 8).alias("mmd"))
-
-
-@query("SELECT round(avg(power(x - y, 2)), 8) AS mse FROM (SELECT unnest((embedding::DOUBLE[])[1:8]) AS x, unnest((embedding::DOUBLE[])[9:16]) AS y FROM embeddings)")
-def mse_loss(spark, sf_dir):
-    e = read_table(spark, sf_dir, "embeddings").select(F.explode(F.arrays_zip(F.slice("embedding", 1, 8).cast("array<double>").alias("x"), F.slice("embedding", 9, 8).cast("array<double>").alias("y"))).alias("z"))
-    return e.select("z.*").toDF("x", "y").agg(F.round(F.avg(F.pow(F.col("x") - F.col("y"), F.lit(2.0))), 8).alias("mse"))
-
-
 @query("WITH s AS (SELECT vec_id, unnest(range(8)) AS c, unnest((embedding::DOUBLE[])[1:8]) AS x FROM embeddings), l AS (SELECT c AS component, vec_id % 3 AS modality, sqrt(sum(x * x)) AS norm FROM s GROUP BY ALL), f AS (SELECT component, modality, norm / sum(norm) OVER (PARTITION BY component) AS share FROM l) SELECT component, modality, round(share, 6) AS share, min(share) OVER (PARTITION BY component) >= 0.1 AS shared FROM f")
 def loadings_analysis(spark, sf_dir):
     long = table(spark, sf_dir, 1, 8).select((F.col("id") % 3).alias("modality"), F.posexplode("vec").alias("component", "loading"))
@@ -406,57 +344,6 @@ def density_spike(spark, sf_dir):
 # projection and scalar functions ---------------------------------------------
 
 
-@query("WITH g AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 45 THEN -1 ELSE CAST(l_quantity AS INT) % 3 END AS raw, l_suppkey FROM lineitem), v AS (SELECT *, CASE WHEN raw <> -1 THEN raw END AS g FROM g), f AS (SELECT avg(g / 2.0) AS p FROM v) SELECT l_orderkey, l_linenumber, round(coalesce((g - 2 * p) / CASE WHEN 2 * p * (1 - p) > 0 THEN sqrt(2 * p * (1 - p)) ELSE 1 END, 0), 6) AS z FROM v, f")
-def genotype_normalisation(spark, sf_dir):
-    """Missing codes to null, Hardy-Weinberg scaling, null to 0."""
-    raw = F.when(F.col("l_quantity") > 45, -1).otherwise(F.col("l_quantity").cast("int") % 3)
-    g = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(raw != -1, raw).alias("g"))
-    p = g.agg(F.avg(F.col("g") / 2).alias("p"))
-    var = 2 * F.col("p") * (1 - F.col("p"))
-    z = (F.col("g") - 2 * F.col("p")) / F.when(var > 0, F.sqrt(var)).otherwise(1.0)
-    return g.crossJoin(F.broadcast(p)).select("l_orderkey", "l_linenumber", F.round(F.coalesce(z, F.lit(0.0)), 6).alias("z"))
-
-
-@query("WITH x AS (SELECT vec_id AS id, unnest(range(4)) AS p, unnest((embedding::DOUBLE[])[1:4]) AS x FROM embeddings) SELECT id, p, round((x - min(x) OVER w) / CASE WHEN max(x) OVER w > min(x) OVER w THEN max(x) OVER w - min(x) OVER w ELSE 1 END, 6) AS x FROM x WINDOW w AS (PARTITION BY p)")
-def scale_dimensions(spark, sf_dir):
-    x = table(spark, sf_dir, 1, 4).select("id", F.posexplode("vec").alias("p", "x"))
-    r = x.groupBy("p").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    span = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1.0)
-    return x.join(F.broadcast(r), "p").select("id", "p", F.round((F.col("x") - F.col("lo")) / span, 6).alias("x"))
-
-
-@query("WITH c AS (SELECT vec_id AS id, (embedding::DOUBLE[])[1] * 90 AS lat, (embedding::DOUBLE[])[2] * 180 AS lon FROM embeddings), h AS (SELECT a.id AS i, b.id AS j, power(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2) AS h FROM c a JOIN c b ON a.id < b.id) SELECT i, j, round(2 * 6371 * atan2(sqrt(h), sqrt(1 - h)), 3) AS km FROM h")
-def haversine(spark, sf_dir):
-    c = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i"), (F.col("embedding")[0].cast("double") * 90).alias("lat"), (F.col("embedding")[1].cast("double") * 180).alias("lon"))
-    o = c.select(F.col("i").alias("j"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    sq = lambda x: F.pow(F.sin(F.radians(x) / 2), F.lit(2.0))
-    h = sq(F.col("lat2") - F.col("lat")) + F.cos(F.radians("lat")) * F.cos(F.radians("lat2")) * sq(F.col("lon2") - F.col("lon"))
-    return c.join(o, F.col("i") < F.col("j")).withColumn("h", h).select("i", "j", F.round(2 * 6371 * F.atan2(F.sqrt("h"), F.sqrt(1 - F.col("h"))), 3).alias("km"))
-
-
-@query("WITH x AS (SELECT vec_id AS id, unnest(range(8)) AS p, unnest((embedding::DOUBLE[])[1:8]) AS x FROM embeddings) SELECT id, p, round(sign(x) * greatest(abs(x) - 0.05, 0), 6) AS x FROM x")
-def soft_threshold(spark, sf_dir):
-    x = table(spark, sf_dir, 1, 8).select("id", F.posexplode("vec").alias("p", "x"))
-    return x.select("id", "p", F.round(F.signum("x") * F.greatest(F.abs("x") - 0.05, F.lit(0.0)), 6).alias("x"))
-
-
-@query("WITH p AS (SELECT vec_id AS id, (embedding::DOUBLE[])[1:8] AS v FROM embeddings), k AS (SELECT a.id AS i, b.id AS j, list_dot_product(a.v, b.v) AS k FROM p a CROSS JOIN p b) SELECT i, j, round(k - avg(k) OVER (PARTITION BY i) - avg(k) OVER (PARTITION BY j) + avg(k) OVER (), 6) AS k FROM k")
-def center_gram_matrix(spark, sf_dir):
-    p = nb.points(read_table(spark, sf_dir, "embeddings"), first=1, length=8)
-    k = p.select(F.col("id").alias("i"), "vec").crossJoin(p.select(F.col("id").alias("j"), F.col("vec").alias("w"))).select("i", "j", nb.dot("vec", "w").alias("k"))
-    mean = lambda *by: F.avg("k").over(Window.partitionBy(*by))
-    return k.select("i", "j", F.round(F.col("k") - mean("i") - mean("j") + mean(F.lit(0)), 6).alias("k"))
-
-
-@query("WITH l AS (SELECT 'trustworthiness: 0.' || l_orderkey || ' lid: array([' || l_quantity || ', ' || l_tax || '])' AS line, l_orderkey, l_linenumber FROM lineitem) SELECT l_orderkey, l_linenumber, CAST(regexp_extract(line, 'trustworthiness: ([0-9.]+)', 1) AS DOUBLE) AS trustworthiness, CAST(trim(string_split(regexp_extract(line, 'array\\(\\[([^\\]]*)', 1), ',')[1]) AS DOUBLE) AS lid_2 FROM l")
-def log_metrics(spark, sf_dir):
-    """Metric values out of log lines: a float, and the first of an array."""
-    l = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("trustworthiness: 0."), "l_orderkey", F.lit(" lid: array(["), "l_quantity", F.lit(", "), "l_tax", F.lit("])")).alias("line"))
-    number = F.regexp_extract("line", "trustworthiness: ([0-9.]+)", 1).cast("double")
-    first = F.trim(F.split(F.regexp_extract("line", r"array\(\[([^\]]*)", 1), ",")[0]).cast("double")
-    return l.select("l_orderkey", "l_linenumber", number.alias("trustworthiness"), first.alias("lid_2"))
-
-
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def flatten_properties(spark, sf_dir):
     return read_table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
@@ -465,20 +352,6 @@ def flatten_properties(spark, sf_dir):
 # merging and sources ---------------------------------------------------------
 
 
-@query("SELECT vec_id AS id, unnest(range(8)) AS p, round(unnest(list_transform(range(1, 9), lambda i: 0.7 * embedding[i]::DOUBLE + 0.3 * embedding[i + 8]::DOUBLE)), 6) AS x FROM embeddings")
-def merge_weighted_sum(spark, sf_dir):
-    a, b = table(spark, sf_dir, 1, 8), table(spark, sf_dir, 9, 8).withColumnRenamed("vec", "other")
-    return a.join(b, "id").select("id", F.posexplode(F.zip_with("vec", "other", lambda x, y: F.round(0.7 * x + 0.3 * y, 6))).alias("p", "x"))
-
-
-@query("WITH n AS (SELECT vec_id AS id, (embedding::DOUBLE[])[1:8] AS a, (embedding::DOUBLE[])[9:16] AS b FROM embeddings), s AS (SELECT *, sqrt(list_dot_product(a, a)) AS x, sqrt(list_dot_product(b, b)) AS y FROM n) SELECT id, unnest(range(16)) AS p, round(unnest(list_concat(list_transform(a, lambda v: v / x), list_transform(b, lambda v: v / y))), 6) AS x FROM s")
-def merge_concat(spark, sf_dir):
-    """Channels joined on id, each scaled to length 1, side by side."""
-    unit = lambda v: F.transform(v, lambda x: x / F.sqrt(nb.dot(v, v)))
-    a, b = table(spark, sf_dir, 1, 8), table(spark, sf_dir, 9, 8).withColumnRenamed("vec", "other")
-    return a.join(b, "id").select("id", F.posexplode(F.transform(F.concat(unit(F.col("vec")), unit(F.col("other"))), lambda x: F.round(x, 6))).alias("p", "x"))
-
-
 @query("WITH q AS (SELECT c_custkey AS id, c_acctbal, 'train' AS part FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT c_custkey, c_acctbal, 'test' FROM customer WHERE c_acctbal < 0) SELECT id, part, q.c_acctbal, n_name FROM q JOIN customer c ON q.id = c.c_custkey JOIN nation ON c.c_nationkey = n_nationkey WHERE n_name IS NOT NULL")
 def admixture_tables(spark, sf_dir):
     """Two row-aligned tables put under each other, then joined to their metadata."""
@@ -591,3 +464,6 @@ def evaluate(spark, sf_dir):
     """Several metrics by name, as one long table."""
     asked = {"knn_preservation": {"k": 10}, "pearson_correlation": {}, "shepard_residual": {"k": 15}}
     return registry.evaluate(table(spark, sf_dir), table(spark, sf_dir, 1, 8), asked).select("metric", F.round("value", 4).alias("value"))
+
+
+from . import vector_queries  # noqa: E402, F401  registers its queries here
