@@ -112,9 +112,9 @@ def _orthonormal(gram: np.ndarray) -> np.ndarray:
     return np.where(keep, vectors / np.sqrt(np.where(keep, values, 1.0)), 0.0)
 
 
-def spectrum(edges: DataFrame, k: int = 25) -> DataFrame:
+def spectrum(edges: DataFrame, k: int = 25, rounds: int = 60) -> DataFrame:
     """place (from 0) and value of the ``k`` largest eigenvalues."""
-    values, _ = eigen(edges, k)
+    values, _ = eigen(edges, k, rounds)
     return edges.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "place int, value double")
 
 
@@ -153,12 +153,12 @@ def topology(table: DataFrame, values: DataFrame) -> DataFrame:
     return shape.crossJoin(gap_ratio(values)).crossJoin(of)
 
 
-def diffusion_coordinates(edges: DataFrame, k: int = 2, t: int = 1, alpha: float = 1.0) -> DataFrame:
+def diffusion_coordinates(edges: DataFrame, k: int = 2, t: int = 1, alpha: float = 1.0, rounds: int = 60) -> DataFrame:
     """id, vec: coordinates lambda ** t times psi of the first ``k`` nontrivial eigenvectors of the transition matrix.
 
     These come from the symmetric operator: psi is its eigenvector over that of eigenvalue one.
     """
-    values, vectors = eigen(symmetric_operator(edges, alpha), k + 1)
+    values, vectors = eigen(symmetric_operator(edges, alpha), k + 1, rounds)
     first = F.get("x", F.lit(0))
     return vectors.select("id", F.array(*(F.get("x", F.lit(c)) / first * float(values[c] ** t) for c in range(1, len(values)))).alias("vec"))
 

@@ -164,25 +164,6 @@ def trajectory_alignment(spark, sf_dir):
 # graphs ----------------------------------------------------------------------------
 
 
-@query()
-def affinity_spectrum(spark, sf_dir):
-    """The ten largest eigenvalues of the symmetric diffusion operator (tests: numpy)."""
-    op = spectral.symmetric_operator(spectral.gaussian_edges(table(spark, sf_dir), 15))
-    return spectral.spectrum(op, 10).select("place", F.round("value", 5).alias("value"))
-
-
-@query()
-def spectral_summary(spark, sf_dir):
-    """Gap ratio, decay rate and entropy of the ten largest eigenvalues."""
-    values = affinity_spectrum(spark, sf_dir)
-    return spectral.gap_ratio(values).crossJoin(spectral.decay_rate(values, 10)).crossJoin(spectral.spectral_entropy(values, 3))
-
-
-@query()
-def diffusion_map(spark, sf_dir):
-    return _long(spectral.diffusion_coordinates(spectral.gaussian_edges(table(spark, sf_dir), 15), 2), 4)
-
-
 @query()
 def geodesic_correlation(spark, sf_dir):
     """Distances along the neighbour graph from 16 points against straight ones of the embedding (tests: Floyd's algorithm)."""
@@ -192,7 +173,7 @@ def geodesic_correlation(spark, sf_dir):
 @query()
 def communities(spark, sf_dir):
     e = nb.kernel(nb.knn(table(spark, sf_dir), 15))
-    return clustering.communities(e)
+    return clustering.communities(e, rounds=5, levels=2)
 
 
 @query()
