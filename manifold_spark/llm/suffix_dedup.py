@@ -138,10 +138,11 @@ def repeats(docs: DataFrame, min_words: int = 50, w: int = 16) -> DataFrame:
     spans = materialize(spans, "spans")
     # equal texts: every copy but the first repeats it whole
     size = F.size(F.filter(F.split("text", _BLANK), lambda x: x != "")).cast("long")
-    whole = texts.groups.where("n > 1").select("text_key", F.struct("doc_id").alias("first"), size.alias("end_word")).where(F.col("end_word") >= min_words)
+    whole = texts.groups.where("n > 1").select("text_key", F.struct("doc_id").alias("first"), size.alias("end_word"), "n").where(F.col("end_word") >= min_words)
     known = spans.groupBy("text_key").agg(F.sum("n_later_words").alias("known_later"), F.min("first_doc_id").alias("known_first"))
-    whole = whole.join(known, "text_key", "left")
-    copies = texts.all.select("doc_id", "text_key").join(whole, "text_key").distinct()
+    whole = materialize(whole.join(known, "text_key", "left"), "whole")
+    # a large group of copies doesn't move to one task
+    copies = join_counted(texts.all.select("doc_id", "text_key"), whole, ["text_key"]).distinct()
     is_first = F.struct("doc_id") == F.col("first")
     copies = copies.select(
         "doc_id",
