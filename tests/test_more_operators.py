@@ -301,3 +301,57 @@ def test_evaluate_by_name(spark, cloud):
         registry.evaluate(table, low, ["nothing"])
     half = registry.evaluate(table, low, ["NoOp"], sample=lambda t: sampling.random(t, "id", 10))
     assert half.count() == 1
+
+
+def laplacian(edges, n):
+    a = np.zeros((n, n))
+    for r in edges.collect():
+        a[r.i, r.j] = 1
+    return np.diag(a.sum(1)) - a, a.sum(1)
+
+
+def test_smoothness_equals_the_laplacian(spark, cloud):
+    x, table = cloud
+    n = len(x)
+    edges = nb.knn(table, 4).select("i", "j")
+    lap, deg = laplacian(edges, n)
+    got = spectral.smoothness(edges, table, normalised=False).first()["smoothness"]
+    assert math.isclose(got, np.trace(x.T @ lap @ x) / x.shape[1], rel_tol=1e-9)
+    half = np.diag(deg**-0.5)
+    got = spectral.smoothness(edges, table).first()["smoothness"]
+    assert math.isclose(got, np.trace(x.T @ half @ lap @ half @ x) / x.shape[1], rel_tol=1e-9)
+
+
+def test_curvature_equals_dense_powers(spark, cloud):
+    x, table = cloud
+    edges = spectral.gaussian_edges(table, 4)
+    w = dense(edges, len(x))
+    p = w / w.sum(1, keepdims=True)
+    power = np.linalg.matrix_power(p, 2)
+    reached = (power @ power.T) > 0
+    d = np.sqrt(np.maximum(((power[:, None] - power[None]) ** 2).sum(-1), 0))
+    cut = np.sort(d[reached])[max(math.ceil(0.3 * reached.sum()) - 1, 0)]
+    ball = reached & (d <= cut + 1e-12)
+    got = {r.i: r.curvature for r in spectral.diffusion_curvature(spectral._row_shares(edges), t=2, percentile=0.3).collect()}
+    want = {i: power[i][ball[i]].mean() for i in range(len(x))}
+    assert got.keys() == want.keys()
+    assert np.allclose([got[i] for i in want], list(want.values()), atol=1e-6)
+
+
+def test_admixture_tables(spark, tmp_path):
+    (tmp_path / "train.txt").write_text("a\nb\nc\n")
+    (tmp_path / "test.txt").write_text("d\n")
+    for k in (2, 3):
+        for name, rows in (("train", 3), ("test", 1)):
+            (tmp_path / f"{name}.{k}.Q").write_text("".join(" ".join([f"0.{r + 1}"] * k) + "\n" for r in range(rows)))
+    metadata = spark.createDataFrame([("a", "x"), ("b", None), ("d", "y"), ("e", "z")], "ID string, population string")
+    got = files.admixture(spark, str(tmp_path), f"{tmp_path}/train.txt", f"{tmp_path}/test.txt", metadata, range(2, 4), "train", "test")
+    rows = sorted((r.k, r.ID, r.population, tuple(r.q)) for r in got.collect())
+    assert rows == [(k, i, p, (v,) * k) for k in (2, 3) for i, p, v in (("a", "x", 0.1), ("d", "y", 0.1))]
+
+
+def test_condensation_ends_at_one_group(spark):
+    x = np.concatenate([np.random.default_rng(5).normal(c, 0.05, size=(6, 2)) for c in (0, 3)])
+    steps = [(r.step, r.n) for r in spectral.condense(frame(spark, x), k=3, granularity=0.4, rounds=4).orderBy("step").collect()]
+    assert steps[0] == (0, 12)
+    assert [n for _, n in steps] == sorted((n for _, n in steps), reverse=True) and steps[-1][1] < 12
