@@ -61,7 +61,7 @@ def test_repeats_null_ids_and_empty(spark):
     assert suffix_dedup.repeats(docs.limit(0)).count() == 0
 
 
-def brute_lines(rows, window=3):
+def brute_lines(rows, window=3, long_words=10):
     runs, listed = {}, {}
     for doc_id, text in sorted(rows, key=lambda r: r[0]):
         lines = text.split("\n")
@@ -69,10 +69,13 @@ def brute_lines(rows, window=3):
         listed[doc_id] = (lines, full)
         for p in range(len(full) - window + 1):
             runs.setdefault(tuple(lines[i] for i in full[p : p + window]), []).append((doc_id, p))
+        for p, i in enumerate(full):
+            if len(lines[i].split()) >= long_words:
+                runs.setdefault((lines[i],), []).append((doc_id, p))
     gone = defaultdict(set)
-    for where in runs.values():
+    for run, where in runs.items():
         for doc_id, p in sorted(where)[1:]:
-            gone[doc_id].update(listed[doc_id][1][p : p + window])
+            gone[doc_id].update(listed[doc_id][1][p : p + len(run)])
     return {d: "\n".join(x for i, x in enumerate(lines) if i not in gone[d]) for d, (lines, _) in listed.items()}
 
 
@@ -81,14 +84,25 @@ def test_lines_equal_brute_force(spark, seed):
     rng = random.Random(seed)
     rows = [(i, "\n".join(rng.choice(["a", "b", "c", "d", "", " \t", "e f"]) + ("" if rng.random() < 0.6 else str(rng.randrange(9))) for _ in range(rng.randrange(1, 25)))) for i in range(80)]
     docs = spark.createDataFrame([(i, t, 1, "k", len(t)) for i, t in rows], "doc_id long, text string, run int, key string, n_chars long").repartition(4)
-    got = line_dedup.dedup_lines(docs)
+    got = line_dedup.dedup_lines(docs, long_words=2)
     assert got.columns == docs.columns
-    want = brute_lines(rows)
+    want = brute_lines(rows, long_words=2)
     assert {r.doc_id: r.text for r in got.collect()} == want
     assert all(r.n_chars == len(r.text) for r in got.collect())
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_long_lines_of_short_documents(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long), (2, "own\n" + long), (3, "own\nother"), (4, long + "\n" + long + "\nlast")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == brute_lines(rows) == {1: long, 2: "own", 3: "own\nother", 4: "last"}
+    # each fingerprint of a window is selected by fewer rows than there are windows
+    runs = line_dedup.windows_of(spark.createDataFrame([(1, "\n".join(map(str, range(300))))], "doc_id long, text string"), 3)
+    assert 0 < runs.where("selects").count() < runs.count() == 298
+
+
 def test_lines_edges(spark):
     docs = spark.createDataFrame([(1, None), (None, "a\nb\nc\nz"), (2, "a\nb\nc"), (2, "a\nb\nc"), (3, "")], "doc_id long, text string")
     got = sorted(((r.doc_id or -1, r.text) for r in line_dedup.dedup_lines(docs).collect()), key=str)
