@@ -7,6 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import packed, unpacked
+
+#: Slices of the hash's range by which large strata are counted before any of their rows is ordered.
+SLICES = 4096
+
 
 def uniform(id_col: str, seed: int) -> Column:
     """A number in (0, 1) for each id."""
@@ -27,23 +32,40 @@ def weighted(df: DataFrame, id_col: str, weight: str, n: int, seed: int = 42) ->
     return df.where(F.col(weight) > 0).orderBy(-F.log(uniform(id_col, seed)) / F.col(weight), id_col).limit(n)
 
 
+def _first_of_strata(df: DataFrame, id_col: str, by: str, quota: DataFrame, seed: int) -> DataFrame:
+    """The first ``want`` rows of each stratum by the hash of the id; ``quota`` has stratum and want. Null is a stratum too.
+
+    Rows are counted by slices of the hash's range. Slices below the one where
+    the quota is met are taken whole, and only that one's rows are ordered, so a
+    stratum with a large share of all rows is never ordered in one task.
+    """
+    rows = df.select(packed(df), F.col(by).alias("g"), F.col(id_col).alias("id"), uniform(id_col, seed).alias("u")).withColumn("slice", F.floor(F.col("u") * SLICES))
+    counts = rows.groupBy("g", "slice").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("g").orderBy("slice")) - F.col("n")
+    counts = counts.withColumn("before", before).join(quota, F.col("g").eqNullSafe(F.col("stratum"))).where("before < want")
+    cut = counts.groupBy("stratum").agg(F.max(F.struct("slice", (F.col("want") - F.col("before")).alias("need"))).alias("cut"))
+    met = rows.join(cut, F.col("g").eqNullSafe(F.col("stratum")))
+    order = F.row_number().over(Window.partitionBy("g").orderBy("u", "id"))
+    last = met.where("slice = cut.slice").withColumn("place", order).where("place <= cut.need")
+    return unpacked(met.where("slice < cut.slice").select("row").union(last.select("row")), df.columns)
+
+
 def stratified(df: DataFrame, id_col: str, by: str, n: int, seed: int = 42) -> DataFrame:
     """``n`` rows, shares of the strata kept: half-even rounding, what is left over to the largest strata."""
-    sizes = df.groupBy(by).agg(F.count("*").alias("size"))
-    all_ = Window.partitionBy(F.lit(0))
+    sizes = df.groupBy(F.col(by).alias("stratum")).agg(F.count("*").alias("size"))
+    all_ = Window.partitionBy(F.lit(0))  # over strata, not rows
     sizes = sizes.withColumn("want", F.bround(F.lit(float(n)) * F.col("size") / F.sum("size").over(all_)).cast("long"))
     rest = F.lit(n) - F.sum("want").over(all_)
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("size"), by))
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("size"), "stratum"))
     sizes = sizes.withColumn("want", F.col("want") + F.when(place <= F.abs(rest), F.signum(rest)).otherwise(0).cast("long"))
-    order = F.row_number().over(Window.partitionBy(by).orderBy(uniform(id_col, seed), id_col))
-    return df.withColumn("place", order).join(F.broadcast(sizes.select(by, "want")), by).where("place <= want").select(df.columns)
+    return _first_of_strata(df, id_col, by, sizes.select("stratum", "want"), seed)
 
 
 def balanced(df: DataFrame, id_col: str, by: str, seed: int = 42) -> DataFrame:
     """At most the median stratum's size of each stratum."""
-    cap = df.groupBy(by).agg(F.count("*").alias("size")).agg(F.floor(F.percentile("size", F.lit(0.5))).alias("cap"))
-    order = F.row_number().over(Window.partitionBy(by).orderBy(uniform(id_col, seed), id_col))
-    return df.withColumn("place", order).crossJoin(F.broadcast(cap)).where("place <= cap").select(df.columns)
+    sizes = df.groupBy(F.col(by).alias("stratum")).agg(F.count("*").alias("size"))
+    cap = sizes.agg(F.floor(F.percentile("size", F.lit(0.5))).alias("want"))
+    return _first_of_strata(df, id_col, by, sizes.select("stratum").crossJoin(F.broadcast(cap)), seed)
 
 
 def fixed(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:

@@ -125,8 +125,11 @@ def fractal_dimension(table: DataFrame, steps: int = 10) -> DataFrame:
     r = long.groupBy("p").agg(F.min("x").alias("lo"), (F.max("x") - F.min("x")).alias("range"))
     span = r.agg((F.log(F.min("range") / 10)).alias("a"), F.log(F.max("range")).alias("b"))
     sizes = span.select(F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.exp(F.col("a") + (F.col("b") - F.col("a")) * i / (steps - 1)))).alias("s", "eps"))
-    boxes = long.join(F.broadcast(r), "p").crossJoin(F.broadcast(sizes)).select("s", "eps", "id", F.struct("p", F.floor((F.col("x") - F.col("lo")) / F.col("eps")).alias("c")).alias("b"))
-    cells = boxes.groupBy("s", "eps", "id").agg(F.array_sort(F.collect_list("b")).alias("cell")).groupBy("s", "eps").agg(F.count_distinct("cell").alias("n"))
+    # one row of the least values by dimension; boxes are then told row by row
+    lows = r.agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "lo"))), lambda x: x["lo"]).alias("lows"))
+    boxes = table.where("vec is not null").select("vec").crossJoin(F.broadcast(lows)).crossJoin(F.broadcast(sizes))
+    cell = F.zip_with("vec", "lows", lambda x, lo: F.floor((x - lo) / F.col("eps")))
+    cells = boxes.select("s", "eps", cell.alias("cell")).distinct().groupBy("s", "eps").agg(F.count("*").alias("n"))
     return cells.agg((-F.regr_slope(F.log("n"), F.log("eps"))).alias("fractal_dimension"))
 
 

@@ -231,12 +231,12 @@ def metric_agreement(spark, sf_dir):
     return statistics.spearman(read_table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice"), "l_quantity", "l_extendedprice").select(F.round("spearman", 6).alias("spearman"))
 
 
-_FRACTAL = """WITH x AS (SELECT vec_id AS id, unnest([1, 2]) AS p, unnest((embedding::DOUBLE[])[1:2]) AS x FROM embeddings), r AS (SELECT p, min(x) AS lo, max(x) - min(x) AS range FROM x GROUP BY p), s AS (SELECT ln(min(range) / 10) AS a, ln(max(range)) AS b FROM r), e AS (SELECT i, exp(a + (b - a) * i / 9) AS eps FROM s, range(10) t(i)), c AS (SELECT e.i, eps, id, string_agg(CAST(CAST(floor((x - lo) / eps) AS BIGINT) AS VARCHAR), ',' ORDER BY x.p) AS cell FROM x JOIN r USING (p), e GROUP BY e.i, eps, id), n AS (SELECT eps, count(DISTINCT cell) AS n FROM c GROUP BY eps) SELECT round(-regr_slope(ln(n), ln(eps)), 4) AS fractal_dimension FROM n"""
+_FRACTAL = """WITH x AS (SELECT vec_id AS id, unnest(range(1, 65)) AS p, unnest(embedding::DOUBLE[]) AS x FROM embeddings), r AS (SELECT p, min(x) AS lo, max(x) - min(x) AS range FROM x GROUP BY p), s AS (SELECT ln(min(range) / 10) AS a, ln(max(range)) AS b FROM r), e AS (SELECT i, exp(a + (b - a) * i / 9) AS eps FROM s, range(10) t(i)), c AS (SELECT e.i, eps, id, string_agg(CAST(CAST(floor((x - lo) / eps) AS BIGINT) AS VARCHAR), ',' ORDER BY x.p) AS cell FROM x JOIN r USING (p), e GROUP BY e.i, eps, id), n AS (SELECT eps, count(DISTINCT cell) AS n FROM c GROUP BY eps) SELECT round(-regr_slope(ln(n), ln(eps)), 4) AS fractal_dimension FROM n"""
 
 
 @query(_FRACTAL)
 def fractal_dimension(spark, sf_dir):
-    return statistics.fractal_dimension(table(spark, sf_dir, 1, 2)).select(F.round("fractal_dimension", 4).alias("fractal_dimension"))
+    return statistics.fractal_dimension(table(spark, sf_dir)).select(F.round("fractal_dimension", 4).alias("fractal_dimension"))
 
 
 @query("WITH g AS (SELECT p1.s_nationkey AS nation, p1.s_suppkey AS a, p2.s_suppkey AS b, abs(p1.s_acctbal - p2.s_acctbal) AS d FROM supplier p1 JOIN supplier p2 ON p1.s_nationkey = p2.s_nationkey AND p1.s_suppkey < p2.s_suppkey) SELECT nation, round(avg(d), 4) AS spread FROM g GROUP BY nation")
@@ -248,9 +248,9 @@ def multi_model_spread(spark, sf_dir):
     return d.groupBy(F.col("s_nationkey").alias("nation")).agg(F.round(F.avg(F.abs(F.col("s_acctbal") - F.col("bal"))), 4).alias("spread"))
 
 
-@query("WITH s AS (SELECT vec_id, unnest(range(8)) AS c, unnest((embedding::DOUBLE[])[1:8]) AS x FROM embeddings), l AS (SELECT c AS component, vec_id % 3 AS modality, sqrt(sum(x * x)) AS norm FROM s GROUP BY ALL), f AS (SELECT component, modality, norm / sum(norm) OVER (PARTITION BY component) AS share FROM l) SELECT component, modality, round(share, 6) AS share, min(share) OVER (PARTITION BY component) >= 0.1 AS shared FROM f")
+@query("WITH s AS (SELECT vec_id, unnest(range(64)) AS c, unnest(embedding::DOUBLE[]) AS x FROM embeddings), l AS (SELECT c AS component, vec_id % 3 AS modality, sqrt(sum(x * x)) AS norm FROM s GROUP BY ALL), f AS (SELECT component, modality, norm / sum(norm) OVER (PARTITION BY component) AS share FROM l) SELECT component, modality, round(share, 6) AS share, min(share) OVER (PARTITION BY component) >= 0.1 AS shared FROM f")
 def loadings_analysis(spark, sf_dir):
-    long = table(spark, sf_dir, 1, 8).select((F.col("id") % 3).alias("modality"), F.posexplode("vec").alias("component", "loading"))
+    long = table(spark, sf_dir).select((F.col("id") % 3).alias("modality"), F.posexplode("vec").alias("component", "loading"))
     return statistics.loadings_summary(long).select("component", "modality", F.round("share", 6).alias("share"), "shared")
 
 
@@ -259,10 +259,10 @@ def loadings_analysis(spark, sf_dir):
 
 def _traces(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings")
-    return e.select((F.col("vec_id") % 7).alias("trace"), F.col("vec_id").alias("step"), F.slice("embedding", 1, 8).cast("array<double>").alias("vec"))
+    return e.select((F.col("vec_id") % 7).alias("trace"), F.col("vec_id").alias("step"), F.col("embedding").cast("array<double>").alias("vec"))
 
 
-_TRACE = "t AS (SELECT vec_id % 7 AS trace, vec_id AS step, (embedding::DOUBLE[])[1:8] AS v FROM embeddings), n AS (SELECT trace, step, v, lag(v) OVER w AS b, lead(v) OVER w AS a FROM t WINDOW w AS (PARTITION BY trace ORDER BY step)), d AS (SELECT *, list_transform(range(1, 9), lambda i: v[i] - b[i]) AS u, list_transform(range(1, 9), lambda i: a[i] - v[i]) AS x FROM n)"
+_TRACE = "t AS (SELECT vec_id % 7 AS trace, vec_id AS step, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT trace, step, v, lag(v) OVER w AS b, lead(v) OVER w AS a FROM t WINDOW w AS (PARTITION BY trace ORDER BY step)), d AS (SELECT *, list_transform(range(1, 65), lambda i: v[i] - b[i]) AS u, list_transform(range(1, 65), lambda i: a[i] - v[i]) AS x FROM n)"
 
 
 @query(f"WITH {_TRACE} SELECT trace, step, round(list_distance(v, b), 6) AS velocity, round(1 - list_cosine_similarity(v, b), 6) AS cosine_velocity FROM n")
@@ -383,9 +383,9 @@ def cka_rbf(spark, sf_dir):
     return comparison.rbf_cka(table(spark, sf_dir, 1, 32), table(spark, sf_dir, 33, 32)).select(F.round("cka", 6).alias("cka"))
 
 
-@query(f"WITH {_DRAWN.format(20000)}, f AS (SELECT * FROM s WHERE x >= (SELECT quantile_cont(x, 0.1) FROM s)), r AS (SELECT {_AVG_RANK.format('x')} AS a, {_AVG_RANK.format('y')} AS b FROM f) SELECT round(corr(a, b), 6) AS spearman FROM r")
+@query(f"WITH {_DRAWN.format(50000)}, f AS (SELECT * FROM s WHERE x >= (SELECT quantile_cont(x, 0.1) FROM s)), r AS (SELECT {_AVG_RANK.format('x')} AS a, {_AVG_RANK.format('y')} AS b FROM f) SELECT round(corr(a, b), 6) AS spearman FROM r")
 def ground_truth_preservation(spark, sf_dir):
-    return comparison.preservation(table(spark, sf_dir), table(spark, sf_dir, 1, 8), 20_000, only_far=True).select(F.round("spearman", 6).alias("spearman"))
+    return comparison.preservation(table(spark, sf_dir), table(spark, sf_dir, 1, 8), 50_000, only_far=True).select(F.round("spearman", 6).alias("spearman"))
 
 
 @query(f"WITH {_DRAWN.format(100)} SELECT round(corr(x, y), 6) AS pearson FROM s")

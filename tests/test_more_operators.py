@@ -355,3 +355,20 @@ def test_condensation_ends_at_one_group(spark):
     steps = [(r.step, r.n) for r in spectral.condense(frame(spark, x), k=3, granularity=0.4, rounds=4).orderBy("step").collect()]
     assert steps[0] == (0, 12)
     assert [n for _, n in steps] == sorted((n for _, n in steps), reverse=True) and steps[-1][1] < 12
+
+
+def test_strata_equal_an_order_of_all_rows(spark):
+    from pyspark.sql import functions as F
+
+    from manifold_spark.operators import sampling
+
+    strata = ["hot"] * 700 + ["b"] * 200 + ["c"] * 60 + [None] * 40
+    df = spark.createDataFrame([(i, g, -1, "x") for i, g in enumerate(strata)], "id long, g string, place int, slice string").repartition(5)
+    ranked = [(r.g, r.u, r.id) for r in df.select("id", "g", sampling.uniform("id", 7).alias("u")).collect()]
+    first = lambda g, n: {i for _, _, i in sorted(r for r in ranked if r[0] == g)[:n]}
+    got = sampling.stratified(df, "id", "g", 100, seed=7)
+    assert got.columns == df.columns
+    assert {r.id for r in got.collect()} == first("hot", 70) | first("b", 20) | first("c", 6) | {i for _, i in sorted((u, i) for g, u, i in ranked if g is None)[:4]}
+    sizes = {r.g: r.n for r in sampling.balanced(df, "id", "g", seed=7).groupBy("g").agg(F.count("*").alias("n")).collect()}
+    assert sizes == {"hot": 130, "b": 130, "c": 60, None: 40}
+    assert sampling.stratified(df.limit(0), "id", "g", 100).count() == 0 == sampling.balanced(df.limit(0), "id", "g").count()
