@@ -69,6 +69,18 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(read_table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_alignment import report
+
+    return report(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import report
+
+    return report(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -82,6 +94,8 @@ QUERIES = {
         op8_suffix_dedup,
         op9_line_dedup,
         op10_token_counts,
+        op12_token_alignment,
+        op13_whitening,
     )
 }
 ORACLES = {"op4_source_mixing": mixing.oracle(), "op9_line_dedup": line_dedup.ORACLE}
