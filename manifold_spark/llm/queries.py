@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_table
-from . import line_dedup, mixing
+from . import line_dedup, mixing, substring_dedup
 
 
 def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +69,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(read_table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import report
+
+    return report(read_table(spark, sf_dir, "documents"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_alignment import report
 
@@ -94,8 +100,9 @@ QUERIES = {
         op8_suffix_dedup,
         op9_line_dedup,
         op10_token_counts,
+        op11_substring_dedup,
         op12_token_alignment,
         op13_whitening,
     )
 }
-ORACLES = {"op4_source_mixing": mixing.oracle(), "op9_line_dedup": line_dedup.ORACLE}
+ORACLES = {"op4_source_mixing": mixing.oracle(), "op9_line_dedup": line_dedup.ORACLE, "op11_substring_dedup": substring_dedup.ORACLE}

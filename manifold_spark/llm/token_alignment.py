@@ -29,6 +29,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -60,23 +61,24 @@ def merge(a: list[int], b: list[int], a_size: list[int], b_size: list[int]) -> l
 
 
 class Known:
-    """What is remembered of a piece, or found of a whole text."""
-
-    __slots__ = ("digest", "pairs", "sizes", "times")
-
-    def __init__(self, groups: list[tuple[list[int], list[int]]]):
-        self.digest = ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups)
-        self.sizes = (sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups), sum(len(a) * len(b) for a, b in groups))
-        pairs: Counter = Counter()
-        for a, b in groups:
-            if len(a) == len(b) == 1:
-                pairs[a[0] << 32 | b[0]] += 1
+    """What is remembered of a piece, or found of a whole text: the digest's text, the numbers of tokens and the linked pairs."""
+
+    __slots__ = ("digest", "links", "many", "n_a", "n_b")
+
+    def __init__(self, a: list[int], b: list[int], a_size: list[int], b_size: list[int]):
+        # one token on a side ends nowhere but at the end
+        groups = [(a, b)] if len(a) == 1 or len(b) == 1 else merge(a, b, a_size, b_size)
+        self.digest = ";".join([f"{x[0]}|{y[0]}" if len(x) == len(y) == 1 else ",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups])
+        self.n_a, self.n_b = len(a), len(b)
+        # a pair stands here once for each of its links, but for groups of many tokens, whose pairs come with a number
+        self.links: list[int] = []
+        self.many: list[tuple[int, int]] = []
+        for x, y in groups:
+            if len(x) * len(y) <= 64:
+                self.links += [i << 32 | j for i in x for j in y]
             else:
-                of_b = Counter(b).items()
-                for x, n in Counter(a).items():
-                    for y, m in of_b:
-                        pairs[x << 32 | y] += n * m
-        self.pairs, self.times = np.fromiter(pairs.keys(), np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs))
+                of_y = Counter(y).items()
+                self.many += [(i << 32 | j, n * m) for i, n in Counter(x).items() for j, m in of_y]
 
 
 class Aligner:
@@ -100,7 +102,7 @@ class Aligner:
         """None where a side's bytes aren't ``data``."""
         if b"".join(map(self.a_bytes.__getitem__, a)) != data or b"".join(map(self.b_bytes.__getitem__, b)) != data:
             return None
-        return Known(merge(a, b, self.a_size, self.b_size))
+        return Known(a, b, self.a_size, self.b_size)
 
     def _whole(self, text: str) -> Known | None:
         a = np.frombuffer(self.encoder._whole(" " + text), self.encoder.dtype).tolist()
@@ -116,24 +118,43 @@ class Aligner:
             out[p] = self._known((p if broken else " " + p).encode(), a, b[1:] if broken else b)
         return out
 
-    def align(self, texts: list[str | None]) -> list[list[Known] | None]:
-        """What each text is made of; None for texts without tokens."""
+    def align(self, texts: list[str | None]) -> list[Aligned | None]:
+        """None for texts without tokens."""
         split = [(split_pieces(t, ()) if self.splits and t[0] not in " \n" and t[-1] != " " and SPACE not in t else None) if t else [] for t in texts]
         # the line break that a split begins with is no part of the text, and its first word follows the space
         split = [[p[0][1:], *p[1:]] if p else p for p in split]
-        missing = list(set().union(*(p for p in split if p)) - self.known.keys())
+        known = self.known
+        missing = list(set().union(*(p for p in split if p)) - known.keys())
         found = self._learn(missing)
-        room = self.max_pieces - len(self.known)
-        kept = dict([(p, k) for p, k in found.items() if len(p) <= MEMORY_CHARS][: max(room, 0)])
-        self.known.update(kept)
-        extra = {p: k for p, k in found.items() if p not in kept}
-        known, out = self.known, []
-        for t, p in zip(texts, split, strict=True):
-            parts = [] if not t else [self._whole(t)] if p is None else [known[x] if x in known else extra[x] for x in p]
-            out.append(None if not parts or None in parts else parts)
+        if len(known) < self.max_pieces:
+            known.update([(p, k) for p, k in found.items() if len(p) <= MEMORY_CHARS][: self.max_pieces - len(known)])
+        out = []
+        for t, pieces in zip(texts, split, strict=True):
+            if not t:
+                out.append(None)
+            elif pieces is None:
+                whole = self._whole(t)
+                out.append(Aligned([whole]) if whole else None)
+            else:
+                parts = [known.get(p) or found.get(p) for p in pieces]
+                out.append(None if None in parts else Aligned(parts))
         return out
 
 
+class Aligned:
+    """A document: counts, digest and the number of links of each pair."""
+
+    def __init__(self, parts: list[Known]):
+        text = ";".join([k.digest for k in parts])
+        self.digest = hashlib.sha256(text.encode()).hexdigest()
+        self.links = Counter(chain.from_iterable([k.links for k in parts]))
+        for k in parts:
+            if k.many:
+                for pair, n in k.many:
+                    self.links[pair] += n
+        self.counts = [sum([k.n_a for k in parts]), sum([k.n_b for k in parts]), text.count("|"), self.links.total()]
+
+
 _aligners: dict[tuple[str, str], Aligner] = {}
 
 
@@ -145,15 +166,6 @@ def aligner(a_path: str, b_path: str) -> Aligner:
     return _aligners[a_path, b_path]
 
 
-def _summed(parts: list[Known]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct pairs of a document and the number of their links."""
-    often = Counter(parts)
-    codes = np.concatenate([k.pairs for k in often])
-    times = np.concatenate([k.times * n for k, n in often.items()])
-    codes, at = np.unique(codes, return_inverse=True)
-    return codes, np.bincount(at, weights=times).astype(np.int64)
-
-
 _ROW = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a array<int>, b array<int>, times array<long>"
 
 
@@ -165,17 +177,11 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         align = aligner(a_path, b_path).align
         for batch in batches:
-            counts, digests, codes, times, ends = [], [], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [0]
-            for parts in align(batch.column("text").to_pylist()):
-                counts.append([sum(x) for x in zip(*(k.sizes for k in parts), strict=True)] if parts else [0, 0, 0, 0])
-                digests.append(hashlib.sha256(";".join([k.digest for k in parts]).encode()).hexdigest() if parts else "")
-                if parts:
-                    c, t = _summed(parts)
-                    codes.append(c)
-                    times.append(t)
-                ends.append(ends[-1] + (len(c) if parts else 0))
-            code, ends = np.concatenate(codes), np.array(ends, np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in ((code >> 32).astype(np.int32), (code & 0xFFFFFFFF).astype(np.int32), np.concatenate(times))]
+            docs = align(batch.column("text").to_pylist())
+            counts, digests = [d.counts if d else [0, 0, 0, 0] for d in docs], [d.digest if d else "" for d in docs]
+            ends = np.cumsum([0, *(len(d.links) if d else 0 for d in docs)]).astype(np.int32)
+            code, times = (np.fromiter((x for d in docs if d for x in of(d.links)), np.int64, ends[-1]) for of in (dict.keys, dict.values))
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in ((code >> 32).astype(np.int32), (code & 0xFFFFFFFF).astype(np.int32), times)]
             columns = [pa.array(c) for c in np.array(counts, np.int64).reshape(-1, 4).T]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *columns, pa.array(digests, pa.string()), *lists], names=["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "a", "b", "times"])
 
