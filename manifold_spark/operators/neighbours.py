@@ -38,6 +38,9 @@ def nearest(cid: np.ndarray, c: np.ndarray, qid: np.ndarray, q: np.ndarray, k: i
     a known bound; all that could be among the nearest within twice that bound,
     ties included, are compared by exact differences.
     """
+    # divided by a power of two, which is exact, so that squares of large entries stay finite
+    scale = 2.0 ** np.floor(np.log2(max(np.abs(c).max(initial=0.0), np.abs(q).max(initial=0.0), 1e-300)))
+    c, q = c / scale, q / scale
     centre = c.mean(axis=0)
     x, y = c - centre, q - centre
     xx, yy = (x * x).sum(1), (y * y).sum(1)
@@ -56,7 +59,7 @@ def nearest(cid: np.ndarray, c: np.ndarray, qid: np.ndarray, q: np.ndarray, k: i
         keep = np.arange(len(r)) - first[r] < k
         out_q.append(qid[rows][r[keep]])
         out_c.append(cid[j[keep]])
-        out_d.append(d[keep])
+        out_d.append(d[keep] * scale)
     return pd.DataFrame({"i": np.concatenate(out_q), "j": np.concatenate(out_c), "d": np.concatenate(out_d)})
 
 
@@ -66,6 +69,18 @@ def valid(table: DataFrame) -> DataFrame:
     return table.where(F.col("id").isNotNull() & (F.size("vec") > 0) & finite)
 
 
+def common_length(table: DataFrame) -> int:
+    """The commonest length of the vectors that can take part, of equally common ones the longest; 0 without any."""
+    top = valid(table).groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    return top["n"] if top else 0
+
+
+def same_length(table: DataFrame, length: int | None = None) -> DataFrame:
+    """id and vec of the points that can take part and have ``length`` entries (by default :func:`common_length`)."""
+    length = common_length(table) if length is None else length
+    return valid(table).where(F.size("vec") == length).select("id", "vec")
+
+
 def _side(key: str, tiles: int):
     return F.pmod(F.xxhash64(key), F.lit(tiles)).cast("int")
 
@@ -97,7 +112,9 @@ def nearest_of(left: DataFrame, right: DataFrame, k: int, tile: int = TILE, same
             return found.assign(i=np.repeat(qid, min(k, len(cid))), j=np.sort(cid)[found["j"]])
         return nearest(cid, c, qid, q, k)
 
-    found = _meet(valid(left), valid(right), work, "i long, j long, d double", tile)
+    # vectors of another length than most take no part
+    length = common_length(right)
+    found = _meet(same_length(left, length), same_length(right, length), work, "i long, j long, d double", tile)
     w = Window.partitionBy("i").orderBy("d", "j")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

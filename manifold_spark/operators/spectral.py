@@ -1,17 +1,18 @@
 """Spectra of graphs that stay edge tables: i, j, w.
 
-The largest eigenvalues of a symmetric matrix come from block power iteration: a
-block of a few vectors is a table (id, row of the block), a product with the
-matrix is a join with the edges and a sum by row, and only the block's small Gram
-matrices (block x block numbers) reach the driver, where they are factorised.
-Nothing of the size of the points is ever held in one place. The block is written
-every few products, so plans stay short and lost executors cost little.
+The largest eigenvalues of a symmetric matrix come from block Lanczos: directions
+are a table (id, the point's row), a product with the matrix is a join with the
+edges and a sum by row, and only small Gram matrices, summed by tasks over Arrow
+batches, reach the driver, where they are factorised. Nothing of the size of the
+points is ever held in one place. Directions are written every round, so plans
+stay short and lost executors cost little.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -59,62 +60,114 @@ def times(edges: DataFrame, block: DataFrame, size: int) -> DataFrame:
     return rows.groupBy(F.col("i").alias("id")).agg(F.array(*(F.sum(F.col("w") * F.get("x", F.lit(c))) for c in range(size))).alias("x"))
 
 
-def _small(block: DataFrame, a: str, b: str, size: int) -> np.ndarray:
-    """The size x size matrix of products of two blocks in one table."""
-    sums = [F.sum(F.get(a, F.lit(p)) * F.get(b, F.lit(q))) for p in range(size) for q in range(size)]
-    return np.array(block.agg(F.array(*sums).alias("g")).first()["g"], float).reshape(size, size)
+def matrix(column: pa.Array) -> np.ndarray:
+    """A column of arrays of one length."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _turned(x: str, m: np.ndarray) -> Column:
-    """Each row of a block times a small matrix."""
-    return F.array(*(sum((F.get(x, F.lit(p)) * float(m[p, q]) for p in range(m.shape[0])), F.lit(0.0)) for q in range(m.shape[1])))
+def arrays(rows: np.ndarray) -> pa.Array:
+    n, d = rows.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * d), pa.array(np.ascontiguousarray(rows, dtype=float).ravel()))
 
 
-def eigen(edges: DataFrame, k: int, rounds: int = 60, tolerance: float = 1e-9, seed: int = 42, products: int = 3, extra: int = 4) -> tuple[np.ndarray, DataFrame]:
+def summed(table: DataFrame, columns: list[str], size: int, of) -> np.ndarray:
+    """The sum over all rows of ``of``, which makes ``size`` numbers of the matrices of some array columns of a batch.
+
+    Tasks sum their own rows; Spark adds the sums by place, and ``size`` numbers reach the driver.
+    """
+
+    def sums(batches):
+        total = np.zeros(size)
+        for b in batches:
+            if b.num_rows:
+                total += np.asarray(of(*(matrix(b.column(c)) for c in columns))).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], names=["p", "s"])
+
+    found = table.select(*columns).mapInArrow(sums, "p int, s double").groupBy("p").agg(F.sum("s").alias("s")).toArrow()
+    out = np.zeros(size)
+    out[found.column("p").to_numpy()] = found.column("s").to_numpy()
+    return out
+
+
+def mapped(table: DataFrame, columns: list[str], of, keep: str = "id", name: str = "x") -> DataFrame:
+    """``keep`` and an array: the rows of ``of``, a function of the matrices of some array columns of a batch."""
+
+    def work(batches):
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column(keep), arrays(of(*(matrix(b.column(c)) for c in columns)))], names=[keep, name])
+
+    return table.select(keep, *columns).mapInArrow(work, f"{keep} {dict(table.dtypes)[keep]}, {name} array<double>")
+
+
+def eigen(edges: DataFrame, k: int, rounds: int = 60, tolerance: float = 1e-10, seed: int = 42, extra: int = 4) -> tuple[np.ndarray, DataFrame]:
     """The ``k`` eigenvalues of largest magnitude of a symmetric edge table, and id, x: the entries of their unit vectors.
 
     Values are in descending order. Of each vector the entry of largest size of the
-    least id among equals is positive. Ends when no value moves by more than
-    ``tolerance`` of the largest between two rounds of ``products`` products.
+    least id among equals is positive. Block Lanczos: each round multiplies the last
+    ``k + extra`` directions, makes the product orthogonal to all before (twice, as
+    rounding asks) and adds it; the matrix in these directions is small. Ends when the
+    residuals of the ``k`` values are under ``tolerance`` of the largest, when no new
+    direction is left (the result is then exact), or after ``rounds``. A value
+    that occurs more often than the block is wide is found that often only.
+    An empty table has no values.
     """
     e = materialize(edges.select("i", "j", "w"), "matrix")
     nodes = e.select(F.col("i").alias("id")).distinct()
-    size = min(k + extra, nodes.count())
-    block = materialize(nodes.select("id", F.array(*(uniform("id", seed + c) - 0.5 for c in range(size))).alias("x")), "block")
-    last = None
-    for _ in range(rounds):
-        # orthonormal columns, so that products don't overflow or collapse on the first vector
-        block = block.select("id", _turned("x", _orthonormal(_small(block, "x", "x", size))).alias("x"))
-        for _ in range(products - 1):
-            block = times(e, block, size)
-        block = materialize(block, "block")
-        block = block.select("id", _turned("x", _orthonormal(_small(block, "x", "x", size))).alias("x"))
-        both = materialize(block.join(times(e, block, size).withColumnRenamed("x", "y"), "id"), "block")
-        small = _small(both, "x", "y", size)
-        values, turn = np.linalg.eigh((small + small.T) / 2)
-        block = both.select("id", F.col("y").alias("x"))
-        now = np.sort(np.abs(values))[::-1][:k]
-        if last is not None and len(now) == len(last) and np.abs(now - last).max() <= tolerance * max(now[0], 1e-300):
+    n = nodes.count()
+    if not n or k < 1:
+        return np.empty(0), e.select(F.col("i").alias("id"), F.array(F.lit(0.0)).alias("x")).limit(0)
+    width = min(k + extra, n)
+    block = materialize(nodes.select("id", F.array(*(uniform("id", seed + c) - 0.5 for c in range(width))).alias("x")), "block")
+    turn = _orthonormal(summed(block, ["x"], width * width, lambda x: x.T @ x).reshape(width, width))
+    basis = materialize(mapped(block, ["x"], lambda x: x @ turn, name="q"), "basis")
+    size, last, t = turn.shape[1], turn.shape[1], np.zeros((0, 0))
+    for step in range(rounds):
+        product = times(e, basis.select("id", F.slice("q", size - last + 1, last).alias("x")), last)
+        both = materialize(basis.join(product, "id"), "product")
+        inner = summed(both, ["q", "x"], size * last, lambda q, x: q.T @ x).reshape(size, last)
+        grown = np.zeros((size, size))
+        grown[: len(t), : len(t)] = t
+        grown[:, size - last :] = inner
+        grown[size - last :, :] = inner.T
+        t = grown
+        once = mapped(both, ["q", "x"], lambda q, x, h=inner, m=size: np.hstack([q, x - q @ h[:m]]), name="q")
+        once = materialize(once, "product")
+        sums = summed(once, ["q"], (size + last) * last, lambda q, m=size: q.T @ q[:, m:]).reshape(size + last, last)
+        again, gram = sums[:size], sums[size:] - sums[:size].T @ sums[:size]
+        values, vectors = np.linalg.eigh((t + t.T) / 2)
+        order = np.argsort(-np.abs(values), kind="stable")[: min(k, size)]
+        # the product outside of the basis, by its Gram matrix: what a vector's last entries make of it is the residual
+        tail = vectors[size - last :, order]
+        residuals = np.sqrt(np.maximum(np.einsum("ai,ab,bi->i", tail, (gram + gram.T) / 2, tail), 0))
+        scale = max(np.abs(values).max(), 1e-300)
+        turn = _orthonormal(gram, least=(1e-13 * scale) ** 2)
+        if (size >= k and residuals.max() <= tolerance * scale) or turn.shape[1] == 0 or size == n or step == rounds - 1:
             break
-        last = now
-    order = np.argsort(-np.abs(values), kind="stable")[:k]
+        turn = turn[:, -min(turn.shape[1], n - size) :]
+        basis = mapped(once, ["q"], lambda q, m=size, g=again, u=turn: np.hstack([q[:, :m], (q[:, m:] - q[:, :m] @ g) @ u]), name="q")
+        basis = materialize(basis, "basis")
+        last = turn.shape[1]
+        size += last
     order = order[np.argsort(-values[order], kind="stable")]
-    vectors = materialize(both.select("id", _turned("x", turn[:, order]).alias("x")), "vectors")
-    signs = vectors.agg(*(F.max(F.struct(F.round(F.abs(F.get("x", F.lit(c))), 9).alias("a"), (-F.col("id")).alias("b"), F.get("x", F.lit(c)).alias("v"))).alias(f"s{c}") for c in range(len(order)))).first()
-    flip = [1.0 if signs[f"s{c}"] is None or signs[f"s{c}"]["v"] >= 0 else -1.0 for c in range(len(order))]
-    return values[order], vectors.select("id", F.array(*(F.get("x", F.lit(c)) * flip[c] for c in range(len(order)))).alias("x"))
+    chosen = vectors[:, order]
+    found = materialize(mapped(basis, ["q"], lambda q: q @ chosen), "vectors")
+    signs = found.agg(*(F.max(F.struct(F.round(F.abs(F.get("x", F.lit(c))), 9).alias("a"), (-F.col("id")).alias("b"), F.get("x", F.lit(c)).alias("v"))).alias(f"s{c}") for c in range(len(order)))).first()
+    flip = np.array([1.0 if signs[f"s{c}"]["v"] >= 0 else -1.0 for c in range(len(order))])
+    return values[order], mapped(found, ["x"], lambda x: x * flip)
 
 
-def _orthonormal(gram: np.ndarray) -> np.ndarray:
-    """The matrix that makes columns with this Gram matrix orthonormal; directions that hold nothing become zero."""
+def _orthonormal(gram: np.ndarray, least: float = 0.0) -> np.ndarray:
+    """The matrix that makes columns with this Gram matrix orthonormal, fewer where they hold fewer directions; rising."""
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-    keep = values > max(values.max(), 0) * 1e-14
-    return np.where(keep, vectors / np.sqrt(np.where(keep, values, 1.0)), 0.0)
+    keep = values > max(max(values.max(), 0) * 1e-14, least)
+    return vectors[:, keep] / np.sqrt(values[keep])
 
 
 def spectrum(edges: DataFrame, k: int = 25, rounds: int = 60) -> DataFrame:
     """place (from 0) and value of the ``k`` largest eigenvalues."""
     values, _ = eigen(edges, k, rounds)
+    values = values + 0.0
     return edges.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "place int, value double")
 
 
