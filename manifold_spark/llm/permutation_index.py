@@ -77,7 +77,8 @@ def search_block(cid: np.ndarray, c: np.ndarray, qid: np.ndarray, q: np.ndarray,
             far[who[a:b]] += np.abs(met - at) - (prefix - met) - (prefix - at)
         cut = np.partition(far, wanted - 1)[wanted - 1]
         near = np.flatnonzero((far <= cut) & (cid != qid[i]))
-        score = cu[near] @ qu[i]
+        # row by row in one order, so that equal vectors have equal scores
+        score = (cu[near] * qu[i]).sum(axis=1)
         best = np.lexsort((cid[near], -score))[:k]
         out.append(pd.DataFrame({"query_id": qid[i], "vec_id": cid[near][best], "score": score[best]}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})

@@ -88,3 +88,18 @@ def test_toxicity_without_labels(spark):
     one = spark.createDataFrame([(i, 1) for i in range(9)], "doc_id long, toxic int")
     assert [r.predicted for r in T.classify(d, one).collect()] == [0, 0]
     assert T.classify(d.limit(0), one).count() == 0
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    """Many equal vectors in several tasks: equal scores to the last bit, and the smallest ids."""
+    rng = np.random.default_rng(11)
+    distinct = rng.normal(size=(9, 64)).astype(np.float32).astype(float)
+    which = rng.integers(0, 9, 700)
+    df = spark.createDataFrame([(int(i), [float(c) for c in distinct[w]]) for i, w in enumerate(which)], "vec_id long, embedding array<double>").repartition(5)
+    unit = distinct / np.sqrt((distinct**2).sum(1, keepdims=True))
+    got = permutation_index.search(df, "vec_id % 50 = 0").collect()
+    for q in range(0, 700, 50):
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
+        near = np.argsort(-(unit @ unit[which[q]]), kind="stable")
+        want = [int(i) for w in near for i in np.flatnonzero(which == w) if i != q][:5]
+        assert [r.vec_id for r in mine] == want
