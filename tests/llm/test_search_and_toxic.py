@@ -97,7 +97,7 @@ def test_ties_go_to_the_smaller_id(spark):
     which = rng.integers(0, 9, 700)
     df = spark.createDataFrame([(int(i), [float(c) for c in distinct[w]]) for i, w in enumerate(which)], "vec_id long, embedding array<double>").repartition(5)
     unit = distinct / np.sqrt((distinct**2).sum(1, keepdims=True))
-    got = permutation_index.search(df, "vec_id % 50 = 0").collect()
+    got = PI.search(df, "vec_id % 50 = 0").collect()
     for q in range(0, 700, 50):
         mine = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
         near = np.argsort(-(unit @ unit[which[q]]), kind="stable")
