@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import comparison, spectral
+from ..operators import comparison, homology, spectral
 from ..operators import neighbours as nb
 from ..operators import statistics as st
 from ..session import materialize
@@ -198,12 +198,16 @@ def geodesic_correlation(s: Spaces, k: int = 10, sources: int = 64) -> DataFrame
     return spectral.geodesic_correlation(s.high, s.low, k, sources)
 
 
-@metric("AffinitySpectrum", aliases={"affinity_spectrum": {"top": 25}})
+@metric("AffinitySpectrum", aliases={"affinity_spectrum": {"top": 25}}, per_sample=lambda s, **p: _affinity_detail(s, **p))
 def affinity_spectrum(s: Spaces, top: int = 25, k: int = 15) -> DataFrame:
-    """The largest of the first ``top`` eigenvalues of the symmetric diffusion operator; :func:`evaluate_detailed` gives all."""
+    """The largest of the first ``top`` eigenvalues of the symmetric diffusion operator; :func:`evaluate_detailed` gives these, by place."""
     return _spectrum(s, top, k).agg(F.max("value"))
 
 
+def _affinity_detail(s: Spaces, top: int = 25, k: int = 15) -> DataFrame:
+    return _spectrum(s, top, k).select(F.col("place").cast("long").alias("id"), "value")
+
+
 def _spectrum(s: Spaces, top: int, k: int) -> DataFrame:
     return spectral.spectrum(spectral.symmetric_operator(spectral.gaussian_edges(s.high, k)), top)
 
@@ -220,9 +224,16 @@ def spectral_decay_rate(s: Spaces, top: int = 20, k: int = 15) -> DataFrame:
 
 @metric("DiffusionSpectralEntropy", aliases={"diffusion_spectral_entropy": {"t": 3}, "dse": {"t": 3}})
 def diffusion_spectral_entropy(s: Spaces, t: int = 3, top: int = 50, k: int = 15) -> DataFrame:
+    """Over the ``top`` largest eigenvalues; with as many as points, over all."""
     return spectral.spectral_entropy(_spectrum(s, top, k), t)
 
 
+@metric("PersistentHomology", aliases={"persistent_homology": {}, "beta_0": {"dimension": 0}, "betti_0": {"dimension": 0}, "beta_1": {}, "betti_1": {}})
+def persistent_homology(s: Spaces, dimension: int = 1, threshold: float = 0.1, relative: bool = False, most: int = 500, seed: int = 0) -> DataFrame:
+    """How many finite bars of the embedding are longer than the threshold, over at most ``most`` points by hash."""
+    return homology.persistent_features(homology.bars(s.low, most, seed), dimension, threshold, relative).select(F.col("n").cast("double"))
+
+
 @metric("NoOp")
 def no_op(s: Spaces) -> DataFrame:
     return s.low.agg(F.lit(0.0).alias("value"))

@@ -130,18 +130,37 @@ def density_lens(table: DataFrame, k: int = 15) -> DataFrame:
     return knn(table, k).groupBy(F.col("i").alias("id")).agg((1 / F.greatest(F.avg("d"), F.lit(1e-12))).alias("lens"))
 
 
-def reeb_graph(lens: DataFrame, edges: DataFrame, bins: int = 10, overlap: float = 0.25, least_share: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """Nodes (node, bin, n, lens) and edges (a, b, n) of the graph of components of overlapping lens intervals.
-
-    ``lens`` has id and lens, ``edges`` the neighbour graph (i, j). An interval's
-    members are joined by the edges between them; components with less than
-    ``least_share`` of their interval go; components of consecutive intervals
-    that share points are linked, ``n`` the points that they share.
+def lens_values(table: DataFrame, lens: str = "density", k: int = 15) -> DataFrame:
+    """id and lens of each point: ``density``, ``pca1`` (the first principal component) or ``diffusion1`` (the first nontrivial coordinate of the symmetric operator)."""
+    if lens == "density":
+        return density_lens(table, k)
+    if lens == "pca1":
+        from .models import fit_pca
+
+        model = fit_pca(table, 1)
+        return table.select("id", F.lit(0.0).alias("lens")).limit(0) if model is None else model.transform(table).select("id", F.get("vec", F.lit(0)).alias("lens"))
+    if lens == "diffusion1":
+        from . import spectral
+
+        _, x = spectral.eigen(spectral.symmetric_operator(spectral.gaussian_edges(table, k), 0.0), 2)
+        return x.select("id", F.get("x", F.lit(1)).alias("lens"))
+    raise ValueError(f"no lens {lens}; there are density, pca1 and diffusion1")
+
+
+def reeb_graph(lens: DataFrame, edges: DataFrame, bins: int = 10, overlap: float = 0.0, density_factor: float = 0.1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes (node, bin, n, lens), links (a, b) and members (id, node) of the graph of components of lens intervals.
+
+    ``lens`` has id and lens, ``edges`` the neighbour graph (i, j). Intervals are
+    open above, and reach ``overlap`` of their width into both neighbours. An
+    interval's members are joined by the edges between them; components of at most
+    ``density_factor`` of the mean number of points of an interval go. Components of
+    consecutive intervals are linked if they are connected together: by a point or an edge.
     """
-    span = lens.agg(F.min("lens").alias("lo"), F.max("lens").alias("hi")).first()
-    width = ((span["hi"] or 0.0) - (span["lo"] or 0.0)) / bins or 1.0
-    at = (F.col("lens") - F.lit(span["lo"] or 0.0)) / width
-    inside = F.filter(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: (at >= b - overlap) & (at <= b + 1 + overlap))
+    span = lens.agg(F.min("lens").alias("lo"), F.max("lens").alias("hi"), F.count("*").alias("n")).first()
+    lo = span["lo"] or 0.0
+    width = ((span["hi"] or 0.0) + 1e-6 - lo) / bins
+    at = (F.col("lens") - F.lit(lo)) / width
+    inside = F.filter(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: (at >= b - overlap) & (at < b + 1 + overlap))
     members = materialize(lens.select("id", "lens", F.explode(inside).alias("bin")), "bins")
     a, b = members.select(F.col("id").alias("i"), "bin"), members.select(F.col("id").alias("j"), "bin")
     key = lambda c: F.col(c) * bins + F.col("bin")
@@ -149,20 +168,24 @@ def reeb_graph(lens: DataFrame, edges: DataFrame, bins: int = 10, overlap: float
     component = connected_components(within).select(F.col("node").alias("key"), F.col("component").alias("node"))
     placed = members.withColumn("key", F.col("id") * bins + F.col("bin")).join(component, "key", "left").withColumn("node", F.coalesce("node", "key"))
     placed = materialize(placed.select("id", "lens", "bin", "node"), "placed")
-    sizes = placed.groupBy("bin").agg(F.count("*").alias("all"))
-    nodes = placed.groupBy("node", "bin").agg(F.count("*").alias("n"), F.avg("lens").alias("lens")).join(sizes, "bin").where(F.col("n") >= least_share * F.col("all")).select("node", "bin", "n", "lens")
+    nodes = placed.groupBy("node", "bin").agg(F.count("*").alias("n"), F.avg("lens").alias("lens")).where(F.col("n") > F.lit(span["n"] / bins * density_factor))
     nodes = materialize(nodes, "nodes")
-    kept = placed.join(nodes.select("node"), "node", "left_semi")
-    links = kept.select("id", "bin", F.col("node").alias("a")).join(kept.select("id", (F.col("bin") - 1).alias("bin"), F.col("node").alias("b")), ["id", "bin"]).groupBy("a", "b").agg(F.count("*").alias("n"))
-    return nodes, links
+    kept = materialize(placed.join(nodes.select("node"), "node", "left_semi").select("id", "bin", "node"), "kept")
+    low = kept.select("id", "bin", F.col("node").alias("a"))
+    high = kept.select(F.col("id").alias("other"), (F.col("bin") - 1).alias("bin"), F.col("node").alias("b"))
+    ways = edges.select("i", "j").union(edges.select("j", "i")).union(lens.select("id", "id")).toDF("id", "other").distinct()
+    links = low.join(ways, "id").join(high, ["other", "bin"]).select("a", "b").distinct()
+    return nodes, links, kept.select("id", "node")
 
 
 def graph_summary(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """One row: nodes, edges, components and loops (edges - nodes + components) of a graph."""
+    """One row: nodes, edges, components, loops (edges - nodes + components), branch points (three links or more) and endpoints (one) of a graph."""
     components = connected_components(links.select("a", "b"))
     n = nodes.agg(F.count("*").alias("nodes"))
     e = links.agg(F.count("*").alias("edges"))
     alone = nodes.join(components, "node", "left_anti").agg(F.count("*").alias("alone"))
     c = components.agg(F.count_distinct("component").alias("joined"))
-    s = n.crossJoin(e).crossJoin(alone).crossJoin(c).withColumn("components", F.col("alone") + F.col("joined"))
-    return s.select("nodes", "edges", "components", (F.col("edges") - F.col("nodes") + F.col("components")).alias("loops"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
+    d = degree.agg(F.count_if(F.col("count") >= 3).alias("branch_points"), F.count_if(F.col("count") == 1).alias("endpoints"))
+    s = n.crossJoin(e).crossJoin(alone).crossJoin(c).crossJoin(d).withColumn("components", F.col("alone") + F.col("joined"))
+    return s.select("nodes", "edges", "components", (F.col("edges") - F.col("nodes") + F.col("components")).alias("loops"), "branch_points", "endpoints")

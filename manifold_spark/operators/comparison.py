@@ -8,14 +8,13 @@ Points are ``id, vec``; labels are ``id, label``. Rows with a null label take no
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from . import sampling
-from .neighbours import distance, dot
+from .neighbours import distance, dot, intrinsic_dimension, knn, valid
 from .statistics import auc, spearman
 
 
@@ -91,6 +90,21 @@ def separation_auroc(table: DataFrame, sides: DataFrame, folds: int = 0) -> Data
     return auc(class_axis(table, sides, folds), "projection", "side")
 
 
+def layer_geometry(layers: dict[str, DataFrame], sides: DataFrame, k: int = 20, folds: int = 0) -> DataFrame:
+    """layer, lid (the mean local intrinsic dimension at ``k``), auroc of the two sides, n and dim: one row a layer.
+
+    ``sides`` has id and side (0, 1); with ``folds`` the axis is fitted out of fold.
+    """
+    out = None
+    for name, points in layers.items():
+        lid = intrinsic_dimension(knn(points, k)).agg(F.avg("lid").alias("lid"))
+        shape = valid(points).agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim"))
+        one = lid.crossJoin(separation_auroc(points, sides, folds)).crossJoin(shape)  # a row each
+        one = one.select(F.lit(name).alias("layer"), "lid", F.col("auc").alias("auroc"), "n", "dim")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: the adjusted Rand index of two labellings, from their contingency table."""
     pairs = lambda c: c * (c - 1) / 2
@@ -108,16 +122,11 @@ def kmeans(table: DataFrame, k: int, seed: int = 42) -> DataFrame:
 
 
 def pca(table: DataFrame, k: int) -> DataFrame:
-    """id, vec: the first ``k`` principal components, centred; of each loading the largest entry is positive."""
-    v = table.select("id", array_to_vector("vec").alias("features"))
-    model = PCA(k=k, inputCol="features", outputCol="scores").fit(v)
-    pc = model.pc.toArray()
-    signs = [1.0 if column[abs(column).argmax()] > 0 else -1.0 for column in pc.T]
-    scores = model.transform(v).select("id", vector_to_array("scores").alias("y"))
-    means = scores.agg(F.array(*(F.avg(F.col("y")[i]) for i in range(k))).alias("m"))
-    signed = F.array(*((F.col("y")[i] - F.col("m")[i]) * s for i, s in enumerate(signs)))
-    return scores.crossJoin(F.broadcast(means)).select("id", signed.alias("vec"))
+    """id, vec: the first ``k`` principal components, centred; of each loading the largest entry is positive. An empty table gives an empty one."""
+    from .models import fit_pca
 
+    model = fit_pca(table, k)
+    return table.select("id", "vec").limit(0) if model is None else model.transform(table)
 
 
 def _poisson(u):

@@ -100,7 +100,11 @@ def mapped(table: DataFrame, columns: list[str], of, keep: str = "id", name: str
     return table.select(keep, *columns).mapInArrow(work, f"{keep} {dict(table.dtypes)[keep]}, {name} array<double>")
 
 
-def eigen(edges: DataFrame, k: int, rounds: int = 60, tolerance: float = 1e-10, seed: int = 42, extra: int = 4) -> tuple[np.ndarray, DataFrame]:
+#: A matrix of so many nodes at most is solved whole on the driver; larger ones by block Lanczos, with the same result.
+SMALL = 1000
+
+
+def eigen(edges: DataFrame, k: int, rounds: int = 60, tolerance: float = 1e-7, seed: int = 42, extra: int = 4, small: int = SMALL) -> tuple[np.ndarray, DataFrame]:
     """The ``k`` eigenvalues of largest magnitude of a symmetric edge table, and id, x: the entries of their unit vectors.
 
     Values are in descending order. Of each vector the entry of largest size of the
@@ -117,6 +121,8 @@ def eigen(edges: DataFrame, k: int, rounds: int = 60, tolerance: float = 1e-10,
     n = nodes.count()
     if not n or k < 1:
         return np.empty(0), e.select(F.col("i").alias("id"), F.array(F.lit(0.0)).alias("x")).limit(0)
+    if n <= small:
+        return _dense_eigen(e, nodes, k)
     width = min(k + extra, n)
     block = materialize(nodes.select("id", F.array(*(uniform("id", seed + c) - 0.5 for c in range(width))).alias("x")), "block")
     turn = _orthonormal(summed(block, ["x"], width * width, lambda x: x.T @ x).reshape(width, width))
@@ -157,6 +163,21 @@ def eigen(edges: DataFrame, k: int, rounds: int = 60, tolerance: float = 1e-10,
     return values[order], mapped(found, ["x"], lambda x: x * flip)
 
 
+def _dense_eigen(edges: DataFrame, nodes: DataFrame, k: int) -> tuple[np.ndarray, DataFrame]:
+    """The same for a matrix that the driver can hold."""
+    rows = edges.groupBy("i", "j").agg(F.sum("w").alias("w")).toArrow()
+    ids = np.sort(nodes.toArrow().column("id").to_numpy())
+    m = np.zeros((len(ids), len(ids)))
+    m[np.searchsorted(ids, rows.column("i").to_numpy()), np.searchsorted(ids, rows.column("j").to_numpy())] = rows.column("w").to_numpy()
+    values, vectors = np.linalg.eigh((m + m.T) / 2)
+    order = np.argsort(-np.abs(values), kind="stable")[:k]
+    order = order[np.argsort(-values[order], kind="stable")]
+    x = vectors[:, order]
+    x = x * np.where(x[np.abs(np.round(x, 9)).argmax(0), np.arange(len(order))] < 0, -1.0, 1.0)
+    table = edges.sparkSession.createDataFrame([(int(i), [float(c) for c in row]) for i, row in zip(ids, x, strict=True)], "id long, x array<double>")
+    return values[order], materialize(table, "vectors")
+
+
 def _orthonormal(gram: np.ndarray, least: float = 0.0) -> np.ndarray:
     """The matrix that makes columns with this Gram matrix orthonormal, fewer where they hold fewer directions; rising."""
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
@@ -250,46 +271,100 @@ def diffusion_curvature(operator: DataFrame, t: int = 3, percentile: float = 0.0
     return inside.groupBy("i").agg(F.avg(F.coalesce("w", F.lit(0.0))).alias("curvature"))
 
 
-def condense(table: DataFrame, k: int = 5, decay: float = 40.0, scale: float = 1.025, granularity: float = 0.1, rounds: int = 100) -> DataFrame:
-    """step and n: the number of groups left after each round of diffusion condensation.
+def condense(table: DataFrame, k: int = 5, decay: float = 40.0, scale: float = 1.025, granularity: float = 0.1, rounds: int = 500, subsample: int = 1000, seed: int = 42) -> DataFrame:
+    """step and n: the number of groups after each round of diffusion condensation; see :func:`condensation`."""
+    steps, _ = condensation(table, row_shares(decay_edges(table, k, decay)), scale, granularity, rounds, subsample, seed)
+    return steps
+
 
-    A round averages every point over its neighbours by the row-normalised kernel
-    of the start, and merges groups whose points came closer than a threshold,
-    which grows by ``scale`` in a round that merges nothing. Merged groups move
-    as their mean. Ends at one group.
+def condensation(table: DataFrame, operator: DataFrame, scale: float = 1.025, granularity: float = 0.1, rounds: int = 500, subsample: int = 1000, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """step and n, the groups after each round from step 0 on; and id, group (the smallest id of the group) at the end.
+
+    A round merges all groups whose centroids (means of their points as these are
+    now) are closer than a threshold, also by way of others. Where none are, every
+    point moves to its mean by ``operator`` (i, j, w, rows summing to one), and the
+    threshold grows by ``scale``. The threshold starts at the 0.1 percentile of the
+    distances of at most ``subsample`` points (by hash) plus a tenth of ``granularity``
+    times their deviation. Ends at one group. Close centroids are found by tiles;
+    a tile hands on the links of a forest, not all of its pairs.
     """
+    from . import sampling
     from .graph import connected_components
-
-    operator = materialize(_row_shares(decay_edges(table, k, decay)), "operator")
-    sizes = table.select(F.posexplode("vec").alias("p", "x")).groupBy("p").agg(F.stddev_pop("x").alias("s")).agg(F.avg("s")).first()[0] or 0.0
-    threshold, steps = granularity * max(sizes, 1e-12), []
-    points = materialize(table.select("id", F.col("id").alias("group"), F.col("vec").alias("vec")), "condensed")
-    n = points.count()
-    d = dimensions_of(table)
-    for step in range(rounds):
-        steps.append((step, n))
+    from .neighbours import same_length
+    from .scaling import distances
+
+    points = materialize(same_length(table).select("id", F.col("id").alias("group"), "vec"), "condensed")
+    spark, n = table.sparkSession, points.count()
+    some = sampling.random(points.select("id", "vec"), "id", subsample, seed).collect()
+    far = distances(*[np.array([r["vec"] for r in some], dtype=float)] * 2)[np.triu_indices(len(some), 1)] if len(some) > 1 else np.empty(0)
+    if not len(far):
+        return spark.createDataFrame([(0, 1)] if n else [], "step int, n int"), points.select("id", "group")
+    threshold = float(np.percentile(far, 0.1) + granularity * far.std() * 0.1)
+    operator = materialize(operator.select("i", "j", "w"), "operator")
+    steps = [(0, n)]
+    for step in range(1, rounds + 1):
         if n <= 1:
             break
-        moved = operator.join(points.select(F.col("id").alias("j"), "vec"), "j").groupBy(F.col("i").alias("id")).agg(F.array(*(F.sum(F.col("w") * F.get("vec", F.lit(c))) for c in range(d))).alias("vec"))
-        points = points.select("id", "group").join(moved, "id")
-        centre = F.array(*(F.avg(F.get("vec", F.lit(c))) for c in range(d))).alias("vec")
-        groups = materialize(points.groupBy("group").agg(centre), "centres")
-        near = knn(groups.select(F.col("group").alias("id"), "vec"), min(k, n - 1)).where(F.col("d") < threshold).select(F.col("i").alias("a"), F.col("j").alias("b"))
-        merged = connected_components(near)
-        before = n
-        points = points.select("id", "group").join(groups, "group").join(merged.select(F.col("node").alias("group"), "component"), "group", "left").select("id", F.coalesce("component", "group").alias("group"), "vec")
-        points = materialize(points, "condensed")
-        n = points.select("group").distinct().count()
-        if n == before:
+        centres = mean_vectors(points, "group").select(F.col("group").alias("id"), "vec")
+        merged = connected_components(materialize(close_links(centres, threshold), "links"))
+        after = points.join(merged.select(F.col("node").alias("group"), "component"), "group", "left").select("id", F.coalesce("component", "group").alias("group"), "vec")
+        after = materialize(after, "condensed")
+        count = after.select("group").distinct().count()
+        if count == n:
+            moved = weighted_means(operator, points.select("id", "vec"))
+            points = materialize(points.select("id", "group").join(moved, "id"), "condensed")
             threshold *= scale
-    return table.sparkSession.createDataFrame(steps, "step int, n int")
+        else:
+            points, n = after, count
+        steps.append((step, n))
+    return spark.createDataFrame(steps, "step int, n int"), points.select("id", "group")
+
+
+def mean_vectors(table: DataFrame, by: str) -> DataFrame:
+    """The mean of ``vec`` by a column."""
+    entries = table.select(by, F.posexplode("vec").alias("p", "x")).groupBy(by, "p").agg(F.avg("x").alias("x"))
+    return entries.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda t: t["x"]).alias("vec"))
+
+
+def weighted_means(operator: DataFrame, table: DataFrame) -> DataFrame:
+    """id and vec: for each row i of an operator the sum of w times the vector of j."""
+    rows = operator.join(table.select(F.col("id").alias("j"), "vec"), "j").select("i", "w", F.posexplode("vec").alias("p", "x"))
+    entries = rows.groupBy("i", "p").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
+    return entries.groupBy(F.col("i").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda t: t["x"]).alias("vec"))
+
+
+def close_links(table: DataFrame, threshold: float, tile: int = 2048) -> DataFrame:
+    """a, b: links that connect the same points as all pairs closer than ``threshold`` do."""
+    import pandas as pd
+
+    from .neighbours import _meet
+    from .scaling import distances
+
+    def work(tiles):
+        empty = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+        if tiles is None:
+            return empty
+        ids, x, others, y = tiles
+        near = (distances(x, y) < threshold) & (ids[:, None] != others[None, :])
+        # smallest id that a point reaches inside of this pair of tiles
+        of_x, of_y, big = ids.copy(), others.copy(), np.iinfo(np.int64).max
+        while True:
+            new_y = np.minimum(of_y, np.where(near, of_x[:, None], big).min(axis=0, initial=big))
+            new_x = np.minimum(of_x, np.where(near, new_y[None, :], big).min(axis=1, initial=big))
+            if (new_x == of_x).all() and (new_y == of_y).all():
+                break
+            of_x, of_y = new_x, new_y
+        a, b = np.concatenate([ids, others]), np.concatenate([of_x, of_y])
+        return pd.DataFrame({"a": a[a != b], "b": b[a != b]})
+
+    return _meet(table, table, work, "a long, b long", tile)
 
 
 def dimensions_of(table: DataFrame) -> int:
     return table.agg(F.max(F.size("vec"))).first()[0] or 0
 
 
-def _row_shares(edges: DataFrame) -> DataFrame:
+def row_shares(edges: DataFrame) -> DataFrame:
     return edges.join(degrees(edges), "i").select("i", "j", (F.col("w") / F.col("degree")).alias("w"))
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import join_counted, materialize
@@ -43,11 +45,14 @@ def strata(df: DataFrame, value: str, low: float = 0.25, high: float = 0.75) ->
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """One row: the area under the ROC curve by rank sums; null without both classes.
 
-    Equal scores are counted first, so that only distinct scores are ordered.
+    Equal scores are counted first, and ranges of scores are ordered apart: a task
+    sees one range, and one row a range is summed in order.
     """
     by = df.where(F.col(score).isNotNull() & F.col(label).isin(0, 1)).groupBy(score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    below = F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1))
-    s = by.withColumn("below", F.coalesce(below, F.lit(0))).agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    placed = materialize(by.select(F.col(score).alias("s"), "p", "n").repartitionByRange("s").withColumn("part", F.spark_partition_id()), "scores")
+    parts = placed.groupBy("part").agg(F.sum("n").alias("all")).select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("before"))
+    below = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("s")) - F.col("n")
+    s = placed.join(F.broadcast(parts), "part").withColumn("below", below).agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return s.select(F.try_divide("u", F.col("p").cast("double") * F.col("n")).alias("auc"))
 
 
@@ -157,11 +162,51 @@ def granger(series: DataFrame) -> DataFrame:
     own = series.withColumn("past", F.lag("value").over(w)).where("past is not null")
     pairs = own.select("t", F.col("gene").alias("effect"), F.col("value").alias("y"), F.col("past").alias("x")).join(own.select("t", F.col("gene").alias("cause"), F.col("past").alias("z")), "t").where("cause <> effect")
     s = pairs.groupBy("cause", "effect").agg(F.count("*").alias("n"), F.regr_sxx("y", "x").alias("xx"), F.regr_sxx("y", "z").alias("zz"), F.regr_syy("y", "x").alias("yy"), F.regr_sxy("y", "x").alias("xy"), F.regr_sxy("y", "z").alias("zy"), F.regr_sxy("x", "z").alias("xz"))
+    # a constant series has no regression: nulls
     det = F.col("xx") * F.col("zz") - F.col("xz") * F.col("xz")
-    coef = (F.col("zy") * F.col("xx") - F.col("xy") * F.col("xz")) / det
-    b = (F.col("xy") * F.col("zz") - F.col("zy") * F.col("xz")) / det
-    s = s.withColumn("coef", coef).withColumn("full", F.col("yy") - b * F.col("xy") - F.col("coef") * F.col("zy")).withColumn("own", F.col("yy") - F.col("xy") * F.col("xy") / F.col("xx"))
-    return s.select("cause", "effect", "coef", (F.col("n") * (F.col("own") - F.col("full")) / F.col("full")).alias("chi2"))
+    coef = F.try_divide(F.col("zy") * F.col("xx") - F.col("xy") * F.col("xz"), det)
+    b = F.try_divide(F.col("xy") * F.col("zz") - F.col("zy") * F.col("xz"), det)
+    s = s.withColumn("coef", coef).withColumn("full", F.col("yy") - b * F.col("xy") - F.col("coef") * F.col("zy")).withColumn("own", F.col("yy") - F.try_divide(F.col("xy") * F.col("xy"), F.col("xx")))
+    return s.select("cause", "effect", "coef", F.try_divide(F.col("n") * (F.col("own") - F.col("full")), F.col("full")).alias("chi2"))
+
+
+#: Added to p before its logarithm is taken, so a score is ten times log 2 at most. A fixed value.
+P_FLOOR = 2.0**-10
+
+
+def signed_score(p: Column, coef: Column) -> Column:
+    """The sign of the coefficient times minus log of p + P_FLOOR."""
+    return F.signum(coef) * -F.log(p + F.lit(P_FLOOR))
+
+
+def chi2_tail(chi2: Column) -> Column:
+    """The chance that a chi-square variable of one degree is larger."""
+
+    @F.pandas_udf("double")
+    def tail(x: pd.Series) -> pd.Series:
+        return pd.Series([None if v != v else math.erfc(math.sqrt(max(v, 0.0) / 2)) for v in x.to_numpy(dtype=float, na_value=np.nan)], dtype=float)
+
+    return tail(chi2)
+
+
+def gene_series(cells: DataFrame, downsample: int = 10) -> DataFrame:
+    """t, gene, value: the mean over cells of (t, gene, value) rows, every ``downsample``-th time kept from the first on, first differences."""
+    if downsample < 1:
+        raise ValueError(f"downsample must be 1 or more, not {downsample}")
+    mean = cells.groupBy("t", "gene").agg(F.avg("value").alias("value"))
+    # a row for each time
+    place = mean.select("t").distinct().withColumn("place", F.row_number().over(Window.orderBy("t")) - 1).where(F.col("place") % downsample == 0)
+    w = Window.partitionBy("gene").orderBy("t")
+    return mean.join(F.broadcast(place), "t").select("t", "gene", (F.col("value") - F.lag("value").over(w)).alias("value")).where("value is not null")
+
+
+def granger_scores(cells: DataFrame, regulators: list | None = None, targets: list | None = None, downsample: int = 10) -> DataFrame:
+    """cause, effect, coef, p and score of every pair of genes whose test isn't degenerate; ``regulators`` and ``targets`` name the genes of each side."""
+    found = granger(gene_series(cells, downsample))
+    for side, names in (("cause", regulators), ("effect", targets)):
+        found = found.where(F.col(side).isin(list(names))) if names is not None else found
+    found = found.where("chi2 is not null and coef is not null and not isnan(chi2)").withColumn("p", chi2_tail(F.col("chi2")))
+    return found.select("cause", "effect", "coef", "p", signed_score(F.col("p"), F.col("coef")).alias("score"))
 
 
 def loadings_summary(df: DataFrame) -> DataFrame:

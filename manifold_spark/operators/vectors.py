@@ -160,7 +160,8 @@ def merge_operators(operators: list[DataFrame], weights: list[float] | None = No
     total = sum(weights)
     every = None
     for e, w in zip(operators, weights, strict=True):
-        one = e.select("i", "j", (F.col("w") * (w / total)).alias("w"))
+        # written, as a union of tables that are dealt out alike but coalesced by themselves can't be planned
+        one = materialize(e.select("i", "j", (F.col("w") * (w / total)).alias("w")), "operator")
         every = one if every is None else every.union(one)
     mean = every.groupBy("i", "j").agg(F.sum("w").alias("w"))
     if not normalise:

@@ -466,4 +466,4 @@ def evaluate(spark, sf_dir):
     return registry.evaluate(table(spark, sf_dir), table(spark, sf_dir, 1, 8), asked).select("metric", F.round("value", 4).alias("value"))
 
 
-from . import vector_queries  # noqa: E402, F401  registers its queries here
+from . import projection_queries, vector_queries  # noqa: E402, F401  these register their queries here

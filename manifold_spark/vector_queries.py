@@ -189,8 +189,9 @@ def farthest_points(spark, sf_dir):
 
 @query()
 def reeb_graph(spark, sf_dir):
+    """The density lens of whole vectors over the graph of ten neighbours."""
     p = table(spark, sf_dir)
-    nodes, links = clustering.reeb_graph(p.select("id", F.get("vec", F.lit(0)).alias("lens")), nb.knn(p, 10))
+    nodes, links, _ = clustering.reeb_graph(clustering.lens_values(p, "density"), nb.knn(p, 10), overlap=0.25)
     return clustering.graph_summary(nodes, links)
 
 

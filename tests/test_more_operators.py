@@ -88,7 +88,13 @@ def test_spectrum_equals_numpy(spark, cloud):
     assert np.allclose(m, m.T)
     want = np.sort(np.linalg.eigvalsh(m))
     want = want[np.argsort(-np.abs(want))][:4]
-    values, vectors_ = spectral.eigen(op, 4, rounds=40)
+    whole, whole_vectors = spectral.eigen(op, 4)
+    values, vectors_ = spectral.eigen(op, 4, rounds=40, small=0)
+    assert np.allclose(whole, values, atol=1e-8)
+    # two components: only the space of the two largest is the same
+    one, two = (np.array([r.x for r in v.orderBy("id").collect()]) for v in (whole_vectors, vectors_))
+    assert np.allclose(one @ one.T, two @ two.T, atol=1e-5)
+    assert len(spectral.eigen(op.limit(0), 4)[0]) == 0
     assert np.allclose(values, np.sort(want)[::-1], atol=1e-6)
     x = np.array([r.x for r in vectors_.orderBy("id").collect()])
     assert np.allclose(m @ x[:, 0], values[0] * x[:, 0], atol=1e-3)
@@ -149,7 +155,7 @@ def test_communities_farthest_points_and_reeb(spark, cloud):
     assert clustering.farthest_points(table, 99).count() == 40
     ring = [(i, [math.cos(i / 30 * 2 * math.pi), math.sin(i / 30 * 2 * math.pi)]) for i in range(30)]
     ring = spark.createDataFrame(ring, "id long, vec array<double>")
-    nodes, links = clustering.reeb_graph(ring.select("id", F.get("vec", F.lit(0)).alias("lens")), nb.knn(ring, 2), bins=4, overlap=0.3)
+    nodes, links, _ = clustering.reeb_graph(ring.select("id", F.get("vec", F.lit(0)).alias("lens")), nb.knn(ring, 2), bins=4, overlap=0.3)
     assert clustering.graph_summary(nodes, links).first().loops == 1
 
 
@@ -350,11 +356,83 @@ def test_admixture_tables(spark, tmp_path):
     assert rows == [(k, i, p, (v,) * k) for k in (2, 3) for i, p, v in (("a", "x", 0.1), ("d", "y", 0.1))]
 
 
-def test_condensation_ends_at_one_group(spark):
-    x = np.concatenate([np.random.default_rng(5).normal(c, 0.05, size=(6, 2)) for c in (0, 3)])
-    steps = [(r.step, r.n) for r in spectral.condense(frame(spark, x), k=3, granularity=0.4, rounds=4).orderBy("step").collect()]
-    assert steps[0] == (0, 12)
-    assert [n for _, n in steps] == sorted((n for _, n in steps), reverse=True) and steps[-1][1] < 12
+def dense_condensation(x, p, scale, granularity, rounds):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))[np.triu_indices(len(x), 1)]
+    threshold, group, counts = np.percentile(d, 0.1) + granularity * d.std() * 0.1, np.arange(len(x)), [len(x)]
+    for _ in range(rounds):
+        names = np.unique(group)
+        if len(names) <= 1:
+            break
+        c = np.array([x[group == g].mean(0) for g in names])
+        near = np.sqrt(((c[:, None] - c[None]) ** 2).sum(-1)) < threshold
+        np.fill_diagonal(near, False)
+        if not near.any():
+            x, threshold = p @ x, threshold * scale
+        else:
+            label = names.copy()
+            while True:
+                new = np.array([min([label[i], *label[near[i]]]) for i in range(len(names))])
+                if (new == label).all():
+                    break
+                label = new
+            group = label[np.searchsorted(names, group)]
+        counts.append(len(np.unique(group)))
+    return counts, group
+
+
+def test_condensation_equals_numpy(spark):
+    x = np.concatenate([np.random.default_rng(5).normal(c, 0.3, size=(8, 2)) for c in (0, 3)])
+    table = frame(spark, x)
+    operator = spectral.materialize(spectral.row_shares(spectral.decay_edges(table, 3)), "operator")
+    p = dense(operator, 16)
+    want, group = dense_condensation(x, p, 1.3, 0.1, 9)
+    steps, groups = spectral.condensation(table, operator, scale=1.3, rounds=9)
+    assert [r.n for r in steps.orderBy("step").collect()] == want and want[-1] < 16
+    assert [r.group for r in groups.orderBy("id").collect()] == group.tolist()
+    assert spectral.condense(table.limit(0)).collect() == [] and [tuple(r) for r in spectral.condense(table.limit(1)).collect()] == [(0, 1)]
+
+
+def test_reeb_graph_links_by_edges(spark):
+    from manifold_spark.operators import clustering
+
+    path = spark.createDataFrame([(i, float(i)) for i in range(20)], "id long, lens double")
+    steps = spark.createDataFrame([(i, i + 1) for i in range(19)], "i long, j long")
+    for overlap in (0.0, 0.3):
+        nodes, links, members = clustering.reeb_graph(path, steps, 4, overlap)
+        got = clustering.graph_summary(nodes, links).first()
+        assert (got.nodes, got.edges, got.components, got.loops, got.branch_points, got.endpoints) == (4, 3, 1, 0, 0, 2)
+    assert members.count() > 20
+    # components of at most a tenth of the mean number of points of a bin go
+    lone = path.union(spark.createDataFrame([(99, 7.0)], path.schema))
+    assert clustering.reeb_graph(lone, steps, 2, density_factor=0.1)[0].count() == 2
+    assert clustering.reeb_graph(lone, steps, 2, density_factor=0.0)[0].count() == 3
+    empty, none, _ = clustering.reeb_graph(path.limit(0), steps)
+    assert clustering.graph_summary(empty, none).first().nodes == 0
+    for lens in ("density", "pca1", "diffusion1"):
+        points = frame(spark, np.random.default_rng(1).normal(size=(30, 3)))
+        assert clustering.lens_values(points, lens, 5).count() == 30
+    with pytest.raises(ValueError, match="no lens"):
+        clustering.lens_values(path, "x")
+
+
+def test_granger_scores(spark):
+    from manifold_spark.operators import statistics
+
+    rng = np.random.default_rng(3)
+    a = np.cumsum(rng.normal(size=80))
+    b = np.concatenate([[0.0], np.cumsum(np.diff(a) * 0.9 + rng.normal(size=79) * 0.1)])
+    b = np.concatenate([[0.0], b[:-1]])
+    rows = [(t, g, cell, float(v[t] + cell)) for t in range(80) for g, v in (("a", a), ("b", b)) for cell in (-1, 1)] + [(t, "flat", 0, 1.0) for t in range(80)]
+    got = {(r.cause, r.effect): r for r in statistics.granger_scores(spark.createDataFrame(rows, "t int, gene string, cell int, value double"), downsample=1).collect()}
+    assert set(got) == {("a", "b"), ("b", "a")}
+    y, x, z = np.diff(b)[1:], np.diff(b)[:-1], np.diff(a)[:-1]
+    fit = lambda *c: np.linalg.lstsq(np.stack([*c, np.ones(len(y))], 1), y, rcond=None)
+    full, own = fit(x, z), fit(x)
+    chi2 = len(y) * (own[1][0] - full[1][0]) / full[1][0]
+    p = math.erfc(math.sqrt(chi2 / 2))
+    assert got["a", "b"].coef == pytest.approx(full[0][1]) and got["a", "b"].p == pytest.approx(p, abs=1e-12)
+    assert got["a", "b"].score == pytest.approx(-math.log(p + 2.0**-10)) and got["a", "b"].score > 6
+    assert statistics.gene_series(spark.createDataFrame(rows, "t int, gene string, cell int, value double"), 10).count() == 7 * 3
 
 
 def test_strata_equal_an_order_of_all_rows(spark):
