@@ -339,9 +339,9 @@ def report(docs: DataFrame, min_words: int = 50) -> DataFrame:
 
 ORACLE = r"""
 WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
-g AS (SELECT r, doc_id, unnest(list_transform(range(1, len(words) - 48), p -> struct_pack(p := p, h := md5(array_to_string(words[p:p + 49], ' '))))) AS s FROM w WHERE len(words) >= 50),
-f AS (SELECT s.h AS h, min(doc_id) AS first FROM g GROUP BY 1),
-x AS (SELECT DISTINCT r, unnest(range(s.p, s.p + 50)) AS q FROM g JOIN f ON f.h = s.h WHERE first < doc_id),
+g AS (SELECT r, doc_id, unnest(range(1, len(words) - 48)) AS p, unnest([md5(array_to_string(words[q:q + 49], ' ')) FOR q IN range(1, len(words) - 48)]) AS h FROM w WHERE len(words) >= 50),
+f AS (SELECT h, min(doc_id) AS first FROM g GROUP BY h),
+x AS (SELECT DISTINCT r, unnest(range(p, p + 50)) AS q FROM g JOIN f USING (h) WHERE first < doc_id),
 e AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS q FROM w),
 k AS (SELECT r, string_agg(word, ' ' ORDER BY q) AS kept, count(*) AS n FROM e ANTI JOIN x USING (r, q) GROUP BY r)
 SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
