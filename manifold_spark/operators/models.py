@@ -175,6 +175,12 @@ def _umap(table: DataFrame, **settings) -> DataFrame:
     return embed(table, **settings)
 
 
+def _tsne(table: DataFrame, **settings) -> DataFrame:
+    from .tsne import embed
+
+    return embed(table, **settings)
+
+
 def _robust(table: DataFrame, **settings) -> DataFrame:
     from .robust import robust_pca
 
@@ -194,6 +200,18 @@ def _kmeans(table: DataFrame, k: int = 10, seed: int = 42) -> DataFrame:
     return kmeans(same_length(table), k, seed).select("id", F.col("cluster").alias("label"))
 
 
+def _ltsa(table: DataFrame, k: int = 2, neighbours: int = 20, **settings) -> DataFrame:
+    from .local import align_tangents
+
+    return align_tangents(table, neighbours, k, **settings)
+
+
+def _archetypes(table: DataFrame, **settings) -> DataFrame:
+    from .archetypes import analyse
+
+    return analyse(table, **settings)
+
+
 def _noop(table: DataFrame) -> DataFrame:
     return table.select("id", "vec")
 
@@ -205,6 +223,9 @@ ALGORITHMS = {
     "diffusion_map": Algorithm(_fitted(fit_diffusion), "projection", ("diffusionmap",)),
     "phate": Algorithm(_phate, "projection"),
     "umap": Algorithm(_umap, "projection"),
+    "tsne": Algorithm(_tsne, "projection", ("t-sne",)),
+    "ltsa": Algorithm(_ltsa, "projection", ("local_tangent_space_alignment",)),
+    "archetypal_analysis": Algorithm(_archetypes, "projection", ("aa",)),
     "noop": Algorithm(_noop, "projection"),
     "leiden": Algorithm(_communities, "clustering", ("communities",)),
     "kmeans": Algorithm(_kmeans, "clustering"),

@@ -110,3 +110,11 @@ def sample_size(total: int, n: int | None = None, fraction: float | None = None)
 def follow(metadata: DataFrame, sample: DataFrame, id_col: str = "id") -> DataFrame:
     """The rows of a table that belong to the sampled ids."""
     return metadata.join(sample.select(id_col), id_col, "left_semi")
+
+
+def condensed(table: DataFrame, target: int = 10, k: int = 5, decay: float = 40.0, scale: float = 1.025, granularity: float = 0.1, rounds: int = 500, seed: int = 42) -> DataFrame:
+    """The points of a balanced sample over the groups of diffusion condensation: the first scale with at most ``target`` groups, else the last of ``rounds``."""
+    from .spectral import condensation, decay_edges, row_shares
+
+    _, groups = condensation(table, row_shares(decay_edges(table, k, decay)), scale, granularity, rounds, seed=seed, target=target)
+    return balanced(table.join(groups, "id"), "id", "group", seed).drop("group")

@@ -81,7 +81,8 @@ def summed(table: DataFrame, columns: list[str], size: int, of) -> np.ndarray:
         for b in batches:
             if b.num_rows:
                 total += np.asarray(of(*(matrix(b.column(c)) for c in columns))).ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], names=["p", "s"])
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["p", "s"])
 
     found = table.select(*columns).mapInArrow(sums, "p int, s double").groupBy("p").agg(F.sum("s").alias("s")).toArrow()
     out = np.zeros(size)
@@ -277,7 +278,7 @@ def condense(table: DataFrame, k: int = 5, decay: float = 40.0, scale: float = 1
     return steps
 
 
-def condensation(table: DataFrame, operator: DataFrame, scale: float = 1.025, granularity: float = 0.1, rounds: int = 500, subsample: int = 1000, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def condensation(table: DataFrame, operator: DataFrame, scale: float = 1.025, granularity: float = 0.1, rounds: int = 500, subsample: int = 1000, seed: int = 42, target: int = 1) -> tuple[DataFrame, DataFrame]:
     """step and n, the groups after each round from step 0 on; and id, group (the smallest id of the group) at the end.
 
     A round merges all groups whose centroids (means of their points as these are
@@ -285,7 +286,7 @@ def condensation(table: DataFrame, operator: DataFrame, scale: float = 1.025, gr
     point moves to its mean by ``operator`` (i, j, w, rows summing to one), and the
     threshold grows by ``scale``. The threshold starts at the 0.1 percentile of the
     distances of at most ``subsample`` points (by hash) plus a tenth of ``granularity``
-    times their deviation. Ends at one group. Close centroids are found by tiles;
+    times their deviation. Ends at ``target`` groups or fewer. Close centroids are found by tiles;
     a tile hands on the links of a forest, not all of its pairs.
     """
     from . import sampling
@@ -303,7 +304,7 @@ def condensation(table: DataFrame, operator: DataFrame, scale: float = 1.025, gr
     operator = materialize(operator.select("i", "j", "w"), "operator")
     steps = [(0, n)]
     for step in range(1, rounds + 1):
-        if n <= 1:
+        if n <= target:
             break
         centres = mean_vectors(points, "group").select(F.col("group").alias("id"), "vec")
         merged = connected_components(materialize(close_links(centres, threshold), "links"))

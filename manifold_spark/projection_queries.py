@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import registry, runs
-from .operators import clustering, comparison, homology, models, phate, robust, scaling, spectral, statistics, umap, vectors
+from .operators import archetypes, clustering, comparison, homology, local, models, phate, robust, sampling, scaling, spectral, statistics, tsne, umap, vectors
 from .operators import neighbours as nb
 from .queries import _LID, ALL, UNIFORM, _knn, _points, query, table
 from .session import materialize, read_table, scratch_path
@@ -44,6 +44,18 @@ def fuzzy_layout(spark, sf_dir):
     return _entries(umap.embed(table(spark, sf_dir), 2, rounds=20))
 
 
+@query()
+def neighbour_affinities(spark, sf_dir):
+    """The symmetric affinities of perplexity 30."""
+    return tsne.affinities(table(spark, sf_dir), 30)
+
+
+@query()
+def tsne_layout(spark, sf_dir):
+    """Twelve rounds of descent from the principal components."""
+    return _entries(tsne.embed(table(spark, sf_dir), rounds=12))
+
+
 @query()
 def fuzzy_graph(spark, sf_dir):
     return umap.fuzzy_graph(table(spark, sf_dir), 15)
@@ -76,6 +88,31 @@ def algorithm_by_name(spark, sf_dir):
     return _entries(models.run_algorithm(table(spark, sf_dir), "PCA", k=3, fit_fraction=0.5))
 
 
+@query()
+def tangent_alignment(spark, sf_dir):
+    """Coordinates that make the patches of 15 neighbours linear."""
+    return _entries(local.align_tangents(table(spark, sf_dir), 15, 2))
+
+
+@query()
+def robust_local_pca(spark, sf_dir):
+    """The local spectra of trimmed patches of 20 neighbours."""
+    found = local.local_pca(table(spark, sf_dir), 20)
+    return found.select("id", "dimension", "support", *(F.round(c, 6).alias(c) for c in ("variance", "condition", "effective_rank")))
+
+
+@query()
+def archetypal_shares(spark, sf_dir):
+    """Each point's shares of three corners."""
+    return _entries(archetypes.analyse(table(spark, sf_dir), 3, rounds=10))
+
+
+@query()
+def condensation_sampling(spark, sf_dir):
+    """A balanced sample over the groups that ten rounds of condensation leave."""
+    return sampling.condensed(table(spark, sf_dir), rounds=10).select("id")
+
+
 # topology and spectra -----------------------------------------------------------------
 
 

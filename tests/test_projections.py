@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
-from manifold_spark.operators import homology, models, neighbours, phate, robust, scaling, spectral, umap
+from manifold_spark.operators import archetypes, homology, local, models, neighbours, phate, robust, sampling, scaling, spectral, tsne, umap
 
 
 def frame(spark, x, ids=None):
@@ -262,11 +262,127 @@ def test_layout_keeps_clusters_apart(spark):
     assert umap.embed(frame(spark, []), 2).collect() == []
 
 
+def test_tsne_gradient_and_layout(spark):
+    rng = np.random.default_rng(16)
+    x = np.concatenate([rng.normal(size=(60, 5)), rng.normal(size=(60, 5)) + 8])
+    p = tsne.affinities(frame(spark, x), perplexity=10)
+    m = np.zeros((120, 120))
+    for r in p.collect():
+        m[r.i, r.j] += r.p
+    assert m.sum() == pytest.approx(1) and np.allclose(m, m.T)
+    d = pairwise(x)
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d[0], kind="stable")[:30]
+    beta = tsne.precisions(d[0][near][None] ** 2, 10)[0]
+    q = np.exp(-beta * d[0][near] ** 2)
+    q /= q.sum()
+    assert np.exp(-(q * np.log(q)).sum()) == pytest.approx(10, rel=1e-4)
+    y = rng.normal(size=(120, 2)) * 7
+    k = 1 / (1 + ((y[:, None] - y[None]) ** 2).sum(-1))
+    np.fill_diagonal(k, 0)
+    far = y[:, None] - y[None]
+    want = 4 * (((m * k)[..., None] * far).sum(1) - ((k * k)[..., None] * far).sum(1) / k.sum())
+    got = rows(tsne.gradient(spectral.materialize(p, "p"), frame(spark, y), intervals=100))
+    g = np.array([got[i] for i in range(120)])
+    assert np.linalg.norm(g - want) / np.linalg.norm(want) < 1e-2
+    out = rows(tsne.embed(frame(spark, x), perplexity=10, rounds=12))
+    v = np.array([out[i] for i in range(120)])
+    dist, label = pairwise(v), np.repeat([0, 1], 60)
+    np.fill_diagonal(dist, np.inf)
+    assert (label[np.argsort(dist, axis=1)[:, :5]] == label[:, None]).mean() > 0.95
+    assert tsne.embed(frame(spark, [])).collect() == [] and tsne.embed(frame(spark, [[1.0, 2.0]])).count() == 1
+
+
 def test_numbers_are_dense(spark):
     got, n = umap.numbered(spark.range(100).repartition(7))
     assert n == 100 and sorted(r.number for r in got.collect()) == list(range(100))
 
 
+# patches ----------------------------------------------------------------------------------
+
+
+def test_local_spectra_equal_numpy(spark):
+    x = np.random.default_rng(12).normal(size=(40, 4)) * [3, 2, 0.1, 0.05]
+    d = pairwise(x)
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1, kind="stable")[:, :10]
+    got = {r.id: r for r in local.local_pca(frame(spark, [*x, None]), 10, method="none").collect()}
+    trimmed = {r.id: r for r in local.local_pca(frame(spark, x), 10, method="trimmed", trim=0.2).collect()}
+    assert len(got) == 40
+    for i in range(40):
+        p = x[near[i]]
+        values = np.linalg.eigvalsh(np.cov(p.T))[::-1]
+        assert np.allclose(got[i]["values"], values) and got[i].support == 10
+        m = int(np.argmax(np.log(values[:-1] / values[1:]))) + 1
+        assert got[i].dimension == m and got[i].variance == pytest.approx(values[:m].sum()) and got[i].condition == pytest.approx(values[0] / values[m - 1])
+        q = values / values.sum()
+        assert got[i].effective_rank == pytest.approx(np.exp(-(q * np.log(q)).sum()))
+        keep = np.argsort(np.linalg.norm(p - np.median(p, axis=0), axis=1), kind="stable")[:8]
+        assert np.allclose(trimmed[i]["values"], np.linalg.eigvalsh(np.cov(p[keep].T))[::-1]) and trimmed[i].support == 8
+    with pytest.raises(ValueError, match="no method"):
+        local.local_pca(frame(spark, x), method="x")
+
+
+@pytest.mark.parametrize("method", ["trimmed", "mcd", "huber"])
+def test_robust_covariances_withstand_outliers(method):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(5, 30, 3)) * [3, 1, 0.01]
+    bad = x.copy()
+    bad[:, :2] += [0, 0, 50]
+    plain, _ = local.covariances(bad, np.ones((5, 30)), "none")
+    cov, keep = local.covariances(bad, np.ones((5, 30)), method)
+    # Huber's weights bound an outlier's pull, the others leave it out
+    assert not keep[:, :2].any() and (cov[:, 2, 2] < plain[:, 2, 2] * (0.75 if method == "huber" else 0.1)).all()
+
+
+def test_tangent_alignment_unrolls_a_roll(spark):
+    rng = np.random.default_rng(13)
+    t, h = 1.5 * np.pi * (1 + 1.2 * rng.random(500)), 12 * rng.random(500)
+    x = np.stack([t * np.cos(t), h, t * np.sin(t)], 1)
+    table = frame(spark, x)
+    y = rows(local.align_tangents(table, 12, 2))
+    v = np.array([y[i] for i in range(500)])
+    # arc length and height are linear in the coordinates
+    arc = 0.5 * (t * np.sqrt(1 + t * t) + np.arcsinh(t))
+    a = np.column_stack([v, np.ones(500)])
+    for truth in (arc, h):
+        left = truth - a @ np.linalg.lstsq(a, truth, rcond=None)[0]
+        assert 1 - left.var() / truth.var() > 0.95
+    b = np.zeros((500, 500))
+    for r in local.alignment(table, 12, 2).collect():
+        b[r.i, r.j] += r.w
+    values, vectors = np.linalg.eigh(b)
+    own = vectors[:, 1:3]
+    assert np.allclose(own @ own.T, v @ v.T, atol=1e-5)
+    assert local.align_tangents(frame(spark, [])).collect() == []
+
+
+def test_archetypes_are_the_planted_corners(spark):
+    rng = np.random.default_rng(14)
+    corners = np.array([[0.0, 0, 0], [10, 0, 1], [0, 10, 2]])
+    x = np.concatenate([corners, rng.dirichlet([1, 1, 1], 150) @ corners])
+    table = frame(spark, [*x, None, [1.0]])
+    got, loss = archetypes.fit(table, 3)
+    assert loss < 1e-3 and max(np.linalg.norm(got - c, axis=1).min() for c in corners) < 0.25
+    shares = rows(archetypes.transform(table, got))
+    assert len(shares) == 153 and all(v.min() >= 0 and abs(v.sum() - 1) < 1e-9 for v in shares.values())
+    assert archetypes.analyse(frame(spark, []), 3).collect() == []
+    assert archetypes.fit(frame(spark, [[1.0, 2.0]] * 4), 3)[0].tolist() == [[1.0, 2.0]]
+    p = rng.normal(size=(20, 5))
+    q = archetypes.on_simplex(p)
+    assert np.allclose(q.sum(1), 1) and (q >= 0).all()
+    other = rng.dirichlet(np.ones(5), (400, 20))
+    assert (((other - p) ** 2).sum(-1) >= ((q - p) ** 2).sum(-1) - 1e-12).all()
+
+
+def test_condensation_sampling_is_balanced(spark):
+    rng = np.random.default_rng(15)
+    x = np.concatenate([rng.normal(0, 0.2, (30, 2)), rng.normal(8, 0.2, (10, 2))])
+    got = {r.id for r in sampling.condensed(frame(spark, x), target=2, scale=1.6, rounds=25).collect()}
+    a, b = sum(i < 30 for i in got), sum(i >= 30 for i in got)
+    assert b == 10 and 10 <= a <= 20
+
+
 # fitted models ----------------------------------------------------------------------------
 
 
