@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import registry, runs
-from .operators import archetypes, clustering, comparison, homology, local, models, phate, robust, sampling, scaling, spectral, statistics, tsne, umap, vectors
+from .operators import archetypes, clustering, comparison, correction, homology, local, models, phate, robust, sampling, scaling, spectral, statistics, tsne, umap, vectors
 from .operators import neighbours as nb
-from .queries import _LID, ALL, UNIFORM, _knn, _points, query, table
+from .queries import _K15, _KSTAR, _LID, ALL, UNIFORM, _knn, _points, query, table
 from .session import materialize, read_table, scratch_path
 from .sources import files, sinks
 
@@ -113,6 +113,23 @@ def condensation_sampling(spark, sf_dir):
     return sampling.condensed(table(spark, sf_dir), rounds=10).select("id")
 
 
+@query(f"WITH {_K15}, {_knn('e', 'p', 60)}, {_KSTAR}, f AS (SELECT i, sum(w) * sum(w) / sum(w * w) AS k FROM kern GROUP BY i) SELECT i AS id, round(k / k_star, 5) AS ratio, k / k_star > 1.0 OR k / k_star < 0.5 AS mismatched FROM f JOIN kstar USING (i)")
+def mismatch_labels(spark, sf_dir):
+    """The points whose kernel reaches beyond or stays far below their k-star."""
+    points = table(spark, sf_dir)
+    edges = materialize(nb.knn(points, 60), "neighbours")
+    return correction.mismatch(points, nb.kernel(edges.where("rank <= 15")), 60, edges=edges).withColumn("ratio", F.round("ratio", 5))
+
+
+@query()
+def selective_correction(spark, sf_dir):
+    """Principal components after four steps in which mismatched points move."""
+    points = table(spark, sf_dir)
+    edges = materialize(nb.knn(points, 60), "neighbours")
+    flagged = correction.mismatch(points, nb.kernel(edges.where("rank <= 15")), 60, edges=edges)
+    return _entries(correction.correct(materialize(comparison.pca(points, 2), "embedding"), materialize(flagged, "flagged"), steps=4, rate=0.01))
+
+
 # topology and spectra -----------------------------------------------------------------
 
 

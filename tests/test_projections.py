@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
-from manifold_spark.operators import archetypes, homology, local, models, neighbours, phate, robust, sampling, scaling, spectral, tsne, umap
+from manifold_spark.operators import archetypes, correction, homology, local, models, neighbours, phate, robust, sampling, scaling, spectral, tsne, umap
 
 
 def frame(spark, x, ids=None):
@@ -383,6 +383,43 @@ def test_condensation_sampling_is_balanced(spark):
     assert b == 10 and 10 <= a <= 20
 
 
+# correction -------------------------------------------------------------------------------
+
+
+def loss_of(x, edges, moving):
+    total = 0.0
+    for i in moving:
+        lx, ly = np.array([e[2] for e in edges[i]]), np.array([np.log(np.linalg.norm(x[i] - x[e[1]])) for e in edges[i]])
+        total += 1 - np.corrcoef(lx, ly)[0, 1] ** 2
+    return total
+
+
+def test_only_flagged_points_move_and_fit_better(spark):
+    x = np.random.default_rng(17).normal(size=(50, 2))
+    table = frame(spark, x)
+    edges = spectral.materialize(correction.scale_edges(table, 20, 2, 8), "edges")
+    by = {i: [(r.i, r.j, r.x) for r in edges.collect() if r.i == i] for i in range(50)}
+    moving = [3, 7, 20, 41]
+    mine = edges.where(f"i in ({','.join(map(str, moving))})")
+    g = rows(correction.gradient(mine, table), "g")
+    for i in (3, 41):
+        for c in (0, 1):
+            step = np.zeros_like(x)
+            step[i, c] = 1e-6
+            slope = (loss_of(x + step, by, moving) - loss_of(x - step, by, moving)) / 2e-6
+            assert g[i][c] == pytest.approx(slope, rel=1e-4, abs=1e-6)
+    quality = {r.i: r.r2 for r in correction.fit_quality(mine, table).collect()}
+    assert sum(1 - v for v in quality.values()) == pytest.approx(loss_of(x, by, moving))
+    flagged = spark.createDataFrame([(i, i in moving) for i in range(50)], "id long, mismatched boolean")
+    out = rows(correction.correct(table, flagged, 20, 2, 8, steps=6, rate=0.02))
+    y = np.array([out[i] for i in range(50)])
+    still = [i for i in range(50) if i not in moving]
+    assert (y[still] == x[still]).all() and (y[moving] != x[moving]).any(axis=1).all()
+    assert loss_of(y, by, moving) < loss_of(x, by, moving)
+    assert rows(correction.correct(table, flagged.withColumn("mismatched", flagged.mismatched & False), 20)).keys() == set(range(50))
+    assert correction.correct(frame(spark, []), flagged, 20).collect() == []
+
+
 # fitted models ----------------------------------------------------------------------------
 
 
