@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import comparison, homology, spectral
+from ..operators import comparison, homology, magnitude, spectral
 from ..operators import neighbours as nb
 from ..operators import statistics as st
 from ..session import materialize
@@ -234,6 +234,11 @@ def persistent_homology(s: Spaces, dimension: int = 1, threshold: float = 0.1, r
     return homology.persistent_features(homology.bars(s.low, most, seed), dimension, threshold, relative).select(F.col("n").cast("double"))
 
 
+@metric("MagnitudeDimension", aliases={"magnitude_dimension": {}})
+def magnitude_dimension(s: Spaces, n_scales: int = 20, share: float = 0.95) -> DataFrame:
+    return magnitude.magnitude_dimension(s.low, n_scales, share)
+
+
 @metric("NoOp")
 def no_op(s: Spaces) -> DataFrame:
     return s.low.agg(F.lit(0.0).alias("value"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import registry, runs
-from .operators import archetypes, clustering, comparison, correction, homology, local, models, phate, robust, sampling, scaling, spectral, statistics, tsne, umap, vectors
+from .operators import archetypes, clustering, comparison, correction, homology, local, magnitude, models, phate, robust, sampling, scaling, spectral, statistics, tsne, umap, vectors
 from .operators import neighbours as nb
 from .queries import _K15, _KSTAR, _LID, ALL, UNIFORM, _knn, _points, query, table
 from .session import materialize, read_table, scratch_path
@@ -139,6 +139,12 @@ def persistent_homology(spark, sf_dir):
     return homology.bars(table(spark, sf_dir), 300)
 
 
+@query()
+def magnitude_profile(spark, sf_dir):
+    """Magnitude and its growth at six scales about the nearest distances."""
+    return magnitude.profile(magnitude.magnitudes(table(spark, sf_dir), [0.5, 1.0, 1.5, 2.0, 3.0, 4.0], tolerance=1e-6))
+
+
 @query()
 def graph_spectrum(spark, sf_dir):
     """The 20 largest eigenvalues of the symmetric diffusion operator."""

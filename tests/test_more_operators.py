@@ -338,7 +338,7 @@ def test_curvature_equals_dense_powers(spark, cloud):
     d = np.sqrt(np.maximum(((power[:, None] - power[None]) ** 2).sum(-1), 0))
     cut = np.sort(d[reached])[max(math.ceil(0.3 * reached.sum()) - 1, 0)]
     ball = reached & (d <= cut + 1e-12)
-    got = {r.i: r.curvature for r in spectral.diffusion_curvature(spectral._row_shares(edges), t=2, percentile=0.3).collect()}
+    got = {r.i: r.curvature for r in spectral.diffusion_curvature(spectral.row_shares(edges), t=2, percentile=0.3).collect()}
     want = {i: power[i][ball[i]].mean() for i in range(len(x))}
     assert got.keys() == want.keys()
     assert np.allclose([got[i] for i in want], list(want.values()), atol=1e-6)

@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
-from manifold_spark.operators import archetypes, correction, homology, local, models, neighbours, phate, robust, sampling, scaling, spectral, tsne, umap
+from manifold_spark.operators import archetypes, correction, homology, local, magnitude, models, neighbours, phate, robust, sampling, scaling, spectral, tsne, umap
 
 
 def frame(spark, x, ids=None):
@@ -420,6 +420,24 @@ def test_only_flagged_points_move_and_fit_better(spark):
     assert correction.correct(frame(spark, []), flagged, 20).collect() == []
 
 
+# magnitude --------------------------------------------------------------------------------
+
+
+def test_magnitudes_equal_dense_solves(spark):
+    x = np.random.default_rng(18).normal(size=(40, 3))
+    table = frame(spark, [*x, x[0], None, [1.0]])
+    scales = [0.8, 2.0, 6.0]
+    got = {r.scale: r.magnitude for r in magnitude.magnitudes(table, scales, tile=17).collect()}
+    want = {t: np.linalg.solve(np.exp(-t * pairwise(x)), np.ones(40)).sum() for t in scales}
+    assert all(got[t] == pytest.approx(want[t], rel=1e-6) for t in scales)
+    slope = [r.dimension for r in magnitude.profile(magnitude.magnitudes(table, scales)).orderBy("scale").collect()]
+    assert slope[0] is None and slope[1] == pytest.approx(np.log(want[2.0] / want[0.8]) / np.log(2.5), rel=1e-5)
+    assert magnitude.magnitudes(frame(spark, []), [1.0]).collect() == []
+    assert magnitude.magnitudes(frame(spark, [[1.0], [1.0]]), [3.0]).first().magnitude == pytest.approx(1)
+    with pytest.raises(ValueError, match="above 0"):
+        magnitude.magnitudes(table, [0.0])
+
+
 # fitted models ----------------------------------------------------------------------------
 
 
