@@ -62,7 +62,7 @@ class KneserNey:
         return -sum(math.log(self.p(t[i : i + self.order])) for i in range(len(text))) / len(text)
 
 
-def brute_kept(rows, order, spread=5.0, slack=2.5):
+def brute_kept(rows, order, spread=4.0, slack=1.5):
     """doc_id -> (kept, log-perplexity), from the definition."""
     by_lang = defaultdict(list)
     for i, (_, text, lang) in enumerate(rows):
