@@ -50,8 +50,8 @@ class DistinctTexts:
         groups = self.all.mapInArrow(some, self.all.schema).groupBy("text_key").agg(F.min(F.struct(*order)).alias("first"), F.count("*").alias("n"), F.first("text").alias("text"))
         self.groups = materialize(groups.select("first.*", "text", "text_key", "n"), "copies")
 
-    def each(self, work, schema: str) -> DataFrame:
-        """``work`` (iterator of batches -> iterator of batches) over every distinct text once."""
+    def each(self, work, schema: str, tasks: int | None = None) -> DataFrame:
+        """``work`` (iterator of batches -> iterator of batches) over every distinct text once, in at most ``tasks`` tasks if given."""
         copied = self.copied
 
         def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,4 +62,6 @@ class DistinctTexts:
                     yield b
 
         both = self.all.withColumn("raw", F.lit(True)).union(self.groups.select(*self.order, "text", "text_key", F.lit(False)))
+        if tasks:
+            both = both.coalesce(tasks)
         return both.mapInArrow(lambda batches: work(once(batches)), schema)

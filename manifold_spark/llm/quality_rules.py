@@ -4,7 +4,7 @@ The model is an interpolated modified Kneser-Ney model of order ``order`` over
 the characters (code points, none folded) of each language. Spark counts the
 n-grams of all texts, each distinct text of a language once: a task passes on
 sums, and continuation counts, discounts and back-off weights are joins and
-windows over the n-grams. The model is stored as sorted arrays of 64-bit n-gram
+windows over the n-grams, order by order. The model is stored as sorted arrays of 64-bit n-gram
 hashes with their log-probabilities, those of back-off weights beside them.
 
 A model of at most ``MODEL_ENTRIES`` is broadcast. A larger one stays a table:
@@ -41,6 +41,8 @@ from .words import mix, windows, word_hashes
 ORDER = 5
 #: Entries (12 bytes each) up to which a model is broadcast, and characters in a group of texts beyond that.
 MODEL_ENTRIES, GROUP_CHARS = 4_000_000, 16_000_000
+#: Characters that a counting task gets where partitions are smaller, as sums of little text save little.
+COUNTED_CHARS = 8_000_000
 #: Characters that are worked on at once, and n-grams that a task holds before it passes them on.
 PIECE, HELD = 1 << 20, 1_000_000
 #: Least distance of median and quartile of the log-perplexity, and texts that the average over languages counts for.
@@ -125,8 +127,8 @@ def _whole(s: np.ndarray, order: int) -> np.ndarray:
     return h
 
 
-def count_grams(texts: DistinctTexts, order: int) -> DataFrame:
-    """lang, gram (a string of ``order`` characters) and n, over every distinct text."""
+def count_grams(texts: DistinctTexts, order: int, tasks: int) -> DataFrame:
+    """lang, gram (a string of ``order`` characters) and n, over every distinct text, in at most ``tasks`` tasks."""
 
     def merged(parts):
         h, n, s = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -164,7 +166,7 @@ def count_grams(texts: DistinctTexts, order: int) -> DataFrame:
                     held, pending = {}, 0
         yield from emit(held)
 
-    return texts.each(work, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return texts.each(work, "lang string, gram string, n long", tasks).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def by_language(b: pa.RecordBatch) -> dict[str, list[tuple[int, str]]]:
@@ -179,68 +181,75 @@ def by_language(b: pa.RecordBatch) -> dict[str, list[tuple[int, str]]]:
 # the model ------------------------------------------------------------------------
 
 
-def kneser_ney(counted: DataFrame, order: int) -> DataFrame:
-    """lang and gram of the highest order, with p1, p2, ... of its last 1, 2, ... symbols, b1, b2, ... of the contexts of these, and u.
+def kneser_ney(counted: DataFrame, order: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The chance u of a symbol never seen, by lang, and for each order a table of lang, gram, p of its last symbol and b of the context of it.
 
-    Every gram of a lower order is the end of one of the highest, so these rows hold the whole model.
+    Each order is written once, so the next one moves only its own grams and the chance that it builds on.
     """
     level = {order: counted}
     for k in range(order - 1, 0, -1):  # how many different symbols stand before a gram of order k
-        level[k] = level[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n"))
+        level[k] = materialize(level[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n")), "grams")
     few = [F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]
     sizes = None
     for k in range(1, order + 1):
-        one = level[k].groupBy("lang").agg(F.lit(k).alias("k"), *few, F.count("*").alias("symbols"), F.sum("n").alias("all"))
+        one = level[k].groupBy("lang").agg(F.lit(k).alias("k"), *few, F.count("*").alias("symbols"))
         sizes = one if sizes is None else sizes.union(one)
     y = F.when((F.col("n1") > 0) & (F.col("n2") > 0), F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
     sizes = sizes.withColumn("y", y)
     for i, usual in ((1, 0.5), (2, 1.0), (3, 1.5)):
         d = i - (i + 1) * F.col("y") * F.col(f"n{i + 1}") / F.col(f"n{i}")
         sizes = sizes.withColumn(f"d{i}", F.when((F.col(f"n{i}") > 0) & (F.col(f"n{i + 1}") > 0), F.least(F.greatest(d, F.lit(0.05)), F.lit(i - 0.01))).otherwise(usual))
-    many = F.col("symbols") - F.col("n1") - F.col("n2")
-    sizes = sizes.withColumn("away", F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * many)
     # a table of known size: where it is small, as languages are few, no gram is moved to its language
-    sizes = materialize(sizes.select("lang", "k", "symbols", "all", "away", "d1", "d2", "d3"), "discounts")
-    lower = None
+    sizes = materialize(sizes.select("lang", "k", "symbols", "d1", "d2", "d3"), "discounts")
+    unseen = sizes.where("k = 1").select("lang", (1 / (F.col("symbols") + 1)).alias("u"))
+    out: list[DataFrame] = []
     for k in range(1, order + 1):
-        discount = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        rows = level[k].join(sizes.where(F.col("k") == k).drop("k"), "lang")
-        rows = rows.select("lang", "gram", "n", "symbols", "all", "away", discount.alias("d"), F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("suffix"))
+        rows = level[k]
         if k == 1:  # one context a language: its sums are known
-            rows = rows.withColumn("total", F.col("all")).withColumn("b1", F.col("away") / F.col("all"))
-        else:  # a context has no more rows than the language has symbols
-            w = Window.partitionBy("lang", "context")
-            rows = rows.withColumn("total", F.sum("n").over(w)).withColumn(f"b{k}", F.sum("d").over(w) / F.col("total"))
-        known = [f"{x}{j}" for j in range(1, k) for x in "pb"]
-        if lower is None:
-            rows = rows.withColumn("u", 1 / (F.col("symbols") + 1)).withColumn("below", F.col("u"))
+            sums = rows.groupBy("lang").agg(F.sum("n").alias("total"), *few[:2], F.count("*").alias("rows"))
+            rows = rows.join(sums, "lang").join(unseen.withColumnRenamed("u", "below"), "lang")
         else:
-            rows = rows.join(lower.select("lang", F.col("gram").alias("suffix"), F.col(f"p{k - 1}").alias("below"), "u", *known), ["lang", "suffix"])
-        p = (F.col("n") - F.col("d")) / F.col("total") + F.col(f"b{k}") * F.col("below")
-        lower = rows.select("lang", "gram", "u", *known, p.alias(f"p{k}"), f"b{k}")
-    return lower
+            below = out[-1].select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below"))
+            rows = rows.withColumn("suffix", F.substring("gram", 2, k - 1)).join(below, ["lang", "suffix"]).drop("suffix")
+            w = Window.partitionBy("lang", F.substring("gram", 1, k - 1))  # a context has no more rows than the language has symbols
+            rows = rows.select("*", F.sum("n").over(w).alias("total"), *(x.over(w).alias(f"n{i}") for i, x in ((1, F.count_if(F.col("n") == 1)), (2, F.count_if(F.col("n") == 2)))), F.count("*").over(w).alias("rows"))
+        rows = rows.join(sizes.where(F.col("k") == k).drop("k"), "lang")
+        discount = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        b = (F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * (F.col("rows") - F.col("n1") - F.col("n2"))) / F.col("total")
+        p = (F.col("n") - discount) / F.col("total") + b * F.col("below")
+        found = rows.select("lang", "gram", p.alias("p"), b.alias("b"))
+        out.append(found if k == order else materialize(found, "chances"))
+    return unseen, out
 
 
-def hashed(model: DataFrame, order: int) -> DataFrame:
-    """lang, key and value: each gram with its log-probability and each context with its log back-off weight, by their hashes."""
+def hashed(unseen: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """lang, key and value: each gram with its log-probability and each context with its log back-off weight, by their hashes.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            langs = b.column("lang").dictionary_encode()
-            code, logs = langs.indices.to_numpy(), {c: np.log(b.column(c).to_numpy()) for c in b.schema.names if c not in ("lang", "gram")}
-            every = np.frombuffer("".join(b.column("gram").to_pylist()).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-            for i, lang in enumerate(langs.dictionary.to_pylist()):
-                rows = np.flatnonzero(code == i)
-                end = rows * order + order - 1
-                keys, values = [np.full(1, _uniform())], [logs["u"][rows[:1]]]
-                for k in range(1, order + 1):
-                    keys += [_tagged(_poly(every, end, k), k), _tagged(_poly(every, end - 1, k - 1), _CONTEXT + k)]
-                    values += [logs[f"p{k}"][rows], logs[f"b{k}"][rows]]
-                key, first = np.unique(np.concatenate(keys), return_index=True)
-                value = np.concatenate(values)[first].astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key)), pa.array(key.view(np.int64)), pa.array(value)], names=["lang", "key", "value"])
-
-    return model.mapInArrow(run, "lang string, key long, value float").groupBy("lang", "key").agg(F.first("value").alias("value"))
+    The grams of a context stand together, so it is given once, or again with the same value where a batch begins.
+    """
+
+    def of_order(k: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                langs = b.column("lang").dictionary_encode()
+                code = langs.indices.to_numpy()
+                p, weight = (np.log(b.column(c).to_numpy()).astype(np.float32) for c in ("p", "b"))
+                every = np.frombuffer("".join(b.column("gram").to_pylist()).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+                end = np.arange(b.num_rows) * k + k - 1
+                gram, context = _tagged(_poly(every, end, k), k), _tagged(_poly(every, end - 1, k - 1), _CONTEXT + k)
+                first = np.ones(b.num_rows, bool)
+                first[1:] = (context[1:] != context[:-1]) | (code[1:] != code[:-1])
+                lang = pa.array(np.concatenate((code, code[first])))
+                key, value = np.concatenate((gram, context[first])), np.concatenate((p, weight[first]))
+                yield pa.RecordBatch.from_arrays([pa.DictionaryArray.from_arrays(lang, langs.dictionary).cast(pa.string()), pa.array(key.view(np.int64)), pa.array(value)], names=["lang", "key", "value"])
+
+        return run
+
+    schema = "lang string, key long, value float"
+    model = unseen.select("lang", F.lit(int(np.int64(_uniform().view(np.int64)))).alias("key"), F.log("u").cast("float").alias("value"))
+    for k, level in enumerate(levels, 1):
+        model = model.union(level.select("lang", "gram", "p", "b").mapInArrow(of_order(k), schema))
+    return model
 
 
 def _uniform() -> np.uint64:
@@ -375,15 +384,15 @@ def scored(docs: DataFrame, row: Column, order: int = ORDER) -> DataFrame:
     small_batches(spark)
     given = _given(docs, row)
     texts = DistinctTexts(given.where("text <> ''"), ["lang"])
-    counted = materialize(count_grams(texts, order), "grams")
-    model = materialize(hashed(kneser_ney(counted, order), order), "model")
+    chars = given.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    counted = materialize(count_grams(texts, order, int(chars // COUNTED_CHARS) + 1), "grams")
+    model = materialize(hashed(*kneser_ney(counted, order)), "model")
     if model.count() <= MODEL_ENTRIES:
         entries = model.toArrow()
         lang = entries.column("lang").combine_chunks().dictionary_encode()
         code, key, value = lang.indices.to_numpy(), entries.column("key").to_numpy().view(np.uint64), entries.column("value").to_numpy()
         tables = {name: SortedHashes(key[code == i], value[code == i]) for i, name in enumerate(lang.dictionary.to_pylist())}
         return materialize(_measured(given, tables, order), "scores")
-    chars = given.agg(F.sum(F.char_length("text"))).first()[0] or 0
     found = materialize(_by_groups(texts, model, order, int(chars // GROUP_CHARS) + 1), "perplexities")
     copies = given.where("text <> ''").groupBy("text_key").agg(F.count("*").alias("n"))
     found = materialize(found.join(copies, "text_key"), "perplexities")
