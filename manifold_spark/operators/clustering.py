@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -19,8 +19,10 @@ def communities(edges: DataFrame, resolution: float = 0.5, rounds: int = 20, lev
     The gain of a community is the weight of the edges to it less ``resolution``
     times degree times its degree over the total. In one round only the half of
     the nodes that a hash of node and round draws may move, so that two
-    neighbours rarely change places for ever. ``edges`` are undirected (i, j, w),
-    given once or in both directions. A community's name is its least node.
+    neighbours rarely change places for ever. After the rounds of a level each
+    community is refined into its connected parts, so every one is connected.
+    ``edges`` are undirected (i, j, w), given once or in both directions. A
+    community's name is its least node.
     """
     e = edges.where("i <> j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "w").groupBy("i", "j").agg(F.sum("w").alias("w"))
     e = materialize(e.union(e.select("j", "i", "w")), "graph")
@@ -46,8 +48,11 @@ def communities(edges: DataFrame, resolution: float = 0.5, rounds: int = 20, lev
             label = step.select("at", "label", "degree")
             if not step.where("wants <> was").take(1):
                 break
-        renamed = label.select("at", F.min("at").over(Window.partitionBy("label")).alias("to"))
-        renamed = materialize(renamed, "renamed")
+        # a community that fell apart as nodes left it is as many communities; no step gathers the nodes of a large one
+        of = lambda side: label.select(F.col("at").alias(side), F.col("label").alias(f"{side}_label"))
+        inner = e.where("i < j").join(of("i"), "i").join(of("j"), "j").where("i_label = j_label").select(F.col("i").alias("a"), F.col("j").alias("b"))
+        parts = connected_components(inner).select(F.col("node").alias("at"), F.col("component").alias("to"))
+        renamed = materialize(label.select("at").join(parts, "at", "left").select("at", F.coalesce("to", "at").alias("to")), "renamed")
         member = materialize(member.join(renamed, "at").select("node", F.col("to").alias("at")), "members")
         if not renamed.where("at <> to").take(1):
             break

@@ -159,6 +159,23 @@ def test_communities_farthest_points_and_reeb(spark, cloud):
     assert clustering.graph_summary(nodes, links).first().loops == 1
 
 
+def test_communities_are_connected(spark):
+    rng = np.random.default_rng(5)
+    drawn = {(min(a, b), max(a, b)) for a, b in rng.integers(0, 60, (90, 2)).tolist() if a != b}
+    edges = spark.createDataFrame([(a, b, float(w)) for (a, b), w in zip(sorted(drawn), rng.uniform(0.2, 3, len(drawn)), strict=True)], "i long, j long, w double")
+    # one round only: nodes leave communities that then fall apart
+    for rounds in (1, 6):
+        of = {r.node: r.community for r in clustering.communities(edges, resolution=0.2, rounds=rounds, levels=3).collect()}
+        assert set(of) == {x for e in drawn for x in e}
+        part = {x: x for x in of}
+        for _ in of:
+            for a, b in drawn:
+                if of[a] == of[b]:
+                    part[a] = part[b] = min(part[a], part[b])
+        assert part == of
+    assert clustering.communities(edges.limit(0)).count() == 0
+
+
 def test_classifier_and_layers(spark):
     made = synthetic.cohort(spark, 40, 6, ("rna", "methyl"), ("rna",))
     for layer, good in (("rna", True), ("methyl", False)):
