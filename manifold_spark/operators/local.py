@@ -22,6 +22,9 @@ from ..session import materialize
 from .neighbours import common_length, knn, same_length
 from .spectral import arrays, eigen, matrix
 
+#: Numbers in the points and covariances of the patches that a task solves together.
+SOLVED = 2_000_000
+
 METHODS = ("none", "trimmed", "mcd", "huber", "gaussian")
 
 
@@ -113,15 +116,18 @@ def _check(method: str) -> None:
 
 
 def _solved(batch: pa.RecordBatch, dim: int, method: str, trim: float, support: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of the patches of a batch, those of one size at a time: their rows, points (b, k, d), falling values, axes and what counts."""
+    """Of the patches of a batch, those of one size at a time: their rows, points (b, k, d), falling values, axes and what counts; a bounded number of numbers at once."""
     size = batch.column("near").value_lengths().to_numpy()
     for k in np.unique(size):
-        rows = np.flatnonzero(size == k)
-        part = batch.take(pa.array(rows))
-        x = matrix(part.column("x")).reshape(len(rows), k, dim)
-        cov, keep = covariances(x, matrix(part.column("d")), method, trim, support)
-        values, axes = np.linalg.eigh(cov)
-        yield rows, x, np.maximum(values[:, ::-1], 0.0), axes[:, :, ::-1], keep
+        every = np.flatnonzero(size == k)
+        step = max(1, SOLVED // (dim * (dim + int(k))))
+        for at in range(0, len(every), step):
+            rows = every[at : at + step]
+            part = batch.take(pa.array(rows))
+            x = matrix(part.column("x")).reshape(len(rows), k, dim)
+            cov, keep = covariances(x, matrix(part.column("d")), method, trim, support)
+            values, axes = np.linalg.eigh(cov)
+            yield rows, x, np.maximum(values[:, ::-1], 0.0), axes[:, :, ::-1], keep
 
 
 _LOCAL = "id long, values array<double>, dimension int, variance double, condition double, support int, effective_rank double, basis array<double>"
