@@ -161,6 +161,8 @@ def reeb_graph(lens: DataFrame, edges: DataFrame, bins: int = 10, overlap: float
     ``density_factor`` of the mean number of points of an interval go. Components of
     consecutive intervals are linked if they are connected together: by a point or an edge.
     """
+    # read three times: a neighbour search is made once
+    edges, lens = materialize(edges.select("i", "j"), "reeb-edges"), materialize(lens.select("id", "lens"), "reeb-lens")
     span = lens.agg(F.min("lens").alias("lo"), F.max("lens").alias("hi"), F.count("*").alias("n")).first()
     lo = span["lo"] or 0.0
     width = ((span["hi"] or 0.0) + 1e-6 - lo) / bins
