@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import runs
-from .operators import clustering, spectral, statistics, vectors
+from .operators import clustering, comparison, spectral, statistics, vectors
 from .operators import neighbours as nb
 from .queries import _AVG_RANK, ALL, ONE, TWO, UNIFORM, query, table
 from .session import read_table
@@ -87,8 +87,7 @@ def density_loss(spark, sf_dir):
 
 @query(f"WITH {ONE}, {TWO}, d AS (SELECT list_distance(a.v, b.v) AS x, list_distance(c.v, d.v) AS y FROM one a JOIN one b ON a.id < b.id JOIN two c ON c.id = a.id JOIN two d ON d.id = b.id) SELECT round(corr(x, y), 6) AS pearson FROM d")
 def distance_correlation(spark, sf_dir):
-    a, b = (nb.pair_distances(t) for t in _halves(spark, sf_dir))
-    return a.join(b.withColumnRenamed("d", "e"), ["i", "j"]).agg(F.round(F.corr("d", "e"), 6).alias("pearson"))
+    return comparison.distance_correlation(*_halves(spark, sf_dir)).select(F.round("pearson", 6).alias("pearson"))
 
 
 _CKA = "round(sum(CASE WHEN p < 32 AND q >= 32 THEN c * c END) / sqrt(sum(CASE WHEN p < 32 AND q < 32 THEN c * c END) * sum(CASE WHEN p >= 32 AND q >= 32 THEN c * c END)), 6)"
