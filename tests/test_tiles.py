@@ -51,3 +51,44 @@ def test_silhouette_of_repeated_points(spark):
         mean = [d[i, (label == c) & (np.arange(24) != i)].mean() for c in range(3)]
         a, b = mean[label[i]], min(m for c, m in enumerate(mean) if c != label[i])
         assert row.silhouette == pytest.approx((b - a) / max(a, b))
+
+
+def test_a_written_table_meets_itself_whatever_is_read_of_it(spark, tmp_path):
+    from manifold_spark.operators import vectors
+
+    x = np.random.default_rng(3).normal(size=(30, 3))
+    cloud(spark, x).write.parquet(str(tmp_path / "t"))
+    pairs = vectors.center_gram(spark.read.parquet(str(tmp_path / "t")), tile=8)
+    z = x - x.mean(0)
+    assert pairs.count() == len(pairs.select("i").collect()) == 30 * 31 // 2
+    assert all(r.c == pytest.approx((z @ z.T)[r.i, r.j]) for r in pairs.collect())
+    assert "CoGroups" in pairs._jdf.queryExecution().toString()
+
+
+def test_kernels_and_distances_meet_in_tiles(spark, monkeypatch):
+    from manifold_spark.operators import comparison
+
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(41, 4)), rng.normal(size=(41, 3))
+    x[30:] = x[:11]
+    y[35:] = y[30]
+    dx, dy = (((v[:, None] - v[None]) ** 2).sum(2) for v in (x, y))
+    # bins about the middle are narrowed more than once
+    monkeypatch.setattr(comparison, "BINS", 8)
+    monkeypatch.setattr(comparison, "VALUES", 50)
+    both, cut = comparison._side_by_side(cloud(spark, x), cloud(spark, y))
+    assert comparison.median_squares(both, cut, 9) == pytest.approx([np.median(d[d > 0]) for d in (dx, dy)])
+
+    def centred(d):
+        h = np.eye(41) - 1 / 41
+        return h @ np.exp(-d / np.median(d[d > 0])) @ h
+
+    k, m = centred(dx), centred(dy)
+    assert comparison.rbf_cka(cloud(spark, x), cloud(spark, y), tile=9).first().cka == pytest.approx((k * m).sum() / np.sqrt((k * k).sum() * (m * m).sum()))
+    upper = np.triu_indices(41, 1)
+    found = comparison.distance_correlation(cloud(spark, x), cloud(spark, y), tile=9)
+    assert found.first().pearson == pytest.approx(np.corrcoef(np.sqrt(dx[upper]), np.sqrt(dy[upper]))[0, 1])
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()
+    # all points equal: no distance is positive
+    same = cloud(spark, np.ones((5, 2)))
+    assert comparison.rbf_cka(same, same).first().cka == 0 and comparison.distance_correlation(same, same).first().pearson is None
