@@ -14,17 +14,32 @@ entries take no part. An empty table has no rows; a single point has magnitude 1
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .neighbours import _meet, common_length, nearest_of, same_length
-from .scaling import distances
+from .neighbours import _meet, blocks, common_length, nearest_of, same_length, squares
 from .spectral import mapped, summed
 
 
+def _kernels(d: np.ndarray, scales: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The place and kernel of each scale; of scales that are multiples of the least one, kernels are its powers."""
+    times = np.rint(scales / scales.min()).astype(int)
+    if times.max() > 4 * len(scales) or not np.allclose(times * scales.min(), scales, rtol=1e-14, atol=0):
+        yield from ((s, np.exp(-t * d)) for s, t in enumerate(scales))
+        return
+    one = np.exp(-scales.min() * d)
+    k = one.copy()
+    for power in range(1, times.max() + 1):
+        if power > 1:
+            k *= one
+        yield from ((int(s), k) for s in np.flatnonzero(times == power))
+
+
 def _products(state: DataFrame, dim: int, scales: np.ndarray, tile: int) -> DataFrame:
     """id and q: the kernels of all scales times the directions, which stand after a point's ``dim`` entries in ``vec``."""
     n = len(scales)
@@ -33,8 +48,11 @@ def _products(state: DataFrame, dim: int, scales: np.ndarray, tile: int) -> Data
         if tiles is None:
             return pd.DataFrame({"id": np.empty(0, np.int64), "p": np.empty(0, np.int64), "q": np.empty(0)})
         ids, x, _, y = tiles
-        d = distances(x[:, :dim], y[:, :dim])
-        q = np.stack([np.exp(-t * d) @ y[:, dim + s] for s, t in enumerate(scales)], axis=1)
+        q = np.empty((len(ids), n))
+        for rows in blocks(len(x), len(y)):
+            d = np.sqrt(squares(x[rows, :dim], y[:, :dim]))
+            for s, k in _kernels(d, scales):
+                q[rows, s] = k @ y[:, dim + s]
         return pd.DataFrame({"id": np.repeat(ids, n), "p": np.tile(np.arange(n), len(ids)), "q": q.ravel()})
 
     parts = _meet(state, state, work, "id long, p long, q double", tile).groupBy("id", "p").agg(F.sum("q").alias("q"))
