@@ -92,3 +92,34 @@ def test_kernels_and_distances_meet_in_tiles(spark, monkeypatch):
     # all points equal: no distance is positive
     same = cloud(spark, np.ones((5, 2)))
     assert comparison.rbf_cka(same, same).first().cka == 0 and comparison.distance_correlation(same, same).first().pearson is None
+
+
+def test_the_right_table_of_a_neighbour_join_has_few_tiles(spark):
+    import pandas as pd
+
+    once = lambda tiles: pd.DataFrame({"i": [] if tiles is None else tiles[0]}, dtype="int64")
+    table = cloud(spark, np.random.default_rng(4).normal(size=(60, 3)))
+    # a point's candidates are those of so many tiles, at any size, as a tile may hold so many numbers
+    assert nb._meet(table, table, once, "i long", 1, few=True).count() == 60 * nb.FEW
+    assert [-(-n // nb.tile_size(n, 64, nb.TILE, nb.FEW, nb.LARGE)) for n in (10_256, 102_564, 400_000)] == [3, 3, 3]
+    assert nb.tile_size(10**9, 64, nb.TILE, nb.FEW, nb.LARGE) * 64 <= nb.LARGE
+
+
+@pytest.mark.parametrize("kind", ["spread", "repeated", "in one group", "alike"])
+def test_nearest_of_a_tile_by_groups(kind):
+    rng, k, n = np.random.default_rng(5), 7, 1000
+    c = rng.normal(size=(n, 5))
+    if kind == "repeated":
+        c = c.round(0)
+    if kind == "in one group":  # all that is near has the same place in its group
+        c[:: n // nb.GROUP] *= 1e-3
+    if kind == "alike":
+        c[:] = c[0]
+    cid = rng.permutation(n)
+    q, qid = np.vstack([c[:40], rng.normal(size=(20, 5))]), np.concatenate([cid[:40], np.arange(n, n + 20)])
+    got = nb.nearest(cid, c, qid, q, k).sort_values(["i", "d", "j"])
+    d = np.sqrt(((q[:, None] - c[None]) ** 2).sum(2))
+    for at, i in enumerate(qid):
+        order = [p for p in np.lexsort((cid, d[at])) if cid[p] != i][:k]
+        mine = got[got["i"] == i]
+        assert mine["j"].tolist() == cid[order].tolist() and np.allclose(mine["d"], d[at][order], rtol=1e-12, atol=0)
