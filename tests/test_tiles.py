@@ -123,3 +123,21 @@ def test_nearest_of_a_tile_by_groups(kind):
         order = [p for p in np.lexsort((cid, d[at])) if cid[p] != i][:k]
         mine = got[got["i"] == i]
         assert mine["j"].tolist() == cid[order].tolist() and np.allclose(mine["d"], d[at][order], rtol=1e-12, atol=0)
+
+
+def runs(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("CoGroupsInArrow")
+
+
+def test_neighbours_are_found_once(spark):
+    table = cloud(spark, np.random.default_rng(6).normal(size=(40, 4)))
+    near = nb.knn(table, 5)
+    assert runs(near) == 1
+    # both look at neighbours to two ranks, or twice
+    assert runs(nb.overlap(near, nb.knn(table, 4))) == 2
+
+
+def test_overlap_of_neighbours_that_only_one_table_has(spark):
+    edges = lambda *pairs: spark.createDataFrame(list(pairs), "i long, j long")
+    a, b = edges((1, 2), (1, 3), (2, 1), (2, 3), (3, 1)), edges((1, 3), (1, 4), (2, 3), (2, 1))
+    assert dict(nb.overlap(a, b).collect()) == {1: 0.5, 2: 1.0, 3: 0.0}
