@@ -36,7 +36,8 @@ def kernel(table: DataFrame, k: int = 5, decay: float = 40.0, threshold: float =
     (10 k) are looked at; of them the first ``k`` and those of a weight of
     ``threshold`` or more count.
     """
-    e = knn(table, reach or 10 * k)
+    # read twice
+    e = materialize(knn(table, reach or 10 * k), "neighbours")
     width = e.where(F.col("rank") <= k).groupBy("i").agg(F.greatest(F.max("d"), F.lit(1e-12)).alias("s"))
     w = e.join(width, "i").select("i", "j", "rank", F.exp(-F.pow(F.col("d") / F.col("s"), F.lit(float(decay)))).alias("w"))
     w = w.where((F.col("rank") <= k) | (F.col("w") >= threshold)).select("i", "j", "w")

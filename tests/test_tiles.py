@@ -130,10 +130,13 @@ def runs(df):
 
 
 def test_neighbours_are_found_once(spark):
+    from manifold_spark.operators import phate
+
     table = cloud(spark, np.random.default_rng(6).normal(size=(40, 4)))
     near = nb.knn(table, 5)
     assert runs(near) == 1
     # both look at neighbours to two ranks, or twice
+    assert runs(phate.kernel(table, 3)) == 0
     assert runs(nb.overlap(near, nb.knn(table, 4))) == 2
 
 
