@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from manifold_spark.operators import curvature
 
@@ -23,3 +24,22 @@ def test_balls_by_tiles_equal_numpy_without_a_table_of_pairs(spark, monkeypatch)
         assert got.keys() == want.keys() and np.allclose([got[i] for i in want], list(want.values()), atol=1e-9)
         # what is written is less than the pairs
         assert names[-1][0] == "balls" and names[-1][1].where("d >= 0").count() < shared.sum() / 2
+
+
+def test_all_places_meet_once_in_tiles_and_neither_table_is_broadcast(spark):
+    from pyspark.sql import functions as F
+
+    from manifold_spark.operators import vectors
+
+    rng = np.random.default_rng(7)
+    rows = [(int(i), float(a), float(b)) for i, a, b in zip(rng.permutation(200)[:50] - 100, rng.uniform(-90, 90, 50), rng.uniform(-180, 180, 50), strict=True)]
+    rows += [(500, None, 3.0), (501, rows[0][1], rows[0][2])]
+    places = spark.createDataFrame(rows, "id long, lat double, lon double")
+    found = vectors.all_haversine(places, tile=5, most=7)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.i, r.j): r.km for r in found.collect()}
+    a, b = places, places.select(F.col("id").alias("id2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    pairs = a.crossJoin(b).where("id < id2").select("id", "id2", vectors.haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")).alias("km"))
+    want = {(r.id, r.id2): r.km for r in pairs.collect()}
+    assert found.count() == len(want) == 52 * 51 // 2 and got == pytest.approx(want)
+    assert vectors.all_haversine(places.limit(0)).count() == 0
