@@ -26,6 +26,28 @@ def test_balls_by_tiles_equal_numpy_without_a_table_of_pairs(spark, monkeypatch)
         assert names[-1][0] == "balls" and names[-1][1].where("d >= 0").count() < shared.sum() / 2
 
 
+def test_balls_hold_rows_that_share_nothing_and_are_near(spark, monkeypatch):
+    monkeypatch.setattr(curvature, "ENTRIES", 60)
+    monkeypatch.setattr(curvature, "PACK", 20)
+    monkeypatch.setattr(curvature, "BLOCK", 40)
+    monkeypatch.setattr(curvature, "BINS", 64)
+    rng = np.random.default_rng(6)
+    m = np.where(rng.random((50, 50)) < 0.08, rng.random((50, 50)), 0.0) + np.diag(rng.choice([0.01, 1.0], 50))
+    m[40:] = m[:10]
+    rows = spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m), strict=True)], "i long, j long, w double")
+    d, shared = np.sqrt(((m[:, None] - m[None]) ** 2).sum(2)), (m @ m.T) > 0
+    for percentile in (0.001, 0.05, 0.3, 0.9, 1.0):
+        cut = np.sort(d.ravel())[int(np.ceil(percentile * d.size)) - 1]
+        ball = d <= cut + 1e-9
+        assert percentile < 0.05 or (ball & ~shared).any()
+        got = {r.i: r.curvature for r in curvature.all_ball_means(rows, percentile).collect()}
+        want = {i: m[i][ball[i]].mean() for i in range(50)}
+        assert got.keys() == want.keys() and np.allclose([got[i] for i in want], list(want.values()), atol=1e-9)
+    assert curvature.all_ball_means(rows.limit(0), 0.1).collect() == []
+    alike = spark.createDataFrame([(i, i, 1.0) for i in range(6)], "i long, j long, w double")
+    assert {r.curvature for r in curvature.all_ball_means(alike, 0.5).collect()} == {1 / 6}
+
+
 def test_all_places_meet_once_in_tiles_and_neither_table_is_broadcast(spark):
     from pyspark.sql import functions as F
 
