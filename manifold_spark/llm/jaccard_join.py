@@ -232,7 +232,7 @@ def _tiled(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     sizes = around.select("h", "band", "tiles")
     after = sizes.select("h", (F.col("band") - 1).alias("band"), F.col("tiles").alias("after"))
     before = sizes.select("h", (F.col("band") + 1).alias("band"), F.col("tiles").alias("before"))
-    around = materialize(around.join(after, ["h", "band"], "left").join(before, ["h", "band"], "left"), "tiles")
+    around = materialize(around.join(after, ["h", "band"], "left").join(before, ["h", "band"], "left"), "band-tiles")
     tiles = join_counted(rows, around, ["h", "band"], "members").withColumn("tile", F.pmod(F.hash("class"), "tiles"))
     cell = lambda b1, t1, b2, t2: F.struct(b1.cast("int").alias("b1"), t1.cast("int").alias("t1"), b2.cast("int").alias("b2"), t2.cast("int").alias("t2"))
     band_, tile = F.col("band"), F.col("tile")
