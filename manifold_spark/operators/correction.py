@@ -4,10 +4,9 @@ A point is flagged if the effective size of its neighbourhood (by the weights th
 the embedding was made with) over its k-star (the largest scale at which distances
 in the input still grow as a power of the rank) is out of bounds. Flagged
 points then move, with Adam's steps, to straighten log rank against log distance
-to a fixed set of neighbours in the embedding. A step is a join of the
-flagged points' edges with the places, sums over each point's few edges, and a sum
-of what every end has to move by; the state of a point (place and two moments) is one
-row. Points that aren't flagged keep their places to the last bit.
+to a fixed set of neighbours in the embedding. A step needs the flagged points' edges
+and the places of their ends: these lie in tiles, which keep their points' places and moments
+and hand on only places that other tiles need. Points that aren't flagged keep their places to the last bit.
 
 Points without neighbours aren't flagged. An empty table gives an empty one.
 """
@@ -15,11 +14,17 @@ Points without neighbours aren't flagged. An empty table gives an empty one.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .neighbours import effective_size, grid, k_star, knn, same_length
+from ..session import discard, materialize, scratch_path
+from .lanczos import BUCKETS, Bucketed, _packed, _unpacked
+from .neighbours import _matrix, effective_size, grid, k_star, knn, same_length
+from .spectral import arrays
+
+#: Edges of a tile of the correction, about.
+EDGES = 4_000_000
 
 
 def mismatch(table: DataFrame, weights: DataFrame, k: int = 200, least_r2: float = 0.95, low: float = 0.5, high: float = 1.0, edges: DataFrame | None = None) -> DataFrame:
@@ -65,20 +70,130 @@ def gradient(edges: DataFrame, places: DataFrame) -> DataFrame:
     return entries.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda t: t["x"]).alias("g"))
 
 
-def correct(embedding: DataFrame, flagged: DataFrame, k: int = 100, k_min: int = 5, grid_steps: int = 15, steps: int = 500, rate: float = 1e-3) -> DataFrame:
-    """id, vec: the embedding after ``steps`` in which the points of ``flagged`` (id, mismatched) move."""
+def _tiled(edges: DataFrame, places: DataFrame, moving: DataFrame, tiles: int) -> Bucketed:
+    """A row a tile: what its steps read and never change.
+
+    Tiles are strips of points by their first entry, about even. A tile has the edges of its own moving points and of all
+    that have one of these as a neighbour, which is what the own points' steps depend on; of
+    other tiles' points it gets the places after each step.
+    """
+    cuts = sorted(set(places.select(F.col("vec")[0].alias("x")).approxQuantile("x", [t / tiles for t in range(1, tiles)], 0.01))) if tiles > 1 else []
+    tile = sum((F.when(F.col("vec")[0] >= c, 1).otherwise(0) for c in cuts), F.lit(0)).cast("int")
+    known = materialize(places.join(moving.withColumn("moves", F.lit(True)), "id", "left").select("id", "vec", F.coalesce("moves", F.lit(False)).alias("moves"), tile.alias("tile")), "places")
+    e = edges.join(known.select(F.col("id").alias("i"), "tile"), "i").join(known.select(F.col("id").alias("j"), F.col("tile").alias("other"), "moves"), "j")
+    reached = e.where("moves and other <> tile").select("i", F.col("other").alias("tile")).distinct()
+    held = materialize(e.select("tile", "i", "j", "x").union(edges.join(reached, "i").select("tile", "i", "j", "x")), "tile-edges")
+    ends = held.select("tile", F.col("i").alias("id")).union(held.select("tile", "j")).distinct()
+    ends = ends.join(known.withColumnRenamed("tile", "owner"), "id")
+    needed = ends.select("tile", F.col("owner").alias("peer"), F.lit(False).alias("sent"), "id", "moves", "vec")
+    needed = materialize(needed.union(ends.where("moves and tile <> owner").select(F.col("owner"), "tile", F.lit(True), "id", "moves", "vec")), "tile-ends")
+
+    def pack(key, e: pa.Table, ends: pa.Table) -> pa.Table:
+        sent = ends.column("sent").to_numpy(zero_copy_only=False)
+        ids, peers, moves = ends.column("id").to_numpy(), ends.column("peer").to_numpy(), ends.column("moves").to_numpy(zero_copy_only=False)
+        own, first = np.unique(ids[~sent], return_index=True)
+        vec = _matrix(ends.column("vec"))[~sent][first]
+        i, j, x = (e.column(c).to_numpy() for c in ("i", "j", "x"))
+        order = np.lexsort((j, x, i))
+        to = np.lexsort((ids[sent], peers[sent]))
+        mine = np.flatnonzero(moves[~sent][first] & (peers[~sent][first] == key[0].as_py()))
+        columns = {"ids": own, "a": np.searchsorted(own, i[order]), "b": np.searchsorted(own, j[order]), "x": x[order], "mine": mine, "peers": peers[sent][to].astype(np.int64), "sends": np.searchsorted(own, ids[sent][to]), "start": vec}
+        return pa.table({"tile": pa.array([key[0].as_py()], pa.int32())} | {c: _packed([v]) for c, v in columns.items()})
+
+    out = Bucketed(edges.sparkSession, "correction", "tile", min(len(cuts) + 1, BUCKETS))
+    schema = "tile int, " + ", ".join(f"{c} binary" for c in ("ids", "a", "b", "x", "mine", "peers", "sends", "start"))
+    out.append(out.dealt(held).groupBy("tile").cogroup(out.dealt(needed).groupBy("tile")).applyInArrow(pack, schema))
+    return out
+
+
+def _stepped(tile: dict[str, np.ndarray], p: np.ndarray, m: np.ndarray, v: np.ndarray, steps: range, rate: float) -> None:
+    """Adam's steps of a tile's own points, in place: ``p`` are the places of all its points, ``m`` and ``v`` the moments of its own."""
+    a, b, x, mine = (tile[c] for c in ("a", "b", "x", "mine"))
+    n, dims = p.shape
+    over = lambda of, w: np.bincount(of, w, n)
+    number = np.maximum(np.bincount(a, minlength=n), 1)
+    x = x - (over(a, x) / number)[a]
+    xx = over(a, x * x)
+    for step in steps:
+        diff = p[a] - p[b]
+        d2 = (diff * diff).sum(1)
+        y = np.log(np.sqrt(d2) + 1e-30)
+        y -= (over(a, y) / number)[a]
+        xy, yy = over(a, x * y)[a], over(a, y * y)[a]
+        some = (yy > 1e-10) & (xx[a] > 0) & (d2 > 0)
+        slope = np.divide(-2 * xy * (x - np.divide(xy * y, yy, out=np.zeros(len(y)), where=some)), xx[a] * yy * d2, out=np.zeros(len(y)), where=some)
+        diff *= slope[:, None]
+        g = np.stack([over(a, diff[:, c]) - over(b, diff[:, c]) for c in range(dims)], axis=1)[mine]
+        m *= 0.9
+        m += 0.1 * g
+        v *= 0.999
+        v += 0.001 * g * g
+        p[mine] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+
+
+_INDEX = ("ids", "a", "b", "mine", "peers", "sends")
+
+
+def correct(embedding: DataFrame, flagged: DataFrame, k: int = 100, k_min: int = 5, grid_steps: int = 15, steps: int = 500, rate: float = 1e-3, most: int = EDGES) -> DataFrame:
+    """id, vec: the embedding after ``steps`` in which the points of ``flagged`` (id, mismatched) move.
+
+    Points that follow each other's steps lie in tiles of about ``most`` edges. One tile goes all its steps in one task; with
+    more, each step is a round, after which tiles hand the places on that others need.
+    """
     places = same_length(embedding)
     moving = flagged.where("mismatched").select("id").distinct()
     edges = materialize(scale_edges(places, k, k_min, grid_steps).join(moving.withColumnRenamed("id", "i"), "i", "left_semi"), "scale-edges")
-    if not edges.take(1):
+    count = edges.count()
+    if not count or steps < 1:
         return places
-    nought = F.transform("vec", lambda c: F.lit(0.0))
-    state = materialize(places.join(moving.withColumn("moves", F.lit(True)), "id", "left").select("id", "vec", F.coalesce("moves", F.lit(False)).alias("moves"), nought.alias("m"), nought.alias("v")), "state")
-    for step in range(1, steps + 1):
-        g = F.coalesce("g", F.transform("vec", lambda c: F.lit(0.0)))
-        new = state.join(gradient(edges, state), "id", "left").withColumn("g", g)
-        new = new.withColumn("m", F.zip_with("m", "g", lambda m, g: 0.9 * m + 0.1 * g)).withColumn("v", F.zip_with("v", "g", lambda v, g: 0.999 * v + 0.001 * g * g))
-        first, second = 1 - 0.9**step, 1 - 0.999**step
-        by = F.zip_with("m", "v", lambda m, v: rate * (m / first) / (F.sqrt(v / second) + 1e-8))  # noqa: B023
-        state = materialize(new.select("id", F.when(F.col("moves"), F.zip_with("vec", by, lambda x, s: x - s)).otherwise(F.col("vec")).alias("vec"), "moves", "m", "v"), "state")
-    return state.select("id", "vec")
+    spark, places = embedding.sparkSession, materialize(places, "embedding")
+    tiles = _tiled(edges, places, moving, -(-count // most))
+    alone = tiles.read().count() == 1
+
+    def opened(tile: pa.Table) -> dict[str, np.ndarray]:
+        return {c: _unpacked(tile, c, np.int64 if c in _INDEX else np.float64)[0] for c in tile.column_names if c != "tile"}
+
+    def now(tile, state: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The places of a tile's points and the moments of its own: those of its last step, and the places that others sent."""
+        n, own = len(tile["ids"]), len(tile["mine"])
+        dims = len(tile["start"]) // n
+        if not state.num_rows:
+            return tile["start"].reshape(n, dims).copy(), np.zeros((own, dims)), np.zeros((own, dims))
+        rows = list(zip(state.column("sent").to_pylist(), _unpacked(state, "ids", np.int64), _unpacked(state, "q"), strict=True))
+        p, m, v = np.split(next(q for sent, _, q in rows if not sent).reshape(-1, dims), [n, n + own])
+        p = p.copy()
+        for sent, ids, q in rows:
+            if sent:
+                p[np.searchsorted(tile["ids"], ids)] = q.reshape(-1, dims)
+        return p, m.copy(), v.copy()
+
+    def after(turn: range):
+        def work(key, tile: pa.Table, state: pa.Table) -> pa.Table:
+            tile = opened(tile)
+            p, m, v = now(tile, state)
+            _stepped(tile, p, m, v, turn, rate)
+            to = [(peer, tile["sends"][tile["peers"] == peer]) for peer in np.unique(tile["peers"])]
+            return pa.table({
+                "tile": pa.array([key[0].as_py(), *(int(peer) for peer, _ in to)], pa.int32()), "sent": pa.array([False] + [True] * len(to)),
+                "ids": _packed([np.empty(0, np.int64), *(tile["ids"][at] for _, at in to)]), "q": _packed([np.vstack([p, m, v]), *(p[at] for _, at in to)]),
+            })
+
+        return work
+
+    def places_of(tile: pa.Table, state: pa.Table) -> pa.Table:
+        tile = opened(tile)
+        p, _, _ = now(tile, state)
+        return pa.table({"id": tile["ids"][tile["mine"]], "moved": arrays(p[tile["mine"]])})
+
+    schema, path = "tile int, sent boolean, ids binary, q binary", None
+    state = spark.createDataFrame([], schema)
+    for turn in [range(1, steps + 1)] if alone else [range(step, step + 1) for step in range(1, steps + 1)]:
+        last, path = path, scratch_path(spark, "steps")
+        tiles.read().groupBy("tile").cogroup(state.groupBy("tile")).applyInArrow(after(turn), schema).write.parquet(path)
+        state = spark.read.schema(schema).parquet(path)
+        if last:
+            discard(spark, last)
+    moved = materialize(tiles.read().groupBy("tile").cogroup(state.groupBy("tile")).applyInArrow(places_of, "id long, moved array<double>"), "moved")
+    tiles.drop()
+    discard(spark, path)
+    return places.join(moved, "id", "left").select("id", F.coalesce("moved", "vec").alias("vec"))

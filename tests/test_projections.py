@@ -420,6 +420,33 @@ def test_only_flagged_points_move_and_fit_better(spark):
     assert correction.correct(frame(spark, []), flagged, 20).collect() == []
 
 
+def test_all_steps_equal_those_of_joins_in_one_tile_and_in_several(spark):
+    x = np.random.default_rng(18).normal(size=(60, 2))
+    table = frame(spark, x)
+    moving = set(range(0, 60, 2))
+    flagged = spark.createDataFrame([(i, i in moving) for i in range(60)], "id long, mismatched boolean")
+    edges = spectral.materialize(correction.scale_edges(table, 20, 2, 8).where("i % 2 = 0"), "edges")
+    want, m, v = x.copy(), np.zeros_like(x), np.zeros_like(x)
+    for step in range(1, 4):
+        g = np.zeros_like(x)
+        for i, row in rows(correction.gradient(edges, frame(spark, want)), "g").items():
+            g[i] = row
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        want[::2] -= (0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8))[::2]
+    for most in (1000, 60):
+        got = rows(correction.correct(table, flagged, 20, 2, 8, steps=3, rate=0.02, most=most))
+        assert np.allclose([got[i] for i in range(60)], want, rtol=0, atol=1e-10)
+
+
+def test_selective_correction_goes_all_its_steps(spark, monkeypatch):
+    from manifold_spark import projection_queries
+
+    turns = []
+    monkeypatch.setattr(correction, "correct", lambda embedding, flagged, **settings: turns.append(settings) or embedding)
+    projection_queries.selective_correction(spark, "/root/testdata/sf0.001")
+    assert turns == [{}]
+
+
 # magnitude --------------------------------------------------------------------------------
 
 
