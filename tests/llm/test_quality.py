@@ -165,6 +165,28 @@ def test_keep_good_keeps_rows_and_columns(spark, made):
     assert Q.judge(docs.limit(0)).count() == 0 and Q.keep_good(docs.limit(0)).count() == 0
 
 
+def test_a_model_in_parts_judges_alike_and_hands_on_no_grams(spark, monkeypatch, made):
+    rows, _, docs = made
+    whole = {r.doc_id: r for r in Q.judge(docs).collect()}
+    good = sorted(str(tuple(r)) for r in Q.keep_good(docs).collect())
+    asked, written = [], []
+    by_parts, write = Q._by_parts, Q.materialize
+    monkeypatch.setattr(Q, "MODEL_ENTRIES", 1 + Q.Model(docs, Q.F.struct("doc_id").alias("row"), Q.ORDER).table.count() // 3)
+    monkeypatch.setattr(Q, "PIECE", 97)
+    monkeypatch.setattr(Q, "_by_parts", lambda *a: asked.append(a[-1]) or by_parts(*a))
+    monkeypatch.setattr(Q, "materialize", lambda df, name: written.append((name, df.columns)) or write(df, name))
+    got = {r.doc_id: r for r in Q.judge(docs).collect()}
+    assert asked == [3] and got.keys() == whole.keys()
+    for i, r in got.items():
+        want = whole[i].asDict()
+        assert {k: v for k, v in r.asDict().items() if k != "log_perplexity"} == {k: v for k, v in want.items() if k != "log_perplexity"}
+        assert r.log_perplexity == (want["log_perplexity"] if want["log_perplexity"] is None else pytest.approx(want["log_perplexity"], rel=1e-9))
+    # documents are not written
+    del written[:]
+    assert sorted(str(tuple(r)) for r in Q.keep_good(docs).collect()) == good
+    assert asked == [3, 3] and not any({"row", "text"} & set(columns) for _, columns in written)
+
+
 def test_few_texts_have_wide_bands(spark):
     rows, _ = _rows(n=3)
     docs = spark.createDataFrame([r for r in rows if r[0] is not None and r[0] < 9], "doc_id long, text string, lang string")
