@@ -7,8 +7,11 @@ Points are ``id, vec``; labels are ``id, label``. Rows with a null label take no
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -169,11 +172,78 @@ def pearson_distances(a: DataFrame, b: DataFrame, pairs: int = 100) -> DataFrame
     return sampled_distances(a, b, pairs).agg(F.corr("x", "y").alias("pearson"))
 
 
-def kendall(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    """One row: Kendall's tau-b over all pairs of rows of a small table; null where a column is constant."""
-    one, two = df.select(F.col(key).alias("k1"), F.col(x).alias("x1"), F.col(y).alias("y1")), df.select(F.col(key).alias("k2"), F.col(x).alias("x2"), F.col(y).alias("y2"))
-    s = one.join(two, F.col("k1") < F.col("k2")).select(F.signum(F.col("x1") - F.col("x2")).alias("a"), F.signum(F.col("y1") - F.col("y2")).alias("b"))
-    return s.agg(F.try_divide(F.sum(F.col("a") * F.col("b")), F.sqrt(F.sum(F.abs("a")) * F.sum(F.abs("b")))).alias("kendall"))
+#: Rows in one of the groups whose pairs are counted together.
+COUNTED = 500_000
+
+
+def _inversions(ranks: np.ndarray) -> int:
+    """The pairs of places whose first has the larger rank (from 0): bit by bit, a stable order each."""
+    total = 0
+    for bit in range(int(ranks.max(initial=0)).bit_length() - 1, -1, -1):
+        one = (ranks >> bit) & 1
+        group = ranks >> (bit + 1)
+        before = np.cumsum(one)
+        start = np.searchsorted(group, group)  # groups lie together, in rising order
+        total += int((before - (before - one)[start])[one == 0].sum())
+        ranks = ranks[np.argsort(ranks >> bit, kind="stable")]
+    return total
+
+
+def _concordance(keys: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> int:
+    """Concordant less discordant pairs of x and y, of those with equal ``keys``."""
+    code = lambda columns: np.unique(np.stack(columns, axis=1), axis=0, return_inverse=True)[1].ravel() if len(columns) > 1 else np.unique(columns[0], return_inverse=True)[1]
+    x, y = code([x]), code([y])
+    k = code([code([c]) for c in keys]) if keys else np.zeros(len(x), np.int64)
+    order = np.lexsort((y, x, k))
+    within = k * (int(y.max(initial=0)) + 1)
+    ties = lambda c: int((n * (n - 1) // 2).sum()) if len(n := np.unique(c, return_counts=True)[1]) else 0
+    both = x.astype(np.int64) * (int(y.max(initial=0)) + 1) + y
+    alike = ties(k) - ties(code([k, x]) if keys else x) - ties(within + y) + ties(code([k, both]) if keys else both)
+    return alike - 2 * _inversions(code([within + y])[order])
+
+
+def kendall(df: DataFrame, key: str, x: str, y: str, tile: int = COUNTED) -> DataFrame:
+    """One row: Kendall's tau-b over all pairs of rows with different keys; null where a column is constant, NaN where two differ by NaN.
+
+    No pair is made: of a group of rows, concordant and discordant pairs are counted by sorting. Rows of larger
+    tables are dealt into groups of ``tile``, and every two of these are counted together; what each group holds
+    itself is taken off.
+    """
+    kind = dict(df.dtypes)
+    number = lambda c: F.col(c).cast("long" if kind[c] in ("tinyint", "smallint", "int", "bigint") else "double")
+    code = F.col(key).cast("long") if kind[key] in ("tinyint", "smallint", "int", "bigint") else F.xxhash64(key)
+    rows = materialize(df.where(F.col(key).isNotNull()).select(code.alias("k"), number(x).alias("x"), number(y).alias("y"), F.monotonically_increasing_id().alias("at")), "rows")
+
+    def alike(t: DataFrame, *by: str) -> int:
+        return t.groupBy(*by).agg(F.count("*").alias("n")).agg(F.sum(F.expr("n * (n - 1) div 2"))).first()[0] or 0
+
+    def apart(t: DataFrame, *by: str) -> int:
+        """Pairs with different keys, and with different values of a column too."""
+        return alike(t) - alike(t, "k") - (alike(t, *by) - alike(t, "k", *by) if by else 0)
+
+    both = rows.where("x is not null and y is not null")
+    one, two = (apart(rows.where(F.col(c).isNotNull()), c) for c in ("x", "y"))
+    schema, spark = "kendall double", df.sparkSession
+    if not one or not two or not apart(both):
+        return spark.createDataFrame([(None,)], schema)
+    for c in ("x", "y"):
+        infinite = rows.where(F.abs(c) == F.lit(float("inf")))
+        if dict(rows.dtypes)[c] == "double" and (rows.where(F.isnan(c)).take(1) or alike(infinite, c) > alike(infinite, "k", c)):
+            return spark.createDataFrame([(float("nan"),)], schema)
+    n = max(1, -(-both.count() // tile))
+    unique = not alike(both, "k")
+
+    def count(t: pa.Table) -> pa.Table:
+        k, a, b = (t.column(c).to_numpy() for c in ("k", "x", "y"))
+        found = _concordance([], a, b) - (0 if unique else _concordance([k], a, b))
+        return pa.table({"own": [t.column("a")[0].as_py() == t.column("b")[0].as_py()], "s": [found]})
+
+    side, other = F.pmod(F.xxhash64("at"), F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    pairs = both.select("k", "x", "y", side.alias("side"), other.alias("other")).select("k", "x", "y", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"))
+    pairs = pairs.repartition(min(n * (n + 1) // 2, 1000), "a", "b")
+    sums = {r["own"]: r["s"] for r in pairs.groupBy("a", "b").applyInArrow(count, "own boolean, s long").groupBy("own").agg(F.sum("s").alias("s")).collect()}
+    s = sums.get(False, 0) - (n - 2) * sums.get(True, 0)
+    return spark.createDataFrame([(s / (math.sqrt(one) * math.sqrt(two)),)], schema)
 
 
 def class_axis(table: DataFrame, sides: DataFrame, folds: int = 0) -> DataFrame:

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -69,3 +71,24 @@ def test_registry(spark):
     assert got == pytest.approx({"continuity": 1, "CKA": 1, "trustworthiness": 1})
     with pytest.raises(KeyError):
         registry.evaluate(x, x, {"unknown": {}})
+
+
+def test_kendall_counts_all_pairs_without_making_them(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(rng.integers(0, 150)), int(rng.integers(0, 6)) if i % 9 else None, float(rng.integers(0, 40)) if i % 11 else None) for i in range(200)]
+    rows += [(None, 1, 2.0), (151, 2**53, 5.0), (152, 2**53 + 1, 6.0)]
+    df = spark.createDataFrame(rows, "k long, x long, y double").repartition(3)
+    sign = lambda d: (d > 0) - (d < 0)
+    known = [r for r in rows if r[0] is not None]
+    pairs = [(p, q) for i, p in enumerate(known) for q in known[:i] if p[0] != q[0]]
+    one, two = (sum(abs(sign(p[c] - q[c])) for p, q in pairs if p[c] is not None and q[c] is not None) for c in (1, 2))
+    s = sum(sign(p[1] - q[1]) * sign(p[2] - q[2]) for p, q in pairs if None not in (*p, *q))
+    for tile in (1000, 40):
+        assert comparison.kendall(df, "k", "x", "y", tile=tile).first().kendall == pytest.approx(s / math.sqrt(one * two), rel=1e-12)
+    for values in ([], [(1, 1, 2.0)], [(1, 1, 2.0), (1, 2, 3.0)], [(1, 1, None), (2, 2, None)]):
+        assert comparison.kendall(spark.createDataFrame(values, df.schema), "k", "x", "y").first().kendall is None
+    odd = [(1, 1, float("nan")), (2, 2, 3.0), (3, 1, 1.0)], [(1, 1, float("inf")), (2, 2, float("inf")), (3, 1, 1.0)]
+    assert all(math.isnan(comparison.kendall(spark.createDataFrame(v, df.schema), "k", "x", "y").first().kendall) for v in odd)
+    # a second's work for pairs that a join of all would need hours for
+    large = spark.range(300_000).selectExpr("id as k", "id % 25 as x", "pmod(id * 7919, 300007) * 1.0D as y")
+    assert abs(comparison.kendall(large, "k", "x", "y").first().kendall) < 0.1
