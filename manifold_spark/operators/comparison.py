@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from . import drawn, sampling
-from .neighbours import TILE, _meet, blocks, common_length, distance, dot, intrinsic_dimension, knn, same_length, squares, valid
+from .neighbours import TILE, _meet, blocks, cells, common_length, distance, dot, intrinsic_dimension, knn, same_length, squares, valid
 from .statistics import auc, spearman
 
 
@@ -46,37 +46,41 @@ def median_squares(both: DataFrame, cut: int, tile: int = TILE) -> list[float]:
         most[side] = 4.0 * (both.agg(F.max(dot(entries, entries))).first()[0] or 0.0) * (1 + 1e-9)
     out: list[float | None] = [None, None]
 
-    def gone_through(each) -> DataFrame:
+    def gone_through(single: bool) -> DataFrame:
+        """By side and place p the number of distances: of all (-2), of those below the range (-1), and in it by bins, or by value if ``single``."""
         todo, low, high = [s for s in (0, 1) if out[s] is None], list(least), list(most)
 
+        def counted(x: np.ndarray, y: np.ndarray, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
+            every, below, n, found = 0, 0, np.zeros(BINS, np.int64), [np.empty(0)]
+            wide = BINS / (high - low) if high > low else 0.0
+            for rows, cols in cells(len(x), len(y)):
+                d = squares(x[rows], y[cols]).ravel()
+                d = d[d > 0]
+                inside = d[(d >= low) & (d <= high)]
+                every, below = every + len(d), below + np.count_nonzero(d < low)
+                if single:
+                    found.append(inside)
+                else:
+                    n += np.bincount(np.minimum(((inside - low) * wide).astype(np.int64), BINS - 1), minlength=BINS)
+            at, n = np.unique(np.concatenate(found), return_counts=True) if single else (np.flatnonzero(n), n[n > 0])
+            return np.concatenate([[-2.0, -1.0], at]), np.concatenate([[every, below], n])
+
         def work(tiles) -> pd.DataFrame:
             parts = [pd.DataFrame({"side": np.empty(0, np.int64), "p": np.empty(0), "n": np.empty(0, np.int64)})]
             if tiles is not None:
-                _, x, _, y = tiles
-                for rows in blocks(len(x), len(y)):
-                    for s in todo:
-                        part = slice(0, cut) if s == 0 else slice(cut, None)
-                        d = squares(x[rows, part], y[:, part]).ravel()
-                        d = d[d > 0]
-                        p, n = each(d, d[(d >= low[s]) & (d <= high[s])], low[s], high[s])
-                        parts.append(pd.DataFrame({"side": s, "p": p, "n": n}))
-            return pd.concat(parts).groupby(["side", "p"], as_index=False).sum()
-
-        return _meet(both, both, work, "side long, p double, n long", tile).groupBy("side", "p").agg(F.sum("n").alias("n"))
-
-    def counts(d, inside, low, high):
-        n = np.bincount(np.minimum(((inside - low) * (BINS / (high - low))).astype(np.int64), BINS - 1) if high > low else np.zeros(len(inside), np.int64), minlength=BINS)
-        at = np.flatnonzero(n)
-        return np.concatenate([[-2.0, -1.0], at]), np.concatenate([[len(d), np.count_nonzero(d < low)], n[at]])
-
-    def values(d, inside, low, high):
-        p, n = np.unique(inside, return_counts=True)
-        return np.concatenate([[-2.0, -1.0], p]), np.concatenate([[len(d), np.count_nonzero(d < low)], n])
+                _, x, _, y, same = tiles
+                for s in todo:
+                    part = slice(0, cut) if s == 0 else slice(cut, None)
+                    p, n = counted(x[:, part], y[:, part], low[s], high[s])
+                    parts.append(pd.DataFrame({"side": s, "p": p, "n": n if same else 2 * n}))
+            return pd.concat(parts)
+
+        return _meet(both, both, work, "side long, p double, n long", tile, half=True).groupBy("side", "p").agg(F.sum("n").alias("n"))
 
     few = False
     while None in out:
         last = few
-        found = gone_through(values if last else counts).toPandas()  # a bounded number of rows
+        found = gone_through(last).toPandas()  # a bounded number of rows
         few = True
         for s in (0, 1):
             if out[s] is not None:
@@ -103,7 +107,7 @@ def median_squares(both: DataFrame, cut: int, tile: int = TILE) -> list[float]:
 def rbf_cka(a: DataFrame, b: DataFrame, tile: int = TILE) -> DataFrame:
     """One row: CKA with Gaussian kernels, each with the median of its positive squared distances as its width.
 
-    Defined on all pairs: tiles meet tiles, of which only sums by point leave.
+    Defined on all pairs: every two tiles meet once, and only sums by point leave.
     """
     both, cut = _side_by_side(a, b)
     mx, my = median_squares(both, cut, tile)
@@ -111,14 +115,20 @@ def rbf_cka(a: DataFrame, b: DataFrame, tile: int = TILE) -> DataFrame:
     def work(tiles) -> pd.DataFrame:
         if tiles is None:
             return pd.DataFrame({"i": np.empty(0, np.int64), **{c: np.empty(0) for c in ("rk", "rl", "kl", "kk", "ll")}})
-        ids, x, _, y = tiles
-        sums = np.empty((len(ids), 5))
-        for rows in blocks(len(x), len(y)):
-            k, l = np.exp(squares(x[rows, :cut], y[:, :cut]) / -mx), np.exp(squares(x[rows, cut:], y[:, cut:]) / -my)
-            sums[rows] = np.stack([k.sum(1), l.sum(1), *(np.einsum("ij,ij->i", u, v) for u, v in ((k, l), (k, k), (l, l)))], axis=1)
+        ids, x, others, y, same = tiles
+        sums, theirs = np.zeros((len(ids), 5)), np.zeros((len(others), 5))
+        for rows, cols in cells(len(x), len(y)):
+            k, l = (np.exp(np.divide(d, -m, out=d), out=d) for d, m in ((squares(x[rows, :cut], y[cols, :cut]), mx), (squares(x[rows, cut:], y[cols, cut:]), my)))
+            # sums of products are needed over all pairs only, so those of two tiles stand with the first one's points
+            sums[rows] += np.stack([k.sum(1), l.sum(1), *((1 if same else 2) * np.einsum("ij,ij->i", u, v) for u, v in ((k, l), (k, k), (l, l)))], axis=1)
+            if not same:
+                theirs[cols, 0] += k.sum(0)
+                theirs[cols, 1] += l.sum(0)
+        if not same:
+            ids, sums = np.concatenate([ids, others]), np.vstack([sums, theirs])
         return pd.DataFrame({"i": ids, **dict(zip(("rk", "rl", "kl", "kk", "ll"), sums.T, strict=True))})
 
-    found = _meet(both, both, work, "i long, rk double, rl double, kl double, kk double, ll double", tile)
+    found = _meet(both, both, work, "i long, rk double, rl double, kl double, kk double, ll double", tile, half=True)
     rows = found.groupBy("i").agg(*(F.sum(c).alias(c) for c in ("rk", "rl", "kl", "kk", "ll")))
     n = F.count("*")
     centred = lambda x, y: F.sum(x + y) - 2 / n * F.sum(F.col("r" + x) * F.col("r" + y)) + F.sum("r" + x) * F.sum("r" + y) / n / n

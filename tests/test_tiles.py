@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from manifold_spark.operators import neighbours as nb
@@ -144,3 +145,25 @@ def test_overlap_of_neighbours_that_only_one_table_has(spark):
     edges = lambda *pairs: spark.createDataFrame(list(pairs), "i long, j long")
     a, b = edges((1, 2), (1, 3), (2, 1), (2, 3), (3, 1)), edges((1, 3), (1, 4), (2, 3), (2, 1))
     assert dict(nb.overlap(a, b).collect()) == {1: 0.5, 2: 1.0, 3: 0.0}
+
+
+def test_a_table_that_meets_itself_by_halves_takes_every_two_tiles_once(spark):
+    x = np.random.default_rng(9).normal(size=(60, 3))
+    table = spark.createDataFrame([(i, [float(c) for c in row]) for i, row in enumerate(x)], "id long, vec array<double>")
+
+    def work(tiles):
+        if tiles is None:
+            return pd.DataFrame({"n": np.empty(0, np.int64), "m": np.empty(0, np.int64)})
+        ids, _, others, _, same = tiles
+        assert same == (set(ids) == set(others))
+        return pd.DataFrame({"n": [len(ids) * len(others) * (1 if same else 2)], "m": [1]})
+
+    meetings = nb._meet(table, table, work, "n long, m long", 10, half=True).toPandas()
+    assert meetings["n"].sum() == 60 * 60 and meetings["m"].sum() == 6 * 7 // 2
+    plain = nb.pair_sums(table, table.select("id", "vec"), lambda d: d).first()
+    found = nb.pair_sums(table, table, lambda d: d, tile=10).first()
+    assert found.n == plain.n == 3600 and found.s == pytest.approx(plain.s) == pytest.approx(((x[:, None] - x[None]) ** 2).sum())
+    # cells that are smaller than a tile, and equal points at 0
+    both = nb.squares(np.vstack([x, x[:5] + 1e6]), x)
+    assert (np.diag(both)[:60] == 0).all() and np.allclose(both, ((np.vstack([x, x[:5] + 1e6])[:, None] - x[None]) ** 2).sum(-1))
+    assert len(list(nb.cells(1100, 600))) == 6
