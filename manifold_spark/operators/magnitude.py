@@ -3,8 +3,9 @@
 The magnitude at a scale t is the sum of the weights w with sum over j of
 exp(-t d(i, j)) w(j) = 1 for every point i. The systems of several scales are solved
 together by conjugate gradients: a round multiplies all directions with all
-kernels tile by tile, so distances of a pair of tiles are taken once for all scales,
-and only sums by point leave a tile. Kernels are never written. A round's work is
+kernels tile by tile. Every two tiles meet once, and their distances are taken once for all scales;
+a scale that is solved takes no more part. The points of two tiles are written where they meet, so that a round
+moves directions and sums only, and is one job. Kernels are never written. A round's work is
 quadratic in the points, as the metric is defined on all of them.
 
 Equal points count once (a kernel with equal rows has no solution of its own).
@@ -17,13 +18,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .neighbours import _meet, blocks, common_length, nearest_of, same_length, squares
-from .spectral import mapped, summed
+from ..session import discard, materialize, scratch_path
+from .lanczos import Bucketed, _packed, _unpacked
+from .neighbours import _matrix, cells, common_length, nearest_of, same_length, squares, tile_size
+
+#: Tiles of a table, about, until a tile is at its largest; of a small one fewer.
+SIDES = 12
 
 
 def _kernels(d: np.ndarray, scales: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -40,23 +44,72 @@ def _kernels(d: np.ndarray, scales: np.ndarray) -> Iterator[tuple[int, np.ndarra
         yield from ((int(s), k) for s in np.flatnonzero(times == power))
 
 
-def _products(state: DataFrame, dim: int, scales: np.ndarray, tile: int) -> DataFrame:
-    """id and q: the kernels of all scales times the directions, which stand after a point's ``dim`` entries in ``vec``."""
-    n = len(scales)
-
-    def work(tiles) -> pd.DataFrame:
-        if tiles is None:
-            return pd.DataFrame({"id": np.empty(0, np.int64), "p": np.empty(0, np.int64), "q": np.empty(0)})
-        ids, x, _, y = tiles
-        q = np.empty((len(ids), n))
-        for rows in blocks(len(x), len(y)):
-            d = np.sqrt(squares(x[rows, :dim], y[:, :dim]))
-            for s, k in _kernels(d, scales):
-                q[rows, s] = k @ y[:, dim + s]
-        return pd.DataFrame({"id": np.repeat(ids, n), "p": np.tile(np.arange(n), len(ids)), "q": q.ravel()})
-
-    parts = _meet(state, state, work, "id long, p long, q double", tile).groupBy("id", "p").agg(F.sum("q").alias("q"))
-    return parts.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "q"))), lambda c: c["q"]).alias("q"))
+_STATE = "tile int, p binary, r binary, w binary, q binary, s binary"
+
+
+class _Tiles:
+    """The points in tiles, and every two tiles where they meet."""
+
+    def __init__(self, points: DataFrame, n: int, dim: int, tile: int):
+        self.dim, self.sides = dim, -(-n // tile_size(n, dim, tile, SIDES))
+        sides = self.sides
+
+        def pack(t: pa.Table) -> pa.Table:
+            return pa.table({"tile": t.column("tile").slice(0, 1), "x": _packed([_matrix(t.column("vec"))])})
+
+        side = F.pmod(F.xxhash64("id"), F.lit(sides)).cast("int").alias("tile")
+        self.packed = materialize(points.select("vec", side).groupBy("tile").applyInArrow(pack, "tile int, x binary"), "points")
+        self.pairs = Bucketed(points.sparkSession, "magnitude", "pair", min(sides * (sides + 1) // 2, 1000))
+        self.pairs.append(self.pairs.dealt(self._at_pairs(self.packed, "x")))
+
+    def _at_pairs(self, rows: DataFrame, column: str) -> DataFrame:
+        """A row of a tile at every two tiles that it is one of: their number, and whether it is the second."""
+        other = rows.select("tile", column, F.explode(F.sequence(F.lit(0), F.lit(self.sides - 1))).alias("other"))
+        pair = F.least("tile", "other") * self.sides + F.greatest("tile", "other")
+        return other.select(pair.cast("int").alias("pair"), (F.col("tile") > F.col("other")).alias("second"), column)
+
+    def turn(self, state: DataFrame, step: np.ndarray, turn: np.ndarray, scales: np.ndarray, active: np.ndarray) -> DataFrame:
+        """The next state: weights and residuals after ``step`` along the last directions, new directions, and their products with the kernels of the scales that are ``active``.
+
+        An array of a tile has a row a scale. Its sums s are, by scale, those of p q, r q, q q, r r, w and p.
+        """
+        m, dim, sides = len(scales), self.dim, self.sides
+
+        def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i, tile in enumerate(b.column("tile").to_pylist()):
+                    p, r, w, q = (np.frombuffer(b.column(c)[i].as_py()).reshape(m, -1) for c in "prwq")
+                    r, w = r - step[:, None] * q, w + step[:, None] * p
+                    yield pa.RecordBatch.from_arrays([pa.array([tile], pa.int32()), *(_packed([v]) for v in (r + turn[:, None] * p, r, w))], names=["tile", "p", "r", "w"])
+
+        def multiply(key, points: pa.Table, directions: pa.Table) -> pa.Table:
+            a, b = divmod(key[0].as_py(), sides)
+            x, p = ({second: v for second, v in zip(t.column("second").to_pylist(), _unpacked(t, c), strict=True)} for t, c in ((points, "x"), (directions, "p")))
+            if not x or (a != b and len(x) < 2):
+                return pa.table({"tile": pa.array([], pa.int32()), "q": pa.array([], pa.binary())})
+            same = a == b
+            u, v = x[False].reshape(-1, dim), x[not same].reshape(-1, dim)
+            pu, pv = p[False].reshape(m, -1), p[not same].reshape(m, -1)
+            qu, qv = np.zeros_like(pu), np.zeros_like(pv)
+            for rows, cols in cells(len(u), len(v)):
+                d = np.sqrt(squares(u[rows], v[cols]))
+                for s, k in _kernels(d, scales[active]):
+                    s = active[s]
+                    qu[s, rows] += k @ pv[s, cols]
+                    if not same:
+                        qv[s, cols] += pu[s, rows] @ k
+            found = [(a, qu)] if same else [(a, qu), (b, qv)]
+            return pa.table({"tile": pa.array([t for t, _ in found], pa.int32()), "q": _packed([q for _, q in found])})
+
+        def add(now: pa.Table, parts: pa.Table) -> pa.Table:
+            p, r, w = (_unpacked(now, c)[0].reshape(m, -1) for c in "prw")
+            q = np.sum(_unpacked(parts, "q"), axis=0).reshape(m, -1)
+            sums = np.stack([(p * q).sum(1), (r * q).sum(1), (q * q).sum(1), (r * r).sum(1), w.sum(1), p.sum(1)])
+            return now.append_column("q", _packed([q])).append_column("s", _packed([sums]))
+
+        now = state.mapInArrow(move, "tile int, p binary, r binary, w binary")
+        products = self.pairs.read().groupBy("pair").cogroup(self._at_pairs(now, "p").groupBy("pair")).applyInArrow(multiply, "tile int, q binary")
+        return now.groupBy("tile").cogroup(products.groupBy("tile")).applyInArrow(add, _STATE)
 
 
 def magnitudes(table: DataFrame, scales: list[float], rounds: int = 200, tolerance: float = 1e-8, tile: int = 1024) -> DataFrame:
@@ -71,28 +124,34 @@ def magnitudes(table: DataFrame, scales: list[float], rounds: int = 200, toleran
     n, m = points.count(), len(t)
     if not n or not m:
         return spark.createDataFrame([], schema)
-    # of each point: its entries, then by scale the direction, the residual and the weight
-    state = materialize(mapped(points, ["vec"], lambda x: np.hstack([x, np.ones((len(x), 2 * m)), np.zeros((len(x), m))]), name="vec"), "state")
-    rr = np.full(m, float(n))
-    for _ in range(rounds):
-        now = materialize(state.join(_products(state.select("id", F.slice("vec", 1, dim + m).alias("vec")), dim, t, tile), "id"), "products")
-        pq = summed(now, ["vec", "q"], m, lambda v, q: (v[:, dim : dim + m] * q).sum(0))
-        step = np.divide(rr, pq, out=np.zeros(m), where=pq > 0)
+    tiles = _Tiles(points, n, dim, tile)
 
-        def residual(v, q, step=step):
-            return v[:, dim + m : dim + 2 * m] - step * q
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for tile, x in zip(b.column("tile").to_pylist(), b.column("x").to_pylist(), strict=True):
+                one = np.ones((m, len(x) // (8 * dim)))
+                yield pa.RecordBatch.from_arrays([pa.array([tile], pa.int32()), *(_packed([v]) for v in (one, one, 0 * one, 0 * one, np.empty(0)))], names=["tile", "p", "r", "w", "q", "s"])
 
-        new = summed(now, ["vec", "q"], m, lambda v, q, f=residual: (f(v, q) ** 2).sum(0))
-        turn = np.divide(new, rr, out=np.zeros(m), where=rr > 0)
-
-        def moved(v, q, f=residual, step=step, turn=turn):
-            p, r = v[:, dim : dim + m], f(v, q)
-            return np.hstack([v[:, :dim], r + turn * p, r, v[:, dim + 2 * m :] + step * p])
-
-        state, rr = materialize(mapped(now, ["vec", "q"], moved, name="vec"), "state"), new
-        if np.sqrt(rr.max() / n) <= tolerance:
+    state, path = tiles.packed.mapInArrow(begin, _STATE), None
+    step, turn, total, active = np.zeros(m), np.zeros(m), np.zeros(m), np.arange(m)
+    for _ in range(rounds):
+        last, path = path, scratch_path(spark, "state")
+        tiles.turn(state, step, turn, t, active).write.parquet(path)
+        state = spark.read.schema(_STATE).parquet(path)
+        if last:
+            discard(spark, last)
+        pq, rq, qq, rr, w, p = np.sum([np.frombuffer(r["s"]).reshape(6, m) for r in state.select("s").collect()], axis=0)  # a row a tile
+        going = np.isin(np.arange(m), active) & (pq > 0)
+        step = np.divide(rr, pq, out=np.zeros(m), where=going)
+        new = np.maximum(rr - 2 * step * rq + step * step * qq, 0)
+        turn = np.divide(new, rr, out=np.zeros(m), where=going & (rr > 0))
+        total = w + step * p
+        active = np.flatnonzero(going & (np.sqrt(new / n) > tolerance))
+        if not len(active):
             break
-    total = summed(state, ["vec"], m, lambda v: v[:, dim + 2 * m :].sum(0))
+    tiles.pairs.drop()
+    if path:
+        discard(spark, path)
     return spark.createDataFrame([(float(a), float(b)) for a, b in zip(t, total, strict=True)], schema)
 
 
