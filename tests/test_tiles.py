@@ -167,3 +167,48 @@ def test_a_table_that_meets_itself_by_halves_takes_every_two_tiles_once(spark):
     both = nb.squares(np.vstack([x, x[:5] + 1e6]), x)
     assert (np.diag(both)[:60] == 0).all() and np.allclose(both, ((np.vstack([x, x[:5] + 1e6])[:, None] - x[None]) ** 2).sum(-1))
     assert len(list(nb.cells(1100, 600))) == 6
+
+
+def test_products_stream_out_of_packed_tiles_and_are_whole(spark, monkeypatch):
+    from manifold_spark.operators import vectors
+
+    monkeypatch.setattr(vectors, "STREAM", 50)
+    x = np.random.default_rng(10).normal(size=(50, 3))
+    ids = np.random.default_rng(11).permutation(500)[:50] - 100
+    table = spark.createDataFrame([(int(i), [float(c) for c in row]) for i, row in zip(ids, x, strict=True)], "id long, vec array<double>")
+    z = x - x.mean(0)
+    want = {(int(min(p, q)), int(max(p, q))): float(a @ b) for p, a in zip(ids, z, strict=True) for q, b in zip(ids, z, strict=True)}
+    for tile in (1000, 9):
+        pairs = vectors.center_gram(table, tile=tile)
+        # tiles move as packed rows, not point by point
+        assert "MapInArrow" in pairs._jdf.queryExecution().toString()
+        rows = pairs.collect()
+        assert {(r.i, r.j): r.c for r in rows} == pytest.approx(want) and len(rows) == len(want)
+    assert vectors.center_gram(table.limit(0)).count() == 0
+
+
+def test_links_of_cells_connect_as_all_close_pairs_do(spark, monkeypatch):
+    from manifold_spark.operators import spectral
+    from manifold_spark.operators.graph import connected_components
+
+    monkeypatch.setattr(nb, "CELL", 7)
+    x = np.random.default_rng(12).uniform(size=(90, 2))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    label = np.arange(90)
+    while True:
+        new = np.array([label[d[i] < 0.09].min() for i in range(90)])
+        if (new == label).all():
+            break
+        label = new
+    links = spectral.close_links(spark.createDataFrame([(i, [float(c) for c in row]) for i, row in enumerate(x)], "id long, vec array<double>"), 0.09, tile=20)
+    got = {r.node: r.component for r in connected_components(links).collect()}
+    assert len(set(label)) < 80 and [got.get(i, i) for i in range(90)] == list(label)
+
+
+def test_the_decay_kernel_finds_its_neighbours_once(spark, monkeypatch):
+    from manifold_spark.operators import spectral
+
+    table = cloud(spark, np.random.default_rng(13).normal(size=(40, 3)))
+    edges = spectral.row_shares(spectral.decay_edges(table, 3))
+    assert "CoGroups" not in edges._jdf.queryExecution().executedPlan().toString()
+    assert edges.groupBy("i").agg({"w": "sum"}).toPandas()["sum(w)"].to_numpy() == pytest.approx(np.ones(40))
